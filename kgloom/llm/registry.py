@@ -1,4 +1,53 @@
 """The register of the queries of this subpackage."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kgloom.llm import encode, lookalike, packing, spam, splits
+from kgloom.session import table
+
+#: Tokens a container holds.
+CAPACITY = 2048
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.tied_documents(table(spark, folder, "relation_bags"))
+
+
+def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.split_bags(table(spark, folder, "relation_bags"), table(spark, folder, "split_targets"))
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    aliases, sentences = table(spark, folder, "aliases"), table(spark, folder, "sentences")
+    return (
+        aliases.select(F.lit("aliases.alias").alias("field"), F.col("alias_id").alias("id"), F.col("alias").alias("text"))
+        .unionByName(aliases.select(F.lit("aliases.normalized_alias").alias("field"), F.col("alias_id").alias("id"), F.col("normalized_alias").alias("text")))
+        .unionByName(sentences.select(F.lit("sentences.text").alias("field"), F.col("sentence_id").alias("id"), "text"))
+    )
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.lookalike_pairs(_texts(spark, folder))
+
+
+def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.canonical_forms(_texts(spark, folder)).select("field", "id", "form").distinct()
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.encoded(table(spark, folder, "documents"))
+
+
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(encode.token_counts(table(spark, folder, "documents")), CAPACITY)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.spam_pages(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_splits, p5_found, p5_forms, p7_ids, p8_packed, p9_found)}
+SQL: dict[str, str] = {}
