@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import encode, lookalike, packing, spam, splits
+from kgloom.llm import encode, lookalike, packing, sentences, spam, splits
 from kgloom.session import table
 
 #: Tokens a container holds.
@@ -21,11 +21,11 @@ def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    aliases, sentences = table(spark, folder, "aliases"), table(spark, folder, "sentences")
+    aliases, rows = table(spark, folder, "aliases"), table(spark, folder, "sentences")
     return (
         aliases.select(F.lit("aliases.alias").alias("field"), F.col("alias_id").alias("id"), F.col("alias").alias("text"))
         .unionByName(aliases.select(F.lit("aliases.normalized_alias").alias("field"), F.col("alias_id").alias("id"), F.col("normalized_alias").alias("text")))
-        .unionByName(sentences.select(F.lit("sentences.text").alias("field"), F.col("sentence_id").alias("id"), "text"))
+        .unionByName(rows.select(F.lit("sentences.text").alias("field"), F.col("sentence_id").alias("id"), "text"))
     )
 
 
@@ -37,6 +37,10 @@ def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.canonical_forms(_texts(spark, folder)).select("field", "id", "form").distinct()
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.all_units(table(spark, folder, "document_records"), table(spark, folder, "sentences"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encoded(table(spark, folder, "documents"))
 
@@ -49,5 +53,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_splits, p5_found, p5_forms, p7_ids, p8_packed, p9_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_splits, p5_found, p5_forms, p6_found, p7_ids, p8_packed, p9_found)}
 SQL: dict[str, str] = {}
