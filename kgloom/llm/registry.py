@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import canonical, encode, lookalike, packing, sentences, spam, splits
+from kgloom.llm import boilerplate, canonical, encode, lookalike, packing, sentences, spam, splits
 from kgloom.session import table
 
 #: Tokens a container holds.
 CAPACITY = 2048
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.furniture(table(spark, folder, "document_records"))
+
+
+def p2_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.main_bodies(table(spark, folder, "document_records"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     values = canonical.open_values(table(spark, folder, "aliases"), table(spark, folder, "distant_labeled"))
     return canonical.canonical_values(values, table(spark, folder, "entities"))
@@ -58,5 +66,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_splits, p5_found, p5_forms, p6_found, p7_ids, p8_packed, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_bodies, p3_found, p4_found, p4_splits, p5_found, p5_forms, p6_found, p7_ids, p8_packed, p9_found)}
 SQL: dict[str, str] = {}
