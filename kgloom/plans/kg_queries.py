@@ -9,6 +9,7 @@ from kgloom.functions import constants as K
 from kgloom.functions import text as X
 from kgloom.operators import coref, events, facts, graph, linking, mentions, metrics, relations, structured
 from kgloom.operators.relational import count_by, drop_repeats, latest, top_k
+from kgloom.plans.kg_sql import SQL  # noqa: F401  (part of the register)
 from kgloom.session import table
 
 TABLES = ("entities", "aliases", "claims", "verified_events_text", "distant_labeled", "sentences", "document_records", "relation_bags")
@@ -460,4 +461,4 @@ bio_round_trip bio_legalize title_runs paren_depths dictionary_matches repeated_
 alias_index_sizes alias_recall tfidf_recall link_scored link_decisions link_gaps
 span_prf type_confusion span_errors confidence_buckets relation_prf closed_gold label_counts top_mentions""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
-SQL: dict[str, str] = {}
+
