@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from kgloom.functions import constants as K
 
 #: ASCII words with hyphens and a possessive, numbers, or one mark; other letters make no token.
-TOKEN = r"(?U)([A-Za-z]+(?:-[A-Za-z]+)*(?:'[sS])?|\d+(?:\.\d+)*|[^\w\s])"
+TOKEN = r"(?U)([A-Za-z]+(?:-[A-Za-z]+)*(?:'[sS])?|\d+(?:\.\d+)*|[^\w\s\p{N}])"
 
 
 def tokens(text: Column) -> Column:
