@@ -34,7 +34,8 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
 def drop_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str) -> DataFrame:
     """Drops a row whose value equals that of the row before it."""
     w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_before", F.lag(value).over(w)).filter(~F.coalesce(F.col("_before").eqNullSafe(F.col(value)), F.lit(False)) | F.col("_before").isNull()).drop("_before")
+    before = F.lag(F.struct(F.col(value).alias("v"))).over(w)  # null only at the first row
+    return df.withColumn("_before", before).filter(F.col("_before").isNull() | ~F.col("_before.v").eqNullSafe(F.col(value))).drop("_before")
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], starts: Column, name: str = "island") -> DataFrame:
