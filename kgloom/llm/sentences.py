@@ -36,7 +36,7 @@ BEFORE_NUMBER = frozenset(
     "jan feb mar apr jun jul aug sep sept oct nov dec okt dez mai рис стр табл гл т с № σελ αρ ص पृ".split()
 )
 #: The end only before a capital (or a caseless letter): what may close a sentence as well.
-BEFORE_CAPITAL = frozenset("etc usw co ltd inc corp bros jr sr esq a.m p.m u.s u.k e.u d.c ph.d b.a m.a ee.uu jh jhd n.chr v.chr т.д т.п др г гг в вв руб κ.λπ κ.ά".split())
+BEFORE_CAPITAL = frozenset("etc usw co ltd inc corp jr sr esq a.m p.m u.s u.k e.u d.c ph.d b.a m.a ee.uu jh jhd n.chr v.chr т.д т.п др г гг в вв руб κ.λπ κ.ά".split())
 MONTHS = "januar februar märz april mai juni juli august september oktober november dezember jänner jh jahrhundert jhd".split()
 #: Small words that begin a name at the start of a sentence.
 PARTICLES = frozenset("de von van du di da del della le la der den ter ten zu".split())
