@@ -37,6 +37,9 @@ def scan_targets(tokens: DataFrame) -> DataFrame:
     from kgloom.operators.relational import greedy_spans
 
     found = greedy_spans(F.concat(pronouns, F.array_sort(generic)))
+    # most sentences hold neither a pronoun nor a phrase: they leave before the fold
+    tokens = tokens.withColumn("_low", F.transform("tokens", F.lower))
+    tokens = tokens.filter(F.arrays_overlap("_low", F.array(*[F.lit(x) for x in (*K.PRONOUNS, "the", "this", "that")])))
     return tokens.filter(n > 0).select("doc_id", "sentence_id", "sentence_index", F.explode(found).alias("t")).select("doc_id", "sentence_id", "sentence_index", F.col("t.s").alias("token_start"), F.col("t.e").alias("token_end"), F.col("t.phrase").alias("phrase"))
 
 

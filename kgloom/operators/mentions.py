@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions import constants as K
 from kgloom.operators.relational import first_rows, greedy_spans
+from kgloom.session import spread
 
 CONNECTORS = ("and", "of", "the", "for", "in", "on", "to")
 
@@ -105,19 +106,24 @@ def alias_dictionary(names: DataFrame) -> DataFrame:
     return a.groupBy("alias").agg(F.min("type").alias("type"), F.count("*").alias("n")).filter("n = 1").select("alias", F.size(F.split("alias", " ")).alias("n_tokens"), "type")
 
 
-def longest_matches(sentences: DataFrame, dictionary: DataFrame, longest: int = 8) -> DataFrame:
+def longest_matches(sentences: DataFrame, dictionary: DataFrame, head: int = 3) -> DataFrame:
     """Longest forward matches of a dictionary in (sentence_id, tokens): (sentence_id, s, e, alias, type).
 
-    Word n-grams are joined to the dictionary by equality, whatever its size; the fold then
-    keeps, from left to right, the longest match at each free position.
+    The first words of a name (at most `head`) are joined by equality, whatever the size of
+    the dictionary; the few longer names found so are compared in full. The fold then keeps,
+    from left to right, the longest match at each free position.
     """
     low = F.transform("tokens", F.lower)
-    at = F.sequence(F.lit(0), F.greatest(F.size("tokens") - 1, F.lit(0)))
-    grams = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("tokens") - i)), lambda k: F.struct(i.alias("s"), (i + k).alias("e"), F.array_join(F.slice(low, i + 1, k), " ").alias("alias")))))
-    g = sentences.filter(F.size("tokens") > 0).select("sentence_id", F.explode(grams).alias("g")).select("sentence_id", "g.*")
-    hit = g.join(dictionary.filter(F.col("n_tokens") <= longest).select("alias", "type"), "alias")
+    at = F.sequence(F.lit(0), F.greatest(F.size("low") - 1, F.lit(0)))
+    grams = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(head), F.size("low") - i)), lambda k: F.struct(i.alias("s"), F.array_join(F.slice("low", i + 1, k), " ").alias("key")))))
+    s = spread(sentences.filter(F.size("tokens") > 0).select("sentence_id", low.alias("low")))
+    g = s.select("sentence_id", F.explode(grams).alias("g")).select("sentence_id", "g.s", "g.key")
+    names = dictionary.select("alias", "type", "n_tokens", F.array_join(F.slice(F.split("alias", " "), 1, head), " ").alias("key"))
+    hit = g.join(names, "key").withColumn("e", F.col("s") + F.col("n_tokens"))
+    short = hit.filter(F.col("n_tokens") <= head)
+    long = hit.filter(F.col("n_tokens") > head).join(s, "sentence_id").filter(F.array_join(F.slice("low", F.col("s") + 1, F.col("n_tokens")), " ") == F.col("alias")).drop("low")
     # order: start up, length down
-    per = hit.groupBy("sentence_id").agg(F.sort_array(F.collect_list(F.struct("s", (-F.col("e")).alias("me"), "e", "alias", "type"))).alias("m"))
+    per = short.unionByName(long).groupBy("sentence_id").agg(F.sort_array(F.collect_list(F.struct("s", (-F.col("e")).alias("me"), "e", "alias", "type"))).alias("m"))
     return per.select("sentence_id", F.explode(greedy_spans(F.col("m"))).alias("x")).select("sentence_id", "x.s", "x.e", "x.alias", "x.type")
 
 

@@ -82,9 +82,10 @@ def local_window(s1: Column, e1: Column, s2: Column, e2: Column, n: Column, marg
 
 def trigger_hits(tokens: Column, window: Column) -> Column:
     """Relations one of whose lemmas occurs in the window."""
-    lemmas = F.transform(F.slice(tokens, window["s"] + 1, F.greatest(window["e"] - window["s"], F.lit(0))), X.lemma)
-    found = [F.when(F.arrays_overlap(lemmas, F.array(*map(F.lit, ws))), F.lit(p)) for p, ws in K.TRIGGER_LEMMAS.items()]
-    return F.sort_array(F.array_compact(F.array(*found)))
+    pairs = [F.lit(x) for p, ws in K.TRIGGER_LEMMAS.items() for w in ws for x in (w, p)]
+    by_lemma = F.create_map(*pairs)  # no lemma belongs to two relations
+    part = F.slice(tokens, window["s"] + 1, F.greatest(window["e"] - window["s"], F.lit(0)))
+    return F.sort_array(F.array_distinct(F.array_compact(F.transform(part, lambda w: F.try_element_at(by_lemma, X.lemma(w))))))
 
 
 def label_fold(relations: Column, exact: Column, bridge: Column, local: Column, sentence: Column, reasons: Column) -> Column:

@@ -215,7 +215,9 @@ def weak_labels(spark, d):
     exact = F.when(F.coalesce("exact_claim_match", F.lit(False)) & F.col("predicate").isNotNull(), F.array("predicate")).otherwise(none)
     why = F.array_compact(F.array(F.when(X.low_information(F.col("subject_text")).isNotNull(), F.concat(F.lit("subject_"), F.lower(X.low_information(F.col("subject_text"))))), F.when(X.low_information(F.col("object_text")).isNotNull(), F.concat(F.lit("object_"), F.lower(X.low_information(F.col("object_text")))))))
     whole = F.struct(F.lit(0).alias("s"), n.alias("e"))
-    fold = relations.label_fold(F.col("relations"), exact, F.coalesce("bridge_predicates", none), relations.trigger_hits(F.col("tokens"), w), relations.trigger_hits(F.col("tokens"), whole), why)
+    # each input is a column of its own, so the fold doesn't compute it again at every step
+    t = t.withColumns({"x_exact": exact, "x_bridge": F.coalesce("bridge_predicates", none), "x_why": why, "x_local": relations.trigger_hits(F.col("tokens"), w), "x_all": relations.trigger_hits(F.col("tokens"), whole)})
+    fold = relations.label_fold(*[F.col(c) for c in ("relations", "x_exact", "x_bridge", "x_local", "x_all", "x_why")])
     t = t.withColumn("f", fold)
     return t.select("candidate_id", relations.label_of(F.col("f")).alias("label"), F.array_join("f.positive", ",").alias("positive"), F.array_join("f.reasons", ",").alias("reasons"))
 
@@ -356,7 +358,7 @@ def dictionary_matches(spark, d):
     e = table(spark, d, "entities")
     words = mentions.alias_dictionary(e.select(F.col("canonical_name").alias("alias"), F.col("entity_type").alias("type")))
     s = _t(spark, d, "sentences").filter("text is not null").select("sentence_id", X.tokens(F.col("text")).alias("tokens"))
-    return mentions.longest_matches(s, words, 12)
+    return mentions.longest_matches(s, words)
 
 
 def repeated_sentences(spark, d):
