@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kgloom.session import spread
+
 #: Distinct pieces whose ids a Python worker remembers, and the longest piece it keeps.
 MEMO, MEMO_BYTES = 200_000, 64
 
@@ -197,10 +199,10 @@ def decode_udf(path: str) -> Column:
 
 
 def encoded(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and ids of every row; no shuffle."""
-    return documents.select("doc_id", encode_udf(path or vocabulary_path())("text").alias("ids"))
+    """doc_id and ids of every row; no shuffle beyond one that fills idle cores."""
+    return spread(documents.select("doc_id", "text")).select("doc_id", encode_udf(path or vocabulary_path())("text").alias("ids"))
 
 
 def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and n_tokens of every row with a text (0 for an empty one)."""
-    return documents.filter(F.col("text").isNotNull()).select("doc_id", encode_udf(path or vocabulary_path(), counts=True)("text").alias("n_tokens"))
+    return spread(documents.select("doc_id", "text").filter(F.col("text").isNotNull())).select("doc_id", encode_udf(path or vocabulary_path(), counts=True)("text").alias("n_tokens"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgloom.session import durable
+from kgloom.session import durable, spread
 
 # Letters of one script that look like letters of Latin, as in public confusables data.
 CYRILLIC = dict(zip("аеорсухѕіјһԁԛԝӏАВЕКМНОРСТУХЅІЈԚԜӀ", "aeopcyxsijhdqwlABEKMHOPCTYXSIJQWI"))
@@ -158,7 +158,7 @@ def canonical_forms(texts: DataFrame) -> DataFrame:
     texts = texts.filter(F.col("text").isNotNull())
     ascii_only = F.col("text").rlike(r"^\p{ASCII}*$")
     easy = texts.filter(ascii_only).select("field", "id", "text", F.col("text").alias("form"))
-    hard = texts.filter(~ascii_only).select("field", "id", "text", _form("text").alias("f")).select("field", "id", "text", "f.form", "f.suspects")
+    hard = spread(texts.filter(~ascii_only)).select("field", "id", "text", _form("text").alias("f")).select("field", "id", "text", "f.form", "f.suspects")
     hard = durable(hard)
     clean = hard.filter(F.size("suspects") == 0).select("field", "id", "text", "form")
     doubtful = hard.filter(F.size("suspects") > 0)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.session import spread
+
 # Abbreviations, lower case, without their last full stop.
 #: Never the end of a sentence: a name or the rest of a phrase follows.
 BEFORE_NAME = frozenset(
@@ -280,7 +282,7 @@ def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def split_texts(texts: DataFrame) -> DataFrame:
     """(tbl, row_id, offset_start, offset_end) from rows (tbl, row_id, text, wrapped, piece); distinct."""
     texts = texts.filter(F.col("text").isNotNull()).select("tbl", "row_id", "text", "wrapped", "piece")
-    return texts.mapInArrow(_split_batches, "tbl string, row_id string, offset_start int, offset_end int").distinct()
+    return spread(texts).mapInArrow(_split_batches, "tbl string, row_id string, offset_start int, offset_end int").distinct()
 
 
 def all_units(records: DataFrame, sentences: DataFrame) -> DataFrame:

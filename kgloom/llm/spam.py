@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgloom.session import durable
+from kgloom.session import durable, spread
 
 BLOCK = 1000
 #: A block this much below the usual ratio of its kind is redundant; extreme where stuffed sentences must show it.
@@ -135,7 +135,8 @@ def _measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def measured(documents: DataFrame) -> DataFrame:
     """doc_id and the measures of every text long enough to judge."""
-    return documents.filter(F.length(F.trim("text")) >= LEAST_CHARS).select("doc_id", _measured("text").alias("m")).select("doc_id", "m.*")
+    texts = spread(documents.select("doc_id", "text").filter(F.length(F.trim("text")) >= LEAST_CHARS))
+    return texts.select("doc_id", _measured("text").alias("m")).select("doc_id", "m.*")
 
 
 def usual_ratios(m: DataFrame) -> DataFrame:
