@@ -34,8 +34,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Enough partitions for all cores before costly work on each row.
 
     A table of fewer files than cores would keep most of them idle; a larger one, which is
-    any at scale, is returned as it is, without a shuffle.
+    any at scale, is returned as it is, without a shuffle. A plan that shuffles already is
+    left to adaptive execution: asking for its partitions would run it.
     """
+    if any(x in df._jdf.queryExecution().optimizedPlan().toString() for x in ("Aggregate", "Join", "Window", "Sort ", "Repartition")):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 

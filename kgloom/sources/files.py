@@ -140,3 +140,15 @@ def html_page(nodes: DataFrame, edges: DataFrame, path: str, most: int = 300) ->
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
         f.write(f'<!doctype html><meta charset="utf-8"><title>graph</title><ul id="list"></ul><script>const graph = {data};\nfor (const n of graph.nodes) {{ const li = document.createElement("li"); li.textContent = n.label + " (" + n.degree + ")"; list.append(li); }}</script>\n')
+
+
+def graph_json(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """nodes/ and edges/ as JSON lines in order of id, and stats.json beside them."""
+    from kgloom.operators.graph import stats
+
+    write_jsonl(nodes, f"{folder}/nodes", ["id"])
+    write_jsonl(edges, f"{folder}/edges", ["id"])
+    out: dict = {}
+    for r in stats(nodes, edges).collect():  # one row for each type, label and layer
+        out.setdefault(r.section, {})[r.key] = r.n
+    write_json(f"{folder}/stats.json", out)
