@@ -32,6 +32,8 @@ BEFORE_NAME = frozenset(
     "dr mr mrs ms prof st capt lt col gen sgt maj rev hon gov sen rep pres messrs mx fr hr sr sra srta d dª mme mlle mm me mgr pt mt ft cf vgl vs viz e.g eg i.e ie approx ca c al incl resp bzw u.a d.h z.b z.t o.ä i.d.r p.ex c.-à-d env p.ej ej av apr "
     "т.е т.к т.н проф акад доц им ул см ср напр др.г д-р г-н г-жа κ κα δρ δηλ π.χ βλ د م أ डॉ श्री roy univ acad natl nat nat'l soc comp inst diff dept ee bros".split()
 )
+#: The same, with a capital at least: short forms within names.
+IN_NAME = frozenset("up ord pr".split())
 #: Not the end before a number (or, for months, a number): references, numbers, dates.
 BEFORE_NUMBER = frozenset(
     "no nos nr núm num nº n vol vols fig figs p pp pg ch chap sec sect art par para eq ed eds bd abs kap s abb tab cap pág págs tom t ver v b d r op fn "
@@ -128,6 +130,8 @@ def _breaks(text: str, start: int, mark: int, end: int, stop: int, run: str, quo
                     return False  # an initial
             if whole in BEFORE_CAPITAL or low in BEFORE_CAPITAL:
                 pass
+            elif low in IN_NAME and word[:1].isupper():
+                return False
             elif low in BEFORE_NAME or whole in BEFORE_NAME:
                 if low not in BEFORE_NUMBER or not (word[:1].islower() and len(low) == 1 and upper):
                     return False
