@@ -55,6 +55,8 @@ _CONTENTS = re.compile(r"(?:\.\s?){4,}\s*\d+\s*$|\t\d+\s*$")
 _NUMBERED = re.compile(r"^\s*(?:\[\d+\]|\d+[.)]\s)")
 _ITEM = re.compile(r"[,;|•·/、，؛፣]|\s[-–—]\s")
 _WORD = re.compile(r"\w+", re.U)
+#: A run of one character is damage, not a keyword.
+_RUN = re.compile(r"(.)\1{19,}")
 
 
 def script_of(text: str) -> str:
@@ -88,6 +90,7 @@ def _is_prose(unit: str, spaced: bool) -> bool:
 
 def measures(text: str) -> dict:
     """What is measured of one text."""
+    text = _RUN.sub(r"\1\1\1", text)
     script = script_of(text)
     spaced = script != "han"
     prose = links = plain = total = stuffed = sentences = 0
