@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kgloom.functions import constants as K
 from kgloom.functions import spans
 from kgloom.functions import text as X
-from kgloom.operators import graph, metrics, sampling
+from kgloom.operators import extract, facts, graph, metrics, sampling
 from kgloom.plans import kg_queries as Q
 from kgloom.plans import kg_sql as S
 from kgloom.session import table
@@ -95,8 +95,24 @@ def relation_support(spark, d):
     return t.groupBy("predicate").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.round(F.avg(F.coalesce("exact_claim_match", F.lit(False)).cast("double")), 6).alias("exact_share"))
 
 
-QUERIES = {f.__name__: f for f in (label_distribution, hash_sample, dispersed_sample, quota_sample, train_dev_split, candidate_strengths, entity_profiles, span_conversion, linking_eval, linking_report, whole_graph, literal_edges, relation_support)}
+def extracted_claims(spark, d):
+    """The labels of all bags as predictions."""
+    b = table(spark, d, "relation_bags").filter("bag_id is not null and trim(bag_id) <> ''").dropDuplicates(["bag_id"])
+    p = b.select("bag_id", F.explode(F.array_distinct("label_names")).alias("relation"), F.lit(1.0).alias("probability"), F.sort_array(F.array_distinct(F.array_compact(F.transform("sentence_evidences", lambda x: x["sentence_id"])))).alias("supporting")).filter("relation is not null and relation <> 'NA'")
+    return extract.extracted_claims(p, b.select("bag_id", "subject_id", "object_id", "subject_type", "object_type"))
 
+
+def pair_fact_signals(spark, d):
+    """Signals of the fact candidates of all labelled pairs, by name."""
+    t = Q._t(spark, d, "distant_labeled").filter("subject_entity_id is not null and object_entity_id is not null and predicate is not null")
+    p = t.select("candidate_id", F.col("subject_entity_id").alias("subject_id"), "predicate", F.col("object_entity_id").alias("object_id"), F.col("subject_resolution").alias("s_resolution"), F.col("object_resolution").alias("o_resolution"), F.coalesce(F.array_contains("positive_predicates", F.col("predicate")), F.lit(False)).alias("local"))
+    c = extract.candidates_of_pairs(p, table(spark, d, "claims"))
+    return c.select("candidate_id", F.array_join(F.transform("signals", lambda x: x["name"]), ",").alias("names"), F.round(facts.signal_sum(F.col("signals")), 6).alias("score_sum"))
+
+
+QUERIES = {f.__name__: f for f in (label_distribution, hash_sample, dispersed_sample, quota_sample, train_dev_split, candidate_strengths, entity_profiles, span_conversion, linking_eval, linking_report, whole_graph, literal_edges, relation_support, extracted_claims, pair_fact_signals)}
+
+_EV = "case relation " + " ".join(f"when '{p}' then '{v[0]}'" for p, v in K.EVENT_SPECS.items()) + " end"
 _H = "md5('42|' || {0})"
 SQL = {
     "label_distribution": f"""
@@ -132,4 +148,14 @@ select count(*) as n_mentions, count(entity_id) as n_linked, count(distinct enti
     "whole_graph": f"with e as {S.EDGES} select n.id as id, n.label as label, count(e.id) as n_out, count(distinct target) as n_targets from {S.NODES} n left join e on n.id = e.source group by 1, 2",
     "literal_edges": f"with e as {S.EDGES} select target, count(*) as n from e where target like 'literal:%' group by 1",
     "relation_support": f"select predicate, count(*) as n, count(distinct doc_id) as n_docs, round(avg(cast(coalesce(exact_claim_match, false) as double)), 6) as exact_share from {S.DL} where predicate is not null group by 1",
+    "extracted_claims": f"""
+select 'claimcand_' || left(sha1(bag_id || '||' || relation), 16) as claim_candidate_id, bag_id, subject_id, relation as predicate, object_id, 1.0 as probability, sup[1] as primary_sentence_id, cast(len(sup) as integer) as n_supporting, {_EV} as event_type_hint
+from (select distinct on (bag_id) *, list_sort(list_distinct(list_filter(list_transform(sentence_evidences, lambda x: x.sentence_id), lambda x: x is not null))) as sup from relation_bags where bag_id is not null and trim(bag_id) <> '') b,
+lateral (select unnest(list_distinct(label_names)) as relation) where relation is not null and relation <> 'NA'""",
+    "pair_fact_signals": f"""
+select candidate_id, array_to_string(list_filter([case when lo then 'pattern' end, case when al then 'alignment' end, case when weak then 'link_quality' end], lambda x: x is not null), ',') as names,
+  round((case when lo then 0.35 else 0 end) + (case when al then 0.25 else 0 end) + (case when weak then -0.15 else 0 end), 6) as score_sum
+from (select candidate_id, coalesce(list_contains(positive_predicates, d.predicate), false) as lo, c.ids is not null as al, coalesce(subject_resolution, '') in ('unresolved', '') or coalesce(object_resolution, '') in ('unresolved', '') as weak
+  from {S.DL} d left join {S._CLAIM_IDS} c on d.subject_entity_id = c.subject_id and {S.PRED('d.predicate')} = c.predicate and d.object_entity_id = c.object_id
+  where subject_entity_id is not null and object_entity_id is not null and d.predicate is not null)""",
 }

@@ -22,7 +22,19 @@ def p1_role_table(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_role_table": p1_role_table}
 
+_INNER = "case when json_valid({0}) then case when json_type({0}) = 'VARCHAR' and json_valid(json_extract_string({0}, '$')) then json_extract_string({0}, '$') else {0} end end"
+_LEAF = "t.type in ('VARCHAR', 'BIGINT', 'UBIGINT', 'HUGEINT') and json_extract_string(t.value, '$') <> ''"
+_PATH = "replace(substr(t.fullkey, 2), '\"', '')"
+
 SQL = {
+    "p1_found": f"""
+with c as (select distinct claim_id, {_INNER.format('qualifiers_json')} as j from claims),
+e as (select distinct event_candidate_id, s, i from (select event_candidate_id, unnest(signals) as s, unnest(range(len(signals))) as i from verified_events_text)),
+d as (select distinct event_candidate_id, i, {_INNER.format('s.details')} as j from e)
+select distinct 'claims' as tbl, claim_id as parent_id, 'qualifiers_json' || {_PATH} as path, json_extract_string(t.value, '$') as item from (select * from c where j is not null) c, json_tree(c.j) t where {_LEAF}
+union all select distinct 'verified_events_text', event_candidate_id, 'signals[' || i || '].details' || {_PATH}, json_extract_string(t.value, '$')
+  from (select * from d where j is not null) d, json_tree(d.j) t where {_LEAF} and (t.fullkey = '$.trigger' or t.fullkey like '$.trigger.%' or t.fullkey like '$.trigger[%')
+union all select distinct 'verified_events_text', event_candidate_id, 'roles[' || i || '].role', r.role from (select event_candidate_id, unnest(roles) as r, unnest(range(len(roles))) as i from verified_events_text) where r.role is not null and r.role <> ''""",
     "p1_role_table": """
 select event_candidate_id as record_id, '0.' || (i - 1) as dewey, '0' as parent_dewey, r.role as role, r.entity_id as entity_id,
        r.entity_type as entity_type, r.text as text, r.mention_id as mention_id, cast(i - 1 as integer) as ordinal
