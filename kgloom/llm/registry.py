@@ -67,4 +67,12 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_bodies, p3_found, p4_found, p4_splits, p5_found, p5_forms, p6_found, p7_ids, p8_packed, p9_found)}
-SQL: dict[str, str] = {}
+_DOC = "nullif(case when regexp_full_match(t, 'doc[^0-9a-z]*0*[0-9]+') then 'doc_' || lpad(regexp_extract(t, '([1-9][0-9]*|0)$', 1), 8, '0') else t end, '')"
+SQL: dict[str, str] = {
+    "p4_found": f"""
+with recursive n as (select lower(trim(doc_id)) as d, lower(trim(regexp_replace(trim(bag_id), '\\s*(?:__|::|\\|).*$', ''))) as b from relation_bags),
+l as (select distinct a, b from (select (select {_DOC.replace('t,', 'd,').replace('(t', '(d').replace('else t', 'else d')}) as a, (select {_DOC.replace('t,', 'b,').replace('(t', '(b').replace('else t', 'else b')}) as b from n) where a is not null and b is not null and a <> b),
+e as (select a, b from l union select b, a from l),
+r as (select a as x, a as y from e union select r.x, e.b from r join e on r.y = e.a)
+select x as doc_id, min(y) as group_id from r group by 1""",
+}
