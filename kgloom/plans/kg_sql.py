@@ -286,3 +286,40 @@ select *, {_PRF} from (select count(*) filter (p.b is not null and verdict = 'po
     "label_counts": f"select coalesce(weak_label, 'UNKNOWN') as label, count(*) as n from {DL} group by 1",
     "top_mentions": f"select type, text, n, rank from (select *, row_number() over (partition by type order by n desc, text) as rank from (select type, text, count(*) as n from {MENTIONS_ONE} where text is not null group by 1, 2)) where rank <= 3",
 }
+
+_ANAPHORS = "(values " + ", ".join(f"('{p}', '{t}')" for p, ts in K.ANAPHOR_TYPES.items() for t in ts) + ") as an(phrase, type)"
+SQL["coref_resolve"] = f"""
+with t as (select *, sentence_id || ':' || token_start as target_id from ({SQL['coref_targets']})),
+a as (select distinct doc_id, sentence_index_in_doc as si, s, entity_id, type from {MENTIONS_ONE} where entity_id is not null and doc_id is not null and sentence_index_in_doc is not null),
+p as (select target_id, t.sentence_index - a.si as d, case when t.sentence_index = a.si then t.token_start - a.s else -a.s end as rk, entity_id
+  from t join {_ANAPHORS} on t.phrase = an.phrase join a on t.doc_id = a.doc_id and a.type = an.type and t.sentence_index - a.si between 0 and {K.COREF_WINDOW} and (t.sentence_index > a.si or a.s < t.token_start)),
+r as (select *, row_number() over w as n, lead(d) over w as d2, lead(rk) over w as rk2 from p window w as (partition by target_id order by d, rk, entity_id)),
+x as (select t.*, r.d, r.entity_id as e, case when r.d is null then 'NO_COMPATIBLE_ANTECEDENT' when d2 = d and (d > 0 or rk2 = rk) then 'AMBIGUOUS_ANTECEDENT' else 'RULE_NEAREST_ANTECEDENT' end as reason from t left join r on t.target_id = r.target_id and r.n = 1)
+select target_id, doc_id, sentence_index, token_start, phrase, case when reason like 'RULE%' then e end as entity_id, case when reason like 'RULE%' then d end as distance, reason from x"""
+SQL["coref_report"] = f"""
+with x as ({SQL['coref_resolve']}) select 'reason' as section, reason as key, count(*) as n from x group by 2 union all select 'phrase', phrase, count(*) from x group by 2
+union all select 'distance', coalesce(cast(distance as varchar), ''), count(*) from x group by 2"""
+_TYP = "case when {0} >= s1 and {0} < e1 then t1 when {0} >= s2 and {0} < e2 then t2 end"
+SQL["bio_legalize"] = f"""
+with l as (select candidate_id, list_transform(range(len(tokens)), lambda i: {{'t': {_TYP.format('i')}, 'p': {_TYP.format('(i - 1)')}}}) as x from {_LAB})
+select candidate_id, array_to_string(list_transform(x, lambda v: case when v.t is null then 'O' when v.p is null or v.p <> v.t then 'B-' || v.t else 'I-' || v.t end), ' ') as legal,
+  cast(len(list_filter(x, lambda v: v.t is not null and (v.p is null or v.p <> v.t))) as bigint) as n_illegal from l"""
+_SIM = "list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower({0}), '''s\\b', '', 'g'), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', ' ', 'g')), ' '), lambda w: length(w) > 1 and not list_contains([" + _list(K.SIMILARITY_STOP) + "], w)))"
+_W = K.LINK_WEIGHTS
+_SCORED = f"""(
+with mm as (select distinct mention_id, text, type from {MENTIONS_ONE} where {ASCII.format('text')}), m as (select distinct mention_id, doc_id, sentence_id, text, type from {MENTIONS_ONE} where {ASCII.format('text')}),
+j as (select r.*, m.doc_id, lower(m.text) as surface, len(string_split(m.text, ' ')) as n_words, m.type, en.entity_type, coalesce(en.confidence, 0.75) as prior, {_SIM.format("(canonical_name || coalesce(' ' || description_en, ''))")} as w, {_SIM.format("coalesce(s.text, '')")} as c
+  from {_RECALL} r join m using (mention_id) join entities en on r.entity_id = en.entity_id left join {S} s using (sentence_id)),
+f as (select *, least(1.0, len(list_intersect(c, w)) / greatest(3, least(len(c), len(w)))) as ov, case when type = entity_type then 1.0 when entity_type is null or type is null then 0.45 when type = 'CONCEPT' or entity_type = 'CONCEPT' then 0.3 else 0.0 end as ts from j)
+select mention_id, doc_id, surface, n_words, entity_id, source, cast(ts as double) as type_score, round(greatest(0.0, least(1.0, {_W['alias']} * alias_score + {_W['context']} * ov + {_W['type']} * ts + {_W['mention']} * 0.5 + {_W['prior']} * prior)), 6) as local from f)"""
+SQL["link_scored"] = f"select distinct mention_id, doc_id, entity_id, source, cast(local as double) as local, type_score from {_SCORED}"
+SQL["link_decisions"] = f"""
+with s as (select distinct * from {_SCORED}), t as (select *, row_number() over (partition by mention_id order by local desc, entity_id) as n from s),
+an as (select doc_id, entity_id, count(*) as k from t where n = 1 and local >= {K.ANCHOR_SCORE} group by 1, 2),
+ex as (select doc_id, surface, max_by(entity_id, (entity_id, mention_id)) as xe from t where n = 1 and source = 'exact' and local >= {K.LINK_REVIEW} group by 1, 2),
+c as (select s.*, round(least(1.0, local + least({K.SUPPORT_CAP}, (case when xe = s.entity_id then {K.SUPPORT_SURFACE} else 0.0 end) + least({K.SUPPORT_ANCHOR_CAP}, {K.SUPPORT_ANCHOR} * coalesce(k, 0)))), 6) as lc from s left join an using (doc_id, entity_id) left join ex using (doc_id, surface)),
+r as (select *, row_number() over w as n, lead(lc) over w as second from c window w as (partition by mention_id order by lc desc, entity_id)),
+d as (select *, lc - coalesce(second, 0.0) as mg from r where n = 1),
+e as (select *, case when lc >= (case when source = 'exact' and type_score = 1.0 and mg >= 0.2 then {K.LINK_EASY} when n_words > 1 then {K.LINK_MULTI} else {K.LINK_SINGLE} end) then 'LINKED' when lc >= {K.LINK_REVIEW} then 'REVIEW' else 'NIL' end as pl from d),
+f as (select *, case when second is not null and mg < {K.LINK_MARGIN} and lc >= {K.LINK_REVIEW} then 'REVIEW' when type_score = 0 and pl = 'LINKED' then 'REVIEW' else pl end as decision from e)
+select mention_id, case when decision = 'LINKED' then entity_id end as entity_id, cast(lc as double) as link_confidence, round(cast(mg as double), 6) as margin, decision from f"""
