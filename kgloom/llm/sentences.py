@@ -146,7 +146,7 @@ def _breaks(text: str, start: int, mark: int, end: int, stop: int, run: str, quo
     if follow and follow in PARTICLES and run[0] in ".!?" and gap:
         rest = text[m.end(2) : m.end(2) + 2]
         if len(rest) == 2 and rest[0] == " " and rest[1].isupper():
-            return not quoted
+            return True  # after a quotation, too: speech that opens a sentence was seen before
     return False
 
 
