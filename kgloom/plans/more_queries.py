@@ -149,12 +149,12 @@ select count(*) as n_mentions, count(entity_id) as n_linked, count(distinct enti
     "literal_edges": f"with e as {S.EDGES} select target, count(*) as n from e where target like 'literal:%' group by 1",
     "relation_support": f"select predicate, count(*) as n, count(distinct doc_id) as n_docs, round(avg(cast(coalesce(exact_claim_match, false) as double)), 6) as exact_share from {S.DL} where predicate is not null group by 1",
     "extracted_claims": f"""
-select 'claimcand_' || left(sha1(bag_id || '||' || relation), 16) as claim_candidate_id, bag_id, subject_id, relation as predicate, object_id, 1.0 as probability, sup[1] as primary_sentence_id, cast(len(sup) as integer) as n_supporting, {_EV} as event_type_hint
+select 'claimcand_' || left(sha1(bag_id || '||' || relation), 16) as claim_candidate_id, bag_id, subject_id, relation as predicate, object_id, cast(1.0 as double) as probability, sup[1] as primary_sentence_id, cast(len(sup) as integer) as n_supporting, {_EV} as event_type_hint
 from (select distinct on (bag_id) *, list_sort(list_distinct(list_filter(list_transform(sentence_evidences, lambda x: x.sentence_id), lambda x: x is not null))) as sup from relation_bags where bag_id is not null and trim(bag_id) <> '') b,
 lateral (select unnest(list_distinct(label_names)) as relation) where relation is not null and relation <> 'NA'""",
     "pair_fact_signals": f"""
 select candidate_id, array_to_string(list_filter([case when lo then 'pattern' end, case when al then 'alignment' end, case when weak then 'link_quality' end], lambda x: x is not null), ',') as names,
-  round((case when lo then 0.35 else 0 end) + (case when al then 0.25 else 0 end) + (case when weak then -0.15 else 0 end), 6) as score_sum
+  cast(round((case when lo then 0.35 else 0 end) + (case when al then 0.25 else 0 end) + (case when weak then -0.15 else 0 end), 6) as double) as score_sum
 from (select candidate_id, coalesce(list_contains(positive_predicates, d.predicate), false) as lo, c.ids is not null as al, coalesce(subject_resolution, '') in ('unresolved', '') or coalesce(object_resolution, '') in ('unresolved', '') as weak
   from {S.DL} d left join {S._CLAIM_IDS} c on d.subject_entity_id = c.subject_id and {S.PRED('d.predicate')} = c.predicate and d.object_entity_id = c.object_id
   where subject_entity_id is not null and object_entity_id is not null and d.predicate is not null)""",

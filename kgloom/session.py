@@ -4,9 +4,31 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application.
+
+    Python workers import it by name; where the cluster doesn't have it installed, Spark's
+    own file server hands them the archive that the driver makes here.
+    """
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    if sc.applicationId in _SHIPPED or not root.is_dir():
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="kgloom-"), "kgloom.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "kgloom") -> SparkSession:
     """A session for tests and benches; a cluster brings its own and never calls this."""
@@ -27,6 +49,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a folder."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -39,6 +62,7 @@ def spread(df: DataFrame) -> DataFrame:
     """
     if any(x in df._jdf.queryExecution().optimizedPlan().toString() for x in ("Aggregate", "Join", "Window", "Sort ", "Repartition")):
         return df
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
@@ -51,6 +75,7 @@ def durable(df: DataFrame) -> DataFrame:
     re-read and not a recomputation.
     """
     spark = df.sparkSession
+    ship(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgloom-"))
