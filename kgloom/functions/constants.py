@@ -89,6 +89,8 @@ EVENT_TRIGGERS = (
 # --- scores and thresholds ------------------------------------------------------------
 LINK_WEIGHTS = {"alias": 0.30, "context": 0.20, "type": 0.20, "topic": 0.10, "mention": 0.10, "prior": 0.10}
 LINK_MULTI, LINK_SINGLE, LINK_EASY, LINK_REVIEW, LINK_MARGIN, LINK_TOP_K, TFIDF_TOP_K = 0.82, 0.88, 0.80, 0.65, 0.05, 5, 8
+#: Names of several words that are found otherwise than whole; the least and most that a likeness of texts counts as an alias.
+LINK_OTHER, TFIDF_SCORES = 0.85, (0.35, 0.85)
 ANCHOR_SCORE, SUPPORT_SURFACE, SUPPORT_ANCHOR, SUPPORT_ANCHOR_CAP, SUPPORT_TITLE, SUPPORT_CAP = 0.88, 0.05, 0.02, 0.06, 0.03, 0.15
 ALIAS_SCORES = {"exact": 1.0, "normalized": 0.96, "abbreviation": 0.95, "short_name": 0.90, "place_variant": 0.90, "surname": 0.88}
 FACT_REVIEW, FACT_FINAL, FACT_BONUS, FACT_BONUS_CAP = 0.50, 0.75, 0.05, 0.10
@@ -114,6 +116,9 @@ DESCRIPTION_WORDS = (
 )
 SIMILARITY_STOP = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "into", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
 
+#: Stop words of the linking features.
+LINK_STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "were", "with")
+
 # --- sentences and pages --------------------------------------------------------------
 ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "st", "vs", "etc", "e.g", "i.e", "fig", "al", "no", "vol", "pp", "inc", "jr", "sr", "u.s", "u.k")
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")

@@ -56,10 +56,15 @@ def _fold_unicode(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else unicodedata.normalize("NFKC", t).replace("’", "'").casefold() for t in texts], dtype=object)
 
 
+def folded(text: Column) -> Column:
+    """Compatibility form, case folded."""
+    return F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(_fold_unicode(text))
+
+
 def normal_alias(text: Column, ascii_only: bool = False) -> Column:
     """Compatibility form, case folded, without a final possessive, spaces collapsed."""
-    folded = F.lower(text) if ascii_only else F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(_fold_unicode(text))
-    return collapse(F.regexp_replace(F.trim(folded), r"'s$", ""))
+    low = F.lower(text) if ascii_only else folded(text)
+    return collapse(F.regexp_replace(F.trim(low), r"'s$", ""))
 
 
 def similarity_tokens(text: Column) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from kgloom.functions import constants as K
 from kgloom.functions import text as X
 from kgloom.operators import coref, events, facts, graph, linking, mentions, metrics, relations, structured
-from kgloom.operators.relational import count_by, drop_repeats, latest, top_k
+from kgloom.operators.relational import count_by, drop_repeats, first_rows, latest, top_k
 from kgloom.plans.kg_sql import SQL  # noqa: F401  (part of the register)
-from kgloom.session import table
+from kgloom.session import durable, table
 
 TABLES = ("entities", "aliases", "claims", "verified_events_text", "distant_labeled", "sentences", "document_records", "relation_bags")
 
@@ -386,22 +386,28 @@ def tfidf_recall(spark, d):
     return linking.tfidf_recall(q, e).select("query_id", "entity_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-def _scored(spark, d):
-    m = _mentions(spark, d).filter(F.col("text").rlike(r"^\p{ASCII}*$")).select("mention_id", "doc_id", "sentence_id", "text", "type").distinct()
-    r = linking.recall(m.select("mention_id", "text", "type").distinct(), _index(spark, d))
-    e = table(spark, d, "entities").select("entity_id", "entity_type", X.similarity_tokens(F.concat_ws(" ", "canonical_name", "description_en")).alias("words"), F.col("confidence").alias("prior"))
+def _link_mentions(spark, d):
+    """Each mention once, with its sentence, the title of its document, and why it names nothing, if so."""
+    m = _mentions(spark, d).filter(F.col("text").rlike(r"^\p{ASCII}*$"))
+    m = m.select("mention_id", F.coalesce("doc_id", F.lit("")).alias("doc_id"), "sentence_id", "text", "type", (F.col("e") - F.col("s")).alias("n_words"), F.struct("doc_id", "sentence_index_in_doc", "s").alias("at"), X.low_information(F.col("text")).alias("skip"))
+    m = first_rows(m, ["mention_id"], ["at", "text", "type"])
     s = _t(spark, d, "sentences").select("sentence_id", F.col("text").alias("context"))
-    j = r.join(m, "mention_id").join(e, "entity_id").join(s, "sentence_id", "left")
-    f = {"alias": F.col("alias_score"), "context": linking.context_overlap(F.coalesce("context", F.lit("")), F.col("words")), "type": linking.type_score(F.col("type"), F.col("entity_type")), "topic": F.lit(0.0), "mention": F.lit(0.5), "prior": F.coalesce("prior", F.lit(0.75))}
-    return j.select("mention_id", "doc_id", F.lower("text").alias("surface"), "entity_id", "source", linking.linear_score(f).alias("local"), linking.type_score(F.col("type"), F.col("entity_type")).alias("type_score"), F.size(F.split("text", " ")).alias("n_words"), F.lit(False).alias("title_overlap"), F.col("entity_id").alias("ordinal"))
+    t = _t(spark, d, "document_records").select("doc_id", F.trim("title").alias("title"))
+    return m.join(s, "sentence_id", "left").join(t, "doc_id", "left").fillna("", ["context", "title"])
+
+
+def _scored(spark, d):
+    m = _link_mentions(spark, d).filter("skip is null")
+    r = linking.recall(m.select("mention_id", "text", "type"), _index(spark, d))
+    return linking.score_candidates(m, r, durable(linking.entity_profiles(table(spark, d, "entities"), _t(spark, d, "aliases"))))
 
 
 def link_scored(spark, d):
-    return _scored(spark, d).select("mention_id", "doc_id", "entity_id", "source", "local", "type_score").distinct()
+    return _scored(spark, d).select("mention_id", "doc_id", "entity_id", "source", "local", "type_score")
 
 
 def link_decisions(spark, d):
-    return linking.decide(linking.document_support(_scored(spark, d).distinct()))
+    return linking.link(_link_mentions(spark, d), _scored(spark, d))
 
 
 def link_gaps(spark, d):

@@ -215,3 +215,29 @@ def test_attention_forward(spark):
     h = [net.encode(*map(np.array, ([1, 2, 3], [41, 42, 43], [40, 41, 42], [1, 2, 3]))), net.encode(*map(np.array, ([4, 5], [41, 42], [40, 41], [1, 3])))]
     p, a = net.bag(h)
     assert np.allclose([got["X"], got["Y"]], p) and np.allclose(a.sum(1), 1)
+
+
+def linked(spark, mentions, entities=None, aliases=None):
+    e = spark.createDataFrame(entities or [("E1", "Ada Byron", "PERSON", "pioneer of looms"), ("E2", "Loom House", "ORGANIZATION", "weaving school of Norden")], "entity_id string, canonical_name string, entity_type string, description_en string")
+    e = e.select("*", *[F.lit(None).cast("string").alias(c) for c in ("label_en", "label_zh", "description_zh", "wikipedia_title_en", "wikipedia_summary_en")], F.lit(1.0).alias("confidence"))
+    a = spark.createDataFrame(aliases or [("E1", "A. Byron")], "entity_id string, alias string")
+    m = spark.createDataFrame(mentions, "mention_id string, doc_id string, text string, type string, n_words int, context string, title string, skip string").withColumn("at", F.col("mention_id"))
+    named = m.filter("skip is null")
+    c = linking.score_candidates(named, linking.recall(named.select("mention_id", "text", "type"), linking.alias_index(e, a)), linking.entity_profiles(e, a))
+    return {(r.mention_id, r.entity_id): r for r in c.collect()}, {r.mention_id: r for r in linking.link(m, c).collect()}
+
+
+def test_linking_recalls_by_text_and_title(spark):
+    rows = [("m1", "d", "Ada Byron", "PERSON", 2, "Ada Byron wrote", "Looms"), ("m2", "d", "the weavers", "ORGANIZATION", 2, "a school of weaving", "Norden"), ("m3", "d", "Xyz", "PERSON", 1, "nothing known", ""), ("m4", "d", "she", "PERSON", 1, "she wrote", "")]
+    c, d = linked(spark, [(*r, "SKIPPED_PRONOUN" if r[2] == "she" else None) for r in rows])
+    assert c["m2", "E2"].source == "tfidf" and c["m2", "E2"].title_overlap and c["m1", "E1"].title_overlap
+    assert not [k for k in c if k[0] in ("m3", "m4")]
+    # context 2 of 3 words (ada, byron); topic 3 of 4 with the title; prior 1
+    assert c["m1", "E1"].source == "exact" and c["m1", "E1"].local == round(0.3 + 0.2 * 2 / 3 + 0.2 + 0.075 + 0.05 + 0.1, 6)
+    assert {k: r.decision for k, r in d.items()} == {"m1": "LINKED", "m2": d["m2"].decision, "m3": "NIL", "m4": "SKIPPED_PRONOUN"} and d["m3"].entity_id is None
+
+
+def test_linking_keeps_five_candidates(spark):
+    names = [(f"E{i}", "Sam Reed", "PERSON", f"note {i}") for i in range(7)]
+    c, d = linked(spark, [("m", "d", "Sam Reed", "PERSON", 2, "Sam Reed", "", None)], names)
+    assert len(c) == 5 and d["m"].decision == "REVIEW"
