@@ -1,7 +1,7 @@
 """Column functions over text: tokens, spans, normal forms, shapes, stems and name parts.
 
-All of them stay in the JVM but for `normal_alias`, which needs Unicode normalisation and
-case folding and is an Arrow UDF on the texts that aren't ASCII. Null in, null out.
+All of them stay in the JVM but for `normal_alias`, `folded` and `exact_alias`, which need
+Unicode normalisation or case folding, by an Arrow UDF on the texts that aren't ASCII. Null in, null out.
 """
 
 from __future__ import annotations
@@ -61,6 +61,16 @@ def folded(text: Column) -> Column:
     return F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(_fold_unicode(text))
 
 
+@F.pandas_udf(T.StringType())
+def _compose_unicode(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else unicodedata.normalize("NFKC", t).replace("’", "'") for t in texts], dtype=object)
+
+
+def exact_alias(text: Column) -> Column:
+    """Compatibility form in its own case, spaces collapsed."""
+    return collapse(F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_compose_unicode(text)))
+
+
 def normal_alias(text: Column, ascii_only: bool = False) -> Column:
     """Compatibility form, case folded, without a final possessive, spaces collapsed."""
     low = F.lower(text) if ascii_only else folded(text)

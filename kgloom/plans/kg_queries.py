@@ -54,7 +54,7 @@ def claim_records(spark, d):
 
 def alias_records(spark, d):
     a = _t(spark, d, "aliases").filter("entity_id is not null and alias is not null").join(table(spark, d, "entities").select("entity_id", "canonical_name"), "entity_id")
-    return structured.alias_records(a.select("entity_id", "canonical_name", "alias", F.coalesce("alias_lang", F.lit("")).alias("alias_lang"), F.col("alias_id").alias("pos")).filter(F.col("alias").rlike(r"^\p{ASCII}*$")))
+    return structured.alias_records(a.select("entity_id", "canonical_name", "alias", F.coalesce("alias_lang", F.lit("")).alias("alias_lang"), F.col("alias_id").alias("pos")))
 
 
 def grouped_records(spark, d):
@@ -368,7 +368,7 @@ def repeated_sentences(spark, d):
 
 # --- linking --------------------------------------------------------------------------
 def _index(spark, d):
-    return linking.alias_index(table(spark, d, "entities"), table(spark, d, "aliases").filter(F.col("alias").rlike(r"^\p{ASCII}*$")))
+    return linking.alias_index(table(spark, d, "entities"), table(spark, d, "aliases"))
 
 
 def alias_index_sizes(spark, d):
@@ -376,19 +376,19 @@ def alias_index_sizes(spark, d):
 
 
 def alias_recall(spark, d):
-    m = _mentions(spark, d).filter(F.col("text").rlike(r"^\p{ASCII}*$")).select("mention_id", "text", "type").distinct()
+    m = _mentions(spark, d).select("mention_id", "text", "type").distinct()
     return linking.recall(m, _index(spark, d)).select("mention_id", "entity_id", "source", F.col("alias_score"))
 
 
 def tfidf_recall(spark, d):
     e = table(spark, d, "entities").select("entity_id", F.concat_ws(" ", "canonical_name", "description_en").alias("text"))
-    q = _t(spark, d, "aliases").filter("alias is not null").filter(F.col("alias").rlike(r"^\p{ASCII}*$")).select(F.col("alias_id").alias("query_id"), F.col("alias").alias("text"))
+    q = _t(spark, d, "aliases").filter("alias is not null").select(F.col("alias_id").alias("query_id"), F.col("alias").alias("text"))
     return linking.tfidf_recall(q, e).select("query_id", "entity_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 def _link_mentions(spark, d):
     """Each mention once, with its sentence, the title of its document, and why it names nothing, if so."""
-    m = _mentions(spark, d).filter(F.col("text").rlike(r"^\p{ASCII}*$"))
+    m = _mentions(spark, d)
     m = m.select("mention_id", F.coalesce("doc_id", F.lit("")).alias("doc_id"), "sentence_id", "text", "type", (F.col("e") - F.col("s")).alias("n_words"), F.struct("doc_id", "sentence_index_in_doc", "s").alias("at"), X.low_information(F.col("text")).alias("skip"))
     m = first_rows(m, ["mention_id"], ["at", "text", "type"])
     s = _t(spark, d, "sentences").select("sentence_id", F.col("text").alias("context"))

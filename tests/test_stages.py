@@ -240,4 +240,17 @@ def test_linking_recalls_by_text_and_title(spark):
 def test_linking_keeps_five_candidates(spark):
     names = [(f"E{i}", "Sam Reed", "PERSON", f"note {i}") for i in range(7)]
     c, d = linked(spark, [("m", "d", "Sam Reed", "PERSON", 2, "Sam Reed", "", None)], names)
-    assert len(c) == 5 and d["m"].decision == "REVIEW"
+    assert sorted(k[1] for k in c) == ["E0", "E1", "E2", "E3", "E4"] and d["m"].entity_id == "E0"
+
+
+def test_recall_in_all_scripts(spark):
+    import unicodedata
+
+    names = [("E1", "Straße", "PLACE"), ("E2", "Анна Ковач", "PERSON"), ("E3", "阿隆佐", "PERSON"), ("E4", "Ｌｏｏｍ", "ORGANIZATION"), ("E5", "Zoé", "PERSON")]
+    e = spark.createDataFrame(names, "entity_id string, canonical_name string, entity_type string").select("*", F.lit(None).cast("string").alias("label_en"), F.lit(None).cast("string").alias("label_zh"))
+    a = spark.createDataFrame([], "entity_id string, alias string")
+    texts = ["STRASSE", "анна ковач", "阿隆佐", "Loom", "Zoe\u0301", "Ковач", "nobody"]
+    m = spark.createDataFrame([(t, t, "PERSON") for t in texts], "mention_id string, text string, type string")
+    exact = lambda t: " ".join(unicodedata.normalize("NFKC", t).split())
+    want = {(t, i): "exact" if exact(t) == exact(n) else "normalized" for t in texts for i, n, _ in names if exact(t).casefold() == exact(n).casefold()} | {("Ковач", "E2"): "surname"}
+    assert len(want) == 6 and {(r.mention_id, r.entity_id): r.source for r in linking.recall(m, linking.alias_index(e, a)).collect()} == want
