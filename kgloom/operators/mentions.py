@@ -98,6 +98,24 @@ def context_features(tokens: Column) -> Column:
     return F.transform(at, lambda i: F.struct(near(i, 0).alias("w"), near(i, -1).alias("p1"), near(i, -2).alias("p2"), near(i, 1).alias("n1"), near(i, 2).alias("n2"), X.word_shape(F.get(tokens, i)).alias("shape"), X.is_abbreviation(F.get(tokens, i)).alias("abbr"), (i == 0).alias("first")))
 
 
+#: Words that tell the part of an organisation's name from its place.
+ORG_WORDS = ("school", "college", "university", "institute", "laboratory", "centre", "center", "museum")
+
+
+def dictionary_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(alias, type) of all names of the entities with a mention type; a place after the name of an organisation is cut off."""
+    from kgloom.functions import text as X
+
+    e = entities.select("entity_id", F.upper(F.trim("entity_type")).alias("type"), F.array("canonical_name", "label_en", "label_zh").alias("names")).filter(F.col("type").isin(*[t for t in K.ENTITY_TYPES if t != "EVENT"]))
+    own = e.select("type", F.explode("names").alias("alias"))
+    n = own.unionByName(aliases.filter("entity_id is not null").select("entity_id", "alias").join(e, "entity_id").select("type", "alias")).filter("trim(alias) <> ''").distinct()
+    words = F.transform(X.tokens(F.col("alias")), F.lower)
+    at = F.array_position("w", ",").cast("int")
+    tail = F.slice("w", at + 1, F.size("w"))
+    place = (F.col("type") == "ORGANIZATION") & (at > 1) & F.size(tail).between(1, 3) & F.forall(tail, lambda x: F.regexp_replace(x, r"\.", "").rlike(r"^\p{L}+$") & ~x.isin(*ORG_WORDS))
+    return n.withColumn("w", words).select(F.when(place, F.array_join(F.slice("w", 1, at - 1), " ")).otherwise(F.col("alias")).alias("alias"), "type")
+
+
 def alias_dictionary(names: DataFrame) -> DataFrame:
     """(alias, n_tokens, type) of names (alias, type) that mean one type only; alias is lower-case words."""
     from kgloom.functions import text as X

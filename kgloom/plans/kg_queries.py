@@ -355,8 +355,7 @@ def paren_depths(spark, d):
 
 
 def dictionary_matches(spark, d):
-    e = table(spark, d, "entities")
-    words = mentions.alias_dictionary(e.select(F.col("canonical_name").alias("alias"), F.col("entity_type").alias("type")))
+    words = mentions.alias_dictionary(mentions.dictionary_names(table(spark, d, "entities"), table(spark, d, "aliases")))
     s = _t(spark, d, "sentences").filter("text is not null").select("sentence_id", X.tokens(F.col("text")).alias("tokens"))
     return mentions.longest_matches(s, words)
 

@@ -254,3 +254,10 @@ def test_recall_in_all_scripts(spark):
     exact = lambda t: " ".join(unicodedata.normalize("NFKC", t).split())
     want = {(t, i): "exact" if exact(t) == exact(n) else "normalized" for t in texts for i, n, _ in names if exact(t).casefold() == exact(n).casefold()} | {("Ковач", "E2"): "surname"}
     assert len(want) == 6 and {(r.mention_id, r.entity_id): r.source for r in linking.recall(m, linking.alias_index(e, a)).collect()} == want
+
+
+def test_dictionary_of_all_names(spark):
+    e = spark.createDataFrame([("E1", "Alan Turing", "A. M. Turing", None, "PERSON"), ("E2", "King's College, Cambridge", None, None, "ORGANIZATION"), ("E3", "Mark", None, None, "MACHINE"), ("E4", "Norwich", None, None, "EVENT"), ("E5", "Trinity, College Hall", None, None, "ORGANIZATION")], "entity_id string, canonical_name string, label_en string, label_zh string, entity_type string")
+    a = spark.createDataFrame([("E1", "Prof"), ("E1", "Mark"), (None, "Nobody"), ("E9", "Gone")], "entity_id string, alias string")
+    got = {(r.alias, r.type) for r in mentions.alias_dictionary(mentions.dictionary_names(e, a)).collect()}
+    assert got == {("alan turing", "PERSON"), ("a . m . turing", "PERSON"), ("prof", "PERSON"), ("king's college", "ORGANIZATION"), ("trinity , college hall", "ORGANIZATION")}
