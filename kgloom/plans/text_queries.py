@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kgloom.functions import constants as K
 from kgloom.functions import text as X
 from kgloom.functions.timex import time_mentions_udf
+from kgloom.operators import nested
 from kgloom.session import table
 
 _SQL_TOKEN = (
@@ -101,9 +102,11 @@ def normal_type_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claim_times(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "claims").filter(F.col("qualifiers_json").startswith('{"'))
-    raw = F.get_json_object("qualifiers_json", "$.start_time")
-    return c.select("claim_id", raw.alias("raw")).filter(F.col("raw").rlike(r"^[+-]?\d{4}-")).select("claim_id", X.wikidata_time(F.col("raw")).alias("start_time")).distinct()
+    """The start times of each claim, wherever its qualifiers hold them, as a text, a number or the value of a record."""
+    c = table(spark, d, "claims").select("claim_id", "qualifiers_json").distinct()
+    n = nested.dewey_nodes(c, "claim_id", ["qualifiers_json"], {"qualifiers_json"}, ["qualifiers_json"])
+    n = n.filter(F.col("kind").isin("string", "integer", "number") & F.col("schema_path").rlike(r"\.start_time(\[\*\])*(\.(value|time)(\[\*\])*)*$"))
+    return n.select(F.col("record_id").alias("claim_id"), X.wikidata_time(F.col("value")).alias("start_time")).filter("start_time is not null").distinct()
 
 
 def claim_stable_ids(spark: SparkSession, d: str) -> DataFrame:

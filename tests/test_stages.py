@@ -261,3 +261,15 @@ def test_dictionary_of_all_names(spark):
     a = spark.createDataFrame([("E1", "Prof"), ("E1", "Mark"), (None, "Nobody"), ("E9", "Gone")], "entity_id string, alias string")
     got = {(r.alias, r.type) for r in mentions.alias_dictionary(mentions.dictionary_names(e, a)).collect()}
     assert got == {("alan turing", "PERSON"), ("a . m . turing", "PERSON"), ("prof", "PERSON"), ("king's college", "ORGANIZATION"), ("trinity , college hall", "ORGANIZATION")}
+
+
+def test_claim_times_of_all_forms(spark, tmp_path):
+    import json
+
+    from kgloom.plans.text_queries import claim_times
+
+    forms = {"a": {"start_time": "+1931-10-01T00:00:00Z"}, "b": {"start_time": {"value": "1931-00-00"}}, "c": {"start_time": "1931"}, "d": {"end_time": "1940-01-01"}}
+    texts = [(k, json.dumps(v)) for k, v in forms.items()] + [("e", json.dumps(forms["a"], indent=1)), ("f", json.dumps(json.dumps(forms["a"]))), ("g", None), ("h", "no json")]
+    spark.createDataFrame(texts, "claim_id string, qualifiers_json string").write.parquet(f"{tmp_path}/claims.parquet")
+    got = sorted((r.claim_id, r.start_time) for r in claim_times(spark, str(tmp_path)).collect())
+    assert got == [("a", "1931-10-01"), ("b", "1931"), ("c", "1931"), ("e", "1931-10-01"), ("f", "1931-10-01")]
