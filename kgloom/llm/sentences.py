@@ -52,7 +52,8 @@ _CLOSE = frozenset("”»」』›\"")
 
 _EVENT = re.compile(rf"[.!?…]+|[{FULL}]+[.!?…]*|;;?|[“”„«»「」『』‹›\"]")
 #: A text without a match is one unit: no mark is followed by anything that could start another.
-_INNER = re.compile(rf"[.!?…;]+[\"”»’'\)\]\s]*\s[^\s]|[.!?…][\"”»)\]]*[^\W\d_a-zß-öø-ÿ]|[.!?…][\"“„«]\w|[{FULL}]+[^\s{FULL}{re.escape(CLOSERS)}]|[{FULL}][{re.escape(CLOSERS)}]*\s*\S")
+_MARKS = re.escape(CLOSERS + "".join(_OPEN))
+_INNER = re.compile(rf"[.!?…;]+[{_MARKS}\s]*\s[^\s]|[.!?…][{_MARKS}]*[^\W\d_a-zß-öø-ÿ]|[.!?…;][{_MARKS}]+[^\s{_MARKS}]|[{FULL}]+[^\s{FULL}{re.escape(CLOSERS)}]|[{FULL}][{_MARKS}]*\s*\S")
 _WORD = re.compile(r"(?:[^\W\d_]|['’\-.](?=[^\W_])|(?<=[^\W\d_])\.\s(?=[^\W\d_]\.?$))*[^\W\d_]$")
 _NEXT = re.compile(r"\s*([(\[¿¡\"“„«「『‹—–\-*•]*\s*)([^\W\d_]+|\d+|\S)?")
 _NUMBER_START = re.compile(r"\s*(?:[(\[]?\d{1,3}(?:\.\d{1,3})*|[ivxlc]{1,5}|[A-Za-z])$")

@@ -226,3 +226,13 @@ def test_spam_pages(spark):
     got = {r.doc_id for r in spam.spam_pages(spark.createDataFrame(rows, "doc_id long, text string, ratio int")).collect()}
     assert got == set(bad)
     assert spam.spam_pages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_text_with_units_is_skipped():
+    import itertools
+
+    assert len(sentences.sentence_units("„Es läuft!“ Niemand antwortete.")) == len(sentences.units("„Es läuft!“ Niemand antwortete.", 0, 31)) == 2
+    assert len(sentences.sentence_units("Er sagte: „Das ist gut.“ Danach ging er.")) == 2
+    for a, mark, b, c, gap, d in itertools.product(("Er kam", "„Es lief", "‹Ja", "「好"), ".!?…。;", ("", *sentences.CLOSERS, *sentences._OPEN), ("", "“", "›", "』", ")"), ("", " "), ("Niemand kam.", "“Nein.", "2 kamen.", "niemand.", "他走了。")):
+        t = a + mark + b + c + gap + d
+        assert sentences._INNER.search(t) or len(sentences.units(t, 0, len(t))) < 2, t
