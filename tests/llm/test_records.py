@@ -121,6 +121,56 @@ def test_furniture(spark):
     assert body.startswith("A history of tapes") and "cookie tin" in body and "©" not in body and "Sponsored" not in body
 
 
+def _dutch(n: int):
+    """Pages of three sites in a language without fixed words: (rows, furniture lines by page)."""
+    rng = random.Random(3)
+    words = "de het een oude nieuwe machine tafel kaart brief molen brug stad rekenaar band trommel lamp schakel draad bewijs reeks som".split()
+    line = lambda k: (" ".join(rng.choice(words) for _ in range(k)) + ".").capitalize()
+    titles = {(s, i): f"{rng.choice(words).capitalize()} {rng.choice(words)} {s} {i}" for s in range(3) for i in range(n)}
+    rows, want = [], {}
+    for (s, i), title in titles.items():
+        other = titles[s, (i + 7) % n]
+        lines = [("Startpagina | Over ons | Winkel", 1), (title, 0), (line(30), 0), (rng.choice(["Leven", "Werk", "Jeugd"]), 0), (line(40), 0)]
+        if i % 2:
+            lines += [(f"Lees ook: {other}", 1), (line(35), 0)]
+        lines += [(f"{i + 3} reacties", 1), ("Schrijf u in voor onze maandelijkse brief en lees iedere maand het laatste uit het depot. " * 6, 1), ("Alle rechten voorbehouden", 1), (f"Stichting Depot {s}", 1)]
+        rows.append((f"d{s}_{i:03d}", f"site{s}", title, "html", "\n".join(t for t, _ in lines), "x"))
+        want[f"d{s}_{i:03d}"] = {k for k, (_, y) in enumerate(lines) if y}
+    return rows, want
+
+
+def test_furniture_without_fixed_words(spark):
+    rows, want = _dutch(60)
+    pages = spark.createDataFrame(rows, "doc_id string, source_id string, title string, source_type string, clean_text string, line_no string")
+    model = boilerplate.fit(pages, sample=90)
+    seen = {r.doc_id for r in pages.orderBy(boilerplate.F.xxhash64("doc_id"), "doc_id").limit(90).collect()}
+    good = total = 0
+    for doc, _, title, _, text, _ in rows:
+        if doc not in seen:  # held out
+            got = set(boilerplate.furniture_lines(text, title, False, model))
+            total += text.count("\n") + 1
+            good += text.count("\n") + 1 - len(got ^ want[doc])
+    assert total > 700 and good / total > 0.98, good / total
+
+
+def test_long_furniture(spark):
+    menu = " | ".join(["Home", "People", "Search", "Shop"] * 25)
+    notice = "We use cookies to remember your choices. You can change this in your settings at any time. " * 7
+    pages = [(f"d{i}", "A history of tapes", "html", f"{menu}\n{notice}\n{PAGE}\n{menu}", 0) for i in range(30)]
+    got = boilerplate.furniture(spark.createDataFrame(pages, "doc_id string, title string, source_type string, clean_text string, line_no int"))
+    assert sorted(r.line_no for r in got.filter("doc_id = 'd4'").collect()) == [0, 1] + [i + 2 for i in OUT] + [PAGE.count("\n") + 3]
+
+
+def test_decoding_keeps_the_tree_consistent():
+    import numpy as np
+
+    pages = boilerplate.Pages(["\n".join(["Menu", "T", "x" * 120, "a", "b", "c"])], ["T"], [False], lambda t: boilerplate.own_features(t, boilerplate.Odds([], [])))
+    for leaf in (np.array([3.0, 3, -3, 3, -0.2, 3]), np.array([1.0, 1, -3, 2, 2, 0.5])):
+        for group in np.random.default_rng(1).normal(size=(20, len(pages.group_at))) * 3:
+            gone = pages.decode(leaf, group)
+            assert not gone[1]  # the title
+
+
 def test_trees_held_out():
     import numpy as np
 
