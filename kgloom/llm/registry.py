@@ -22,7 +22,7 @@ def p2_bodies(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     values = canonical.open_values(table(spark, folder, "aliases"), table(spark, folder, "distant_labeled"))
-    return canonical.canonical_values(values, table(spark, folder, "entities"))
+    return canonical.canonical_values(values, table(spark, folder, "entities"), table(spark, folder, "aliases"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

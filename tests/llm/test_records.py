@@ -68,7 +68,7 @@ def test_meant_entities(spark):
     e = spark.createDataFrame([(*x, None, None) for x in ENTITIES], "entity_id string, entity_type string, canonical_name string, label_en string, label_zh string")
     v = spark.createDataFrame([("f", k, k, "x") for k in MEANT] + [("f", "null", None, "x"), ("f", "he", "he", "x")], "field string, row_id string, value string, entity_id string")
     for block in (canonical.BLOCK, 4):
-        got = {r.row_id: r.entity_id for r in canonical.canonical_values(v, e, block).collect()}
+        got = {r.row_id: r.entity_id for r in canonical.canonical_values(v, e, block=block).collect()}
         wrong = {k: (got.get(k), w) for k, w in MEANT.items() if got.get(k) != w}
         assert not wrong, (block, wrong)
         assert "null" not in got
@@ -78,7 +78,56 @@ def test_meant_entities(spark):
     assert {r.entity_id for r in none.collect()} == {"NIL"}
 
 
+def _meant(spark, names, values, block, aliases=None):
+    e = spark.createDataFrame([(f"E{i:03d}", kind, n, None, None) for i, (kind, n) in enumerate(names)], "entity_id string, entity_type string, canonical_name string, label_en string, label_zh string")
+    v = spark.createDataFrame([("f", x, x) for x in values], "field string, row_id string, value string")
+    a = spark.createDataFrame(aliases, "entity_id string, alias string") if aliases else None
+    by = {f"E{i:03d}": n for i, (_, n) in enumerate(names)}
+    return {r.row_id: by.get(r.entity_id, r.entity_id) for r in canonical.canonical_values(v, e, a, block=block).collect()}
+
+
+def test_words_that_many_names_share(spark):
+    firsts = [f"{a}{b}" for a in "BCDFGHJK" for b in ("alto", "erim", "ondo", "umak", "inar", "opel", "yst", "ulda", "evin")]
+    names = [("PERSON", f"Anna {x}") for x in firsts] + [("PERSON", f"{x} Smith") for x in firsts] + [("PERSON", "Anne Quimby"), ("PERSON", "Anna Smith")]
+    for block in (canonical.BLOCK, 60):
+        assert _meant(spark, names, ["Anna Smyth", "A. Smith", "Smith", "A. Quimby"], block) == {"Anna Smyth": "Anna Smith", "A. Smith": "Anna Smith", "Smith": "NIL", "A. Quimby": "Anne Quimby"}
+
+
+def test_blocks_decide_like_one_list(spark):
+    names = [("ORGANIZATION", "Marlow Institute"), ("ORGANIZATION", "Marlow Institute"), ("ORGANIZATION", "Barlow Institute"), ("PLACE", "Torlond"), ("ORGANIZATION", "Torlond Academy of Logic")]
+    values = ["Marlow Institute", "Marlow Inst.", "Barlov Institute", "the Torlond Academy of Logic", "Torlond"]
+    one = _meant(spark, names, values, canonical.BLOCK)
+    assert one["Marlow Institute"] == one["Marlow Inst."] == "NIL" and one["Barlov Institute"] == "Barlow Institute" and one["the Torlond Academy of Logic"] == "Torlond Academy of Logic"
+    for block in (1, 2, 3):
+        assert _meant(spark, names, values, block) == one
+
+
+def test_aliases_are_patterns(spark):
+    names = [("PERSON", "Hasko Bapaukest"), ("PLACE", "Trauzund"), ("PERSON", "Senna Trenag")]
+    aliases = [("E000", "The Wizard of Tapes"), ("E000", "Old Grey"), ("E002", "Old Grey"), (None, "Nobody Known"), ("E001", None)]
+    got = _meant(spark, names, ["wizard of tapes", "Dr. Wizard of Tapes", "Old Grey", "Nobody Known", "Letters to the Wizard of Tapes"], canonical.BLOCK, aliases)
+    assert got == {"wizard of tapes": "Hasko Bapaukest", "Dr. Wizard of Tapes": "Hasko Bapaukest", "Old Grey": "NIL", "Nobody Known": "NIL", "Letters to the Wizard of Tapes": "NIL"}
+
+
 def test_distance():
+    import itertools
+
+    def plain_distance(a, b):
+        d = {}
+        for i in range(-1, len(a)):
+            d[i, -1] = i + 1
+        for j in range(-1, len(b)):
+            d[-1, j] = j + 1
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i] != b[j]))
+            if i and j and a[i] == b[j - 1] and a[i - 1] == b[j]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a) - 1, len(b) - 1]
+
+    rng = random.Random(8)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(0, 7))) for _ in range(2))
+        assert canonical.distance(a, b, 3) == min(4, plain_distance(a, b)) or abs(len(a) - len(b)) > 3, (a, b)
     assert canonical.distance("abcd", "abdc", 2) == 1 and canonical.distance("abcd", "abcd", 2) == 0
     assert canonical.distance("abcd", "axyd", 2) == 2 and canonical.distance("abcd", "wxyz", 2) == 3 and canonical.distance("", "ab", 2) == 2
 
