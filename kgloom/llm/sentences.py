@@ -3,9 +3,12 @@
 The character-property rules of Unicode sentence breaking: terminators of all scripts
 (full stops of Latin, CJK, Devanagari, Arabic, Ethiopic and others, the Greek question
 mark), closing marks that belong to the sentence before, and what may start the next one.
-On them lie the suppressions: abbreviations by language and kind (titles, references before
-a number, measures and suffixes that end a sentence only before a capital), initials,
-ordinals, decimals and list numbers; direct speech stays in its sentence.
+On them lie the suppressions: abbreviations by language and kind (titles, what stands before a
+name unless a word that starts sentences follows, references before a number, suffixes that
+end a sentence only before a capital), initials, ordinals, decimals and list numbers; direct
+speech stays in its sentence. The language is that of the common words before the mark, else
+after it, of two alike that of the record; where no word tells, the tables of all languages
+are read.
 
 A line break ends a unit, except in wrapped text (`wrapped`), where only a blank line does.
 A `piece` is what an earlier splitter left: a quotation open at its end or start is taken as
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,21 +30,55 @@ from pyspark.sql import functions as F
 
 from kgloom.session import spread
 
-# Abbreviations, lower case, without their last full stop.
+# Abbreviations by language, lower case, without their last full stop.
 #: Never the end of a sentence: a name or the rest of a phrase follows.
-BEFORE_NAME = frozenset(
-    "dr mr mrs ms prof st capt lt col gen sgt maj rev hon gov sen rep pres messrs mx fr hr sr sra srta d dª mme mlle mm me mgr pt mt ft cf vgl vs viz e.g eg i.e ie approx ca c al incl resp bzw u.a d.h z.b z.t o.ä i.d.r p.ex c.-à-d env p.ej ej av apr "
-    "т.е т.к т.н проф акад доц им ул см ср напр др.г д-р г-н г-жа κ κα δρ δηλ π.χ βλ د م أ डॉ श्री roy univ acad natl nat nat'l soc comp inst diff dept ee bros".split()
-)
-#: The same, with a capital at least: short forms within names.
-IN_NAME = frozenset("up ord pr".split())
+TITLES = {
+    "en": "eg ie",
+    "de": "fr hr",
+    "fr": "m mm me st",
+    "es": "d sr ej",
+    # in no language a word that may end a sentence
+    "": "dr dra prof mr mrs ms messrs mx capt lt sgt maj cf vs viz e.g i.e vgl bzw u.a d.h z.b z.t o.ä i.d.r mme mlle mgr p.ex c.-à-d sra srta dª p.ej "
+    "т.е т.к т.н проф акад доц им ул см ср напр др.г д-р г-н г-жа κ κα δρ δηλ π.χ βλ د م أ डॉ श्री",
+}
+#: Not the end unless a word that commonly starts a sentence follows.
+BEFORE_NAME = {
+    "en": "st col gen rev hon gov sen rep pres pt mt ft approx ca c al incl resp",
+    "de": "st ca incl resp c al approx",
+    "fr": "env av apr c al ca d",
+    "es": "st ca av ee aprox incl al c",
+    "": "",
+}
+#: The same, with a capital at least: short forms within names of institutions, honours and machines.
+IN_NAME = frozenset("univ uni acad inst soc roy natl nat nat'l dept comp diff lab coll up ord pr ee bros".split())
 #: Not the end before a number (or, for months, a number): references, numbers, dates.
-BEFORE_NUMBER = frozenset(
-    "no nos nr núm num nº n vol vols fig figs p pp pg ch chap sec sect art par para eq ed eds bd abs kap s abb tab cap pág págs tom t ver v b d r op fn "
-    "jan feb mar apr jun jul aug sep sept oct nov dec okt dez mai рис стр табл гл т с № σελ αρ ص पृ".split()
-)
+BEFORE_NUMBER = {
+    "en": "no nos nr n vol vols fig figs p pp pg ch chap sec sect art par para eq ed eds ver v op fn jan feb mar apr jun jul aug sep sept oct nov dec",
+    "de": "nr bd abs kap s abb tab fig vol art p b d r jan feb mär apr jun jul aug sep sept okt nov dez",
+    "fr": "n nº no nos art chap fig p pp vol t tab éd janv févr avr juil sept oct nov déc",
+    "es": "núm num nº n art cap pág págs p pp tom t fig vol ed ene feb mar abr jun jul ago sept oct nov dic",
+    "": "рис стр табл гл т с № σελ αρ ص पृ",
+}
 #: The end only before a capital (or a caseless letter): what may close a sentence as well.
 BEFORE_CAPITAL = frozenset("etc usw co ltd inc corp jr sr esq a.m p.m u.s u.k e.u d.c ph.d b.a m.a ee.uu jh jhd n.chr v.chr т.д т.п др г гг в вв руб κ.λπ κ.ά".split())
+#: Words that tell the languages of Latin script apart.
+COMMON = {
+    "en": "the of and to in is was that for it he she with as his her on be at by had not are but from they this have were which an its their or who them",
+    "de": "der die das und ist nicht ein eine zu den von mit dem des im war sich auf für als wurde nach bei er sie es am vom zur zum seine ihre auch",
+    "fr": "le les des et est une un dans pour par sur au que qui il elle du ne pas fut sa son ses aux avec se ce cette était",
+    "es": "el los las y en que una por con para del se su fue al lo como más sus era este esta desde",
+}
+#: Words that, with a capital, commonly start a sentence and are no part of a name.
+STARTERS = {
+    "en": "the it he she they we you this that these those there then later but and if when while after before in on at by for with as his her its their our what who how why where no nor so yet however thus also a an some many most all both each every once since until although though because i my your nobody everyone another",
+    "de": "der die das den dem des ein eine einen er sie es wir ihr ich dann danach später aber und wenn als nach vor in im am auf bei mit für sein seine ihre dieser diese dieses niemand doch auch so wie was wer warum",
+    "fr": "il elle ils elles on nous vous je ce cette ces cela puis ensuite mais et si quand après avant dans en au aux pour avec sa son ses leur leurs une un les des personne aussi ainsi comment pourquoi que qui",
+    "es": "él ella ellos ellas yo nosotros este esta estos estas eso luego después pero y si cuando antes en con para por su sus un una los las el nadie también así cómo qué quién",
+    "": "",
+}
+for _t in (TITLES, BEFORE_NAME, BEFORE_NUMBER, COMMON, STARTERS):
+    for _k in _t:
+        _t[_k] = frozenset(_t[_k].split())
 MONTHS = "januar februar märz april mai juni juli august september oktober november dezember jänner jh jahrhundert jhd".split()
 #: Small words that begin a name at the start of a sentence.
 PARTICLES = frozenset("de von van du di da del della le la der den ter ten zu".split())
@@ -72,11 +110,39 @@ def _word_before(text: str, start: int, at: int) -> tuple[str, str]:
     return word, (re.sub(r"\s", "", m.group(1)) if m else word)
 
 
+_LATIN_WORD = re.compile(r"[a-zà-ÿœ]+")
+
+
+#: Characters after a mark that are read for the language.
+AHEAD = 60
+
+
+def language_of(texts: tuple[str, ...], said: str | None) -> str:
+    """The language of the first of these texts that has common words of one; of two alike, the one the record says; "" for any."""
+    for text in texts:
+        ws = _LATIN_WORD.findall(text.lower())
+        votes = {k: sum([w in common for w in ws]) for k, common in COMMON.items()}
+        most = max(votes.values())
+        best = [k for k, n in votes.items() if n == most]
+        if most and len(best) == 1:
+            return best[0]
+        if most and said in best:
+            return said
+    return ""
+
+
+@lru_cache(maxsize=None)
+def tables(language: str) -> tuple[frozenset, frozenset, frozenset, frozenset]:
+    """The tables of a language, or of all of them for ""."""
+    some = [language] if language else list(COMMON)
+    return tuple(frozenset().union(t[""], *[t[k] for k in some]) for t in (TITLES, BEFORE_NAME, BEFORE_NUMBER, STARTERS))
+
+
 def caseless_gap(first: str, gap: bool) -> bool:
     return not gap and first.isalpha() and not first.isupper()
 
 
-def _breaks(text: str, start: int, mark: int, end: int, stop: int, run: str, quoted: bool) -> bool:
+def _breaks(text: str, start: int, mark: int, end: int, stop: int, run: str, quoted: bool, said: str | None = None) -> bool:
     """Whether a sentence ends at `end`, after a mark at `mark`, within text[start:stop]."""
     m = _NEXT.match(text, end, stop)
     lead, follow = m.group(1), m.group(2)
@@ -124,22 +190,29 @@ def _breaks(text: str, start: int, mark: int, end: int, stop: int, run: str, quo
         elif before.isalpha() or before in "ª'’" or "ऀ" <= before <= "ॿ":
             word, joined = _word_before(text, start, mark)
             low, whole = word.lower().replace("’", "'"), joined.lower()
-            if len(word) == 1 and "a" <= word <= "z" and whole not in BEFORE_CAPITAL:
-                return False  # "u. a.", "o. t."
-            if len(word) == 1 and (word.isupper() or "ऀ" <= word <= "ॿ") and not (len(text[start:mark].strip()) > 1 and text[mark - 2] == "."):
-                if whole not in BEFORE_CAPITAL:
-                    return False  # an initial
-            if whole in BEFORE_CAPITAL or low in BEFORE_CAPITAL:
+            if len(low) <= 7 or "." in whole:
+                # sentences of several languages may share a line: what is before the mark speaks first, then what follows
+                titles, names, numbers, starters = tables(language_of((text[start:mark], text[end : min(stop, end + AHEAD)]), said))
+                starts = upper and not (len(follow) > 1 and follow.isupper()) and follow.lower() in starters
+            if len(low) > 7 and "." not in whole or (whole in BEFORE_CAPITAL or low in BEFORE_CAPITAL) and low not in titles:
                 pass
-            elif low in IN_NAME and word[:1].isupper():
-                return False
-            elif low in BEFORE_NAME or whole in BEFORE_NAME:
-                if low not in BEFORE_NUMBER or not (word[:1].islower() and len(low) == 1 and upper):
+            else:
+                if len(word) == 1 and "a" <= word <= "z":
+                    if not starts or whole != low:
+                        return False  # "u. a.", "o. t."
+                elif len(word) == 1 and (word.isupper() or "ऀ" <= word <= "ॿ") and not (len(text[start:mark].strip()) > 1 and text[mark - 2] == "."):
+                    if not starts:
+                        return False  # an initial
+                elif word[:1].isupper() and low in IN_NAME:
+                    if not starts:
+                        return False
+                elif low in titles or whole in titles or ((low in names or whole in names) and not starts):
+                    if low not in numbers or not (word[:1].islower() and len(low) == 1 and upper):
+                        return False
+                if digit and low in numbers:
+                    return False
+                if len(low) <= 5 and word.istitle() and low in ("chap", "fig", "vol", "no", "nr", "art") and not upper:
                     return False
-            if digit and low in BEFORE_NUMBER:
-                return False
-            if len(low) <= 5 and word.istitle() and word.lower() in ("chap", "fig", "vol", "no", "nr", "art") and not upper:
-                return False
     if upper or caseless:
         return True
     if digit:
@@ -151,8 +224,8 @@ def _breaks(text: str, start: int, mark: int, end: int, stop: int, run: str, quo
     return False
 
 
-def units(text: str, start: int, stop: int, piece: bool = False) -> list[tuple[int, int]]:
-    """Sentence units of text[start:stop], which is one line or one wrapped block."""
+def units(text: str, start: int, stop: int, piece: bool = False, language: str | None = None) -> list[tuple[int, int]]:
+    """Sentence units of text[start:stop], which is one line or one wrapped block; language: as its record says."""
     out: list[tuple[int, int]] = []
     begin = start  # of the current sentence
     quote = ""  # the closing mark waited for
@@ -191,7 +264,7 @@ def units(text: str, start: int, stop: int, piece: bool = False) -> list[tuple[i
                     n = _NEXT.match(text, end, stop).group(2)
                     if n and not n[0].isupper() and not n[0].isdigit():
                         continue  # speech first, then who says it
-                if _breaks(text, begin, q, end, stop, text[q], True):
+                if _breaks(text, begin, q, end, stop, text[q], True, language):
                     out.append((begin, end))
                     begin = end
                 continue
@@ -220,7 +293,7 @@ def units(text: str, start: int, stop: int, piece: bool = False) -> list[tuple[i
                 end = k + 1
         if g == ";;":
             continue
-        if _breaks(text, begin, p, end, stop, g if g[0] in FULL else (g if g in (".", ";") else g[0] * 2), False):
+        if _breaks(text, begin, p, end, stop, g if g[0] in FULL else (g if g in (".", ";") else g[0] * 2), False, language):
             out.append((begin, end))
             begin = end
         skip = end
@@ -236,7 +309,7 @@ def _trim(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def sentence_units(text: str | None, wrapped: bool = False, piece: bool = False) -> list[tuple[int, int]]:
+def sentence_units(text: str | None, wrapped: bool = False, piece: bool = False, language: str | None = None) -> list[tuple[int, int]]:
     """(start, end) of all units of one text."""
     if not text:
         return []
@@ -261,7 +334,7 @@ def sentence_units(text: str | None, wrapped: bool = False, piece: bool = False)
         if _INNER.search(text, a, b) is None:
             out.append((a, b))
             continue
-        for x, y in units(text, a, b, piece):
+        for x, y in units(text, a, b, piece, language):
             x, y = _trim(text, x, y)
             if x < y:
                 out.append((x, y))
@@ -271,9 +344,10 @@ def sentence_units(text: str | None, wrapped: bool = False, piece: bool = False)
 def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, wrapped, piece = batch.column("text").to_pylist(), batch.column("wrapped").to_pylist(), batch.column("piece").to_pylist()
+        languages = batch.column("language").to_pylist()
         rows, starts, ends = [], [], []
         for i, t in enumerate(texts):
-            for a, b in sentence_units(t, wrapped[i], piece[i]):
+            for a, b in sentence_units(t, wrapped[i], piece[i], languages[i]):
                 rows.append(i)
                 starts.append(a)
                 ends.append(b)
@@ -285,13 +359,14 @@ def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def split_texts(texts: DataFrame) -> DataFrame:
-    """(tbl, row_id, offset_start, offset_end) from rows (tbl, row_id, text, wrapped, piece); distinct."""
-    texts = texts.filter(F.col("text").isNotNull()).select("tbl", "row_id", "text", "wrapped", "piece")
+    """(tbl, row_id, offset_start, offset_end) from rows (tbl, row_id, text, wrapped, piece, language); distinct."""
+    texts = texts.filter(F.col("text").isNotNull()).select("tbl", "row_id", "text", "wrapped", "piece", "language")
     return spread(texts).mapInArrow(_split_batches, "tbl string, row_id string, offset_start int, offset_end int").distinct()
 
 
 def all_units(records: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Units of document_records.clean_text and of sentences.text."""
-    docs = records.select(F.lit("document_records").alias("tbl"), F.col("doc_id").alias("row_id"), F.col("clean_text").alias("text"), F.coalesce(F.col("source_type") == "pdf", F.lit(False)).alias("wrapped"), F.lit(False).alias("piece"))
-    rows = sentences.select(F.lit("sentences").alias("tbl"), F.col("sentence_id").alias("row_id"), "text", F.lit(False).alias("wrapped"), F.lit(True).alias("piece"))
+    """Units of document_records.clean_text and of sentences.text; where records name a language, it decides if the text doesn't."""
+    said = F.lower(F.left(F.trim("language"), F.lit(2))) if "language" in records.columns else F.lit(None).cast("string")
+    docs = records.select(F.lit("document_records").alias("tbl"), F.col("doc_id").alias("row_id"), F.col("clean_text").alias("text"), F.coalesce(F.col("source_type") == "pdf", F.lit(False)).alias("wrapped"), F.lit(False).alias("piece"), said.alias("language"))
+    rows = sentences.select(F.lit("sentences").alias("tbl"), F.col("sentence_id").alias("row_id"), "text", F.lit(False).alias("wrapped"), F.lit(True).alias("piece"), F.lit(None).cast("string").alias("language"))
     return split_texts(docs.unionByName(rows))

@@ -178,6 +178,20 @@ def test_units(text, n):
     assert len(got) == n, [text[a:b] for a, b in got]
 
 
+AMBIGUOUS = [
+    ("He told me. Then he left.", None, 2), ("They met at the dept. Later they left.", None, 2), ("We saw the mt. It rose.", None, 2), ("Vitamin C. It helps the crew.", None, 2), ("He lives on Mt. Krub in the north.", None, 1),
+    ("Il a vu Me. Krub hier dans la salle.", None, 1), ("She met J. Krub at the hall. He left.", None, 2), ("Gen. Krub was there. It rained.", None, 2), ("The authors (Krub et al. 1931) agree.", None, 1), ("Read Krub et al. They agree.", None, 2),
+    ("Dijo que no. 3 cartas llegaron por la noche.", None, 2), ("See the table in no. 3 of the list.", None, 1), ("Er sprach mit Fr. Krub und mit dem Wirt. Dann ging er.", None, 2), ("Krub. Fr. Zik", "de", 2), ("La Sra. Krub y el Sr. Zik. Luego nada.", None, 2),
+    ("Univ. Krub paid for it. Nobody knew.", None, 2), ("The plan b. Then it was over.", None, 2),
+]
+
+
+@pytest.mark.parametrize("text,language,n", AMBIGUOUS)
+def test_units_by_language(text, language, n):
+    got = sentences.sentence_units(text, language=language)
+    assert len(got) == n, [text[a:b] for a, b in got]
+
+
 def test_pieces_and_lines():
     assert [len(sentences.sentence_units(t, piece=True)) for t in ('"The tape is blank. The head waits.', 'Do not oil. Do not ask." The translation of networks', "2.", " ", "")] == [1, 2, 1, 0, 0]
     assert len(sentences.sentence_units("Menu\nHome\n\nA line that\nwraps. End.")) == 5
