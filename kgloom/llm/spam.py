@@ -1,16 +1,21 @@
 """Pages of repeated keywords, links or product tags (problem 9).
 
 Each text is cut into blocks of about 1,000 characters; the compression ratio of a block is
-held against the usual ratio of blocks of its length and script, counted over all blocks of
-the corpus. A text whose blocks are far more redundant than usual is a suspect. What
-confirms it is a low share of sentences: text in units that end in a sentence mark and read
-as a sentence, not as a run of short items, links or tags. Two kinds of page escape plain
-redundancy: short link lists (each address differs), which their share of link units shows,
-and stuffed sentences with marks in place, which repeat one phrase within single sentences;
-machine logs and refrains repeat only from sentence to sentence.
-
-Defined results: null, blank and very short texts are never flagged; whole texts are
-measured, however long; repeated rows count once for each row and give one id.
+held against the usual ratio of blocks of its length, script and language, counted over all
+blocks of the corpus that have sentence marks. A text most of which lies in blocks far more
+redundant than usual is a suspect. What confirms it is a low density of sentences: text in
+units that end in a sentence mark and read as a sentence, not as a run of short items, links
+or tags. Two kinds of page hide their redundancy: link lists, whose addresses differ (they
+are compressed once more with every word of their link units masked), and stuffed sentences
+with marks in place, which must be extremely redundant and repeat one phrase within single
+sentences; machine logs and refrains repeat only from sentence to sentence.
+
+Two passes over the texts, the first for the usual ratios (a small table, whatever the
+corpus), the second for the decision; nothing but doc_ids is shuffled.
+
+Defined results: null and blank texts are never flagged; all others are measured whole,
+however short or long; a null, blank or unknown language is one of its own; repeated rows
+give one id.
 """
 
 from __future__ import annotations
@@ -22,32 +27,40 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgloom.session import durable, spread
+from kgloom.session import spread
 
 BLOCK = 1000
 #: A block this much below the usual ratio of its kind is redundant; extreme where stuffed sentences must show it.
 REDUNDANT, EXTREME = 0.82, 0.72
+#: Short texts vary more: below FIRM characters the limit falls by up to LOOSE.
+FIRM, LOOSE = 200, 0.2
+#: Share of a text that must lie in such blocks.
+MOSTLY = 0.5
 #: Most sentence share of a page of lists; share of link units that makes a link list.
 PROSE, LINKS = 0.4, 0.5
 #: Share of sentences that repeat a phrase within themselves, on a stuffed page.
 STUFFED = 0.35
-LEAST_CHARS = 60
+#: Blocks of a kind from which its usual ratio counts; characters for each sentence mark, at most, of blocks that count.
+SEEN, MARKED = 20, 250
 
 SCRIPTS = (
-    ("latin", re.compile(r"[A-Za-zÀ-ɏ]")),
-    ("han", re.compile(r"[぀-ヿ㐀-鿿가-힯]")),
-    ("cyrillic", re.compile(r"[Ѐ-ӿ]")),
-    ("greek", re.compile(r"[Ͱ-Ͽ]")),
-    ("arabic", re.compile(r"[؀-ۿ]")),
-    ("indic", re.compile(r"[ऀ-෿]")),
-    ("ethiopic", re.compile(r"[ሀ-፿]")),
+    ("latin", re.compile(r"[A-Za-zÀ-ɏ]+")),
+    ("han", re.compile(r"[぀-ヿ㐀-鿿가-힯]+")),
+    ("cyrillic", re.compile(r"[Ѐ-ӿ]+")),
+    ("greek", re.compile(r"[Ͱ-Ͽ]+")),
+    ("arabic", re.compile(r"[؀-ۿ]+")),
+    ("indic", re.compile(r"[ऀ-෿]+")),
+    ("ethiopic", re.compile(r"[ሀ-፿]+")),
 )
 _UNIT = re.compile(r"[^\n]*?(?:[.!?;;](?=[\s\"'»”“’)\]]|$)[\"'»”’)\]]*|[。！？｡।॥።؟፧…]+[」』”’»）)]*|\n|$)")
 _MARK = re.compile(r"[.!?;。！？｡।॥።؟፧…;][\"'»”’」』）)\]\s]*$")
+_STOP = re.compile(r"[.!?;。！？।።؟…](?=[\s\"'»”“’)\]]|$)|[。！？।።؟…]")
+#: Every link unit holds one of these.
+_LINK_SIGNS = ("http", "www.", "<a", "](", "#", "sku")
 _LINK = re.compile(r"https?://|www\.|<a\s|\]\(|#\w|\bSKU\b", re.I)
 _LINK_RUN = re.compile(r"(?:https?://|www\.)\S+|#\w+|<[^>]*>|\]\([^)]*\)", re.I)
 #: Lines of contents: a title, leaders, a page.
@@ -61,7 +74,14 @@ _RUN = re.compile(r"(.)\1{19,}")
 
 def script_of(text: str) -> str:
     """The script of most letters."""
-    counts = [(len(p.findall(text)), -i) for i, (_, p) in enumerate(SCRIPTS)]
+    if text.isascii():
+        return "latin" if SCRIPTS[0][1].search(text) else "other"
+    counts = []
+    for i, (name, p) in enumerate(SCRIPTS):
+        n = sum(map(len, p.findall(text)))
+        if n * 2 >= len(text):
+            return name  # no other can have more
+        counts.append((n, -i))
     n, i = max(counts)
     return SCRIPTS[-i][0] if n else "other"
 
@@ -88,76 +108,139 @@ def _is_prose(unit: str, spaced: bool) -> bool:
     return len(unit) >= 6 and not (len(items) >= 7 and len(unit) / len(items) < 8)
 
 
-def measures(text: str) -> dict:
-    """What is measured of one text."""
-    text = _RUN.sub(r"\1\1\1", text)
-    script = script_of(text)
-    spaced = script != "han"
-    prose = links = plain = total = stuffed = sentences = 0
+def weight(block: str) -> tuple[int, int, float]:
+    """(characters, bin of its size, compression ratio) of a block."""
+    raw = block.encode("utf-8", "replace")
+    return len(block), int(math.log2(max(1, len(raw))) * 2), len(zlib.compress(raw, 6)) / max(1, len(raw))
+
+
+def law(size_bin: int) -> float:
+    """The ratio of a kind of block seen too seldom: a smooth law of its length."""
+    return 1.02 - 0.09 * (size_bin / 2 - 5.5)
+
+
+class Usual:
+    """Usual ratios by script, language and size of block, else by script and size, else the law."""
+
+    def __init__(self, rows: list[tuple[str, str | None, int, float, int]]):
+        self.of = {(s, k, b): r for s, k, b, r, n in rows if n >= SEEN}
+
+    def ratio(self, script: str, language: str, size_bin: int) -> float:
+        got = self.of.get((script, language, size_bin)) or self.of.get((script, None, size_bin))
+        return got or law(size_bin)
+
+    def redundant(self, text: str, script: str, language: str, below: tuple[float, ...]) -> tuple[float, ...]:
+        """Shares of the text that lie in blocks below these parts of the usual ratio."""
+        shares, total = [0] * len(below), 0
+        for b in blocks(text):
+            n, size_bin, ratio = weight(b)
+            total += n
+            part = ratio / self.ratio(script, language, size_bin) + LOOSE * max(0.0, 1 - n / FIRM)
+            for i, limit in enumerate(below):
+                if part < limit:
+                    shares[i] += n
+        return tuple(x / max(1, total) for x in shares)
+
+
+def measures(text: str, spaced: bool) -> tuple[float, float, float, str]:
+    """(share of sentences, share of link units, share of sentences that repeat a phrase, link units with their words masked)."""
+    prose = links = total = stuffed = sentences = 0
+    masked = []
     for u in units(text):
         n = len(u)
         link = _LINK.search(u)
-        if not link and (_CONTENTS.search(u) or (_NUMBERED.match(u) and not link)):
+        if not link and (_CONTENTS.search(u) or _NUMBERED.match(u)):
             continue  # contents and numbered references speak neither way
         total += n
+        reads = _is_prose(u, spaced)
         if link:
             run = sum(len(x) for x in _LINK_RUN.findall(u))
-            if run * 3 >= n or u.count("|") >= 3 or not _is_prose(u, spaced):
+            if run * 3 >= n or u.count("|") >= 3 or not reads:
                 links += n
+                masked.append(_WORD.sub("w", u))
                 continue
-        if _is_prose(u, spaced):
+        if reads:
             prose += n
             sentences += 1
             words = [w for w in _WORD.findall(u.lower()) if len(w) > 2]
-            pairs = Counter(zip(words, words[1:]))
-            stuffed += any(k > 1 for k in pairs.values())
-        else:
-            plain += n
-    weights = [(len(b), len(raw := b.encode("utf-8", "replace")), len(zlib.compress(raw, 6))) for b in blocks(text)]
-    return {
-        "script": script,
-        "prose": prose / total if total else 1.0,
-        "links": links / total if total else 0.0,
-        "stuffed": stuffed / sentences if sentences >= 3 else 0.0,
-        "n_units": sentences,
-        "n_blocks": len(weights),
-        "size_bin": int(math.log2(max(1, sum(w[1] for w in weights) / len(weights))) * 2),
-        "ratio": sum(w[2] for w in weights) / max(1, sum(w[1] for w in weights)),
-    }
-
-
-_FIELDS = [("script", T.StringType()), ("prose", T.DoubleType()), ("links", T.DoubleType()), ("stuffed", T.DoubleType()), ("n_units", T.IntegerType()), ("n_blocks", T.IntegerType()), ("size_bin", T.IntegerType()), ("ratio", T.DoubleType())]
-MEASURES = T.StructType([T.StructField(n, t) for n, t in _FIELDS])
-
-
-@F.pandas_udf(MEASURES)
-def _measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            stuffed += any(k > 1 for k in Counter(zip(words, words[1:])).values())
+    return prose / total if total else 1.0, links / total if total else 0.0, stuffed / sentences if sentences >= 3 else 0.0, "\n".join(masked)
+
+
+def is_spam(text: str, language: str, usual: Usual, redundant: float = REDUNDANT, extreme: float = EXTREME) -> bool:
+    """Whether a text is mostly keywords, links or tags."""
+    text = _RUN.sub(r"\1\1\1", text)
+    script = script_of(text)
+    low = text.lower()
+    much, most = usual.redundant(text, script, language, (redundant, extreme))
+    if much < MOSTLY and not any(x in low for x in _LINK_SIGNS):
+        return False
+    prose, links, stuffed, masked = measures(text, script != "han")
+    if prose < PROSE and (much >= MOSTLY or (links >= LINKS and usual.redundant(masked, "latin", language, (redundant,))[0] >= MOSTLY)):
+        return True
+    return most >= MOSTLY and stuffed >= STUFFED
+
+
+_BLOCK = T.StructType([T.StructField("script", T.StringType()), T.StructField("bins", T.ArrayType(T.IntegerType())), T.StructField("ratios", T.ArrayType(T.DoubleType()))])
+
+
+@F.pandas_udf(_BLOCK)
+def _weights(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        yield pd.DataFrame([measures(t) for t in texts], columns=MEASURES.names)
+        out = []
+        for t in texts:
+            t = _RUN.sub(r"\1\1\1", t)
+            seen = [weight(b) for b in blocks(t) if len(_STOP.findall(b)) * MARKED >= len(b)]
+            out.append((script_of(t), [b for _, b, _ in seen], [r for _, _, r in seen]))
+        yield pd.DataFrame(out, columns=_BLOCK.names)
+
 
+def language(c: Column) -> Column:
+    """Two letters, or an empty text for none."""
+    two = F.lower(F.left(F.trim(c), F.lit(2)))
+    return F.when(two.rlike("^[a-z]{2}$"), two).otherwise("")
 
-def measured(documents: DataFrame) -> DataFrame:
-    """doc_id and the measures of every text long enough to judge."""
-    texts = spread(documents.select("doc_id", "text").filter(F.length(F.trim("text")) >= LEAST_CHARS))
-    return texts.select("doc_id", _measured("text").alias("m")).select("doc_id", "m.*")
 
+def _texts(documents: DataFrame) -> DataFrame:
+    lang = F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string")
+    return spread(documents.filter(F.col("text").rlike(r"(?U)\S")).select("doc_id", "text", language(lang).alias("lang")))
 
-def usual_ratios(m: DataFrame) -> DataFrame:
-    """The usual ratio for each script and length of block, over all texts with sentences.
 
-    At most (scripts) x (bins of the logarithm of a block's length) rows, whatever the corpus.
+def usual_ratios(documents: DataFrame) -> Usual:
+    """The usual ratio for each kind of block, over all blocks of the corpus that have sentence marks.
+
+    At most (scripts) x (codes of two letters) x (bins of the logarithm of a block's length)
+    rows reach the driver, whatever the corpus.
     """
-    return m.filter("prose >= 0.8 and stuffed < 0.2").groupBy("script", "size_bin").agg(F.percentile_approx("ratio", 0.5, 1000).alias("usual"), F.count("*").alias("n_usual"))
+    b = _texts(documents).select("lang", _weights("text").alias("w")).select("lang", "w.script", F.explode(F.arrays_zip("w.bins", "w.ratios")).alias("x"))
+    b = b.select("script", "lang", F.col("x.bins").alias("size_bin"), F.col("x.ratios").alias("ratio"))
+    # blocks are counted once by their rounded ratio, so both tables come from small counts
+    b = b.groupBy("script", "lang", "size_bin", F.round("ratio", 3).alias("ratio")).agg(F.count("*").alias("n"))
+    rows = b.groupBy("script", "lang", "size_bin").agg(F.collect_list(F.struct("ratio", "n")).alias("of")).collect()
+    kinds: dict[tuple[str, str | None, int], Counter] = {}
+    for r in rows:
+        for k in ((r.script, r.lang, r.size_bin), (r.script, None, r.size_bin)):
+            own = kinds.setdefault(k, Counter())
+            for x in r.of:
+                own[x.ratio] += x.n
+    out = []
+    for k, own in kinds.items():
+        n, half, at = sum(own.values()), 0, 0.0
+        for at, m in sorted(own.items()):
+            half += m
+            if half * 2 >= n:
+                break
+        out.append((*k, at, n))
+    return Usual(out)
 
 
 def spam_pages(documents: DataFrame, redundant: float = REDUNDANT, extreme: float = EXTREME) -> DataFrame:
     """doc_id of the pages that are mostly keywords, links or tags; distinct."""
-    m = durable(measured(documents))
-    usual = usual_ratios(m)
-    # a kind of block seen too seldom is held against a smooth law of its length
-    law = F.lit(1.02) - F.lit(0.09) * (F.col("size_bin") / 2 - 5.5)
-    expected = F.when(F.coalesce(F.col("n_usual"), F.lit(0)) >= 20, F.col("usual")).otherwise(law)
-    scored = m.join(F.broadcast(usual), ["script", "size_bin"], "left").withColumn("redundancy", F.col("ratio") / expected)
-    lists = (F.col("prose") < PROSE) & ((F.col("redundancy") < redundant) | (F.col("links") >= LINKS))
-    stuffed = (F.col("redundancy") < extreme) & (F.col("stuffed") >= STUFFED)
-    return scored.filter(lists | stuffed).select("doc_id").distinct()
+    shared = documents.sparkSession.sparkContext.broadcast(usual_ratios(documents))
+
+    @F.pandas_udf(T.BooleanType())
+    def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, languages in batches:
+            yield pd.Series([is_spam(t, k, shared.value, redundant, extreme) for t, k in zip(texts, languages)], dtype=bool)
+
+    return _texts(documents).filter(found("text", "lang")).select("doc_id").distinct()

@@ -242,6 +242,17 @@ def test_spam_pages(spark):
     assert spam.spam_pages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_spam_short_and_half_stuffed(spark):
+    random.seed(3)
+    prose = [" ".join(random.choices(PROSE, k=8)) + f" In {1900 + i} it ended." for i in range(60)]
+    stuffed = ", ".join(f"{random.choice(['best', 'new', 'used'])} relay kit" for _ in range(200))
+    odd = {100: "buy shoes, " * 5, 101: prose[0] + "\n" + stuffed, 102: "\n".join(f"https://shop.test/{random.randint(0, 10**9):x}/{random.randint(0, 10**9):x}" for _ in range(30))}
+    fine = {200: "Buy shoes.", 201: " ".join(random.choices(PROSE, k=40)) + "\nrelay kit, relay kit, relay kit", 202: "См. рис. 28 и стр. 165. См. рис. 712 и стр. 555.", 203: "See https://a.test/x for the list."}
+    rows = [(i, t, "EN ", 1) for i, t in enumerate(prose)] + [(i, t, None, 1) for d in (odd, fine) for i, t in d.items()]
+    got = {r.doc_id for r in spam.spam_pages(spark.createDataFrame(rows, "doc_id long, text string, lang string, ratio int")).collect()}
+    assert got == set(odd)
+
+
 def test_no_text_with_units_is_skipped():
     import itertools
 
