@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+from kgloom.llm import registry  # a missing library fails here, so the whole part is switched off
+
 
 def queries() -> dict:
     """All queries of this subpackage."""
-    from kgloom.llm import registry
-
     return registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """Their SQL twins."""
-    from kgloom.llm import registry
-
     return registry.SQL

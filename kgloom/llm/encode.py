@@ -204,5 +204,12 @@ def encoded(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and n_tokens of every row with a text (0 for an empty one)."""
-    return spread(documents.select("doc_id", "text").filter(F.col("text").isNotNull())).select("doc_id", encode_udf(path or vocabulary_path(), counts=True)("text").alias("n_tokens"))
+    """doc_id and n_tokens of every row (0 for an empty text, null for none)."""
+    return spread(documents.select("doc_id", "text")).select("doc_id", encode_udf(path or vocabulary_path(), counts=True)("text").alias("n_tokens"))
+
+
+def round_trip(documents: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, number of ids and whether decoding them gives the text again (null for no text); for whole rows, without a shuffle."""
+    path = path or vocabulary_path()
+    ids = spread(documents.select("doc_id", "text")).select("doc_id", "text", encode_udf(path)("text").alias("ids"))
+    return ids.select("doc_id", F.size("ids").alias("n_ids"), (decode_udf(path)("ids") == F.col("text")).alias("same"))

@@ -9,8 +9,9 @@ vocabulary. The vocabulary holds every token of one script in the same field; a
 several spellings of the corpus agree on counts as existing too, so that two disguised
 copies meet though no plain one exists.
 
-ASCII texts are their own form and never leave the JVM. Case, accents and other letters
-stay: they are visible.
+ASCII texts are their own form and never leave the JVM; of the others only those that change
+are kept, and in shuffles 16 bytes stand for a text. Case, accents and other letters stay:
+they are visible.
 
 Defined results: a null text has a null form, an empty one an empty form; rows repeated
 with the same id count once; equal texts are no pair.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,41 +34,47 @@ from kgloom.session import durable, spread
 # Letters of one script that look like letters of Latin, as in public confusables data.
 CYRILLIC = dict(zip("аеорсухѕіјһԁԛԝӏАВЕКМНОРСТУХЅІЈԚԜӀ", "aeopcyxsijhdqwlABEKMHOPCTYXSIJQWI"))
 GREEK = dict(zip("ονικαρυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧϳ", "ovikapuxABEZHIKMNOPTYXj"))
+ARMENIAN = dict(zip("օսհոցզքյՕՍՏԼ", "ouhngqpjOUSL"))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃᎡ", "ABCDEGHJKLMPSTVWZR"))
 SPACES = dict.fromkeys(map(ord, "               　"), " ")
 HYPHENS = dict.fromkeys(map(ord, "‐‑"), "-")
 INVISIBLE = dict.fromkeys(map(ord, "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"))
 
-#: Compatibility forms that look like their plain letters: joined letters, wide and narrow forms.
-_COMPAT = {c: unicodedata.normalize("NFKC", chr(c)) for a, b in ((0xFB00, 0xFB07), (0xFB13, 0xFB18), (0xFF01, 0xFFEF), (0x132, 0x134), (0x1C7, 0x1CD), (0x1F1, 0x1F4)) for c in range(a, b) if unicodedata.category(chr(c)) != "Cn"}
+#: Compatibility forms that look like their plain letters: joined letters, wide and narrow forms, styled letters of formulas.
+_COMPAT = {c: unicodedata.normalize("NFKC", chr(c)) for a, b in ((0xFB00, 0xFB07), (0xFB13, 0xFB18), (0xFF01, 0xFFEF), (0x132, 0x134), (0x1C7, 0x1CD), (0x1F1, 0x1F4), (0x1D400, 0x1D6A4), (0x1D7CE, 0x1D800)) for c in range(a, b) if unicodedata.category(chr(c)) != "Cn"}
 _PLAIN = _COMPAT | SPACES | HYPHENS | INVISIBLE
 _TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 
-LATIN, CYR, GRK = 1, 2, 3
+LATIN, CYR, GRK, ARM, CHR = SCRIPTS = 1, 2, 3, 4, 5
 
 
-def _tables() -> tuple[dict[str, int], dict[tuple[int, int], dict[str, str]]]:
-    to_latin = {CYR: CYRILLIC, GRK: GREEK}
+def _maps() -> dict[tuple[int, int], dict[str, str]]:
+    """Letters of one script that look like letters of another, by way of Latin."""
     maps: dict[tuple[int, int], dict[str, str]] = {}
-    for s, t in to_latin.items():
-        maps[s, LATIN] = t
-        maps[LATIN, s] = {v: k for k, v in reversed(list(t.items()))}
-    maps[CYR, GRK] = {c: maps[LATIN, GRK][x] for c, x in CYRILLIC.items() if x in maps[LATIN, GRK]}
-    maps[GRK, CYR] = {c: maps[LATIN, CYR][x] for c, x in GREEK.items() if x in maps[LATIN, CYR]}
-    return {}, maps
+    for s, to in ((CYR, CYRILLIC), (GRK, GREEK), (ARM, ARMENIAN), (CHR, CHEROKEE)):
+        maps[s, LATIN] = to
+        maps[LATIN, s] = {v: k for k, v in reversed(list(to.items()))}
+    for s in SCRIPTS[1:]:
+        for t in SCRIPTS[1:]:
+            if s != t:
+                maps[s, t] = {c: maps[LATIN, t][x] for c, x in maps[s, LATIN].items() if x in maps[LATIN, t]}
+    return maps
 
 
-_, MAPS = _tables()
+MAPS = _maps()
 
 
 @lru_cache(maxsize=20_000)
 def script(ch: str) -> int:
-    """Latin, Cyrillic, Greek, or 0 for what can't be mistaken."""
+    """The script of a letter that can be mistaken for one of another, or 0."""
     c = ord(ch)
     if c < 0x250 or 0x1E00 <= c < 0x1F00:
         return LATIN if ch.isalpha() else 0
     if 0x370 <= c < 0x400 or 0x1F00 <= c < 0x2000:
         return GRK
-    return CYR if 0x400 <= c < 0x530 else 0
+    if 0x400 <= c < 0x530:
+        return CYR
+    return ARM if 0x530 <= c < 0x590 else CHR if 0x13A0 <= c < 0x1400 else 0
 
 
 def plain(text: str) -> str:
@@ -91,13 +98,13 @@ def _substitute(token: str, to: int) -> str | None:
 @lru_cache(maxsize=200_000)
 def _sure(token: str) -> tuple[int, int]:
     """(scripts present as bits, script of the letters without look-alikes or 0) of a token."""
-    present, sure = 0, [0, 0, 0, 0]
+    present, sure = 0, [0] * (1 + len(SCRIPTS))
     for ch in unicodedata.normalize("NFD", token):
         s = script(ch)
         if s:
             present |= 1 << s
             if s == LATIN:
-                twin = ch in MAPS[LATIN, CYR] or ch in MAPS[LATIN, GRK]
+                twin = any(ch in MAPS[LATIN, t] for t in (CYR, GRK))
             else:
                 twin = ch in MAPS[s, LATIN]
             sure[s] += not twin
@@ -109,14 +116,14 @@ def suspects(text: str) -> list[tuple[str, str]]:
     """(token, repaired) of the tokens that may hide look-alikes: mixed ones, and ones that
     consist of look-alikes only and stand in a text of another script."""
     tokens = _TOKEN.findall(text)
-    votes, seen = [0, 0, 0, 0], 0
+    votes, seen = [0] * (1 + len(SCRIPTS)), 0
     for t in tokens:
         present, sure = _sure(t)
         votes[sure] += bool(sure) * len(t)
         seen |= present
     if seen & (seen - 1) == 0:
         return []
-    most = max(range(1, 4), key=lambda s: votes[s])
+    most = max(SCRIPTS, key=lambda s: votes[s])
     out = []
     for t in dict.fromkeys(tokens):
         present, sure = _sure(t)
@@ -153,29 +160,67 @@ def _repaired(form: pd.Series, known: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def canonical_forms(texts: DataFrame) -> DataFrame:
-    """(field, id, text, form) of rows (field, id, text); form is the consistent text."""
-    texts = texts.filter(F.col("text").isNotNull())
-    ascii_only = F.col("text").rlike(r"^\p{ASCII}*$")
-    easy = texts.filter(ascii_only).select("field", "id", "text", F.col("text").alias("form"))
-    hard = spread(texts.filter(~ascii_only)).select("field", "id", "text", _form("text").alias("f")).select("field", "id", "text", "f.form", "f.suspects")
-    hard = durable(hard)
-    clean = hard.filter(F.size("suspects") == 0).select("field", "id", "text", "form")
-    doubtful = hard.filter(F.size("suspects") > 0)
-
-    pairs = doubtful.select("field", F.explode("suspects").alias("s")).select("field", "s.token", "s.fixed").groupBy("field", "token", "fixed").agg(F.count("*").alias("n"))
+def _ascii(c: Column) -> Column:
+    return c.rlike(r"^\p{ASCII}*$")
+
+
+def _mark(c: Column) -> Column:
+    """What stands for a text in shuffles: 16 bytes."""
+    return F.unhex(F.md5(c))
+
+
+def _changed(texts: DataFrame) -> DataFrame:
+    """(field, id, text, form, suspects) of the texts whose form differs, or may after repair; kept in the shared folder."""
+    hard = spread(texts.filter(~_ascii(F.col("text")))).select("field", "id", "text", _form("text").alias("f")).select("field", "id", "text", "f.form", "f.suspects")
+    return durable(hard.filter((F.col("form") != F.col("text")) | (F.size("suspects") > 0)))
+
+
+def _repairs(texts: DataFrame, changed: DataFrame) -> DataFrame:
+    """(field, token, fixed) of the look-alike tokens whose repaired form the corpus knows.
+
+    The vocabulary is every token of the texts without invisible characters and marks, and of
+    the forms of the others, counted per partition before the shuffle.
+    """
+    pairs = changed.filter(F.size("suspects") > 0).select("field", F.explode("suspects").alias("s")).select("field", "s.token", "s.fixed").groupBy("field", "token", "fixed").agg(F.count("*").alias("n"))
     spellings = pairs.groupBy("field", "fixed").agg(F.count("*").alias("n_spellings"))
-    words = easy.select("field", "form").unionByName(hard.select("field", "form"))
-    # the vocabulary: every token of one script, pre-aggregated before the shuffle
-    split = F.split(F.regexp_replace("form", r"[^\p{L}\p{M}]+", " "), " ")
-    vocabulary = words.select("field", F.explode(F.array_distinct(split)).alias("fixed")).filter("fixed <> ''").groupBy("field", "fixed").agg(F.count("*").alias("n_rows"))
+    plain_texts = texts.filter(~F.col("text").rlike("[\u0300-\u036f\\p{Cf}]")).select("field", "text")
+    words = plain_texts.unionByName(changed.select("field", F.col("form").alias("text")))
+    split = F.split(F.regexp_replace("text", r"[^\p{L}\p{M}]+", " "), " ")
+    vocabulary = words.select("field", F.explode(split).alias("fixed")).filter("fixed <> ''").groupBy("field", "fixed").agg(F.count("*").alias("n_rows"))
     exists = spellings.join(vocabulary, ["field", "fixed"], "left").filter(F.col("n_rows").isNotNull() | (F.col("n_spellings") > 1)).select("field", "fixed")
-    known = durable(pairs.join(exists, ["field", "fixed"]).select("field", "token", "fixed"))
+    return pairs.join(exists, ["field", "fixed"]).select("field", "token", "fixed")
+
 
-    rows = doubtful.select("field", "id", "text", "form", F.explode("suspects").alias("s")).select("field", "id", "text", "form", "s.token")
-    fixes = rows.join(known, ["field", "token"], "left").groupBy("field", "id", "text", "form").agg(F.collect_list(F.when(F.col("fixed").isNotNull(), F.struct("token", "fixed"))).alias("known"))
-    repaired = fixes.select("field", "id", "text", _repaired("form", "known").alias("form"))
-    return easy.unionByName(clean).unionByName(repaired)
+def _fixed(texts: DataFrame, changed: DataFrame) -> DataFrame:
+    """(field, id, text, form) of the changed texts with their look-alikes repaired."""
+    doubtful = changed.filter(F.size("suspects") > 0)
+    known = _repairs(texts, changed)
+    rows = doubtful.withColumn("at", F.struct("id", _mark(F.col("text")))).select("field", "at", F.explode("suspects").alias("s")).select("field", "at", "s.token")
+    fixes = rows.join(known, ["field", "token"]).groupBy("field", "at").agg(F.collect_set(F.struct("token", "fixed")).alias("known"))
+    own = doubtful.select("field", "id", "text", "form", F.struct("id", _mark(F.col("text"))).alias("at"))
+    none = F.array().cast("array<struct<token:string,fixed:string>>")
+    repaired = own.join(fixes, ["field", "at"], "left").select("field", "id", "text", _repaired("form", F.coalesce("known", none)).alias("form"))
+    return changed.filter(F.size("suspects") == 0).select("field", "id", "text", "form").unionByName(repaired)
+
+
+def canonical_forms(texts: DataFrame) -> DataFrame:
+    """(field, id, text, form) of rows (field, id, text); form is the consistent text."""
+    texts = texts.filter(F.col("text").isNotNull()).select("field", "id", "text")
+    easy = texts.filter(_ascii(F.col("text"))).select("field", "id", "text", F.col("text").alias("form"))
+    changed = _changed(texts)
+    hard = spread(texts.filter(~_ascii(F.col("text")))).select("field", "id", "text", _form("text").alias("f"))
+    same = hard.filter((F.col("f.form") == F.col("text")) & (F.size("f.suspects") == 0)).select("field", "id", "text", F.col("text").alias("form"))
+    return easy.unionByName(same).unionByName(_fixed(texts, changed))
+
+
+def _classes(texts: DataFrame) -> DataFrame:
+    """(field, form, text, id) of all rows whose form at least one disguised text has; form and text stand as 16 bytes."""
+    texts = texts.filter(F.col("text").isNotNull()).select("field", "id", "text")
+    fixed = durable(_fixed(texts, _changed(texts)).select("field", "id", _mark(F.col("text")).alias("text"), _mark(F.col("form")).alias("form")).filter("text <> form"))
+    forms = fixed.select("field", "form").distinct()
+    # all other texts are their own form; a disguised one can't be the form of another
+    others = texts.select("field", "id", _mark(F.col("text")).alias("form")).join(forms, ["field", "form"], "left_semi")
+    return fixed.unionByName(others.withColumn("text", F.col("form"))).select("field", "form", "text", "id").distinct()
 
 
 def lookalike_pairs(texts: DataFrame) -> DataFrame:
@@ -183,11 +228,10 @@ def lookalike_pairs(texts: DataFrame) -> DataFrame:
 
     Rows with equal texts are no pair, so a text that a third of the rows share costs
     nothing by itself: pairs are formed between the different texts of one form, and only
-    then are they joined to the rows that hold them.
+    then are they joined to the rows that hold them. `lookalike_classes` gives the same links
+    without writing them out.
     """
-    forms = durable(canonical_forms(texts.select("field", "id", "text").filter(F.col("text").isNotNull())))
-    changed = forms.filter("text <> form").select("field", "form").distinct()
-    hit = forms.join(changed, ["field", "form"], "left_semi").distinct()
+    hit = durable(_classes(texts))
     variants = hit.select("field", "form", "text").distinct()
     a, b = variants.withColumnRenamed("text", "text_a"), variants.withColumnRenamed("text", "text_b")
     pairs = a.join(b, ["field", "form"]).filter("text_a < text_b")
@@ -195,3 +239,16 @@ def lookalike_pairs(texts: DataFrame) -> DataFrame:
     right = hit.select("field", F.col("text").alias("text_b"), F.col("id").alias("id_2"))
     both = pairs.select("field", "text_a", "text_b").join(left, ["field", "text_a"]).join(right, ["field", "text_b"]).filter("id_1 <> id_2")
     return both.select("field", F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b")).distinct()
+
+
+def lookalike_classes(texts: DataFrame) -> DataFrame:
+    """(field, id, class_id, n_texts, n_links) of every row that looks like a different one.
+
+    class_id is the least id of the class, n_texts the different texts in it, n_links the
+    rows that hold another text than this one.
+    """
+    hit = durable(_classes(texts))
+    per_text = hit.groupBy("field", "form", "text").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    per_form = per_text.groupBy("field", "form").agg(F.sum("n").alias("total"), F.count("*").alias("n_texts"), F.min("least").alias("class_id")).filter("n_texts > 1")
+    sizes = per_text.select("field", "form", "text", "n").join(per_form, ["field", "form"])
+    return hit.join(sizes, ["field", "form", "text"]).select("field", "id", "class_id", "n_texts", (F.col("total") - F.col("n")).alias("n_links"))

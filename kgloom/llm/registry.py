@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.llm import boilerplate, canonical, encode, lookalike, packing, sentences, spam, splits
-from kgloom.session import table
+from kgloom.session import durable, table
 
 #: Tokens a container holds.
 CAPACITY = 2048
@@ -30,7 +30,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
-    return splits.split_bags(table(spark, folder, "relation_bags"), table(spark, folder, "split_targets"))
+    return splits.split_bags(table(spark, folder, "relation_bags"), table(spark, folder, "split_targets")).drop("label_names")
+
+
+def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
+    bags, targets = table(spark, folder, "relation_bags"), table(spark, folder, "split_targets")
+    return splits.split_report(durable(splits.split_bags(bags, targets)), targets)
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,6 +55,10 @@ def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.canonical_forms(_texts(spark, folder)).select("field", "id", "form").distinct()
 
 
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.lookalike_classes(_texts(spark, folder))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.all_units(table(spark, folder, "document_records"), table(spark, folder, "sentences"))
 
@@ -58,6 +67,10 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encoded(table(spark, folder, "documents"))
 
 
+def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.round_trip(table(spark, folder, "documents"))
+
+
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(encode.token_counts(table(spark, folder, "documents")), CAPACITY)
 
@@ -66,7 +79,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_bodies, p3_found, p4_found, p4_splits, p5_found, p5_forms, p6_found, p7_ids, p8_packed, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_bodies, p3_found, p4_found, p4_splits, p4_shares, p5_found, p5_forms, p5_classes, p6_found, p7_ids, p7_round_trip, p8_packed, p9_found)}
 _DOC = "nullif(case when regexp_full_match(t, 'doc[^0-9a-z]*0*[0-9]+') then 'doc_' || lpad(regexp_extract(t, '([1-9][0-9]*|0)$', 1), 8, '0') else t end, '')"
 SQL: dict[str, str] = {
     "p4_found": f"""

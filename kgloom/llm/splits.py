@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from kgloom.session import durable
 
 #: Components with at least this part of all rows are placed one by one on the driver, so at most GIANTS of them.
-GIANTS = 1000
+GIANTS, GIANT_STEPS = 1000, 20_000
 #: Links a worker contracts at once.
 CONTRACT = 300_000
 #: Components a shard holds, about; labels told apart (the most frequent; the rest count as one).
@@ -110,8 +110,11 @@ def tied_documents(bags: DataFrame) -> DataFrame:
     return components(bag_links(bags)).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
 
 
-def anneal(sizes: np.ndarray, labels: np.ndarray, start: np.ndarray, target: np.ndarray, label_target: np.ndarray, seed: int, steps: int) -> tuple[np.ndarray, float]:
-    """Best assignment found from `start`, and its deviation. target: rows for each split."""
+def anneal(
+    sizes: np.ndarray, labels: np.ndarray, start: np.ndarray, target: np.ndarray, label_target: np.ndarray, seed: int, steps: int,
+    filled: np.ndarray | None = None, filled_labels: np.ndarray | None = None,
+) -> tuple[np.ndarray, float]:
+    """Best assignment found from `start`, and its deviation. target: rows for each split; filled: what others will bring."""
     rng = np.random.default_rng(seed)
     k, total = len(target), max(1.0, float(sizes.sum()))
     scale = np.maximum(label_target, 1.0)
@@ -119,6 +122,8 @@ def anneal(sizes: np.ndarray, labels: np.ndarray, start: np.ndarray, target: np.
     size = np.bincount(at, weights=sizes, minlength=k)
     lab = np.zeros_like(label_target)
     np.add.at(lab, at, labels)
+    if filled is not None:
+        size, lab = size + np.minimum(filled, np.maximum(target - size, 0)), lab + filled_labels
 
     def cost(s: int) -> float:
         d = (lab[s] - label_target[s]) / scale[s]
@@ -174,7 +179,9 @@ def split_components(parts: DataFrame, targets: DataFrame, chains: int = 4, step
     top = parts.select(F.explode("labels")).groupBy("key").agg(F.sum("value").alias("n")).orderBy(F.desc("n"), "key").limit(LABELS).collect()
     kinds = [r.key for r in top]
     cols = [F.coalesce(F.try_element_at("labels", F.lit(x)), F.lit(0)).cast("double") for x in kinds]
-    wide = parts.select("component", F.col("n_rows").cast("double").alias("n_rows"), F.array(*cols, F.lit(0.0)).alias("labels"))
+    every = F.aggregate(F.map_values("labels"), F.lit(0).cast("bigint"), lambda a, x: a + x).cast("double")
+    rest = every - sum(cols, F.lit(0.0))  # the rarer labels count as one
+    wide = parts.select("component", F.col("n_rows").cast("double").alias("n_rows"), F.array(*cols, rest).alias("labels"))
     sums = np.array(wide.select(*[F.coalesce(F.sum(F.col("labels")[i]), F.lit(0.0)) for i in range(len(kinds) + 1)]).first(), dtype=float)
 
     # giants: at most GIANTS, as each holds at least that part of the rows
@@ -182,27 +189,33 @@ def split_components(parts: DataFrame, targets: DataFrame, chains: int = 4, step
     giants = wide.filter(F.col("n_rows") >= floor).orderBy(F.desc("n_rows"), "component").collect()
     size, lab = np.zeros(len(names)), np.zeros((len(names), len(sums)))
     placed = []
-    for g in giants:
-        room = share * total - size - g.n_rows
-        s = int(np.argmax(room / np.maximum(share, 1e-9)))
-        size[s] += g.n_rows
-        lab[s] += np.array(g.labels)
-        placed.append((g.component, names[s]))
+    # first by size alone, then moved and exchanged like the others, so that sizes and labels fit
+    start = np.zeros(len(giants), dtype=np.int64)
+    sizes, labels = np.array([g.n_rows for g in giants], dtype=float), np.array([g.labels for g in giants], dtype=float).reshape(len(giants), len(sums))
+    room = share * total
+    for i in range(len(giants)):
+        start[i] = int(np.argmax((room - sizes[i]) / np.maximum(share, 1e-9)))
+        room[start[i]] -= sizes[i]
+    if len(giants):
+        at, _ = anneal(sizes, labels, start, share * total, share[:, None] * sums[None, :], seed, GIANT_STEPS, filled=share * max(0.0, total - sizes.sum()), filled_labels=share[:, None] * np.maximum(sums - labels.sum(axis=0), 0))
+        np.add.at(size, at, sizes)
+        np.add.at(lab, at, labels)
+        placed = [(g.component, names[s]) for g, s in zip(giants, at)]
     rest_target = np.maximum(share * total - size, 0)
     rest_share = rest_target / rest_target.sum() if rest_target.sum() else share
     rest_labels = np.maximum(share[:, None] * sums[None, :] - lab, 0)
     rest_labels = rest_labels / np.maximum(rest_labels.sum(axis=0, keepdims=True), 1e-9)
 
     shards = max(1, -(-n // SHARD))
-    rest = wide.filter(F.col("n_rows") < floor).withColumn("shard", F.pmod(F.xxhash64("component"), F.lit(shards)))
+    rest = wide.filter(F.col("n_rows") < floor).withColumn("shard", F.pmod(F.xxhash64("component"), F.lit(shards))).withColumn("dice", F.pmod(F.xxhash64(F.lit(seed), "component"), F.lit(1 << 30)) / float(1 << 30))
     out = T.StructType([T.StructField("shard", T.LongType()), T.StructField("chain", T.IntegerType()), T.StructField("deviation", T.DoubleType()), T.StructField("component", T.StringType()), T.StructField("split", T.StringType())])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("component")
         shard, chain = int(rows.shard.iloc[0]), int(rows.chain.iloc[0])
         sizes, labels = rows.n_rows.to_numpy(float), np.stack(rows.labels.to_numpy()).astype(float)
-        rng = np.random.default_rng([seed, shard])
-        start = rng.choice(len(names), size=len(rows), p=rest_share)
+        # the hashed start: each component by its own hash, whatever stands beside it
+        start = np.searchsorted(np.cumsum(rest_share), rows.dice.to_numpy(float), side="right").clip(0, len(names) - 1)
         target, label_target = rest_share * sizes.sum(), rest_labels * labels.sum(axis=0, keepdims=True)
         at, deviation = anneal(sizes, labels, start, target, label_target, seed * 1000 + chain, min(200_000, max(steps, 4 * len(rows))))
         return pd.DataFrame({"shard": shard, "chain": chain, "deviation": deviation, "component": rows.component, "split": [names[i] for i in at]})
@@ -223,6 +236,19 @@ def record_components(bags: DataFrame) -> DataFrame:
     return named.join(components(bag_links(bags)).withColumnRenamed("node", "_node").withColumnRenamed("component", "_component"), "_node", "left").withColumn("_component", F.coalesce("_component", "_node")).drop("_node")
 
 
+def split_report(split: DataFrame, targets: DataFrame) -> DataFrame:
+    """(split, share, n_rows, reached, deviation): the share reached, and the mean over all labels of how far the split's part of a label is from its share."""
+    total = max(1, split.count())
+    n = split.groupBy("split").agg(F.count("*").alias("n_rows"))
+    labels = split.select("split", F.explode("label_names").alias("label")).filter(F.col("label").isNotNull()).groupBy("label", "split").agg(F.count("*").alias("k"))
+    each = labels.groupBy("label").agg(F.sum("k").alias("of")).join(labels.groupBy("label").pivot("split", [r.split for r in targets.select("split").distinct().orderBy("split").collect()]).agg(F.sum("k")), "label")
+    names = [c for c in each.columns if c not in ("label", "of")]
+    far = each.select("label", F.explode(F.array(*[F.struct(F.lit(c).alias("split"), (F.coalesce(F.col(c), F.lit(0)) / F.col("of")).alias("part")) for c in names])).alias("x")).select("x.split", "x.part")
+    far = far.join(targets.select("split", "share"), "split").groupBy("split").agg(F.avg(F.abs(F.col("part") - F.col("share"))).alias("deviation"))
+    reached = F.coalesce("n_rows", F.lit(0))
+    return targets.select("split", "share").join(n, "split", "left").join(far, "split", "left").select("split", "share", reached.alias("n_rows"), F.round(reached / total, 6).alias("reached"), F.round("deviation", 6).alias("deviation"))
+
+
 def split_bags(bags: DataFrame, targets: DataFrame) -> DataFrame:
     """(bag_id, doc_id, component, split) of every row of relation_bags."""
     rows = durable(record_components(bags).select("bag_id", "doc_id", F.col("_component").alias("component"), "label_names"))
@@ -230,4 +256,4 @@ def split_bags(bags: DataFrame, targets: DataFrame) -> DataFrame:
     labels = rows.select("component", F.explode("label_names").alias("label")).filter(F.col("label").isNotNull()).groupBy("component", "label").agg(F.count("*").alias("n"))
     labels = labels.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("labels"))
     parts = sizes.join(labels, "component", "left").withColumn("labels", F.coalesce("labels", F.expr("cast(map() as map<string,bigint>)")))
-    return rows.join(split_components(parts, targets), "component").select("bag_id", "doc_id", "component", "split")
+    return rows.join(split_components(parts, targets), "component").select("bag_id", "doc_id", "component", "split", "label_names")

@@ -51,6 +51,23 @@ def test_split_shares(spark):
     assert abs(share["train"] - 0.8) < 0.02 and abs(share["dev"] - 0.1) < 0.02
 
 
+def test_rare_labels_count_as_one(spark, monkeypatch):
+    monkeypatch.setattr(splits, "LABELS", 1)
+    random.seed(7)
+    rows = [(f"doc_{k:08d}__A__B", f"doc_{k:08d}", ["X"] if k % 2 else [f"rare{k % 40}"]) for k in range(400) for _ in range(random.randint(1, 5))]
+    bags = spark.createDataFrame(rows, "bag_id string, doc_id string, label_names array<string>")
+    targets = spark.createDataFrame([("train", 0.8), ("dev", 0.1), ("test", 0.1)], "split string, share double")
+    got = splits.split_bags(bags, targets).collect()
+    of = {r.split: [0, 0] for r in got}
+    for r in got:
+        of[r.split][r.label_names[0] == "X"] += 1
+    rare = sum(v[0] for v in of.values())
+    assert abs(of["dev"][0] / rare - 0.1) < 0.03 and abs(of["test"][0] / rare - 0.1) < 0.03
+    report = {r.split: r for r in splits.split_report(splits.split_bags(bags, targets), targets).collect()}
+    assert set(report) == {"train", "dev", "test"} and abs(report["train"].reached - 0.8) < 0.02 and report["dev"].deviation >= 0
+    assert sum(r.n_rows for r in report.values()) == len(rows)
+
+
 # --- canonical names ------------------------------------------------------------------
 ENTITIES = [
     ("E1", "PERSON", "Hasko Bápaukest"), ("E2", "PERSON", "Senna Trenagreirk"), ("E3", "PERSON", "Tamsin Trenagreirk"), ("E4", "ORGANIZATION", "University of Trauzund"), ("E5", "ORGANIZATION", "Kirjamir Institute of Technology"),

@@ -61,6 +61,13 @@ def test_encoded_rows(spark):
     assert encode.encoded(spark.createDataFrame([], d.schema)).count() == 0
 
 
+def test_round_trip_and_null_texts(spark):
+    d = spark.createDataFrame([(1, "hello wörld 继"), (2, ""), (3, None)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in encode.round_trip(d).collect())[1:] == [(2, 0, True), (3, None, None)] and encode.round_trip(d).filter("same").count() == 2
+    got = {r.doc_id: r.container_id for r in packing.packed(encode.token_counts(d), 16).collect()}
+    assert set(got) == {1, 2, 3} and got[1] is not None and got[2] is None and got[3] is None
+
+
 # --- packing --------------------------------------------------------------------------
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 40), st.data())
@@ -115,6 +122,26 @@ def test_script_aware_repair():
     assert dict(lookalike.suspects("мaшинa работает")) == {"мaшинa": "машина"}
 
 
+def test_more_scripts():
+    assert lookalike.plain("𝐀𝐥𝐩𝐡𝐚") == "Alpha"
+    assert dict(lookalike.suspects("cօde here")) == {"cօde": "code"} and dict(lookalike.suspects("ᎪLPHA")) == {"ᎪLPHA": "ALPHA"}
+
+
+def test_classes_give_the_links_of_the_pairs(spark):
+    random.seed(9)
+    swap = {"a": "а", "e": "е", "o": "о"}
+    rows = [("f", "0", "the code", "")] * 3 + [("f", f"h{i}", "the code", "") for i in range(40)]
+    rows += [("f", f"{i:03d}", "".join(swap.get(c, c) if random.random() < 0.3 else c for c in random.choice(["the code", "a proof", "one tape"])), "") for i in range(60)]
+    texts = spark.createDataFrame(rows, "field string, id string, text string, form string")
+    links = {}
+    for _, a, b in _pairs(spark, rows):
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    got = {r.id: r.n_links for r in lookalike.lookalike_classes(texts).collect()}
+    assert got == links
+    forms = {r.id: r.form for r in lookalike.canonical_forms(texts).collect()}
+    assert forms["h1"] == "the code" and set(forms) == {r[1] for r in rows}
+
+
 def _pairs(spark, rows):
     return sorted(tuple(r) for r in lookalike.lookalike_pairs(spark.createDataFrame(rows, "field string, id string, text string, form string")).collect())
 
