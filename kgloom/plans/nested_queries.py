@@ -20,7 +20,17 @@ def p1_role_table(spark: SparkSession, folder: str) -> DataFrame:
     return nested.schema_table(nodes, "roles[*]", fields).withColumn("ordinal", F.substring_index("dewey", ".", -1).cast("int"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_role_table": p1_role_table}
+def p1_trigger_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat table of signal triggers."""
+    return nested.trigger_table(table(spark, folder, "verified_events_text"))
+
+
+def p1_qualifier_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat table of claim qualifiers."""
+    return nested.qualifier_table(table(spark, folder, "claims"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_role_table": p1_role_table, "p1_trigger_table": p1_trigger_table, "p1_qualifier_table": p1_qualifier_table}
 
 _INNER = "case when json_valid({0}) then case when json_type({0}) = 'VARCHAR' and json_valid(json_extract_string({0}, '$')) then json_extract_string({0}, '$') else {0} end end"
 _LEAF = "t.type in ('VARCHAR', 'BIGINT', 'UBIGINT', 'HUGEINT') and json_extract_string(t.value, '$') <> ''"

@@ -53,5 +53,33 @@ def test_labels_and_parents(value):
 
 
 def test_deep_text():
-    deep = "[" * 3000 + "1" + "]" * 3000
-    assert nested.json_text_nodes(deep, "0", "q", "q")[-1][3] in ("integer", "invalid")
+    for depth in (3000, 20_000):
+        deep = "[" * depth + "1" + "]" * depth
+        assert nested.json_text_nodes(deep, "0", "q", "q", scalars=True) == [("0" + ".0" * depth, "q" + "[0]" * depth, "q" + "[*]" * depth, "integer", "1")]
+    assert nested.json_text_nodes('{"a": ' * 9000 + '[1, "x"]' + "}" * 9000, "0", "q", "q", scalars=True)[1][1:] == ("q" + ".a" * 9000 + "[1]", "q" + ".a" * 9000 + "[*]", "string", "x")
+    assert nested.json_text_nodes("[" * 9000 + "]" * 8999, "0", "q", "q")[0][3] == "invalid"
+
+
+@settings(max_examples=200, deadline=None)
+@given(values, st.text(alphabet='[]{}:,"\\ 1e.-truefalsn\x01', max_size=8))
+def test_deep_decoder_is_the_decoder(value, junk):
+    for text in (json.dumps(value), json.dumps(value, indent=1), junk, json.dumps(value) + junk):
+        try:
+            want = nested._DECODER.decode(text)
+        except ValueError:
+            want = "error"
+        try:
+            got = nested.decode_deep(text)
+        except ValueError:
+            got = "error"
+        assert got == want and json.dumps(got) == json.dumps(want)
+
+
+def test_order_and_tables(spark):
+    d = spark.createDataFrame([("0.10",), ("0.2",), ("0",)], "dewey string")
+    assert [r.dewey for r in d.orderBy(nested.label_order(d.dewey)).collect()] == ["0", "0.2", "0.10"]
+    c = spark.createDataFrame([("c1", '{"p": [{"t": "x"}, 3], "q": null}', "p"), ("c2", None, "p"), ("c3", "{", "p")], CLAIMS)
+    got = sorted((r.claim_id, r.dewey, r.parent_dewey, r.name, r.kind, r.value) for r in nested.qualifier_table(c).collect())
+    assert got == [("c1", "0.0.0.0", "0.0.0", "p", "string", "x"), ("c1", "0.0.1", "0.0", "p", "integer", "3"), ("c1", "0.1", "0", "q", "null", None)]
+    e = spark.createDataFrame([("e1", None, [("a", '{"trigger": ["x", {"text": "y"}]}'), ("b", None)], 1)], EVENTS)
+    assert sorted((r.event_candidate_id, r.signal, r.dewey, r.value) for r in nested.trigger_table(e).collect()) == [("e1", 0, "0.0.1.0.0", "x"), ("e1", 0, "0.0.1.0.1.0", "y")]
