@@ -58,13 +58,44 @@ RELATION_PATTERNS = {
 #: Single words too common to be a trigger by themselves.
 GENERIC_TRIGGERS = ("in", "at", "to", "of", "by", "for")
 TRIGGER_LEMMAS = {
-    "BORN_IN": ("born", "birth"), "DIED_IN": ("die", "death", "dead"), "STUDIED_AT": ("study", "attend", "educate", "graduate", "matriculate"),
+    "BORN_IN": ("bear", "birth"), "DIED_IN": ("die", "death", "dead"), "STUDIED_AT": ("study", "attend", "educate", "graduate", "matriculate"),
     "WORKED_AT": ("work", "join", "serve", "teach", "research", "employ", "appointment"), "AUTHORED": ("author", "write", "publish", "coauthor"),
     "PROPOSED": ("propose", "introduce", "devise", "formulate", "present"), "DESIGNED": ("design", "build", "develop", "invent"),
     "AWARDED": ("award", "receive", "win", "honor", "elect"), "LOCATED_IN": ("locate", "base", "situate"),
 }
-#: Irregular surfaces of the lemmas above.
-IRREGULAR = {"wrote": "write", "written": "write", "won": "win", "built": "build", "taught": "teach", "died": "die", "dies": "die", "born": "born", "studied": "study", "studies": "study", "dying": "die"}
+#: Phrases of several words, by their base forms; all but the last hold a lemma as well.
+TRIGGER_PHRASES = {
+    "BORN_IN": ("be bear in", "be bear at", "bear in", "bear at"), "DIED_IN": ("die in", "pass away in", "death in"), "STUDIED_AT": ("study at", "attend", "educate at", "graduate from"),
+    "WORKED_AT": ("work at", "work for", "join", "serve at", "employ by"), "AUTHORED": ("write", "author", "publish"), "PROPOSED": ("propose", "introduce", "formulate", "devise"),
+    "DESIGNED": ("design", "build", "invent"), "AWARDED": ("be award", "receive", "win", "elect fellow"), "LOCATED_IN": ("locate in", "base in", "situate in"),
+}
+#: Surfaces that no rule makes from their base form.
+IRREGULAR = {
+    "bore": "bear", "borne": "bear", "born": "bear", "wrote": "write", "written": "write", "won": "win", "winning": "win", "built": "build", "taught": "teach", "dying": "die",
+    "am": "be", "is": "be", "are": "be", "was": "be", "were": "be", "been": "be", "being": "be",
+}
+#: Words of the triggers that aren't inflected.
+UNINFLECTED = ("be", "in", "at", "from", "for", "by", "away", "dead")
+
+
+def _inflected(base: str) -> dict[str, str]:
+    """The regular surfaces of a base form, as verb and as noun."""
+    y, e = base[-1] == "y" and base[-2] not in "aeiou", base[-1] == "e"
+    if base in IRREGULAR.values():  # the past is irregular
+        return dict.fromkeys((base, base + "s", base[:-1] + "ing" if e else base + "ing"), base)
+    s = base[:-1] + "ies" if y else base + "es" if base.endswith(("s", "x", "z", "ch", "sh")) else base + "s"
+    ed = base[:-1] + "ied" if y else base + "d" if e else base + "ed"
+    ing = base[:-1] + "ing" if e and not base.endswith(("ie", "be")) else base + "ing"
+    return dict.fromkeys((base, s, ed, ing), base)
+
+
+#: surface: base form, of every word of the triggers.
+LEMMAS = (
+    {w: w for w in UNINFLECTED}
+    | {x: b for ws in (*TRIGGER_LEMMAS.values(), *TRIGGER_PHRASES.values()) for phrase in ws for w in phrase.split() if w not in UNINFLECTED for x, b in _inflected(w).items()}
+    | IRREGULAR
+    | {"died": "die", "wining": "wine"}
+)
 
 # --- events ---------------------------------------------------------------------------
 #: relation: (event type, subject role, object role, subject type, object type).

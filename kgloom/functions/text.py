@@ -115,23 +115,28 @@ def has_model_number(token: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """A light stem: -ied to -y, then -ing, -ed or -s cut from words long enough."""
+    """A light stem: -ied to -y, then -ing, -ed or -s cut where more than three letters stay."""
     w = F.lower(F.trim(word))
     n = F.length(w)
-    cut = lambda k: F.expr("1") * 0 + k
     return (
-        F.when(w.endswith("ied") & (n > 4), F.concat(F.left(w, n - 3), F.lit("y")))
-        .when(w.endswith("ing") & (n > 5), F.left(w, n - cut(3)))
-        .when(w.endswith("ed") & (n > 4), F.left(w, n - cut(2)))
-        .when(w.endswith("s") & (n > 3) & ~w.endswith("ss"), F.left(w, n - cut(1)))
+        F.when(w.endswith("ied") & (n > 4), F.concat(F.left(w, n - F.lit(3)), F.lit("y")))
+        .when(w.endswith("ing") & (n > 6), F.left(w, n - F.lit(3)))
+        .when(w.endswith("ed") & (n > 5), F.left(w, n - F.lit(2)))
+        .when(w.endswith("s") & (n > 4), F.left(w, n - F.lit(1)))
         .otherwise(w)
     )
 
 
+def stems(text: Column) -> Column:
+    """The stems of the words of a text, with what follows an apostrophe."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+(?:'[a-z0-9]+)?)"), 1), stem)
+
+
 def lemma(word: Column) -> Column:
-    """Irregular forms by a table, others by the stem."""
-    pairs = [F.lit(x) for kv in K.IRREGULAR.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(word)), stem(word))
+    """The base form of a word of the relation triggers; other words stand for themselves."""
+    w = F.lower(F.regexp_replace(F.trim(word), r"(?U)^[^\w]+|[^\w]+$", ""))
+    pairs = [F.lit(x) for kv in K.LEMMAS.items() for x in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), w), w)
 
 
 def low_information(text: Column) -> Column:

@@ -28,13 +28,21 @@ def ordered_subsequence(words: Column, wanted: Column) -> Column:
     return cursor >= F.size(wanted)
 
 
-def trigger_signals(candidates: DataFrame, triggers: DataFrame) -> DataFrame:
-    """Candidates (candidate_id, text, predicate) whose text holds a trigger of their predicate."""
-    stems = lambda c: F.transform(F.filter(F.split(F.lower(c), r"[^a-z0-9']+"), lambda w: w != ""), X.stem)
-    t = F.broadcast(triggers.withColumn("t_stems", stems(F.col("trigger"))))
-    c = candidates.withColumn("stems", stems(F.col("text")))
-    hit = F.array_join("stems", " ").contains(F.array_join("t_stems", " ")) | ordered_subsequence(F.col("stems"), F.col("t_stems"))
-    return c.join(t, "predicate").filter(hit).groupBy("candidate_id").agg(F.sort_array(F.collect_set("trigger")).alias("triggers"))
+def trigger_signals(candidates: DataFrame, triggers: DataFrame, most: int = K.MAX_TOKEN_DISTANCE) -> DataFrame:
+    """Candidates (candidate_id, text, predicate, and tokens, distance where known) with a trigger of their predicate.
+
+    The tokens are read where there are some, else the text. A pair farther apart than `most`
+    tokens matches nothing. Triggers are a few for each relation, joined by it.
+    """
+    own = F.transform("tokens", X.stem) if "tokens" in candidates.columns else F.lit(None).cast("array<string>")
+    c = candidates.withColumn("stems", F.when(F.size(own) > 0, own).otherwise(X.stems(F.col("text"))))
+    if "distance" in candidates.columns:
+        c = c.filter(F.col("distance").isNull() | (F.col("distance") <= most))
+    t = triggers.withColumn("t_stems", X.stems(F.col("trigger"))).groupBy("predicate").agg(F.collect_list(F.struct("trigger", "t_stems")).alias("known"))
+    line = F.array_join("stems", " ")
+    hit = F.filter("known", lambda k: line.contains(F.array_join(k["t_stems"], " ")) | ordered_subsequence(F.col("stems"), k["t_stems"]))
+    found = c.join(t, "predicate").withColumn("hit", F.sort_array(F.array_distinct(F.transform(hit, lambda k: k["trigger"])))).filter(F.size("hit") > 0)
+    return found.select("candidate_id", F.col("hit").alias("triggers"))
 
 
 def align(candidates: DataFrame, claims: DataFrame) -> DataFrame:

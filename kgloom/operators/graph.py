@@ -7,6 +7,7 @@ confidence). Identities are hashes of the parts, so equal statements meet in one
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgloom.functions import text as X
@@ -62,26 +63,59 @@ def keep_first(edges: DataFrame) -> DataFrame:
     return first_rows(edges, ["id"], [-F.coalesce(F.col("confidence"), F.lit(0.0)), "semantic_key"])
 
 
+#: Replacements that are folded on the driver and sent to every task; more are followed by joins.
+REPLACEMENTS = 100_000
+
+
+def replacements(rows: DataFrame, most: int = REPLACEMENTS) -> DataFrame | None:
+    """(_old, _new) of the ends replaced by rows (ordinal, old_id, new_id); None for none.
+
+    The first replacement of an id counts; what it leads to is replaced by every later row for
+    that id. Up to `most` rows are folded here, with the ids that stand at each value at hand;
+    more are linked each to the next row that moves it on, and the chains are halved by joins.
+    """
+    some = rows.orderBy("ordinal").limit(most + 1).collect()
+    if not some:
+        return None
+    if len(some) <= most:
+        final: dict[str, str] = {}
+        at: dict[str, set[str]] = {}  # ids that stand at a value
+        for r in some:
+            moved = at.pop(r.old_id, set())
+            for k in moved:
+                final[k] = r.new_id
+            if r.old_id not in final:
+                final[r.old_id] = r.new_id
+                moved.add(r.old_id)
+            at.setdefault(r.new_id, set()).update(moved)
+        return F.broadcast(rows.sparkSession.createDataFrame(sorted(final.items()), "_old string, _new string"))
+    from kgloom.session import durable
+
+    # the next row that moves a value on: the first later one that replaces it
+    asks = rows.select(F.col("new_id").alias("id"), "ordinal", F.col("ordinal").alias("asked"), F.lit(None).cast("long").alias("moves"))
+    moves = rows.select(F.col("old_id").alias("id"), "ordinal", F.lit(None).cast(rows.schema["ordinal"].dataType).alias("asked"), F.col("ordinal").cast("long").alias("moves"))
+    later = W.partitionBy("id").orderBy("ordinal").rowsBetween(1, W.unboundedFollowing)
+    step = asks.unionByName(moves).withColumn("then", F.min("moves").over(later)).filter("asked is not null").select(F.col("asked").cast("long").alias("at"), "then")
+    step = durable(step)
+    while True:  # each row learns the row its next one leads to
+        twice = durable(step.join(step.select(F.col("at").alias("then"), F.col("then").alias("over")), "then", "left").select("at", F.coalesce("over", "then").alias("then")))
+        if twice.join(step.withColumnRenamed("then", "before"), "at").filter(~F.col("then").eqNullSafe(F.col("before"))).isEmpty():
+            break
+        step = twice
+    entry = rows.groupBy("old_id").agg(F.min("ordinal").cast("long").alias("at")).join(step, "at").select("old_id", F.coalesce("then", "at").alias("last"))
+    return entry.join(rows.select(F.col("ordinal").cast("long").alias("last"), "new_id"), "last").select(F.col("old_id").alias("_old"), F.col("new_id").alias("_new"))
+
+
 def fuse(edges: DataFrame, corrections: DataFrame) -> DataFrame:
     """Edges after the corrections (ordinal, action, target_key, source, label, target, old_id, new_id).
 
     Ends are replaced in order of the ordinal (a chain follows through), then identities are
     made anew and repeats dropped, then edges are rejected by id, key or triple, then the
-    added ones join. Corrections are hand-made rows; their number is checked before they are
-    folded into one map on the driver.
+    added ones join.
     """
-    rows = corrections.filter("action = 'REPLACE_LINK'").orderBy("ordinal").select("old_id", "new_id").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("more than 100,000 replacements; load them as an entity table instead")
-    final: dict[str, str] = {}
-    for old, new in [(r.old_id, r.new_id) for r in rows]:
-        for k, v in list(final.items()):
-            if v == old:
-                final[k] = new
-        final.setdefault(old, new)
+    m = replacements(corrections.filter("action = 'REPLACE_LINK'").select("ordinal", "old_id", "new_id"))
     e = edges
-    if final:
-        m = F.broadcast(edges.sparkSession.createDataFrame(list(final.items()), "_old string, _new string"))
+    if m is not None:
         for end in ("source", "target"):
             e = e.join(m, e[end] == m["_old"], "left").withColumn(end, F.coalesce("_new", end)).drop("_old", "_new")
     e = keep_first(with_identity(e.drop("id", "semantic_key")))
@@ -107,7 +141,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFram
     """(id, hop) of all nodes within some hops of the seeds (id), the least hop of each."""
     from kgloom.session import durable
 
-    und = undirected(edges).select("a", "b").distinct()
+    und = durable(undirected(edges).select("a", "b").distinct())  # read once for each hop
     seen = seeds.select("id", F.lit(0).alias("hop")).distinct()
     frontier = seen
     for h in range(1, hops + 1):
@@ -144,10 +178,10 @@ def clean_type(label: Column) -> Column:
 
 
 def adjacency(claims: DataFrame) -> DataFrame:
-    """Undirected neighbour sets: (id, neighbours sorted)."""
+    """Undirected neighbours: a row (id, neighbour, n_neighbours) for each, so that a hub is many rows and not a long one."""
     c = claims.filter("subject_id is not null and object_id is not null")
-    both = c.select(F.col("subject_id").alias("id"), F.col("object_id").alias("n")).union(c.select(F.col("object_id").alias("id"), F.col("subject_id").alias("n"))).distinct()
-    return both.groupBy("id").agg(F.sort_array(F.collect_set("n")).alias("neighbours"))
+    both = c.select(F.col("subject_id").alias("id"), F.col("object_id").alias("neighbour")).union(c.select(F.col("object_id").alias("id"), F.col("subject_id").alias("neighbour"))).distinct()
+    return both.join(both.groupBy("id").agg(F.count("*").alias("n_neighbours")), "id")
 
 
 def surrogate(prefix: str, *parts: Column) -> Column:

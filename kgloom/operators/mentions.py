@@ -124,17 +124,60 @@ def alias_dictionary(names: DataFrame) -> DataFrame:
     return a.groupBy("alias").agg(F.min("type").alias("type"), F.count("*").alias("n")).filter("n = 1").select("alias", F.size(F.split("alias", " ")).alias("n_tokens"), "type")
 
 
-def longest_matches(sentences: DataFrame, dictionary: DataFrame, head: int = 3) -> DataFrame:
+#: Names that every worker can hold in one automaton; a longer dictionary is joined.
+NAMES = 300_000
+MATCH = "sentence_id string, s int, e int, alias string, type string"
+
+
+def longest_matches(sentences: DataFrame, dictionary: DataFrame, most: int = NAMES) -> DataFrame:
     """Longest forward matches of a dictionary in (sentence_id, tokens): (sentence_id, s, e, alias, type).
 
-    The first words of a name (at most `head`) are joined by equality, whatever the size of
-    the dictionary; the few longer names found so are compared in full. The fold then keeps,
-    from left to right, the longest match at each free position.
+    From left to right, the longest name at each free position. After a check of their number
+    the names go to the workers as one automaton and no sentence is shuffled; a larger
+    dictionary is joined by the first words of its names.
+    """
+    s = spread(sentences.filter(F.size("tokens") > 0).select("sentence_id", F.transform("tokens", F.lower).alias("low")))
+    names = dictionary.select("alias", "type").limit(most + 1).collect()
+    if len(names) > most:
+        return _joined_matches(s, dictionary)
+    shared = sentences.sparkSession.sparkContext.broadcast([(r.alias, r.type) for r in names])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for alias, kind in shared.value:
+            automaton.add_word(f" {alias} ", (alias, kind))
+        if len(automaton):
+            automaton.make_automaton()
+        for rows in batches:
+            out = []
+            for sid, line in zip(rows.sentence_id, rows.line):
+                if not len(automaton):
+                    continue
+                found = sorted(((end - len(a) - 1, -len(a), a, k) for end, (a, k) in automaton.iter(line)))
+                free, at, seen = 0, 0, 0
+                for start, minus, alias, kind in found:
+                    if start < free:
+                        continue
+                    free = start - minus + 1
+                    at += line.count(" ", seen, start)  # tokens before it
+                    seen = start
+                    out.append((sid, at, at + alias.count(" ") + 1, alias, kind))
+            yield pd.DataFrame(out, columns=["sentence_id", "s", "e", "alias", "type"])
+
+    return s.select("sentence_id", F.concat(F.lit(" "), F.array_join("low", " "), F.lit(" ")).alias("line")).mapInPandas(run, MATCH)
+
+
+def _joined_matches(s: DataFrame, dictionary: DataFrame, head: int = 3) -> DataFrame:
+    """The same by joins, whatever the size of the dictionary.
+
+    The first words of a name (at most `head`) are joined by equality; the few longer names
+    found so are compared in full. The fold then keeps, from left to right, the longest match
+    at each free position.
     """
-    low = F.transform("tokens", F.lower)
     at = F.sequence(F.lit(0), F.greatest(F.size("low") - 1, F.lit(0)))
     grams = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(head), F.size("low") - i)), lambda k: F.struct(i.alias("s"), F.array_join(F.slice("low", i + 1, k), " ").alias("key")))))
-    s = spread(sentences.filter(F.size("tokens") > 0).select("sentence_id", low.alias("low")))
     g = s.select("sentence_id", F.explode(grams).alias("g")).select("sentence_id", "g.s", "g.key")
     names = dictionary.select("alias", "type", "n_tokens", F.array_join(F.slice(F.split("alias", " "), 1, head), " ").alias("key"))
     hit = g.join(names, "key").withColumn("e", F.col("s") + F.col("n_tokens"))

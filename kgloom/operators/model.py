@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.operators import mentions
+from kgloom.operators.relational import top_k
 
 FEATURES = ["w", "p1", "p2", "n1", "n2", "shape", "abbr", "first"]
 
@@ -59,8 +60,10 @@ def bag_predictions(scores: DataFrame, threshold: float = 0.5, thresholds: dict[
     if thresholds:
         t = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv]), F.col("relation")), t)
     ok = scores.filter("allowed")
-    g = ok.groupBy("bag_id", "relation").agg(F.max("probability").alias("probability"), F.slice(F.sort_array(F.collect_list(F.struct("probability", "sentence_id")), asc=False), 1, support).alias("top"))
-    return g.filter(F.col("probability") >= t).select("bag_id", "relation", "probability", F.transform("top", lambda x: x["sentence_id"]).alias("supporting"))
+    best = ok.groupBy("bag_id", "relation").agg(F.max("probability").alias("probability")).filter(F.col("probability") >= t)
+    # only the supporting instances are put together, `support` of each bag and relation
+    top = top_k(ok, ["bag_id", "relation"], [F.desc("probability"), F.desc("sentence_id")], support).groupBy("bag_id", "relation").agg(F.sort_array(F.collect_list(F.struct("rank", "sentence_id"))).alias("top"))
+    return best.join(top, ["bag_id", "relation"]).select("bag_id", "relation", "probability", F.transform("top", lambda x: x["sentence_id"]).alias("supporting"))
 
 
 class PiecewiseAttention:

@@ -69,6 +69,20 @@ def running_ids(df: DataFrame, groups: Sequence[str], order: Sequence[str], pref
     return df.withColumn("_place", place).join(starts, list(groups)).withColumn(name, F.format_string(f"{prefix}%0{width}d", F.col("_start") + F.col("_place"))).drop("_place", "_start")
 
 
+def numbered(df: DataFrame, order: str, name: str = "id", first: int = 0) -> DataFrame:
+    """Adds running numbers in the order of a column: each range is numbered by itself, from where the ranges before it end."""
+    from kgloom.session import durable
+
+    r = durable(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
+    at, starts = first, []
+    for row in r.groupBy("_part").count().orderBy("_part").collect():  # one row for each partition
+        starts.append((row._part, at))
+        at += row["count"]
+    begin = F.broadcast(df.sparkSession.createDataFrame(starts, "_part int, _begin bigint"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1
+    return r.withColumn("_place", place).join(begin, "_part").withColumn(name, (F.col("_begin") + F.col("_place")).cast("int")).drop("_part", "_place", "_begin")
+
+
 def latest(df: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Last writer wins."""
     rest = [c for c in df.columns if c not in keys]

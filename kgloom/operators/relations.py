@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from kgloom.functions import constants as K
 from kgloom.functions import text as X
-from kgloom.operators.relational import first_rows
+from kgloom.operators.relational import first_rows, numbered
 
 
 def type_pairs(spark) -> DataFrame:
@@ -65,13 +65,24 @@ def bridges(unlinked: DataFrame, linked: DataFrame, claims: DataFrame, surfaces:
     """
     sides = claims.filter("subject_id is not null and object_id is not null")
     sides = sides.select("claim_id", "predicate", F.col("subject_id").alias("near"), F.col("object_id").alias("entity_id")).unionByName(sides.filter("subject_id <> object_id").select("claim_id", "predicate", F.col("object_id").alias("near"), F.col("subject_id").alias("entity_id")))
-    c = unlinked.join(linked.select("sentence_id", F.col("entity_id").alias("near")).distinct(), "sentence_id").join(sides, "near").join(surfaces, ["entity_id", "type"])
+    # what is scored are the distinct (entity nearby, type, text), however many sentences repeat them
+    near = linked.select("sentence_id", F.col("entity_id").alias("near")).distinct()
+    met = unlinked.join(near, "sentence_id").select("sentence_id", "mention_id", "near", "type", "text")
+    asked = met.select("near", "type", "text").distinct()
+    other = sides.select("near", "entity_id").distinct()
+    c = asked.join(other, "near").join(surfaces, ["entity_id", "type"])
     low, surface = X.simple_key(F.col("text")), X.simple_key(F.col("surface"))
-    ws, vs = F.split(low, " "), F.split(surface, " ")
-    easy = F.when(low == surface, F.lit(1.0)).when(F.size(F.array_except(ws, vs)) == 0, F.lit(0.9))
-    c = c.withColumn("low", low).withColumn("s_low", surface).withColumn("easy", easy)
-    scored = c.filter("easy is not null").withColumn("score", F.col("easy")).unionByName(c.filter("easy is null").withColumn("score", sequence_ratio("low", "s_low")))
-    best = scored.filter(F.col("score") >= least).withColumn("minus", -F.col("score"))
+    c = c.withColumn("low", low).withColumn("s_low", surface)
+    # pairs of texts once, whichever entities they belong to
+    pairs = c.select("low", "s_low").distinct()
+    ws, vs = F.split("low", " "), F.split("s_low", " ")
+    easy = F.when(F.col("low") == F.col("s_low"), F.lit(1.0)).when(F.size(F.array_except(ws, vs)) == 0, F.lit(0.9))
+    # the ratio can't reach the limit where the lengths are too far apart
+    a, b = F.length("low"), F.length("s_low")
+    pairs = pairs.withColumn("easy", easy).filter(F.col("easy").isNotNull() | (2 * F.least(a, b) >= least * (a + b)))
+    scored = pairs.filter("easy is not null").select("low", "s_low", F.col("easy").alias("score")).unionByName(pairs.filter("easy is null").select("low", "s_low", sequence_ratio("low", "s_low").alias("score")))
+    good = c.join(scored.filter(F.col("score") >= least), ["low", "s_low"]).select("near", "type", "text", "entity_id", "surface", "score")
+    best = met.join(good, ["near", "type", "text"]).join(sides, ["near", "entity_id"]).withColumn("minus", -F.col("score"))
     return first_rows(best.select("sentence_id", "mention_id", "entity_id", "predicate", "claim_id", "score", "surface", "minus"), ["mention_id", "entity_id", "predicate"], ["minus", "surface", "claim_id"]).drop("minus")
 
 
@@ -80,12 +91,28 @@ def local_window(s1: Column, e1: Column, s2: Column, e2: Column, n: Column, marg
     return F.struct(F.greatest(F.lit(0), F.least(s1, s2) - margin).alias("s"), F.least(n, F.greatest(e1, e2) + margin).alias("e"))
 
 
-def trigger_hits(tokens: Column, window: Column) -> Column:
-    """Relations one of whose lemmas occurs in the window."""
-    pairs = [F.lit(x) for p, ws in K.TRIGGER_LEMMAS.items() for w in ws for x in (w, p)]
-    by_lemma = F.create_map(*pairs)  # no lemma belongs to two relations
+def _window_lemmas(tokens: Column, window: Column) -> Column:
     part = F.slice(tokens, window["s"] + 1, F.greatest(window["e"] - window["s"], F.lit(0)))
-    return F.sort_array(F.array_distinct(F.array_compact(F.transform(part, lambda w: F.try_element_at(by_lemma, X.lemma(w))))))
+    return F.filter(F.transform(part, X.lemma), lambda w: w != "")
+
+
+def trigger_hits(tokens: Column, window: Column) -> Column:
+    """Relations one of whose lemmas or phrases occurs in the window.
+
+    No lemma belongs to two relations; of the phrases only those without a lemma of their own are looked for.
+    """
+    by_lemma = F.create_map(*[F.lit(x) for p, ws in K.TRIGGER_LEMMAS.items() for w in ws for x in (w, p)])
+    words = _window_lemmas(tokens, window)
+    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    more = [F.when(line.contains(f" {t} "), F.lit(p)) for p, ts in K.TRIGGER_PHRASES.items() for t in ts if not set(t.split()) & set(K.TRIGGER_LEMMAS[p])]
+    return F.sort_array(F.array_distinct(F.array_compact(F.concat(F.transform(words, lambda w: F.try_element_at(by_lemma, w)), F.array(*more)))))
+
+
+def trigger_words(tokens: Column, window: Column, predicate: str) -> Column:
+    """The lemmas and phrases of one relation that occur in the window, sorted."""
+    line = F.concat(F.lit(" "), F.array_join(_window_lemmas(tokens, window), " "), F.lit(" "))
+    every = sorted({*K.TRIGGER_LEMMAS.get(predicate, ()), *K.TRIGGER_PHRASES.get(predicate, ())})
+    return F.array_compact(F.array(*[F.when(line.contains(f" {t} "), F.lit(t)) for t in every])) if every else F.array().cast("array<string>")
 
 
 def label_fold(relations: Column, exact: Column, bridge: Column, local: Column, sentence: Column, reasons: Column) -> Column:
@@ -145,14 +172,21 @@ def bags(candidates: DataFrame, most: int = K.BAG_EVIDENCE) -> DataFrame:
 def downsample_na(bag_table: DataFrame, ratio: float = 3.0, seed: str = "42") -> DataFrame:
     """Keeps all bags with a relation and, in order of a hash, at most `ratio` times as many without."""
     na = F.col("labels") == F.array(F.lit("NA"))
-    n_pos = bag_table.filter(~na).count()
-    keep = max(1, int(n_pos * ratio))
+    keep = max(1, int(bag_table.filter(~na).count() * ratio))
     hashed = bag_table.filter(na).withColumn("_h", F.md5(F.concat(F.lit(seed), "bag_id")))
-    n_na = hashed.count()
-    if n_na <= keep:
+    # the cut lies in one of 65,536 ranges of the hash, found by counting; only that range is sorted
+    counts = sorted((r._p, r["count"]) for r in hashed.groupBy(F.left("_h", F.lit(4)).alias("_p")).count().collect())
+    edge, below = None, 0
+    for part, n in counts:
+        if below + n > keep:
+            edge = part
+            break
+        below += n
+    if edge is None:
         return bag_table
-    # the cut is a quantile of the hash, found without sorting the bags on one node
-    return bag_table.filter(~na).unionByName(hashed.orderBy("_h").limit(keep).drop("_h"))
+    part = F.left("_h", F.lit(4))
+    within = hashed.filter(part == edge).orderBy("_h", "bag_id").limit(keep - below)
+    return bag_table.filter(~na).unionByName(hashed.filter(part < edge).unionByName(within).drop("_h"))
 
 
 def class_weights(bag_table: DataFrame) -> DataFrame:
@@ -173,10 +207,7 @@ def vocabulary(texts: DataFrame, least: int = 1, lower: bool = True) -> DataFram
     t = texts.select(F.explode("tokens").alias("token"))
     t = t.withColumn("token", F.lower("token")) if lower else t
     kept = t.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    from pyspark.sql import Window as W
-
-    # vocabulary sizes grow with the logarithm of the corpus; the window runs over words, not rows
-    return kept.withColumn("id", F.row_number().over(W.orderBy("token")) + 1).select("token", "n", "id")
+    return numbered(kept, "token", "id", 2).select("token", "n", "id")
 
 
 def pair_features(tokens: Column, s_start: Column, o_start: Column, clip: int = 40) -> Column:

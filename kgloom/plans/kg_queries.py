@@ -112,7 +112,7 @@ def two_hop(spark, d):
 
 
 def adjacency_sets(spark, d):
-    return graph.adjacency(table(spark, d, "claims")).select("id", F.array_join("neighbours", ",").alias("neighbours"))
+    return graph.adjacency(table(spark, d, "claims"))
 
 
 def layer_edges(spark, d):
@@ -154,7 +154,11 @@ def claim_alignment(spark, d):
 
 
 def trigger_matches(spark, d):
-    return facts.trigger_signals(_candidates(spark, d), facts.patterns(spark)).select("candidate_id", F.size("triggers").alias("n_triggers"), F.array_join("triggers", ",").alias("triggers"))
+    c = _t(spark, d, "distant_labeled").filter("subject_entity_id is not null and object_entity_id is not null and predicate is not null")
+    far = X.token_distance(F.col("subject_token_start"), F.col("subject_token_end"), F.col("object_token_start"), F.col("object_token_end"))
+    known = F.col("subject_token_start").isNotNull() & F.col("subject_token_end").isNotNull() & F.col("object_token_start").isNotNull() & F.col("object_token_end").isNotNull()
+    c = c.select("candidate_id", "text", "tokens", "predicate", F.when(known, far).alias("distance"))
+    return facts.trigger_signals(c, facts.patterns(spark)).select("candidate_id", F.size("triggers").alias("n_triggers"), F.array_join("triggers", ",").alias("triggers"))
 
 
 def fact_aggregate(spark, d):
@@ -302,7 +306,7 @@ def text_events(spark, d):
     t = _t(spark, d, "distant_labeled").filter("token_spans is not null")
     span = lambda p: F.struct(F.get(F.get("token_spans", F.col(f"{p}_token_start")), F.lit(0)).alias("s"), F.get(F.get("token_spans", F.col(f"{p}_token_end") - 1), F.lit(1)).alias("e"), F.col(f"{p}_entity_id").alias("entity_id"), X.entity_type(F.col(f"{p}_entity_type")).alias("type"))
     m = t.select("sentence_id", F.explode(F.array(span("subject"), span("object"))).alias("m")).select("sentence_id", "m.*").filter("s is not null and e is not null").distinct()
-    return events.text_events(t.select("sentence_id", "text").distinct(), m)
+    return events.text_events(_t(spark, d, "sentences").filter("text is not null").select("sentence_id", "text"), m)
 
 
 # --- coreference ----------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from kgloom.functions import constants as K
 
 A = "(select distinct on (alias_id) * from aliases)"
@@ -9,9 +11,22 @@ V = "(select distinct on (event_candidate_id) * from verified_events_text)"
 DL = "(select distinct on (candidate_id) * from distant_labeled)"
 S = "(select distinct on (sentence_id) * from sentences)"
 LC = "(select distinct on (claim_id) * from claims order by claim_id, retrieved_at desc)"
-ASCII = "regexp_full_match({0}, '[\\x00-\\x7f]*')"
 COLLAPSE = "trim(regexp_replace({0}, '[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{3000}}]+', ' ', 'g'))"
-NORMAL = COLLAPSE.replace("{0}", "regexp_replace(trim(lower({0})), '''s$', '')")
+
+
+def _compatible() -> str:
+    """A text in compatibility form: single letters by translation, joined ones by replacement, then composition."""
+    one = {chr(c): x for c in range(0xA0, 0xFFFF) if not 0xD800 <= c < 0xE000 and len(x := unicodedata.normalize("NFKC", chr(c))) == 1 and x != unicodedata.normalize("NFC", chr(c))}
+    text = f"translate({{0}}, '{''.join(one)}', '{''.join(one.values()).replace(chr(39), chr(39) * 2).replace('{', '{{').replace('}', '}}')}')"
+    for c in "ﬀﬁﬂﬃﬄﬅﬆĲĳŀŉǄǅǆǇǈǉǊǋǌǱǲǳ…‥№™½¼¾":
+        text = f"replace({text}, '{c}', '{unicodedata.normalize('NFKC', c).replace(chr(39), chr(39) * 2)}')"
+    return f"replace(nfc_normalize({text}), '’', chr(39))"
+
+
+COMPATIBLE = _compatible()
+FOLDED = "replace(replace(lower(" + COMPATIBLE + "), 'ß', 'ss'), 'ς', 'σ')"
+EXACT = COLLAPSE.replace("{0}", COMPATIBLE)
+NORMAL = COLLAPSE.replace("{0}", "regexp_replace(trim(" + FOLDED + "), '''s$', '')")
 
 
 def _list(words) -> str:
@@ -75,42 +90,62 @@ _WIN = f"""(select candidate_id, tokens, greatest(0, least(subject_token_start,
 
 
 def _stem(w: str) -> str:
-    return f"case when {w} like '%ied' and length({w}) > 4 then left({w}, length({w}) - 3) || 'y' when {w} like '%ing' and length({w}) > 5 then left({w}, length({w}) - 3) when {w} like '%ed' and length({w}) > 4 then left({w}, length({w}) - 2) when {w} like '%s' and length({w}) > 3 and {w} not like '%ss' then left({w}, length({w}) - 1) else {w} end"
+    return f"case when {w} like '%ied' and length({w}) > 4 then left({w}, length({w}) - 3) || 'y' when {w} like '%ing' and length({w}) > 6 then left({w}, length({w}) - 3) when {w} like '%ed' and length({w}) > 5 then left({w}, length({w}) - 2) when {w} like '%s' and length({w}) > 4 then left({w}, length({w}) - 1) else {w} end"
 
 
 def _stems(c: str) -> str:
-    return f"list_transform(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9'']+'), lambda w: w <> ''), lambda w: {_stem('w')})"
+    return f"list_transform(regexp_extract_all(lower({c}), '[a-z0-9]+(?:''[a-z0-9]+)?'), lambda w: {_stem('w')})"
+
+
+#: Written out from the original's word lists and the dictionary forms of their words, not from the engine's rules.
+_FORMS = """
+bear bears bearing bore borne born|birth births birthed birthing|die dies died dying dieing|death deaths deathed deathing|dead|study studies studied studying|attend attends attended attending
+educate educates educated educating|graduate graduates graduated graduating|matriculate matriculates matriculated matriculating|work works worked working|join joins joined joining
+serve serves served serving|teach teachs teaches taught teaching|research researches researched researching|employ employs employed employing|appointment appointments appointmented appointmenting
+author authors authored authoring|write writes wrote written writing|publish publishes published publishing|coauthor coauthors coauthored coauthoring|propose proposes proposed proposing
+introduce introduces introduced introducing|devise devises devised devising|formulate formulates formulated formulating|present presents presented presenting|design designs designed designing
+build builds built building|develop develops developed developing|invent invents invented inventing|award awards awarded awarding|receive receives received receiving|win wins won winning
+honor honors honored honoring|elect elects elected electing|locate locates located locating|base bases based basing|situate situates situated situating|pass passes passed passing
+fellow fellows fellowed fellowing|be am is are was were been being"""
+_HELD = {
+    "AUTHORED": "author write publish coauthor", "AWARDED": "award receive win honor elect", "BORN_IN": "bear birth", "DESIGNED": "design build develop invent", "DIED_IN": "die death dead",
+    "LOCATED_IN": "locate base situate", "PROPOSED": "propose introduce devise formulate present", "STUDIED_AT": "study attend educate graduate matriculate", "WORKED_AT": "work join serve teach research employ appointment",
+}
 
 
 def _lemma(w: str) -> str:
-    return _map(f"lower({w})", K.IRREGULAR, _stem(f"lower({w})"))
+    bare = f"regexp_replace(lower(trim({w})), '^[^\\p{{L}}\\p{{N}}\\p{{M}}_]+|[^\\p{{L}}\\p{{N}}\\p{{M}}_]+$', '', 'g')"
+    forms = [line.split() for line in _FORMS.strip().replace("\n", "|").split("|")]
+    cases = " ".join(f"when {bare} in ({_list(f)}) then '{f[0]}'" for f in forms)
+    return f"case {cases} else {bare} end"
 
 
-_HITS = "list_filter([" + ", ".join(f"case when list_has_any(l, [{_list(ws)}]) then '{p}' end" for p, ws in sorted(K.TRIGGER_LEMMAS.items())) + "], lambda x: x is not null)"
+_HITS = "list_filter([" + ", ".join(
+    f"case when list_has_any(l, [{_list(ws.split())}])" + (" or contains(' ' || array_to_string(list_filter(l, lambda x: x <> ''), ' ') || ' ', ' pass away in ')" if p == "DIED_IN" else "") + f" then '{p}' end" for p, ws in _HELD.items()
+) + "], lambda x: x is not null)"
 _TRIGGERS = "(values " + ", ".join(f"('{p}', '{t}')" for p, ts in K.RELATION_PATTERNS.items() for t in ts) + ") as trg(predicate, trigger)"
 _BAGROWS = f"""(select doc_id || '__' || subject_entity_id || '__' || object_entity_id as bag_id, doc_id, sentence_id, subject_mention_id, object_mention_id, coalesce(positive_predicates, []) as labels
   from {DL} where subject_entity_id is not null and object_entity_id is not null and doc_id is not null)"""
 _BAGS = f"""(select bag_id, least({K.BAG_EVIDENCE}, count(distinct (sentence_id, subject_mention_id, object_mention_id))) as n_evidence,
   case when len(list_sort(list_distinct(flatten(list(labels))))) = 0 then ['NA'] else list_sort(list_distinct(flatten(list(labels)))) end as labels from {_BAGROWS} group by 1)"""
 _INDEX = f"""(select distinct kind, key, entity_id from (
-with n as (select distinct entity_id, entity_type, surface from (
+with n as (select distinct entity_id, entity_type, {EXACT.format('surface')} as x from (
   select entity_id, entity_type, unnest([canonical_name, label_en, label_zh]) as surface from entities
-  union all select a.entity_id, entity_type, alias from aliases a join entities using (entity_id) where alias is not null and {ASCII.format('alias')}) where surface is not null)
-select 'exact' as kind, {COLLAPSE.format('surface')} as key, entity_id from n
-union all select 'normalized', {NORMAL.format('surface')}, entity_id from n
-union all select 'surname', lower(string_split({COLLAPSE.format('surface')}, ' ')[-1]), entity_id from n where entity_type = 'PERSON' and len(string_split({COLLAPSE.format('surface')}, ' ')) >= 2
-  and length(string_split({COLLAPSE.format('surface')}, ' ')[-1]) > 2 and regexp_full_match(string_split({COLLAPSE.format('surface')}, ' ')[-1], '\\p{{L}}+')
-union all select 'abbreviation', lower(surface), entity_id from n where entity_type = 'ORGANIZATION' and regexp_full_match(surface, '[A-Z][A-Z0-9-]{{1,7}}')
-union all select 'short_name', lower(x), entity_id from (select *, trim(regexp_replace(surface, '\\s*[,(].*$', '')) as x from n) where entity_type = 'ORGANIZATION' and x <> trim(surface) and x <> ''
-union all select 'place_variant', lower(x), entity_id from (select *, trim(regexp_replace(trim(split_part(surface, ',', 1)), '(?i)\\s+(city|town|district|borough|county|village|bridge)$', '')) as x from n)
-  where entity_type = 'PLACE' and x <> trim(surface) and x <> '') where key <> '')"""
+  union all select a.entity_id, entity_type, alias from aliases a join entities using (entity_id) where alias is not null) where surface is not null),
+k as (
+select 'exact' as kind, x as raw, entity_id from n
+union all select 'normalized', x, entity_id from n
+union all select 'surname', string_split(x, ' ')[-1], entity_id from n where entity_type = 'PERSON' and len(string_split(x, ' ')) >= 2 and length(string_split(x, ' ')[-1]) > 2 and regexp_full_match(string_split(x, ' ')[-1], '\\p{{L}}+')
+union all select 'abbreviation', x, entity_id from n where entity_type = 'ORGANIZATION' and regexp_full_match(x, '[A-Z][A-Z0-9-]{{1,7}}')
+union all select 'short_name', y, entity_id from (select *, trim(regexp_replace(x, '\\s*[,(].*$', '')) as y from n) where entity_type = 'ORGANIZATION' and y <> trim(x) and y <> ''
+union all select 'place_variant', y, entity_id from (select *, trim(regexp_replace(trim(split_part(x, ',', 1)), '(?i)\\s+(city|town|district|borough|county|village|bridge)$', '')) as y from n)
+  where entity_type = 'PLACE' and y <> trim(x) and y <> '')
+select kind, case when kind = 'exact' then raw else {NORMAL.format('raw')} end as key, entity_id from k) where key <> '')"""
 _SCORE = "case kind " + " ".join(f"when '{k}' then {v}" for k, v in K.ALIAS_SCORES.items()) + " end"
 _RECALL = f"""(select mention_id, entity_id, max(sc) as alias_score, max_by(kind, (sc, kind)) as source from (
   select mention_id, entity_id, kind, cast({_SCORE} as double) as sc from (
-    select mention_id, 'exact' as kind, {COLLAPSE.format('text')} as key from mm union all select mention_id, 'normalized', {NORMAL.format('text')} from mm
-    union all select mention_id, 'surname', {NORMAL.format('text')} from mm where type = 'PERSON'
-    union all select mention_id, k, {NORMAL.format('text')} from mm, (values ('abbreviation'), ('short_name')) as kk(k) where type = 'ORGANIZATION'
-    union all select mention_id, 'place_variant', {NORMAL.format('text')} from mm where type = 'PLACE') join {_INDEX} using (kind, key)) group by 1, 2)"""
+    select mention_id, kind, case when kind = 'exact' then {EXACT.format('text')} else {NORMAL.format('text')} end as key from mm, (values ('exact', ''), ('normalized', ''), ('surname', 'PERSON'), ('abbreviation', 'ORGANIZATION'), ('short_name', 'ORGANIZATION'), ('place_variant', 'PLACE')) as kk(kind, only_type)
+    where text is not null and (only_type = '' or only_type = type)) join {_INDEX} using (kind, key)) group by 1, 2)"""
 _WORDS = f"list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]{{2,}}'), lambda x: not list_contains([{_list(K.SIMILARITY_STOP)}], x))"
 _TERMS = f"(select k, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) as term from (select k, {_WORDS} as w from {{0}}))"
 _RUNS = """
@@ -147,7 +182,7 @@ union all select distinct 'confidence_range', 'error', claim_id from claims wher
     "alias_records": f"""
 select distinct on (entity_id, normalized_alias) entity_id, n as normalized_alias, alias, alias_lang from (
   select entity_id, alias, coalesce(alias_lang, '') as alias_lang, alias_id, lower({COLLAPSE.format('alias')}) as n, lower({COLLAPSE.format('canonical_name')}) as c
-  from {A} join entities using (entity_id) where alias is not null and {ASCII.format('alias')}) where n <> '' and n <> c order by entity_id, n, alias_id""".replace("distinct on (entity_id, normalized_alias)", "distinct on (entity_id, n)"),
+  from {A} join entities using (entity_id) where alias is not null) where n <> '' and n <> c order by entity_id, n, alias_id""".replace("distinct on (entity_id, normalized_alias)", "distinct on (entity_id, n)"),
     "grouped_records": f"select entity_id, min_by(alias, case when alias is not null then alias_id end) as alias, coalesce(array_to_string(list_sort(list_distinct(list(alias_lang) filter (alias_lang is not null))), ','), '') as langs from {A} where entity_id is not null group by 1",
     "job_ledger": "select cast(user_id as varchar) as job_key, max_by(event_type, (event_id, event_type)) as status, max(event_id) as updated_at from events group by 1",
     "constraint_counts": "select count(*) filter (coalesce(trim(canonical_name), '') = '') as n_0, count(*) filter (coalesce(trim(label_en), '') = '') as n_1, count(*) filter (coalesce(trim(description_en), '') = '') as n_2, count(*) filter (confidence < 0.5 or confidence > 1.0) as n_3 from entities",
@@ -164,8 +199,9 @@ join (select id, source as a, target as b from e union all select id, target, so
 with recursive e as {EDGES}, u as (select distinct a, b from (select source as a, target as b from e union all select target, source from e)),
 r as (select entity_id as id, 0 as hop from entities where entity_type = 'AWARD' union select b, hop + 1 from r join u on id = a where hop < 2) select id, min(hop) as hop from r group by 1""",
     "adjacency_sets": """
-select id, array_to_string(list_sort(list_distinct(list(n))), ',') as neighbours from (select subject_id as id, object_id as n from claims where subject_id is not null and object_id is not null
-union all select object_id, subject_id from claims where subject_id is not null and object_id is not null) group by 1""",
+with n as (select distinct * from (select subject_id as id, object_id as neighbour from claims where subject_id is not null and object_id is not null
+  union all select object_id, subject_id from claims where subject_id is not null and object_id is not null))
+select id, neighbour, count(*) over (partition by id) as n_neighbours from n""",
     "layer_edges": E + "select id, a.canonical_name as source_name, label, b.canonical_name as target_name from e join entities a on source = a.entity_id join entities b on target = b.entity_id where layer = 'facts'",
     "event_network": E + "select label, count(*) as n, count(distinct source) as n_events from e where layer = 'event' group by 1",
     "type_audit": E + "select upper(regexp_replace(regexp_replace(label, '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g')) as rel_type, layer, count(*) as n from e group by 1, 2",
@@ -179,7 +215,8 @@ from {DL} d left join {_CLAIM_IDS} c on d.subject_entity_id = c.subject_id and d
 where subject_entity_id is not null and object_entity_id is not null and d.predicate is not null""",
     "trigger_matches": f"""
 select candidate_id, cast(len(t) as integer) as n_triggers, array_to_string(t, ',') as triggers from (
-select candidate_id, list_sort(list_distinct(list(trigger))) as t from (select candidate_id, predicate, {_stems('text')} as st from {DL} where subject_entity_id is not null and object_entity_id is not null and predicate is not null and text is not null)
+select candidate_id, list_sort(list_distinct(list(trigger))) as t from (select candidate_id, predicate, case when len(tokens) > 0 then list_transform(tokens, lambda v: {_stem('lower(trim(v))')}) else {_stems('text')} end as st from {DL}
+  where (subject_token_start is null or subject_token_end is null or object_token_start is null or object_token_end is null or greatest(0, object_token_start - subject_token_end, subject_token_start - object_token_end) <= 24) and subject_entity_id is not null and object_entity_id is not null and predicate is not null and text is not null)
 join (select predicate, trigger, {_stems('trigger')} as ts from {_TRIGGERS}) using (predicate)
 where contains(array_to_string(st, ' '), array_to_string(ts, ' ')) or regexp_matches(' ' || array_to_string(st, ' ') || ' ', ' ' || array_to_string(ts, ' (.* )?') || ' ') group by 1)""",
     "fact_aggregate": f"""
@@ -252,9 +289,9 @@ select sentence_id, cast(max(depth) as bigint) as deepest from f group by 1 havi
     "repeated_sentences": f"""
 select doc_id, count(*) as n_kept from (select doc_id, text, lag(text) over (partition by doc_id order by sentence_index_in_doc, sentence_id) as b from {S} where doc_id is not null and text is not null) where b is null or b <> text group by 1""",
     "alias_index_sizes": f"select kind, count(*) as n, count(distinct entity_id) as n_entities from {_INDEX} group by 1",
-    "alias_recall": f"with mm as (select distinct mention_id, text, type from {MENTIONS_ONE} where {ASCII.format('text')}) select mention_id, entity_id, source, alias_score from {_RECALL}",
+    "alias_recall": f"with mm as (select distinct mention_id, text, type from {MENTIONS_ONE}) select mention_id, entity_id, source, alias_score from {_RECALL}",
     "tfidf_recall": f"""
-with et as (select entity_id as k, canonical_name || coalesce(' ' || description_en, '') as text from entities), qt as (select alias_id as k, alias as text from {A} where alias is not null and {ASCII.format('alias')}),
+with et as (select entity_id as k, canonical_name || coalesce(' ' || description_en, '') as text from entities), qt as (select alias_id as k, alias as text from {A} where alias is not null),
 n as (select count(*) as n from et), df as (select term, count(distinct k) as df from {_TERMS.replace('{0}', 'et')} group by 1), idf as (select term, ln((1.0 + n) / (1.0 + df)) + 1.0 as idf from df, n),
 ew as (select k, term, count(*) * max(idf) as w from {_TERMS.replace('{0}', 'et')} join idf using (term) group by 1, 2), qw as (select k, term, count(*) * max(idf) as w from {_TERMS.replace('{0}', 'qt')} join idf using (term) group by 1, 2),
 en as (select k, sqrt(sum(w * w)) as z from ew group by 1), qn as (select k, sqrt(sum(w * w)) as z from qw group by 1),
@@ -305,21 +342,3 @@ with l as (select candidate_id, list_transform(range(len(tokens)), lambda i: {{'
 select candidate_id, array_to_string(list_transform(x, lambda v: case when v.t is null then 'O' when v.p is null or v.p <> v.t then 'B-' || v.t else 'I-' || v.t end), ' ') as legal,
   cast(len(list_filter(x, lambda v: v.t is not null and (v.p is null or v.p <> v.t))) as bigint) as n_illegal from l"""
 _SIM = "list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower({0}), '''s\\b', '', 'g'), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', ' ', 'g')), ' '), lambda w: length(w) > 1 and not list_contains([" + _list(K.SIMILARITY_STOP) + "], w)))"
-_W = K.LINK_WEIGHTS
-_SCORED = f"""(
-with mm as (select distinct mention_id, text, type from {MENTIONS_ONE} where {ASCII.format('text')}), m as (select distinct mention_id, doc_id, sentence_id, text, type from {MENTIONS_ONE} where {ASCII.format('text')}),
-j as (select r.*, m.doc_id, lower(m.text) as surface, len(string_split(m.text, ' ')) as n_words, m.type, en.entity_type, coalesce(en.confidence, 0.75) as prior, {_SIM.format("(canonical_name || coalesce(' ' || description_en, ''))")} as w, {_SIM.format("coalesce(s.text, '')")} as c
-  from {_RECALL} r join m using (mention_id) join entities en on r.entity_id = en.entity_id left join {S} s using (sentence_id)),
-f as (select *, least(1.0, len(list_intersect(c, w)) / greatest(3, least(len(c), len(w)))) as ov, case when type = entity_type then 1.0 when entity_type is null or type is null then 0.45 when type = 'CONCEPT' or entity_type = 'CONCEPT' then 0.3 else 0.0 end as ts from j)
-select mention_id, doc_id, surface, n_words, entity_id, source, cast(ts as double) as type_score, round(greatest(0.0, least(1.0, {_W['alias']} * alias_score + {_W['context']} * ov + {_W['type']} * ts + {_W['mention']} * 0.5 + {_W['prior']} * prior)), 6) as local from f)"""
-SQL["link_scored"] = f"select distinct mention_id, doc_id, entity_id, source, cast(local as double) as local, type_score from {_SCORED}"
-SQL["link_decisions"] = f"""
-with s as (select distinct * from {_SCORED}), t as (select *, row_number() over (partition by mention_id order by local desc, entity_id) as n from s),
-an as (select doc_id, entity_id, count(*) as k from t where n = 1 and local >= {K.ANCHOR_SCORE} group by 1, 2),
-ex as (select doc_id, surface, max_by(entity_id, (entity_id, mention_id)) as xe from t where n = 1 and source = 'exact' and local >= {K.LINK_REVIEW} group by 1, 2),
-c as (select s.*, round(least(1.0, local + least({K.SUPPORT_CAP}, (case when xe = s.entity_id then {K.SUPPORT_SURFACE} else 0.0 end) + least({K.SUPPORT_ANCHOR_CAP}, {K.SUPPORT_ANCHOR} * coalesce(k, 0)))), 6) as lc from s left join an using (doc_id, entity_id) left join ex using (doc_id, surface)),
-r as (select *, row_number() over w as n, lead(lc) over w as second from c window w as (partition by mention_id order by lc desc, entity_id)),
-d as (select *, lc - coalesce(second, 0.0) as mg from r where n = 1),
-e as (select *, case when lc >= (case when source = 'exact' and type_score = 1.0 and mg >= 0.2 then {K.LINK_EASY} when n_words > 1 then {K.LINK_MULTI} else {K.LINK_SINGLE} end) then 'LINKED' when lc >= {K.LINK_REVIEW} then 'REVIEW' else 'NIL' end as pl from d),
-f as (select *, case when second is not null and mg < {K.LINK_MARGIN} and lc >= {K.LINK_REVIEW} then 'REVIEW' when type_score = 0 and pl = 'LINKED' then 'REVIEW' else pl end as decision from e)
-select mention_id, case when decision = 'LINKED' then entity_id end as entity_id, cast(lc as double) as link_confidence, round(cast(mg as double), 6) as margin, decision from f"""

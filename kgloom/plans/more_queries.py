@@ -131,7 +131,7 @@ select sentence_id, source_id from (select s.*, row_number() over (partition by
     "candidate_strengths": f"""
 with w as (select candidate_id, tokens, ws, we from {S._WIN}),
 h as (select candidate_id, list_transform(tokens[ws + 1:greatest(we, ws)], lambda w: {S._lemma('w')}) as l, list_transform(tokens, lambda w: {S._lemma('w')}) as a from w),
-g as (select candidate_id, (select 1) as one, {S._HITS} as lh, {S._HITS.replace('list_has_any(l,', 'list_has_any(a,')} as ah from h)
+g as (select candidate_id, (select 1) as one, {S._HITS} as lh, {S._HITS.replace('list_has_any(l,', 'list_has_any(a,').replace('list_filter(l,', 'list_filter(a,')} as ah from h)
 select candidate_id, case when list_contains(lh, predicate) and st then 'strong' when list_contains(lh, predicate) or st then 'medium' when list_contains(ah, predicate) then 'weak' else 'unknown' end as strength
 from (select candidate_id, predicate, coalesce(exact_claim_match, false) or list_contains(coalesce(bridge_predicates, []), predicate) as st from {S.DL} where predicate is not null) join g using (candidate_id)""",
     "entity_profiles": """

@@ -122,7 +122,8 @@ def alias_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def time_mentions(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "sentences").dropDuplicates(["sentence_id"])
+    # every time expression holds a year: sentences without four digits in a row never reach Python
+    s = table(spark, d, "sentences").select("sentence_id", "text").filter(F.col("text").rlike(r"(?U)\d{4}")).distinct()
     return s.select("sentence_id", F.posexplode(time_mentions_udf("text")).alias("pos", "t")).select("sentence_id", "pos", "t.*")
 
 
@@ -151,7 +152,7 @@ _PRED = "upper(regexp_replace(trim({0}), '[- ]', '_', 'g'))".format("predicate")
 _ALIAS = "case " + " ".join(f"when {_PRED} = '{a}' then '{b}'" for a, b in K.PREDICATE_ALIASES.items()) + f" else {_PRED} end"
 _TYPE = lambda c: "coalesce(case " + " ".join(f"when upper(trim({c})) = '{a}' then '{b}'" for a, b in K.LABEL_TO_TYPE.items()) + " end, 'CONCEPT')"
 _SIM = "list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower({0}), '''s\\b', '', 'g'), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', ' ', 'g')), ' '), lambda w: length(w) > 1 and not list_contains([" + _list(K.SIMILARITY_STOP) + "], w)))"
-_STEM = "case when w like '%ied' and length(w) > 4 then left(w, length(w) - 3) || 'y' when w like '%ing' and length(w) > 5 then left(w, length(w) - 3) when w like '%ed' and length(w) > 4 then left(w, length(w) - 2) when w like '%s' and length(w) > 3 and w not like '%ss' then left(w, length(w) - 1) else w end"
+_STEM = "case when w like '%ied' and length(w) > 4 then left(w, length(w) - 3) || 'y' when w like '%ing' and length(w) > 6 then left(w, length(w) - 3) when w like '%ed' and length(w) > 5 then left(w, length(w) - 2) when w like '%s' and length(w) > 4 then left(w, length(w) - 1) else w end"
 _FLAT = f"(select sentence_id, unnest({_TOKENS}) as token from sentences where text is not null)"
 
 SQL = {
@@ -189,9 +190,11 @@ from (select *, trim(regexp_replace(trim(split_part(canonical_name, ',', 1)), '(
     "predicate_counts": f"select coalesce({_ALIAS}, 'UNKNOWN') as predicate, count(*) as n from claims group by 1",
     "normal_type_counts": f"select {_TYPE('subject_entity_type')} as subject_type, {_TYPE('object_entity_type')} as object_type, count(*) as n from distant_labeled group by 1, 2",
     "claim_times": r"""
-select distinct claim_id, case when substr(r, 6, 2) = '00' or substr(r, 9, 2) = '00' then left(r, 4) else left(r, 10) end as start_time
-from (select claim_id, regexp_replace(json_extract_string(try_cast(qualifiers_json as json), '$.start_time'), '^[+-]', '') as r from claims where qualifiers_json like '{"%' and try_cast(qualifiers_json as json) is not null)
-where regexp_matches(r, '^\d{4}-\d{2}-\d{2}')""",
+with c as (select distinct claim_id, case when json_valid(qualifiers_json) then case when json_type(qualifiers_json) = 'VARCHAR' and json_valid(json_extract_string(qualifiers_json, '$')) then json_extract_string(qualifiers_json, '$') else qualifiers_json end end as j from claims),
+t as (select claim_id, trim(json_extract_string(t.value, '$')) as v from (select * from c where j is not null) c, json_tree(c.j) t
+  where t.type in ('VARCHAR', 'BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') and regexp_matches(t.fullkey, '\.start_time(\[\d+\])*(\.(value|time)(\[\d+\])*)*$'))
+select distinct claim_id, case when not regexp_matches(v, '^[+-]?\d{4}-\d{2}-\d{2}') then v when substr(ltrim(v, '+-'), 6, 2) = '00' or substr(ltrim(v, '+-'), 9, 2) = '00' then left(ltrim(v, '+-'), 4) else left(ltrim(v, '+-'), 10) end as start_time
+from t where v <> ''""",
     "claim_stable_ids": "select distinct claim_id, 'fact::' || left(sha1(coalesce(subject_id, '') || '||' || coalesce(predicate, '') || '||' || coalesce(object_id, '')), 20) as edge_id from claims",
     "alias_similarity": f"""
 select alias_id, round(case when len(list_distinct(list_concat(a, b))) = 0 then 0.0 else len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) end, 6) as similarity
