@@ -73,8 +73,9 @@ _HINTS = {
     "footer": tuple("©|rights|rechte|droits|derechos|版权|права|terms|accessib|nutzung|datenschutz|impressum|mentions|conditions|aviso|使用条款|условия|charity|gemeinn".split("|")),
     "site": tuple("volunteer|archiv|bénévole|доброволь|志愿".split("|")),
 }
-#: (test, words one of which each match holds); rules bound to the start of an element are tried there only.
-_RULES = [(re.compile(v, re.I).match if v.startswith("^(?:") and k != "footer" else re.compile(v, re.I).search, _HINTS.get(k, ())) for k, v in TOKENS.items()]
+#: Rules bound to the start of an element, as one; the others with words one of which each match holds.
+_STARTS = re.compile("|".join(f"(?P<{k}>{v})" for k, v in TOKENS.items() if v.startswith("^(?:") and k != "footer"), re.I)
+_RULES = [(k, re.compile(TOKENS[k], re.I).search, h) for k, h in _HINTS.items()]
 _CUT = re.compile(r"\s*[|/·>»›•→]\s*|\s{2,}|\t")
 _MARK = re.compile(r"[.!?。！？।።؟;…]+[\"'”»」’)\]]*$")
 _INNER = re.compile(r"[.!?。！？।።؟][\"'”»」’)\]]*(?:\s|(?=[^\W\da-z]))")
@@ -123,14 +124,13 @@ def attributes(text: str, low: str) -> tuple[int, float, float, int]:
             parts = [p for p in _CUT.split(low) if p]
             break
     menu = sum([p in MENU for p in parts]) / len(parts) if parts else 0.0
-    best, share, sentences = -1, 0.0, None
-    for k, (rule, hints) in enumerate(_RULES):
+    best, share, sentences = "", 0.0, None
+    for k, rule, hints in _RULES:
         for h in hints:
             if h in low:
                 break
         else:
-            if hints:
-                continue
+            continue
         if not rule(text):
             continue
         if sentences is None:
@@ -138,16 +138,20 @@ def attributes(text: str, low: str) -> tuple[int, float, float, int]:
         own = max(1, sum([bool(rule(x)) for x in sentences])) / max(1, len(sentences))
         if own > share:
             best, share = k, own
-    return best, share, menu, len(parts)
+    m = _STARTS.match(text)
+    if m is not None:
+        own = 1 / max(1, len(sentences if sentences is not None else [x for x in _SENTENCE.split(text) if x]))
+        if own > share:
+            best, share = m.lastgroup, own
+    return CLASSES.index(best) if best else -1, share, menu, len(parts)
 
 
 def tokens(low: str) -> list[str]:
-    """Words of a text in lower case; of scripts without spaces, pairs of characters."""
-    found = _TOKEN.findall(low)
+    """Words of a text in lower case as they stand between blanks; of scripts without spaces, pairs of characters."""
     if not _WIDE.search(low):
-        return found
+        return low.split()
     out = []
-    for w in found:
+    for w in _TOKEN.findall(low):
         if len(w) > 2 and _WIDE.match(w):
             out += [w[i : i + 2] for i in range(len(w) - 1)]
         else:
@@ -184,8 +188,8 @@ class Odds:
         if not ws:
             return 0.0, 0.0, 0.0
         get = self.of.get
-        values = [get(w, 0.0) for w in ws]
-        return sum(values) / len(values), max(values), values[0]
+        known = [v for v in map(get, ws) if v is not None]
+        return sum(known) / len(ws), max(known, default=0.0), get(ws[0], 0.0)
 
 
 def own_features(text: str, odds: Odds) -> tuple[float, ...]:
@@ -420,7 +424,9 @@ class Model:
 
 # --- labels ---------------------------------------------------------------------------
 def _mask(c: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " "))), r"\p{N}+", "0")
+    """A leaf with its case and digits masked; a long one as it stands."""
+    t = F.trim(c)
+    return F.when(F.length(t) < 3 * LONG, F.translate(F.lower(t), "123456789", "000000000")).otherwise(t)
 
 
 def _leaves(text: Column, wrapped: Column) -> Column:
@@ -428,16 +434,19 @@ def _leaves(text: Column, wrapped: Column) -> Column:
 
 
 def _long(x: Column) -> Column:
-    """As in `Pages`, without the fixed words."""
-    return (F.length(x) >= LONG) | ((F.length(x) >= 40) & x.rlike(r"[.!?。！？।።؟;][\"'”»」’)\]]*\s*$")) | ((F.length(x) >= 18) & x.rlike(r"[。！？]\s*$"))
+    """As in `Pages`, without the fixed words; a closing mark counts like what it closes."""
+    last = F.right(F.rtrim(x), F.lit(1))
+    return (F.length(x) >= LONG) | ((F.length(x) >= 40) & last.isin(*".!?。！？।።؟;\"”»’)]")) | ((F.length(x) >= 18) & last.isin(*"。！？"))
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
     """doc_id, site and one struct (h, edge) for each leaf, one for the title and one for the page itself (h 0)."""
-    rows = rows.withColumn("e", _leaves(F.col("clean_text"), F.coalesce(F.col("source_type") == "pdf", F.lit(False))))
-    size = F.transform("e", lambda x, i: F.when(_long(x), i))
-    rows = rows.withColumns({"lo": F.coalesce(F.array_min(size), F.size("e")), "hi": F.coalesce(F.array_max(size), F.lit(-1))})
-    leaf = F.transform("e", lambda x, i: F.struct(F.xxhash64(_mask(x)).alias("h"), ((i < F.col("lo")) | (i > F.col("hi"))).cast("int").alias("edge")))
+    # each explode of one value is computed once, not again wherever it is used below
+    rows = rows.select("doc_id", "site", "title", F.explode(F.array(_leaves(F.col("clean_text"), F.coalesce(F.col("source_type") == "pdf", F.lit(False))))).alias("e"))
+    at = F.filter(F.transform("e", lambda x, i: F.when(_long(x), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("at", F.explode(F.array(at)))
+    rows = rows.withColumn("b", F.explode(F.array(F.struct(F.coalesce(F.get("at", F.lit(0)), F.size("e")).alias("lo"), F.coalesce(F.get("at", F.size("at") - 1), F.lit(-1)).alias("hi")))))
+    leaf = F.transform("e", lambda x, i: F.struct(F.xxhash64(_mask(x)).alias("h"), ((i < F.col("b.lo")) | (i > F.col("b.hi"))).cast("int").alias("edge")))
     title = F.struct(F.xxhash64(F.lit("title"), _mask(F.coalesce("title", F.lit("")))).alias("h"), F.lit(0).alias("edge"))
     page = F.struct(F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("edge"))
     return rows.select("doc_id", "site", F.explode(F.concat(leaf, F.array(title, page))).alias("o")).select("doc_id", "site", "o.h", "o.edge")

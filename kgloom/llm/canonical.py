@@ -201,7 +201,8 @@ class Matcher:
                 self.squeeze_grams[g].append(x)
         self.near_memo: dict[str, dict[str, int]] = {}
         self.short_memo: dict[str, frozenset[str]] = {}
-        self.memo: dict[str, tuple] = {}
+        self.memo: dict[str, str] = {}
+        self.parts_memo: dict[str, tuple] = {}
 
     def near(self, word: str) -> dict[str, int]:
         """Words of the list close to this one, with their distance."""
@@ -234,16 +235,26 @@ class Matcher:
                 self.short_memo[word] = got
         return got
 
+    def meant(self, value: str) -> str:
+        """The entity meant, where this block is the whole list."""
+        got = self.memo.get(value)
+        if got is None:
+            ws = words(clean(value))
+            got = decide(ws, [self._parts(value)])
+            if len(self.memo) < MEMO:
+                self.memo[value] = got
+        return got
+
     def parts(self, value: str) -> tuple:
         """What this block finds of a value: (entities of that name, embedded mentions, similar ones and their cost, run-together ones and theirs).
 
         Of each kind at most two entities are named, as two are a tie already.
         """
-        got = self.memo.get(value)
+        got = self.parts_memo.get(value)
         if got is None:
             got = self._parts(value)
-            if len(self.memo) < MEMO:
-                self.memo[value] = got
+            if len(self.parts_memo) < MEMO:
+                self.parts_memo[value] = got
         return got
 
     def _named(self, ks) -> list[str]:
@@ -363,9 +374,9 @@ class Matcher:
         most = 2 if len(s) >= 10 else 1
         for x, n in votes.items():
             # an edit spoils four grams at most, a swap five
-            if n >= len(s) - 3 - 5 * most and abs(len(x) - len(s)) <= most and (d := distance(s, x, most)) <= most:
-                ks = {k for k in self.squeezed[x] if len(self.words[k]) != len(ws)}
-                if ks:
+            if n >= len(s) - 3 - 5 * most and abs(len(x) - len(s)) <= most:
+                ks = {k for k in self.squeezed[x] if len(self.words[k]) != len(ws)}  # of as many words it isn't run together
+                if ks and (d := distance(s, x, most)) <= most:
                     best[4 * d + 1] |= ks
         return (min(best), self._named(best[min(best)])) if best else (None, [])
 
@@ -392,9 +403,8 @@ def embedded(ws: list[str], spans: list[tuple]) -> set[str]:
     return chosen[0][0] if fits else set()
 
 
-def decide(value: str, found: list[tuple]) -> str:
-    """The entity meant, by what the blocks of the list found; the same for one block and for many."""
-    ws = words(clean(value))
+def decide(ws: list[str], found: list[tuple]) -> str:
+    """The entity meant by these words, by what the blocks of the list found; the same for one block and for many."""
     hit = {x for f in found for x in f[0]} or (embedded(ws, [s for f in found for s in f[1]]) if ws else set())
     if len(hit) == 1:
         return hit.pop()
@@ -438,7 +448,7 @@ def match_udf(shared: _Shared):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = _matcher(shared)
         for values in batches:
-            yield pd.Series([decide(v, [m.parts(v)]) for v in values], dtype=object)
+            yield pd.Series([m.meant(v) for v in values], dtype=object)
 
     return run
 
@@ -470,7 +480,7 @@ def _decided(value: pd.Series, found: pd.Series) -> pd.Series:
         spans = [(s["a"], s["n"], list(s["ids"]), s["alone"]) for s in p["spans"]]
         return list(p["exact"]), spans, p["cost"], list(p["similar"]), p["run"], list(p["together"])
 
-    return pd.Series([decide(v, [plain_parts(p) for p in f]) for v, f in zip(value, found)], dtype=object)
+    return pd.Series([decide(words(clean(v)), [plain_parts(p) for p in f]) for v, f in zip(value, found)], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
