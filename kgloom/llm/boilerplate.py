@@ -424,9 +424,9 @@ class Model:
 
 # --- labels ---------------------------------------------------------------------------
 def _mask(c: Column) -> Column:
-    """A leaf with its case and digits masked; a long one as it stands."""
+    """A leaf with its case and digits masked, without blanks; a long one as it stands."""
     t = F.trim(c)
-    return F.when(F.length(t) < 3 * LONG, F.translate(F.lower(t), "123456789", "000000000")).otherwise(t)
+    return F.when(F.length(t) < 3 * LONG, F.translate(F.lower(t), "123456789 \n\r\t", "000000000")).otherwise(t)
 
 
 def _leaves(text: Column, wrapped: Column) -> Column:
@@ -489,7 +489,7 @@ def label(pages: Pages, hashes: list[list[int] | None], links: list[list[int] |
             elif recurs and (n >= COMMON * pages_of_site if pages.sized[i] else edge >= EDGE or n >= MOST * pages_of_site):
                 y = 1
             elif recurs and edge < INNER:
-                y = -1 if pages.worded[i] else 0
+                y = 1 if pages.worded[i] else 0
             elif pages.worded[i]:
                 y = 1
             elif text.endswith("…") or pages.since[i] <= 6:
