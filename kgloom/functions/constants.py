@@ -155,8 +155,23 @@ ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "st", "vs", "etc", "e.g", "i.e
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 TAIL_TITLES = ("references", "external links", "see also", "notes", "citations", "bibliography", "further reading", "sources", "works cited", "参考文献", "外部链接", "延伸阅读", "注释")
 NOISE_WORDS = ("nav", "navbar", "menu", "breadcrumb", "footer", "sidebar", "advert", "cookie", "subscribe", "newsletter", "related", "comment", "share", "social", "promo", "banner")
+#: Always dropped, whatever they hold; navigation only within a header.
 NOISE_TAGS = ("script", "style", "noscript", "iframe", "svg", "canvas", "form", "button", "footer", "aside")
 NOISE_CLASSES = ("navbox", "metadata", "reference", "references", "reflist", "infobox", "toc", "mw-editsection", "sidebar", "advert", "ads", "cookie-banner")
+HIDDEN_STYLES = ("display:none", "visibility:hidden", "opacity:0")
+PROTECTED_TAGS = ("article", "main", "section")
+DISCARDED_STARTS = ("Jump up to:", "Archived from the original", "Retrieved ")
+#: Patterns of references, marks and numbered contents.
+LEADING_REFERENCES = r"^(?:\[\s*\d+(?:\s*[-–]\s*\d+)?\s*\]\s*)+(?=(?:[A-Z\"'“‘(]|\Z))"
+TRAILING_REFERENCES = r"([,.;:!?%)\]}\"'”’])\s*(?:\[\s*\d+(?:\s*[-–]\s*\d+)?\s*\]\s*)+(?=(?:\s|$))"
+ONLY_REFERENCES = r"^(?:\[\s*\d+(?:\s*[-,–]\s*\d+)?\s*\]\s*)+$"
+NUMBERED = r"\b\d+(?:\.\d+)+\b"
+SECTION_PREFIX = r"^\s*(?:chapter|section|part)?\s*(?:\d+(?:\.\d+)*|[ivxlcdm]+)[.)]?\s+"
+#: Starts and marks of sentences without content.
+SKIPPED_STARTS = ("Retrieved ", "Archived from the original", "^", "Author:", "Useful Links", "Related articles", "Other on-line publications")
+SOURCE_MARKS = ("ISBN", "doi", "Vol.", "pp.", "BBC News", "The Guardian")
+#: Single letters that are words or names of their own.
+LETTER_WORDS, LETTER_NAMES = ("a", "A", "i", "I"), ("A", "B", "C", "I", "Q", "X", "Y")
 CONTENT_CLASSES = ("mw-parser-output", "article-body", "entry-content", "post-content", "content", "main-content")
 CONTENT_IDS = ("content", "main-content", "mw-content-text")
 BLOCK_TAGS = ("p", "li", "blockquote", "h1", "h2", "h3", "h4", "article", "section")

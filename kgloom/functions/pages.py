@@ -1,9 +1,11 @@
 """Main text of HTML pages, on a small tree made by the standard parser.
 
-Noise (scripts, navigation, notices, hidden nodes) is pruned, the container with the best
-text score is taken (the first of equals), its blocks are written out, and a tail of
-references is cut. Null and empty pages give null and empty texts; broken markup is closed
-at the end.
+Noise is pruned: scripts, notices and the like by tag and class, other nodes by words in their
+names unless they look like a container of text, and hidden nodes. Of the content containers
+and the body the one with the best score of its blocks is taken (the first of equals), without
+a tail of references and without a long preface before numbered chapters. Null pages give
+null, empty ones empty texts; broken markup is closed at the end; a page without any block
+gives all its text.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import types as T
 from kgloom.functions import constants as K
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_PUNCTUATION = re.compile(r"[.!?;:,，。！？；：]")
+_LEADING, _TRAILING, _ONLY, _NUMBERED = (re.compile(x) for x in (K.LEADING_REFERENCES, K.TRAILING_REFERENCES, K.ONLY_REFERENCES, K.NUMBERED))
 
 
 class Node:
@@ -27,16 +30,18 @@ class Node:
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
-    def text(self) -> str:
+    def text(self, between: str = " ") -> str:
+        """The pieces of text below, without outer blanks."""
         out: list[str] = []
         stack: list = [self]
         while stack:
             x = stack.pop()
             if isinstance(x, str):
-                out.append(x)
+                if x := x.strip():
+                    out.append(x)
             else:
                 stack.extend(reversed(x.children))
-        return re.sub(r"\s+", " ", "".join(out)).strip()
+        return between.join(out)
 
     def walk(self):
         stack: list = [self]
@@ -76,58 +81,120 @@ def parse(html: str) -> Node:
     return b.root
 
 
-def _content(node: Node) -> bool:
-    classes = node.attrs.get("class", "").lower().split()
-    return node.tag in ("article", "main") or node.attrs.get("role") == "main" or any(c in K.CONTENT_CLASSES for c in classes) or node.attrs.get("id", "").lower() in K.CONTENT_IDS
+def page_space(text: str) -> str:
+    """Plain spaces, runs of blanks as one, at most one empty line."""
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t\r\f\v]+", " ", text.replace("\xa0", " "))).strip()
 
 
-def is_noise(node: Node) -> bool:
-    a = node.attrs
-    if node.tag in K.NOISE_TAGS or "hidden" in a or a.get("aria-hidden") == "true" or _HIDDEN.search(a.get("style", "")):
+def _content(node: Node) -> int:
+    """The place of a content container in the order they are tried, or -1."""
+    classes, role, name = node.attrs.get("class", "").split(), node.attrs.get("role"), node.attrs.get("id")
+    tests = [node.tag == "article", node.tag == "main", role == "main", *[c in classes for c in K.CONTENT_CLASSES], *[name == i for i in K.CONTENT_IDS]]
+    return tests.index(True) if True in tests else -1
+
+
+def _holds_text(node: Node) -> bool:
+    """Whether a node looks like a container of text, whatever its name says."""
+    if node.tag in K.PROTECTED_TAGS:
+        return True
+    tags = [x.tag for x in node.walk() if x is not node]
+    paragraphs = tags.count("p")
+    return paragraphs >= 3 or (paragraphs >= 1 and any(t in ("h1", "h2", "h3") for t in tags))
+
+
+def _certain_noise(node: Node) -> bool:
+    if node.tag in K.NOISE_TAGS or any(c in K.NOISE_CLASSES for c in node.attrs.get("class", "").split()):
         return True
-    if node.tag in ("article", "main", "section", "body", "html", "root") or _content(node):
+    if node.tag != "nav":
         return False
-    names = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')} {a.get('aria-label', '')}".lower()
-    return any(c in K.NOISE_CLASSES for c in names.split()) or any(w in names for w in K.NOISE_WORDS) or node.tag == "nav"
+    up = node.parent
+    while up is not None and up.tag != "header":
+        up = up.parent
+    return up is not None
+
 
+def is_noise(node: Node) -> bool:
+    """Whether names or styles give a node away as no part of the text."""
+    a = node.attrs
+    names = [v.lower() for k in ("id", "class", "role", "aria-label") for v in (a.get(k, "").split() if k == "class" else [a.get(k, "")])]
+    if any(w in n for n in names for w in K.NOISE_WORDS):
+        return not _holds_text(node)
+    style = re.sub(r"\s+", "", a.get("style", "").lower())
+    return "hidden" in a or a.get("aria-hidden") == "true" or any(x in style for x in K.HIDDEN_STYLES)
 
-def prune(node: Node) -> None:
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        x.children = [c for c in x.children if isinstance(c, str) or not is_noise(c)]
-        stack.extend(c for c in x.children if isinstance(c, Node))
 
+def prune(root: Node) -> None:
+    """Drops the noise: the certain first, then the rest from the top down."""
+    for test in (_certain_noise, is_noise):
+        stack = [root]
+        while stack:
+            x = stack.pop()
+            for c in [c for c in x.children if isinstance(c, Node)]:
+                if test(c):
+                    x.children.remove(c)
+            stack.extend(c for c in reversed(x.children) if isinstance(c, Node))
 
-def blocks(node: Node) -> list[tuple[str, str]]:
-    """(tag, text) of the text blocks below a node; list items of 24 letters and more; no repeat of the one before."""
-    out: list[tuple[str, str]] = []
+
+def line_form(text: str) -> str:
+    """A block without reference marks and without blanks before or after marks."""
+    t = _TRAILING.sub(r"\1", _LEADING.sub("", page_space(text)))
+    t = re.sub(r"([(\[{“‘])\s+", r"\1", re.sub(r"\s+([,.;:!?%)\]}”’])", r"\1", t))
+    return t.strip(" -|")
+
+
+def contents_like(text: str) -> bool:
+    """Whether a block is a line or table of contents."""
+    marks = len(_PUNCTUATION.findall(text))
+    if len(_NUMBERED.findall(text)) >= 2:
+        return marks <= 2
+    return re.match(r"^\d+(?:\.\d+)*\s+\S", text) is not None and len(text) <= 160 and marks == 0
+
+
+def blocks(node: Node) -> list[str]:
+    """The texts of the blocks below a node that say something; list items of 24 letters and more; no repeat of the one before."""
+    out: list[str] = []
     for x in node.walk():
-        if x.tag not in K.BLOCK_TAGS or (x.tag in ("article", "section") and any(isinstance(c, Node) and any(y.tag in K.BLOCK_TAGS for y in c.walk()) for c in x.children)):
+        if x is node or x.tag not in K.BLOCK_TAGS:
             continue
-        t = x.text()
-        if t and not (x.tag == "li" and len(t) < 24) and not (out and out[-1][1] == t):
-            out.append((x.tag, t))
+        t = line_form(x.text())
+        empty = not t or _ONLY.fullmatch(t) or contents_like(t) or t.startswith(K.DISCARDED_STARTS) or (x.tag == "li" and len(t) < 24)
+        if not empty and not (out and out[-1] == t):
+            out.append(t)
     return out
 
 
+def _body_of(found: list[str]) -> list[str]:
+    """Blocks without a tail of references, and without a preface of eight or more before five numbered chapters."""
+    said = False
+    for i, t in enumerate(found):
+        title = re.sub(r"^[^a-z一-鿿]+|[^a-z一-鿿]+$", "", page_space(t).lower())
+        if i >= 2 and said and title in K.TAIL_TITLES:
+            found = found[:i]
+            break
+        said = said or len(t) >= 40 or _PUNCTUATION.search(t) is not None
+    chapters = [i for i, t in enumerate(found) if re.match(r"^\d+\.\s+\S", t)]
+    return found[chapters[0] :] if len(chapters) >= 5 and chapters[0] >= 8 else found
+
+
+def _score(found: list[str]) -> int:
+    text = "\n".join(found)
+    return len(text) + 6 * len(_PUNCTUATION.findall(text)) + 8 * sum(len(t) >= 80 for t in found)
+
+
 def main_text(html: str | None) -> str | None:
     if html is None:
         return None
     root = parse(html)
     prune(root)
-    best, top = None, -1
-    for node in [n for n in root.walk() if _content(n)] or [root]:
-        found = blocks(node)
-        score = sum(len(t) for _, t in found) + 40 * len(found)
-        if score > top:
-            best, top = found, score
-    kept: list[str] = []
-    for tag, t in best or []:
-        if tag in ("h1", "h2", "h3", "h4") and t.lower().rstrip(":") in K.TAIL_TITLES and kept:
-            break
-        kept.append(t)
-    return "\n\n".join(kept)
+    nodes = list(root.walk())
+    body = next((i for i, x in enumerate(nodes) if x.tag == "body"), 0)  # a page without a body is one
+    tried = sorted((k, i) for i, x in enumerate(nodes) if (k := _content(x)) >= 0) + [(99, body)]
+    best, top = "", -1
+    for _, i in tried:
+        found = _body_of(blocks(nodes[i]))
+        if (score := _score(found)) > top:
+            best, top = "\n\n".join(found), score
+    return page_space(best or root.text("\n"))
 
 
 @F.pandas_udf(T.StringType())

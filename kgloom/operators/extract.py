@@ -40,7 +40,7 @@ def candidates_of_pairs(pairs: DataFrame, claims: DataFrame) -> DataFrame:
     weak = F.coalesce("s_resolution", F.lit("")).isin("unresolved", "") | F.coalesce("o_resolution", F.lit("")).isin("unresolved", "")
     none = F.lit(None).cast("struct<name:string,score:double>")
     one = lambda n, s: F.struct(F.lit(n).alias("name"), F.lit(s).alias("score"))
-    signals = F.array_compact(F.array(F.when(F.col("local"), one("pattern", 0.35)).otherwise(none), F.when(F.col("n_claims") > 0, one("alignment", 0.25)).otherwise(none), F.when(weak, one("link_quality", -0.15)).otherwise(none)))
+    signals = F.array_compact(F.array(F.when(F.col("local"), one("pattern_match", 0.35)).otherwise(none), F.when(F.col("n_claims") > 0, one("wikidata_alignment", 0.25)).otherwise(none), F.when(weak, one("link_quality", -0.15)).otherwise(none)))
     return p.select("candidate_id", "subject_id", "predicate", "object_id", signals.alias("signals"))
 
 

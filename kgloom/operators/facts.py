@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions import constants as K
 from kgloom.functions import text as X
+from kgloom.operators.relational import numbered
 
 
 def patterns(spark, extra: dict[str, list[str]] | None = None) -> DataFrame:
@@ -52,11 +53,41 @@ def align(candidates: DataFrame, claims: DataFrame) -> DataFrame:
     return candidates.join(by_triple, ["subject_id", "predicate", "object_id"], "left").withColumn("n_claims", F.coalesce(F.size("claim_ids"), F.lit(0)))
 
 
+def distant_support(candidates: DataFrame, claims: DataFrame) -> DataFrame:
+    """Candidates (candidate_id, subject_id, predicate, object_id) with what the claims of their statement add.
+
+    n_claims, first_claim, the score of .25 where there is one, and the qualifiers of the
+    first claim that has any. Claims are pre-aggregated by statement, so a hot one is one row.
+    """
+    c = claims.filter("object_id is not null").select("claim_id", "subject_id", X.predicate(F.col("predicate")).alias("predicate"), "object_id", F.nullif(F.trim("qualifiers_json"), F.lit("")).alias("q"))
+    by = c.groupBy("subject_id", "predicate", "object_id").agg(F.countDistinct("claim_id").alias("n_claims"), F.min("claim_id").alias("first_claim"), F.min_by("q", F.when(F.col("q").isNotNull() & ~F.col("q").isin("{}", "null"), F.col("claim_id"))).alias("qualifiers"))
+    j = candidates.withColumn("predicate", X.predicate(F.col("predicate"))).join(by, ["subject_id", "predicate", "object_id"], "left")
+    return j.withColumn("n_claims", F.coalesce("n_claims", F.lit(0))).withColumn("support", F.when(F.col("n_claims") > 0, 0.25).otherwise(0.0))
+
+
 def verify(signals: Column) -> Column:
-    """Verdict and score from the signals present."""
+    """Verdict, score, confidence and mode from the signals present, without a remote judge."""
     has = lambda n: F.exists(signals, lambda s: s["name"] == n)
-    supported = (has("event_verified") & has("trigger")) | has("pattern")
-    return F.when(supported, F.struct(F.lit("SUPPORTED").alias("verdict"), F.lit(0.25).alias("score"))).otherwise(F.struct(F.lit("UNCERTAIN").alias("verdict"), F.lit(0.0).alias("score")))
+    verdict = lambda v, score, c, mode: F.struct(F.lit(v).alias("verdict"), F.lit(score).alias("score"), F.lit(c).alias("confidence"), F.lit(mode).alias("mode"))
+    return (
+        F.when(has("event_verified") & has("event_trigger_match"), verdict("SUPPORTED", 0.25, 0.85, "offline_event_projection"))
+        .when(has("pattern_match"), verdict("SUPPORTED", 0.25, 0.85, "offline_pattern"))
+        .when(has("wikidata_alignment"), verdict("UNCERTAIN", 0.0, 0.5, "offline_kb_alignment"))
+        .otherwise(verdict("UNCERTAIN", 0.0, 0.0, "offline_abstain"))
+    )
+
+
+def verified(candidates: DataFrame, judged: Column | None = None) -> DataFrame:
+    """Candidates (signals, ...) with verdict, score and status; the verdict is a signal as well.
+
+    judged: labels of a remote judge, where there is one; NOT_SUPPORTED costs 1 and rejects.
+    """
+    none = F.lit(None).cast("string")
+    own = verify(F.col("signals"))
+    label = F.coalesce(none if judged is None else judged, own["verdict"])
+    worth = F.when(label == "SUPPORTED", 0.25).when(label == "NOT_SUPPORTED", -1.0).otherwise(0.0)
+    c = candidates.withColumns({"verdict": label, "mode": F.when(F.lit(judged is not None), F.lit("remote")).otherwise(own["mode"]), "score": F.round(signal_sum(F.col("signals")) + worth, 6)})
+    return c.withColumn("status", F.when(F.col("verdict") == "NOT_SUPPORTED", "REJECTED").otherwise("VERIFIED"))
 
 
 def signal_sum(signals: Column) -> Column:
@@ -74,6 +105,39 @@ def aggregate(candidates: DataFrame, final: float = K.FACT_FINAL, review: float
     return g.withColumn("confidence", F.round(confidence, 6)).withColumn("status", F.when(F.col("confidence") >= final, "FINAL").otherwise("REVIEW")).drop("best")
 
 
+def whole_facts(candidates: DataFrame, final: float = K.FACT_FINAL, review: float = K.FACT_REVIEW) -> DataFrame:
+    """Facts with their id, prototype and first evidence, from candidates (candidate_id, subject_id, predicate, object_id, qualifiers, score, evidence).
+
+    The prototype is the candidate of least id; ids run in the order of the statements. All
+    evidence of a fact is in `fact_evidence`, a row each, as a hot fact has any number.
+    """
+    key = ["subject_id", "predicate", "object_id", "qualifiers"]
+    f = aggregate(candidates, final, review)
+    first = candidates.filter(F.col("score") >= review).groupBy(*key).agg(F.min_by(F.struct("candidate_id", "evidence"), "candidate_id").alias("_p"))
+    f = f.join(first, key).select(*f.columns, F.col("_p.candidate_id").alias("prototype"), F.col("_p.evidence").alias("evidence")).withColumn("_key", F.concat_ws("\u0001", *key))
+    return numbered(f, "_key", "_n", 1).withColumn("fact_id", F.format_string("fact_%06d", "_n")).drop("_key", "_n")
+
+
+def fact_evidence(candidates: DataFrame, review: float = K.FACT_REVIEW) -> DataFrame:
+    """(subject_id, predicate, object_id, qualifiers, candidate_id, evidence) of all candidates that make facts."""
+    return candidates.filter(F.col("score") >= review).select("subject_id", "predicate", "object_id", "qualifiers", "candidate_id", "evidence")
+
+
+def canonical_json(c: Column) -> Column:
+    """A JSON object with its keys in order and without blanks; other texts as they are, null and blank as {}."""
+    m = F.from_json(c, "map<string,string>")
+    pairs = F.array_sort(F.map_entries(m))
+    quoted = lambda v: F.when(v.rlike(r"^(\{.*\}|\[.*\]|-?\d+(\.\d+)?|true|false)$"), v).otherwise(F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(F.lit('"'), p["key"], F.lit('":'), F.coalesce(quoted(p["value"]), F.lit("null")))), ","), F.lit("}"))
+    return F.when(F.coalesce(F.trim(c), F.lit("")) == "", "{}").when(c.rlike(r"^\s*\{") & m.isNotNull(), text).otherwise(c)
+
+
+def compact(s: Column, fields: list[str]) -> Column:
+    """A struct's fields as a map without those that are null or empty."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("key"), s[f].cast("string").alias("value")) for f in fields])
+    return F.map_from_entries(F.filter(pairs, lambda p: ~F.coalesce(p["value"], F.lit("")).isin("", "[]", "{}")))
+
+
 def signal_summary(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Count and score sum of each signal name, for each key."""
     s = candidates.select(*keys, F.explode("signals").alias("s")).filter("s.name is not null")

@@ -54,6 +54,44 @@ def event_edges(events: DataFrame) -> DataFrame:
     return keep_first(with_identity(a.unionByName(b).withColumn("layer", F.lit("event")).withColumn("extra", F.lit(""))))
 
 
+def event_nodes(events: DataFrame, entities: DataFrame) -> DataFrame:
+    """One node for each event: its type, and who or what it joins by name (the first two roles with an entity)."""
+    held = F.filter(F.coalesce("roles", F.array().cast(events.schema["roles"].dataType)), lambda r: F.coalesce(r["entity_id"], F.lit("")) != "")
+    kind = F.coalesce(F.nullif(F.trim("event_type"), F.lit("")), F.lit("Event"))
+    e = events.select("event_candidate_id", kind.alias("type"), F.get(held, F.lit(0))["entity_id"].alias("a"), F.get(held, F.lit(1))["entity_id"].alias("b"))
+    names = entity_nodes(entities).select("id", F.col("label").alias("name"))
+    e = e.join(names.select(F.col("id").alias("a"), F.col("name").alias("a_name")), "a", "left").join(names.select(F.col("id").alias("b"), F.col("name").alias("b_name")), "b", "left")
+    first, second = F.coalesce("a_name", "a", F.lit("")), F.coalesce("b_name", "b")
+    label = F.concat("type", F.lit(": "), first, F.when(second.isNotNull(), F.concat(F.lit(" -> "), second)).otherwise(""))
+    return e.select(F.col("event_candidate_id").alias("id"), label.alias("label"), "type", F.lit(None).cast("string").alias("description"))
+
+
+def evidence_edges(facts: DataFrame) -> DataFrame:
+    """Final facts of texts (subject_id, predicate, object_id, confidence, evidence), one edge each, told apart by their first evidence."""
+    some = lambda c: F.coalesce(F.col(f"evidence.{c}"), F.lit(""))
+    f = facts.select(F.col("subject_id").alias("source"), F.col("object_id").alias("target"), F.col("predicate").alias("label"), F.lit("evidence").alias("layer"), F.concat_ws("||", some("source_id"), some("sentence_id"), F.lit(""), some("text")).alias("extra"), "confidence")
+    return keep_first(with_identity(f))
+
+
+def display_label(label: Column, layer: Column) -> Column:
+    return F.when(F.coalesce(layer, F.lit("")) == "", F.coalesce(label, F.lit(""))).otherwise(F.concat(F.coalesce(label, F.lit("")), F.lit(" ["), layer, F.lit("]")))
+
+
+def paths(edges: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
+    """The first n paths of one or two different edges from the seeds (id), whatever the direction: (seed, edge_1, middle, edge_2, far); one of one edge has no second."""
+    from kgloom.session import durable
+
+    u = durable(undirected(edges).select("id", "a", "b"))
+    one = u.join(seeds.select(F.col("id").alias("a")).distinct(), "a").select(F.col("a").alias("seed"), F.col("id").alias("edge_1"), F.col("b").alias("middle"))
+    two = one.join(u.select(F.col("a").alias("middle"), F.col("id").alias("edge_2"), F.col("b").alias("far")), "middle").filter("edge_1 <> edge_2")
+    none = F.lit(None).cast("string")
+    cols = ["seed", "edge_1", "middle", "edge_2", "far"]
+    first = lambda p: p.select(*cols).orderBy(F.col("seed"), F.col("edge_1"), F.col("edge_2"), F.col("far")).limit(n)
+    # paths of one edge first, then those of two; each branch keeps n rows a task
+    every = first(one.select("seed", "edge_1", "middle", none.alias("edge_2"), none.alias("far"))).withColumn("hops", F.lit(1)).unionByName(first(two).withColumn("hops", F.lit(2)))
+    return every.orderBy("hops", "seed", "edge_1", "edge_2", "far").limit(n).select("hops", *cols)
+
+
 def literal_node(kind: Column, value: Column) -> Column:
     return F.concat(F.lit("literal:"), kind, F.lit(":"), F.left(F.sha1(value), F.lit(20)))
 

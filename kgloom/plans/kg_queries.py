@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgloom.functions import constants as K
@@ -75,11 +76,38 @@ def constraint_counts(spark, d):
 
 # --- graph ----------------------------------------------------------------------------
 def _edges(spark, d):
-    return graph.fact_edges(latest(table(spark, d, "claims"), ["claim_id"], ["retrieved_at"])).unionByName(graph.event_edges(_t(spark, d, "verified_events_text")))
+    """All three layers: claims, event arguments, and final facts of texts with their first evidence."""
+    f = facts.whole_facts(_event_candidates(spark, d)).filter("status = 'FINAL'")
+    layers = (graph.fact_edges(latest(table(spark, d, "claims"), ["claim_id"], ["retrieved_at"])), graph.event_edges(_t(spark, d, "verified_events_text")), graph.evidence_edges(f))
+    return layers[0].unionByName(layers[1]).unionByName(layers[2])
+
+
+def _nodes(spark, d):
+    """Entities and events."""
+    e = table(spark, d, "entities")
+    return graph.entity_nodes(e).unionByName(graph.event_nodes(_t(spark, d, "verified_events_text"), e))
+
+
+def evidence_edges(spark, d):
+    return _edges(spark, d).filter("layer = 'evidence'").select("id", "source", "target", "label", "semantic_key", "confidence")
+
+
+def event_nodes(spark, d):
+    return graph.event_nodes(_t(spark, d, "verified_events_text"), table(spark, d, "entities"))
+
+
+def display_labels(spark, d):
+    return _edges(spark, d).groupBy(graph.display_label(F.col("label"), F.col("layer")).alias("display_label")).agg(F.count("*").alias("n"))
+
+
+def two_hop_paths(spark, d):
+    """The first 180 paths of one or two edges from the awards (a report of bounded length)."""
+    seeds = table(spark, d, "entities").filter("entity_type = 'AWARD'").select(F.col("entity_id").alias("id"))
+    return graph.paths(_edges(spark, d), seeds, 180)
 
 
 def graph_nodes(spark, d):
-    return graph.placeholder_nodes(graph.entity_nodes(table(spark, d, "entities")), _edges(spark, d).select("source", "target"))
+    return graph.placeholder_nodes(_nodes(spark, d), _edges(spark, d).select("source", "target"))
 
 
 def fact_edges(spark, d):
@@ -95,7 +123,7 @@ def node_degree(spark, d):
 
 
 def graph_stats(spark, d):
-    return graph.stats(graph.entity_nodes(table(spark, d, "entities")), _edges(spark, d))
+    return graph.stats(_nodes(spark, d), _edges(spark, d))
 
 
 def hub_edges(spark, d):
@@ -116,13 +144,16 @@ def adjacency_sets(spark, d):
 
 
 def layer_edges(spark, d):
-    e, n = _edges(spark, d).filter("layer = 'facts'"), table(spark, d, "entities").select("entity_id", "canonical_name")
+    """The edges of the facts and of the evidence layer between named entities."""
+    e, n = _edges(spark, d).filter("layer in ('facts', 'evidence')"), table(spark, d, "entities").select("entity_id", "canonical_name")
     a, b = n.select(F.col("entity_id").alias("source"), F.col("canonical_name").alias("source_name")), n.select(F.col("entity_id").alias("target"), F.col("canonical_name").alias("target_name"))
-    return e.join(a, "source").join(b, "target").select("id", "source_name", "label", "target_name")
+    return e.join(a, "source").join(b, "target").select("id", "layer", "source_name", "label", "target_name")
 
 
 def event_network(spark, d):
-    return _edges(spark, d).filter("layer = 'event'").groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_events"))
+    """The edges at events, with the type of the event."""
+    v = event_nodes(spark, d).select(F.col("id").alias("source"), F.col("type").alias("event_type"))
+    return _edges(spark, d).filter("layer = 'event'").join(v, "source").select("id", "source", "event_type", "label", "target")
 
 
 def type_audit(spark, d):
@@ -163,7 +194,7 @@ def trigger_matches(spark, d):
 
 def fact_aggregate(spark, d):
     c = table(spark, d, "verified_events_text").dropDuplicates(["event_candidate_id"])
-    f = events.to_facts(c).select("subject_id", "predicate", "object_id", F.lit("").alias("qualifiers"), F.coalesce("confidence", F.lit(0.0)).alias("score"))
+    f = events.to_facts(c, verified=True).select("subject_id", "predicate", "object_id", F.lit("").alias("qualifiers"), F.coalesce("event_confidence", F.lit(0.0)).alias("score"))
     return facts.aggregate(f)
 
 
@@ -177,8 +208,35 @@ def signal_rollup(spark, d):
 
 def fact_verdicts(spark, d):
     e = _t(spark, d, "verified_events_text").filter("signals is not null")
-    s = F.filter("signals", lambda x: x.isNotNull())
-    return e.select("event_candidate_id", facts.verify(s)["verdict"].alias("verdict"), F.round(facts.signal_sum(s), 6).alias("score_sum"))
+    v = facts.verified(e.select("event_candidate_id", F.filter("signals", lambda x: x.isNotNull()).alias("signals")))
+    return v.select("event_candidate_id", "verdict", "mode", "score", "status")
+
+
+def event_fact_candidates(spark, d):
+    """The facts of verified events with their signals, judged."""
+    f = facts.verified(events.to_facts(_t(spark, d, "verified_events_text"), verified=True))
+    return f.select("event_candidate_id", "subject_id", "predicate", "object_id", F.array_join(F.transform("signals", lambda x: x["name"]), ",").alias("names"), "verdict", "score", "status")
+
+
+def _event_candidates(spark, d):
+    f = events.to_facts(_t(spark, d, "verified_events_text"), verified=True)
+    return f.select(F.col("event_candidate_id").alias("candidate_id"), "subject_id", "predicate", "object_id", F.lit("").alias("qualifiers"), F.coalesce("event_confidence", F.lit(0.0)).alias("score"), "evidence")
+
+
+def whole_facts(spark, d):
+    f = facts.whole_facts(_event_candidates(spark, d))
+    return f.select("fact_id", "subject_id", "predicate", "object_id", "n_evidence", "confidence", "status", "prototype", F.col("evidence.sentence_id").alias("sentence_id"))
+
+
+def fact_evidence(spark, d):
+    """Every piece of evidence of every fact, with its place in it."""
+    e = facts.fact_evidence(_event_candidates(spark, d))
+    w = W.partitionBy("subject_id", "predicate", "object_id").orderBy("candidate_id")
+    return e.select("subject_id", "predicate", "object_id", "candidate_id", F.col("evidence.sentence_id").alias("sentence_id"), F.row_number().over(w).alias("pos"))
+
+
+def distant_support(spark, d):
+    return facts.distant_support(_candidates(spark, d), table(spark, d, "claims")).select("candidate_id", "n_claims", "first_claim", "support", "qualifiers")
 
 
 # --- relations ------------------------------------------------------------------------
@@ -285,11 +343,12 @@ def event_arguments(spark, d):
 
 
 def event_verify(spark, d):
-    return events.verify(_t(spark, d, "verified_events_text"))
+    v = events.verify(_t(spark, d, "verified_events_text"))
+    return v.withColumn("signals", F.array_join(F.transform("signals", lambda x: x["name"]), ","))
 
 
 def event_facts(spark, d):
-    return events.to_facts(_t(spark, d, "verified_events_text")).select("event_candidate_id", "predicate", "subject_id", "object_id")
+    return events.to_facts(_t(spark, d, "verified_events_text"), verified=True).select("event_candidate_id", "predicate", "subject_id", "object_id")
 
 
 def claim_events(spark, d):
@@ -413,9 +472,20 @@ def link_decisions(spark, d):
     return linking.link(_link_mentions(spark, d), _scored(spark, d))
 
 
-def link_gaps(spark, d):
+def _gap_rows(spark, d):
     m = _mentions(spark, d).filter("text is not null")
-    return linking.gaps(m.select("text", "type", "doc_id", F.when(F.col("entity_id").isNull(), "NIL").otherwise("LINKED").alias("decision"), F.when(F.col("entity_id").isNull(), 0).otherwise(1).alias("n_candidates")))
+    t = _t(spark, d, "sentences").select("sentence_id", F.col("text").alias("context"))
+    n = F.col("entity_id").isNull()
+    return m.join(t, "sentence_id", "left").select("text", "type", "doc_id", F.when(n, "NIL").otherwise("LINKED").alias("decision"), F.when(n, 0).otherwise(1).alias("n_candidates"), "context")
+
+
+def link_gaps(spark, d):
+    return linking.gaps(_gap_rows(spark, d))
+
+
+def link_gap_contexts(spark, d):
+    rows = durable(_gap_rows(spark, d))
+    return linking.gap_contexts(rows.filter("decision = 'NIL'"), linking.gaps(rows))
 
 
 # --- measures -------------------------------------------------------------------------
@@ -447,6 +517,26 @@ def relation_prf(spark, d):
     return metrics.relation_scores(t.select(F.col("candidate_id").alias("bag_id"), F.col("predicate").alias("label")), gold)
 
 
+def relation_summary(spark, d):
+    """Micro and macro means over all relations of the ontology, also those without a row."""
+    t = _t(spark, d, "distant_labeled").filter("predicate is not null")
+    gold = t.select(F.col("candidate_id").alias("bag_id"), F.explode("positive_predicates").alias("label"))
+    labels = spark.createDataFrame([(x,) for x in sorted(K.RELATION_TYPES)], "label string")
+    return metrics.relation_summary(metrics.relation_scores(t.select(F.col("candidate_id").alias("bag_id"), F.col("predicate").alias("label")), gold, labels))
+
+
+def illegal_counts(spark, d):
+    t = _labels(spark, d).select(F.transform("labels", lambda x: F.regexp_replace(x, "^B-", "I-")).alias("labels"))
+    return metrics.illegal_counts(t)
+
+
+def targeted_slices(spark, d):
+    """Span measures over the texts that hold some phrases."""
+    gold, runs = _spans(spark, d)
+    texts = _labels(spark, d).select(F.col("candidate_id").alias("key")).join(_t(spark, d, "distant_labeled").select(F.col("candidate_id").alias("key"), "text"), "key")
+    return metrics.slice_scores(texts.filter("text is not null"), gold, runs, ["university of", "machine", "no such phrase"])
+
+
 def closed_gold(spark, d):
     t = _t(spark, d, "distant_labeled").filter("predicate is not null")
     gold = t.filter("weak_label in ('ds_strict', 'hard_negative')").select(F.col("candidate_id").alias("bag_id"), F.col("predicate").alias("label"), F.when(F.col("weak_label") == "ds_strict", "positive").otherwise("negative").alias("verdict"))
@@ -458,18 +548,18 @@ def label_counts(spark, d):
 
 
 def top_mentions(spark, d):
-    """The three most frequent surfaces of each type."""
+    """The twenty most frequent surfaces of each type."""
     m = _mentions(spark, d).filter("text is not null").groupBy("type", "text").agg(F.count("*").alias("n"))
-    return top_k(m, ["type"], [F.desc("n"), F.col("text")], 3).select("type", "text", "n", F.col("rank").cast("bigint").alias("rank"))
+    return top_k(m, ["type"], [F.desc("n"), F.col("text")], 20).select("type", "text", "n", F.col("rank").cast("bigint").alias("rank"))
 
 
 NAMES = """orphan_objects latest_claims upsert_labels frontier_expand structured_checks claim_records alias_records grouped_records job_ledger constraint_counts
-graph_nodes fact_edges event_edges node_degree graph_stats hub_edges induced_edges two_hop adjacency_sets layer_edges event_network type_audit fused_edges
-claim_alignment trigger_matches fact_aggregate fact_conflicts signal_rollup fact_verdicts
+graph_nodes fact_edges event_edges node_degree graph_stats hub_edges induced_edges two_hop adjacency_sets layer_edges event_network type_audit fused_edges evidence_edges event_nodes display_labels two_hop_paths
+claim_alignment trigger_matches fact_aggregate fact_conflicts signal_rollup fact_verdicts event_fact_candidates whole_facts fact_evidence distant_support
 mention_pairs local_windows trigger_hits weak_labels bag_merge na_downsample class_weights bag_split vocabulary claim_bridges exact_claim_pairs pair_positions review_queue
 event_arguments event_verify event_facts claim_events event_support text_events coref_targets coref_resolve coref_report
 bio_round_trip bio_legalize title_runs paren_depths dictionary_matches repeated_sentences
-alias_index_sizes alias_recall tfidf_recall link_scored link_decisions link_gaps
-span_prf type_confusion span_errors confidence_buckets relation_prf closed_gold label_counts top_mentions""".split()
+alias_index_sizes alias_recall tfidf_recall link_scored link_decisions link_gaps link_gap_contexts
+span_prf type_confusion span_errors confidence_buckets relation_prf relation_summary illegal_counts targeted_slices closed_gold label_counts top_mentions""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 

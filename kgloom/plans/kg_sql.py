@@ -66,11 +66,9 @@ _EVENTS = _identity(f"""
 select event_candidate_id as source, r.entity_id as target, r.role as label, 'event' as layer, '' as extra, confidence from (select event_candidate_id, confidence, unnest(roles) as r from {V})
 where r.entity_id is not null and r.entity_id <> '' and r.role is not null
 union all select event_candidate_id, 'literal:time:' || left(sha1(start_time_norm), 20), 'start_time', 'event', '', confidence from {V} where start_time_norm is not null and start_time_norm <> ''""")
-EDGES = f"(select id, source, target, label, layer, semantic_key, confidence from {_facts(LC)} union all select id, source, target, label, layer, semantic_key, confidence from {_EVENTS})"
 DEGREE = f"(select id, count(*) as degree from (select source as id from e union all select target from e) group by 1)"
 NODES = """(select distinct on (id) * from (select entity_id as id, coalesce(nullif(trim(label_en), ''), nullif(trim(canonical_name), ''), nullif(trim(label_zh), ''), entity_id) as label, coalesce(entity_type, 'Entity') as type,
   coalesce(nullif(trim(description_en), ''), nullif(trim(description_zh), ''), nullif(trim(wikipedia_summary_en), '')) as description from entities))"""
-E = f"with e as {EDGES} "
 MENTIONS = f"""(select distinct doc_id, sentence_id, sentence_index_in_doc, mention_id, entity_id, type, text, s, e from (
   select doc_id, sentence_id, sentence_index_in_doc, subject_mention_id as mention_id, subject_entity_id as entity_id, {TYPE('subject_entity_type')} as type, subject_text as text, subject_token_start as s, subject_token_end as e from {DL}
   union all select doc_id, sentence_id, sentence_index_in_doc, object_mention_id, object_entity_id, {TYPE('object_entity_type')}, object_text, object_token_start, object_token_end from {DL})
@@ -82,9 +80,18 @@ _EVENT_FACTS = f"""(
 with ev as (select *, {_map('event_type', K.EVENT_SYNONYMS, 'event_type')} as et from {V}),
 j as (select event_candidate_id, predicate, spec.event_type, confidence,
   list_filter(coalesce(roles, []), lambda r: r.role = s_role and coalesce(r.entity_id, '') <> '')[1].entity_id as s,
-  list_filter(coalesce(roles, []), lambda r: r.role = o_role and coalesce(r.entity_id, '') <> '')[1].entity_id as o from ev join {SPECS} on ev.et = spec.event_type)
-select event_candidate_id, predicate, case when event_type in ({_list(K.SYMMETRIC_EVENTS)}) and s > o then o else s end as subject_id,
+  list_filter(coalesce(roles, []), lambda r: r.role = o_role and coalesce(r.entity_id, '') <> '')[1].entity_id as o, evidence from ev join {SPECS} on ev.et = spec.event_type where status = 'VERIFIED')
+select event_candidate_id, evidence, predicate, case when event_type in ({_list(K.SYMMETRIC_EVENTS)}) and s > o then o else s end as subject_id,
   case when event_type in ({_list(K.SYMMETRIC_EVENTS)}) and s > o then s else o end as object_id, confidence from j where s is not null and o is not null)"""
+_AGG = f"""(select subject_id, predicate, object_id, count(*) as n_evidence, round(least(1.0, max(sc) + least({K.FACT_BONUS_CAP}, {K.FACT_BONUS} * (count(*) - 1))), 6) as confidence, min(event_candidate_id) as prototype, arg_min(evidence, event_candidate_id) as evidence
+  from (select *, coalesce(confidence, 0.0) as sc from {_EVENT_FACTS}) where sc >= {K.FACT_REVIEW} group by 1, 2, 3)"""
+_EVIDENCE = _identity(f"select subject_id as source, object_id as target, predicate as label, 'evidence' as layer, coalesce(evidence.source_id, '') || '||' || coalesce(evidence.sentence_id, '') || '||||' || coalesce(evidence.text, '') as extra, confidence from {_AGG} where confidence >= {K.FACT_FINAL}")
+EDGES = f"(select id, source, target, label, layer, semantic_key, confidence from {_facts(LC)} union all select id, source, target, label, layer, semantic_key, confidence from {_EVENTS} union all select id, source, target, label, layer, semantic_key, confidence from {_EVIDENCE})"
+_NAMES = "(select distinct on (entity_id) entity_id, coalesce(nullif(trim(label_en), ''), nullif(trim(canonical_name), ''), nullif(trim(label_zh), ''), entity_id) as name from entities)"
+EVENT_NODES = f"""(select id, type || ': ' || coalesce(a.name, h[1].entity_id, '') || coalesce(' -> ' || coalesce(b.name, h[2].entity_id), '') as label, type, cast(null as varchar) as description from (
+  select event_candidate_id as id, coalesce(nullif(trim(event_type), ''), 'Event') as type, list_filter(coalesce(roles, []), lambda r: coalesce(r.entity_id, '') <> '') as h from {V}) left join {_NAMES} a on h[1].entity_id = a.entity_id left join {_NAMES} b on h[2].entity_id = b.entity_id)"""
+ALL_NODES = f"(select * from {NODES} union all select * from {EVENT_NODES})"
+E = f"with e as {EDGES} "
 _WIN = f"""(select candidate_id, tokens, greatest(0, least(subject_token_start, object_token_start) - {K.WINDOW_MARGIN}) as ws, least(len(tokens), greatest(subject_token_end, object_token_end) + {K.WINDOW_MARGIN}) as we
   from {DL} where tokens is not null and subject_token_start is not null and object_token_start is not null and subject_token_end is not null and object_token_end is not null)"""
 
@@ -186,11 +193,11 @@ select distinct on (entity_id, normalized_alias) entity_id, n as normalized_alia
     "grouped_records": f"select entity_id, min_by(alias, case when alias is not null then alias_id end) as alias, coalesce(array_to_string(list_sort(list_distinct(list(alias_lang) filter (alias_lang is not null))), ','), '') as langs from {A} where entity_id is not null group by 1",
     "job_ledger": "select cast(user_id as varchar) as job_key, max_by(event_type, (event_id, event_type)) as status, max(event_id) as updated_at from events group by 1",
     "constraint_counts": "select count(*) filter (coalesce(trim(canonical_name), '') = '') as n_0, count(*) filter (coalesce(trim(label_en), '') = '') as n_1, count(*) filter (coalesce(trim(description_en), '') = '') as n_2, count(*) filter (confidence < 0.5 or confidence > 1.0) as n_3 from entities",
-    "graph_nodes": E + f"select * from {NODES} union all select distinct x, x, 'Placeholder', null from (select source as x from e union all select target from e) where x not in (select entity_id from entities)",
+    "graph_nodes": E + f"select * from {ALL_NODES} union all select distinct x, x, 'Placeholder', null from (select source as x from e union all select target from e) where x not in (select id from {ALL_NODES})",
     "fact_edges": f"select id, source, target, label, confidence from {_facts('claims')}",
     "event_edges": f"select id, source, target, label, semantic_key from {_EVENTS}",
     "node_degree": E + f"select * from {DEGREE}",
-    "graph_stats": E + f"""select 'node_type' as section, type as key, count(*) as n from {NODES} group by 1, 2 union all select 'edge_label', label, count(*) from e group by 1, 2
+    "graph_stats": E + f"""select 'node_type' as section, type as key, count(*) as n from {ALL_NODES} group by 1, 2 union all select 'edge_label', label, count(*) from e group by 1, 2
 union all select 'layer', case when layer in ('facts', 'event') then layer else 'evidence' end, count(*) from e group by 1, 2""",
     "hub_edges": E + f"""select hub, degree, u.id as edge_id, u.b as other from (select id as hub, degree from {DEGREE} order by degree desc, id limit 30)
 join (select id, source as a, target as b from e union all select id, target, source from e where source <> target) u on hub = a""",
@@ -202,8 +209,15 @@ r as (select entity_id as id, 0 as hop from entities where entity_type = 'AWARD'
 with n as (select distinct * from (select subject_id as id, object_id as neighbour from claims where subject_id is not null and object_id is not null
   union all select object_id, subject_id from claims where subject_id is not null and object_id is not null))
 select id, neighbour, count(*) over (partition by id) as n_neighbours from n""",
-    "layer_edges": E + "select id, a.canonical_name as source_name, label, b.canonical_name as target_name from e join entities a on source = a.entity_id join entities b on target = b.entity_id where layer = 'facts'",
-    "event_network": E + "select label, count(*) as n, count(distinct source) as n_events from e where layer = 'event' group by 1",
+    "layer_edges": E + "select id, layer, a.canonical_name as source_name, label, b.canonical_name as target_name from e join entities a on source = a.entity_id join entities b on target = b.entity_id where layer in ('facts', 'evidence')",
+    "event_network": E + f"select e.id as id, source, v.type as event_type, e.label as label, target from e join {EVENT_NODES} v on e.source = v.id where layer = 'event'",
+    "evidence_edges": E + "select id, source, target, label, semantic_key, confidence from e where layer = 'evidence'",
+    "event_nodes": f"select * from {EVENT_NODES}",
+    "display_labels": E + "select label || ' [' || layer || ']' as display_label, count(*) as n from e group by 1",
+    "two_hop_paths": E + """, u as (select id, source as a, target as b from e union all select id, target, source from e where source <> target),
+one as (select 1 as hops, a as seed, id as edge_1, b as middle from u where a in (select entity_id from entities where entity_type = 'AWARD'))
+select * from (select hops, seed, edge_1, middle, cast(null as varchar) as edge_2, cast(null as varchar) as far from one union all select 2, seed, edge_1, middle, u.id, u.b from one join u on middle = u.a where edge_1 <> u.id)
+order by hops, seed, edge_1, edge_2 nulls first, far nulls first limit 180""",
     "type_audit": E + "select upper(regexp_replace(regexp_replace(label, '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g')) as rel_type, layer, count(*) as n from e group by 1, 2",
     "fused_edges": f"""
 with f as {_identity("select case when subject_id = 'QX100043' then 'QX_NEWER' else subject_id end as source, case when object_id = 'QX100043' then 'QX_NEWER' else object_id end as target, predicate as label, 'facts' as layer, coalesce(qualifiers_json, '') as extra, confidence from claims where subject_id is not null and object_id is not null")},
@@ -226,9 +240,17 @@ from (select *, coalesce(confidence, 0.0) as sc from {_EVENT_FACTS}) where sc >=
     "fact_conflicts": f"select subject_id, predicate, count(distinct object_id) as n_objects, min(object_id) as first_object, max(object_id) as last_object from claims where predicate in ({_list(K.FUNCTIONAL)}) and coalesce(object_id, '') <> '' group by 1, 2 having count(distinct object_id) > 1",
     "signal_rollup": f"select event_type, s.name as signal, count(*) as n, round(sum(s.score), 6) as score_sum from (select event_type, unnest(signals) as s from {V}) where s.name is not null group by 1, 2",
     "fact_verdicts": f"""
-select event_candidate_id, case when (list_contains(n, 'event_verified') and list_contains(n, 'trigger')) or list_contains(n, 'pattern') then 'SUPPORTED' else 'UNCERTAIN' end as verdict,
-  round(coalesce(list_sum(list_transform(list_filter(signals, lambda x: x is not null), lambda x: coalesce(x.score, 0.0))), 0.0), 6) as score_sum
-from (select *, list_transform(list_filter(signals, lambda x: x is not null), lambda x: x.name) as n from {V} where signals is not null)""",
+select event_candidate_id, case when m in ('offline_event_projection', 'offline_pattern') then 'SUPPORTED' else 'UNCERTAIN' end as verdict, m as mode, round(sc + case when m in ('offline_event_projection', 'offline_pattern') then 0.25 else 0.0 end, 6) as score, 'VERIFIED' as status
+from (select event_candidate_id, case when list_contains(n, 'event_verified') and list_contains(n, 'event_trigger_match') then 'offline_event_projection' when list_contains(n, 'pattern_match') then 'offline_pattern'
+    when list_contains(n, 'wikidata_alignment') then 'offline_kb_alignment' else 'offline_abstain' end as m, coalesce(list_sum(list_transform(list_filter(signals, lambda x: x is not null), lambda x: coalesce(x.score, 0.0))), 0.0) as sc
+  from (select *, list_transform(list_filter(signals, lambda x: x is not null), lambda x: x.name) as n from {V} where signals is not null))""",
+    "event_fact_candidates": f"select event_candidate_id, subject_id, predicate, object_id, 'event_projection,event_verified,event_role_complete,event_trigger_match' as names, 'SUPPORTED' as verdict, cast(1.1 as double) as score, 'VERIFIED' as status from {_EVENT_FACTS}",
+    "whole_facts": f"select 'fact_' || lpad(cast(row_number() over (order by subject_id, predicate, object_id) as varchar), 6, '0') as fact_id, subject_id, predicate, object_id, n_evidence, confidence, case when confidence >= {K.FACT_FINAL} then 'FINAL' else 'REVIEW' end as status, prototype, evidence.sentence_id as sentence_id from {_AGG}",
+    "fact_evidence": f"select subject_id, predicate, object_id, event_candidate_id as candidate_id, evidence.sentence_id as sentence_id, cast(row_number() over (partition by subject_id, predicate, object_id order by event_candidate_id) as integer) as pos from {_EVENT_FACTS} where coalesce(confidence, 0.0) >= {K.FACT_REVIEW}",
+    "distant_support": f"""
+with c as (select subject_id, {PRED('predicate')} as predicate, object_id, count(distinct claim_id) as n, min(claim_id) as f, arg_min(nullif(trim(qualifiers_json), ''), case when trim(qualifiers_json) not in ('', '{{}}', 'null') then claim_id end) as q from claims where object_id is not null group by 1, 2, 3)
+select candidate_id, coalesce(n, 0) as n_claims, f as first_claim, cast(case when n > 0 then 0.25 else 0.0 end as double) as support, q as qualifiers from {DL} d left join c on d.subject_entity_id = c.subject_id and {PRED('d.predicate')} = c.predicate and d.object_entity_id = c.object_id
+where subject_entity_id is not null and object_entity_id is not null and d.predicate is not null""",
     "mention_pairs": f"""
 with m as (select distinct sentence_id, mention_id, entity_id, type, s, e from {MENTIONS_ONE} where entity_id is not null),
 p as (select a.type as s_type, b.type as o_type, greatest(b.s - a.e, a.s - b.e, 0) as d from m a join m b using (sentence_id) where a.mention_id <> b.mention_id and a.entity_id <> b.entity_id)
@@ -260,10 +282,12 @@ with sp as (select event_type, unnest([{{'role': s_role, 'type': s_type}}, {{'ro
 nd as (select event_type, list_sort(list(w.role)) as needed, list(w) as ws from sp group by 1),
 e as (select v.*, list_filter(coalesce(roles, []), lambda r: r is not null and r.role is not null) as rr, nd.needed, nd.ws from {V} v left join nd on v.event_type = nd.event_type),
 x as (select event_candidate_id, event_type, needed, list_filter(coalesce(needed, []), lambda n: not list_contains(list_transform(rr, lambda r: r.role), n)) as missing,
-  list_sort(list_distinct(list_transform(list_filter(rr, lambda r: coalesce(r.entity_id, '') = ''), lambda r: r.role))) as em,
-  list_sort(list_distinct(list_transform(list_filter(rr, lambda r: len(list_filter(coalesce(ws, []), lambda w: w.role = r.role and w.type <> coalesce(r.entity_type, ''))) > 0), lambda r: r.role))) as wr from e)
+  list_sort(list_distinct(list_transform(list_filter(rr, lambda r: trim(coalesce(r.entity_id, '')) = ''), lambda r: r.role))) as em, confidence,
+  coalesce(json_valid(review_reasons) and json_type(review_reasons) = 'OBJECT' and len(list_filter(json_keys(review_reasons), lambda k: json_extract_string(review_reasons, '$."' || k || '"') not in ('', 'null', 'false', '[]', '{{}}'))) > 0, false) as own,
+  list_sort(list_distinct(list_transform(list_filter(rr, lambda r: len(list_filter(coalesce(ws, []), lambda w: w.role = r.role and w.type <> {TYPE('r.entity_type')})) > 0), lambda r: r.role))) as wr from e)
 select event_candidate_id, event_type, coalesce(array_to_string(missing, ','), '') as missing, coalesce(array_to_string(em, ','), '') as empty, coalesce(array_to_string(wr, ','), '') as wrong_type,
-  case when len(missing) = 0 and len(em) = 0 and len(wr) = 0 and needed is not null then 'VERIFIED' else 'REVIEW' end as verdict from x""",
+  case when ok then 'VERIFIED' else 'REVIEW' end as verdict, case when ok then greatest(coalesce(confidence, 0.0), 0.85) else least(coalesce(confidence, 0.0), 0.49) end as confidence, case when ok then 'event_verified,event_role_complete' else '' end as signals
+from (select *, len(missing) = 0 and len(em) = 0 and len(wr) = 0 and needed is not null and not own as ok from x)""",
     "event_facts": f"select event_candidate_id, predicate, subject_id, object_id from {_EVENT_FACTS}",
     "claim_events": f"""
 select distinct claim_id, spec.event_type as event_type, s_role, subject_id, o_role, object_id from (
@@ -298,9 +322,13 @@ en as (select k, sqrt(sum(w * w)) as z from ew group by 1), qn as (select k, sqr
 sc as (select q.k as query_id, e.k as entity_id, round(sum(q.w / qn.z * (e.w / en.z)), 6) as score from qw q join ew e using (term) join en on en.k = e.k join qn on qn.k = q.k group by 1, 2)
 select * from (select query_id, entity_id, score, row_number() over (partition by query_id order by score desc, entity_id) as rank from sc where score > 0) where rank <= {K.TFIDF_TOP_K}""",
     "link_gaps": f"""
-select *, case when n_without >= 3 or n_docs >= 3 then 'P0' when n >= 2 then 'P1' else 'P2' end as priority from (
-select text, type, count(*) as n, count(distinct doc_id) as n_docs, count(*) filter (entity_id is null) as n_without, count(*) filter (entity_id is null) as n_nil from {MENTIONS_ONE} where text is not null group by 1, 2)
+select *, case when n_without >= 3 or n >= 8 then 'P0' when n_nil >= 3 or n_review >= 4 or n >= 4 then 'P1' else 'P2' end as priority from (
+select trim(m.text) as text, type, count(*) as n, count(distinct m.doc_id) as n_docs, count(*) as n_without, count(*) as n_nil, cast(0 as bigint) as n_review, min(nullif(trim(s.text), '')) as sample_context from {MENTIONS_ONE} m left join {S} s using (sentence_id) where m.text is not null and trim(m.text) <> '' and entity_id is null group by 1, 2)
 order by n_without desc, n desc, n_docs desc, text, type limit 50""",
+    "link_gap_contexts": f"""
+with r as (select trim(m.text) as text, type, m.doc_id as doc_id, nullif(trim(s.text), '') as context from {MENTIONS_ONE} m left join {S} s using (sentence_id) where m.text is not null and trim(m.text) <> '' and entity_id is null),
+top as (select text, type from r group by 1, 2 order by count(*) desc, count(distinct doc_id) desc, text, type limit 50)
+select text, type, cast(rank as integer) as rank, context from (select *, row_number() over (partition by text, type order by context) as rank from (select distinct text, type, context from r join top using (text, type) where context is not null)) where rank <= 3""",
     "span_prf": f"""
 select type, tp, fp, fn, {_PRF} from (select coalesce(g.type, p.type) as type, count(*) filter (g.key is not null and p.key is not null) as tp, count(*) filter (g.key is null) as fp, count(*) filter (p.key is null) as fn
 from {_GOLD} g full join {_FOUND} p on g.key = p.key and g.s = p.s and g.e = p.e and g.type = p.type group by 1)""",
@@ -315,13 +343,18 @@ union all select 'spurious', count(*) from p where not exists (select 1 from o w
     "relation_prf": f"""
 with p as (select distinct candidate_id as b, predicate as label from {DL} where predicate is not null), g as (select distinct candidate_id as b, unnest(positive_predicates) as label from {DL} where predicate is not null)
 select label, tp, fp, fn, {_PRF} from (select coalesce(p.label, g.label) as label, count(*) filter (p.b is not null and g.b is not null) as tp, count(*) filter (g.b is null) as fp, count(*) filter (p.b is null) as fn from p full join g on p.b = g.b and p.label = g.label group by 1)""",
+    "relation_summary": f"""
+with p as (select distinct candidate_id as b, predicate as label from {DL} where predicate is not null), g as (select distinct candidate_id as b, unnest(positive_predicates) as label from {DL} where predicate is not null),
+c as (select coalesce(p.label, g.label) as label, count(*) filter (p.b is not null and g.b is not null) as tp, count(*) filter (g.b is null) as fp, count(*) filter (p.b is null) as fn from p full join g on p.b = g.b and p.label = g.label group by 1),
+r as (select label, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, coalesce(fn, 0) as fn from (select unnest([{_list(sorted(K.RELATION_TYPES))}]) as label) left join c using (label)), q as (select *, {_PRF} from r)
+select 'micro' as kind, {_PRF} from (select sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from r) union all select 'macro', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) from q""",
     "closed_gold": f"""
 with g as (select candidate_id as b, predicate as label, case when weak_label = 'ds_strict' then 'positive' else 'negative' end as verdict from {DL} where predicate is not null and weak_label in ('ds_strict', 'hard_negative')),
 p as (select distinct candidate_id as b, predicate as label from {DL} where predicate is not null and exact_claim_match)
 select *, {_PRF} from (select count(*) filter (p.b is not null and verdict = 'positive') as tp, count(*) filter (p.b is not null and verdict = 'negative') as fp, count(*) filter (p.b is null and verdict = 'positive') as fn,
   count(*) filter (p.b is not null and verdict is null) as unjudged from p full join g on p.b = g.b and p.label = g.label)""",
     "label_counts": f"select coalesce(weak_label, 'UNKNOWN') as label, count(*) as n from {DL} group by 1",
-    "top_mentions": f"select type, text, n, rank from (select *, row_number() over (partition by type order by n desc, text) as rank from (select type, text, count(*) as n from {MENTIONS_ONE} where text is not null group by 1, 2)) where rank <= 3",
+    "top_mentions": f"select type, text, n, rank from (select *, row_number() over (partition by type order by n desc, text) as rank from (select type, text, count(*) as n from {MENTIONS_ONE} where text is not null group by 1, 2)) where rank <= 20",
 }
 
 _ANAPHORS = "(values " + ", ".join(f"('{p}', '{t}')" for p, ts in K.ANAPHOR_TYPES.items() for t in ts) + ") as an(phrase, type)"

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from kgloom.functions import constants as K
 from kgloom.functions import spans
 from kgloom.functions import text as X
-from kgloom.operators import extract, facts, graph, metrics, sampling
+from kgloom.operators import extract, facts, graph, linking, metrics, sampling
+from kgloom.operators.relational import top_k
 from kgloom.plans import kg_queries as Q
 from kgloom.plans import kg_sql as S
-from kgloom.session import table
+from kgloom.session import durable, table
 
 
 def label_distribution(spark: SparkSession, d: str) -> DataFrame:
@@ -68,9 +69,20 @@ def span_conversion(spark, d):
 
 
 def linking_eval(spark, d):
-    """The decisions over all mentions; one without a known entity has to come out as NIL."""
-    gold = Q._mentions(spark, d).groupBy("mention_id").agg(F.coalesce(F.min("entity_id"), F.lit("NIL")).alias("entity_id"))
-    return metrics.link_scores(Q.link_decisions(spark, d).select("mention_id", F.coalesce("entity_id", F.lit("NIL")).alias("entity_id")), gold)
+    """The decisions over all mentions against the entities the tables know; one without has to come out as NIL."""
+    m = Q._mentions(spark, d)
+    keys = F.struct("doc_id", "sentence_id", F.col("s").alias("token_start"), F.col("e").alias("token_end"))
+    gold = m.groupBy("mention_id").agg(F.min(keys).alias("k"), F.min("entity_id").alias("entity_id")).select("mention_id", "k.*", "entity_id")
+    scored = durable(Q._scored(spark, d))
+    found = linking.link(Q._link_mentions(spark, d), scored).join(linking.top_candidates(linking.document_support(scored)), "mention_id", "left")
+    return metrics.link_scores(found.join(gold.drop("entity_id"), "mention_id"), gold)
+
+
+def linking_tops(spark, d):
+    """A report: the twenty surfaces most often linked, left to review and without an entity, by decision."""
+    m = Q._link_mentions(spark, d).select("mention_id", "text", "type")
+    n = m.join(Q.link_decisions(spark, d).select("mention_id", "decision"), "mention_id").groupBy("decision", "text", "type").agg(F.count("*").alias("n"))
+    return top_k(n, ["decision"], [F.desc("n"), F.col("text"), F.col("type")], 20).select("decision", "text", "type", "n", "rank")
 
 
 def linking_report(spark, d):
@@ -110,7 +122,7 @@ def pair_fact_signals(spark, d):
     return c.select("candidate_id", F.array_join(F.transform("signals", lambda x: x["name"]), ",").alias("names"), F.round(facts.signal_sum(F.col("signals")), 6).alias("score_sum"))
 
 
-QUERIES = {f.__name__: f for f in (label_distribution, hash_sample, dispersed_sample, quota_sample, train_dev_split, candidate_strengths, entity_profiles, span_conversion, linking_eval, linking_report, whole_graph, literal_edges, relation_support, extracted_claims, pair_fact_signals)}
+QUERIES = {f.__name__: f for f in (label_distribution, hash_sample, dispersed_sample, quota_sample, train_dev_split, candidate_strengths, entity_profiles, span_conversion, linking_eval, linking_tops, linking_report, whole_graph, literal_edges, relation_support, extracted_claims, pair_fact_signals)}
 
 _EV = "case relation " + " ".join(f"when '{p}' then '{v[0]}'" for p, v in K.EVENT_SPECS.items()) + " end"
 _H = "md5('42|' || {0})"
@@ -153,7 +165,7 @@ select 'claimcand_' || left(sha1(bag_id || '||' || relation), 16) as claim_candi
 from (select distinct on (bag_id) *, list_sort(list_distinct(list_filter(list_transform(sentence_evidences, lambda x: x.sentence_id), lambda x: x is not null))) as sup from relation_bags where bag_id is not null and trim(bag_id) <> '') b,
 lateral (select unnest(list_distinct(label_names)) as relation) where relation is not null and relation <> 'NA'""",
     "pair_fact_signals": f"""
-select candidate_id, array_to_string(list_filter([case when lo then 'pattern' end, case when al then 'alignment' end, case when weak then 'link_quality' end], lambda x: x is not null), ',') as names,
+select candidate_id, array_to_string(list_filter([case when lo then 'pattern_match' end, case when al then 'wikidata_alignment' end, case when weak then 'link_quality' end], lambda x: x is not null), ',') as names,
   cast(round((case when lo then 0.35 else 0 end) + (case when al then 0.25 else 0 end) + (case when weak then -0.15 else 0 end), 6) as double) as score_sum
 from (select candidate_id, coalesce(list_contains(positive_predicates, d.predicate), false) as lo, c.ids is not null as al, coalesce(subject_resolution, '') in ('unresolved', '') or coalesce(object_resolution, '') in ('unresolved', '') as weak
   from {S.DL} d left join {S._CLAIM_IDS} c on d.subject_entity_id = c.subject_id and {S.PRED('d.predicate')} = c.predicate and d.object_entity_id = c.object_id

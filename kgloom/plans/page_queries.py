@@ -8,18 +8,17 @@ from pyspark.sql import functions as F
 from kgloom.functions import splitter
 from kgloom.functions import text as X
 from kgloom.functions.pages import main_text_udf
-from kgloom.operators import graph
 from kgloom.operators.relational import latest, running_ids
-from kgloom.plans.kg_queries import _edges
+from kgloom.plans.kg_queries import _edges, _nodes
 from kgloom.session import table
 from kgloom.sources import files
 
 
 def html_main_text(spark: SparkSession, d: str) -> DataFrame:
-    """Pages made of each document's text with navigation and notices around it give the text back."""
+    """The text of pages made of each document, its lines as paragraphs, with navigation, notices and hidden nodes around them."""
     esc = lambda c: F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;")
     t = latest(table(spark, d, "document_records").filter("clean_text is not null").select("doc_id", "clean_text", "processed_at"), ["doc_id"], ["processed_at"])
-    page = F.concat(F.lit('<html><head><script>var a = 1;</script></head><body><nav class="menu"><a href="/">Home</a></nav><div class="cookie-banner">We use cookies</div><article><p>'), esc(F.col("clean_text")), F.lit('</p></article><div style="display: none">hidden</div><footer>Terms</footer></body></html>'))
+    page = F.concat(F.lit('<html><head><script>var a = 1;</script></head><body><nav class="menu"><a href="/">Home</a></nav><div class="cookie-banner">We use cookies</div><article><p>'), F.regexp_replace(esc(F.col("clean_text")), r"\n+", "</p><p>"), F.lit('</p></article><div style="display: none">hidden</div><footer>Terms</footer></body></html>'))
     return t.select("doc_id", F.md5(main_text_udf(page)).alias("digest"))
 
 
@@ -48,25 +47,36 @@ def source_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gephi_edges(spark: SparkSession, d: str) -> DataFrame:
-    return files.gephi_tables(graph.entity_nodes(table(spark, d, "entities")), _edges(spark, d))[1]
+    return files.gephi_tables(_nodes(spark, d), _edges(spark, d))[1]
 
 
 def neo4j_nodes(spark: SparkSession, d: str) -> DataFrame:
-    n = files.neo4j_tables(graph.entity_nodes(table(spark, d, "entities")), _edges(spark, d))[0]
+    n = files.neo4j_tables(_nodes(spark, d), _edges(spark, d))[0]
     return n.toDF("id", "name", "description", "label")
 
 
-QUERIES = {f.__name__: f for f in (html_main_text, rule_sentences, numbered_sentences, built_documents, source_profile, gephi_edges, neo4j_nodes)}
+def neo4j_relationships(spark: SparkSession, d: str) -> DataFrame:
+    e = files.neo4j_tables(_nodes(spark, d), _edges(spark, d))[1]
+    return e.toDF("start", "end", "edge_id", "layer", "confidence", "type")
 
-from kgloom.plans.kg_sql import EDGES, NODES  # noqa: E402
+
+def gephi_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return files.gephi_tables(_nodes(spark, d), _edges(spark, d))[0]
+
+
+QUERIES = {f.__name__: f for f in (html_main_text, rule_sentences, numbered_sentences, built_documents, source_profile, gephi_nodes, gephi_edges, neo4j_nodes, neo4j_relationships)}
+
+from kgloom.plans.kg_sql import ALL_NODES, EDGES  # noqa: E402
 
 _LD = "(select distinct on (doc_id) * from document_records order by doc_id, processed_at desc)"
 SQL = {
-    "html_main_text": f"select doc_id, md5(t) as digest from (select doc_id, trim(regexp_replace(clean_text, '[\\s\\x0b\\x{{0085}}\\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')) as t from (select distinct on (doc_id) * from document_records where clean_text is not null order by doc_id, processed_at desc))",
     "numbered_sentences": "select sentence_id, 'sent_' || lpad(cast(row_number() over (order by doc_id, sentence_index_in_doc, sentence_id) as varchar), 6, '0') as id from (select distinct doc_id, sentence_index_in_doc, sentence_id from sentences where doc_id is not null and sentence_index_in_doc is not null)",
     "built_documents": f"""
 select doc_id, source_id, cast(length(coalesce(clean_text, '')) as integer) as char_count, cast(len(list_filter(regexp_split_to_array(coalesce(clean_text, ''), '\\n\\s*\\n'), lambda p: trim(p) <> '')) as integer) as paragraph_count, coalesce(nullif(trim(title), ''), doc_id) as title from {_LD}""",
     "source_profile": f"select coalesce(source_id, 'UNKNOWN') as source_id, coalesce(source_type, 'UNKNOWN') as source_type, count(*) as n_docs, count(clean_text) as n_texts, cast(coalesce(sum(length(clean_text)), 0) as bigint) as n_chars from {_LD} group by 1, 2",
-    "gephi_edges": f"with e as {EDGES} select id as Id, source as Source, target as Target, 'Directed' as Type, label as Label, layer as Layer, coalesce(confidence, 1.0) as Weight from e",
-    "neo4j_nodes": f"select id, label as name, coalesce(description, '') as description, upper(regexp_replace(type, '[^A-Za-z0-9_]+', '_', 'g')) as label from {NODES}",
+    "gephi_nodes": f"""with e as {EDGES}, g as (select id, count(*) as degree from (select source as id from e union all select target from e) group by 1)
+select n.id as Id, n.label as Label, type, 'Entity;' || type as labels, coalesce(description, '') as description, case when n.id in (select entity_id from entities) then 'entity' else 'event' end as source_layer, coalesce(degree, 0) as degree from {ALL_NODES} n left join g on n.id = g.id""",
+    "gephi_edges": f"with e as {EDGES} select id as Id, source as Source, target as Target, 'Directed' as Type, label as Label, label || ' [' || layer || ']' as display_label, layer as source_layer, coalesce(confidence, 1.0) as confidence, semantic_key, case when layer = 'event' then label else '' end as role from e",
+    "neo4j_nodes": f"select id, label as name, coalesce(description, '') as description, upper(regexp_replace(type, '[^A-Za-z0-9_]+', '_', 'g')) as label from {ALL_NODES}",
+    "neo4j_relationships": f"with e as {EDGES} select source as start, target as end, id as edge_id, layer, coalesce(confidence, 1.0) as confidence, upper(regexp_replace(regexp_replace(label, '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g')) as type from e",
 }

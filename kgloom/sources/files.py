@@ -101,8 +101,18 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- graph exports --------------------------------------------------------------------
 def gephi_tables(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    n = nodes.select(F.col("id").alias("Id"), F.coalesce(F.nullif("label", F.lit("")), F.col("id")).alias("Label"), F.col("type").alias("Type"), F.coalesce("description", F.lit("")).alias("Description"))
-    e = edges.select(F.col("id").alias("Id"), F.col("source").alias("Source"), F.col("target").alias("Target"), F.lit("Directed").alias("Type"), F.col("label").alias("Label"), F.col("layer").alias("Layer"), F.coalesce("confidence", F.lit(1.0)).alias("Weight"))
+    """Node and edge tables; an edge shows its label with the layer it comes from."""
+    from kgloom.operators.graph import degrees, display_label
+
+    event = F.col("type").endswith("Event")
+    n = nodes.join(degrees(edges), "id", "left").select(
+        F.col("id").alias("Id"), F.coalesce(F.nullif("label", F.lit("")), F.col("id")).alias("Label"), "type", F.concat(F.lit("Entity;"), "type").alias("labels"), F.coalesce("description", F.lit("")).alias("description"),
+        F.when(event, "event").otherwise("entity").alias("source_layer"), F.coalesce("degree", F.lit(0)).alias("degree"),
+    )
+    e = edges.select(
+        F.col("id").alias("Id"), F.col("source").alias("Source"), F.col("target").alias("Target"), F.lit("Directed").alias("Type"), F.col("label").alias("Label"), display_label(F.col("label"), F.col("layer")).alias("display_label"),
+        F.col("layer").alias("source_layer"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "semantic_key", F.when(F.col("layer") == "event", F.col("label")).otherwise("").alias("role"),
+    )
     return n, e
 
 
@@ -129,6 +139,28 @@ def neo4j_script(nodes: DataFrame, edges: DataFrame, folder: str = "file:///") -
     return "\n".join(out) + "\n"
 
 
+def browser_queries(seed: str) -> str:
+    """The stored queries of a graph browser, as text."""
+    one = [
+        "MATCH (n) OPTIONAL MATCH (n)-[r]->(m) RETURN n, r, m LIMIT 300",
+        f"MATCH p = (n {{id: {json.dumps(seed)}}})-[*1..2]-(m) RETURN p LIMIT 180",
+        *[f"MATCH (n)-[r]->(m) WHERE r.source_layer = '{layer}' RETURN n, r, m LIMIT {k}" for layer, k in (("facts", 120), ("evidence", 120), ("wikipedia_direct", 80))],
+        "MATCH (n:Event)-[r]-(m) RETURN n, r, m LIMIT 160",
+        "MATCH (n)-[r]-() WITH n, count(r) AS degree ORDER BY degree DESC LIMIT 30 MATCH (n)-[r]-(m) RETURN n, r, m",
+    ]
+    return "".join(f"// {i}\n{q};\n" for i, q in enumerate(one, 1))
+
+
+#: Colours of the kinds of node in a graph browser.
+COLOURS = {"PERSON": "#4C8BF5", "ORGANIZATION": "#F5A623", "PLACE": "#7ED321", "WORK": "#9013FE", "CONCEPT": "#50E3C2", "MACHINE": "#D0021B", "AWARD": "#F8E71C", "EVENT": "#B8E986"}
+
+
+def browser_style(labels: list[str]) -> str:
+    """A style sheet with one rule for each label."""
+    rules = [f"node.{x} {{ color: {COLOURS.get(x, '#A0A0A0')}; diameter: 50px; caption: '{{name}}'; }}" for x in sorted(labels)]
+    return "\n".join(["node { diameter: 40px; color: #A0A0A0; }", *rules, "relationship { caption: '{display_label}'; }"]) + "\n"
+
+
 def html_page(nodes: DataFrame, edges: DataFrame, path: str, most: int = 300) -> None:
     """An offline page of the `most` nodes of highest degree and the edges between them."""
     from kgloom.operators.graph import degrees, induced_top

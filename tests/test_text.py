@@ -50,5 +50,5 @@ def test_pages():
 def test_rule_sentences():
     t = "A Heading\n\nDr. A. Smith paid 3.50 in full. He left. He left. See [1] it!\n\n12 34"
     got = list(rule_sentences(t))
-    assert [s for _, s, _, _ in got] == ["A Heading", "Dr. A. Smith paid 3.50 in full.", "He left.", "See it!"]
+    assert [s for _, s, _, _ in got] == ["A Heading.", "Dr. A. Smith paid 3.50 in full.", "He left.", "See [1] it!"]
     assert all(t[a:b] for _, _, a, b in got)
