@@ -88,6 +88,20 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+@F.pandas_udf(T.DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    from difflib import SequenceMatcher
+
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """1 for equal names, .86 where one holds the other, else the larger of common words and common letters."""
+    x, y = normal_alias(a), normal_alias(b)
+    inside = x.contains(y) | y.contains(x)
+    return F.when((x == "") | (y == ""), F.lit(0.0)).when(x == y, F.lit(1.0)).when(inside, F.lit(0.86)).otherwise(F.greatest(jaccard(similarity_tokens(x), similarity_tokens(y)), _ratio(x, y)))
+
+
 def language(text: Column) -> Column:
     """zh with a fifth of its letters in Han script, en with any letter, else unknown."""
     han, letters = F.regexp_count(text, F.lit(r"[一-鿿]")), F.regexp_count(text, F.lit(r"\p{L}"))
@@ -200,7 +214,7 @@ def infer_type(instance_ids: Column | None, label: Column, description: Column,
 def wikidata_time(text: Column) -> Column:
     """YYYY-MM-DD, or YYYY where month or day is unknown; the sign is dropped."""
     part = lambda k: F.regexp_extract(text, r"^[+-]?(\d{4})-(\d{2})-(\d{2})", k)
-    return F.when(part(1) == "", F.nullif(F.trim(text), F.lit(""))).when((part(2) == "00") | (part(3) == "00"), part(1)).otherwise(F.concat_ws("-", part(1), part(2), part(3)))
+    return F.when(text.isNull(), None).when(part(1) == "", F.nullif(F.trim(text), F.lit(""))).when((part(2) == "00") | (part(3) == "00"), part(1)).otherwise(F.concat_ws("-", part(1), part(2), part(3)))
 
 
 def stable_id(prefix: str, *parts: Column, size: int = 20, joiner: str = "||") -> Column:

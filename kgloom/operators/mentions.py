@@ -193,8 +193,8 @@ def dedupe(mentions: DataFrame) -> DataFrame:
     return first_rows(mentions, ["sentence_id", "type", "s", "e"], ["mention_id"])
 
 
-def merge_adjacent(spans: Column, tokens: Column, bridge: tuple[str, ...] = ("of", "and", "in", "for"), most: int = 2, types: tuple[str, ...] = ("WORK", "CONCEPT")) -> Column:
-    """Neighbouring spans of one mergeable type with one or two linking words between become one, pair by pair."""
+def merge_adjacent(spans: Column, tokens: Column, bridge: tuple[str, ...] = ("of", "and", "in", "for"), most: int = 2, types: tuple[str, ...] = ("WORK", "CONCEPT"), known: Column | None = None) -> Column:
+    """Neighbouring spans of one mergeable type with one or two linking words between become one, pair by pair; known: starts of the pairs that are confirmed, if only those may."""
     none = F.slice(spans, 1, 0)
     start = F.struct(none.alias("out"), F.lit(False).alias("merged"))
 
@@ -204,12 +204,54 @@ def merge_adjacent(spans: Column, tokens: Column, bridge: tuple[str, ...] = ("of
         words = F.transform(F.slice(tokens, F.greatest(last["e"], F.lit(0)) + 1, F.greatest(gap, F.lit(0))), F.lower)
         fits = (F.size(a["out"]) > 0) & ~a["merged"] & (last["type"] == x["type"]) & x["type"].isin(*types) & gap.between(1, most) & F.forall(words, lambda w: w.isin(*bridge))
         joined = F.concat(F.slice(a["out"], 1, F.greatest(F.size(a["out"]) - 1, F.lit(0))), F.array(F.struct(last["s"].alias("s"), x["e"].alias("e"), x["type"].alias("type"))))
+        if known is not None:
+            fits = fits & F.array_contains(known, last["s"])
         fits = F.coalesce(fits, F.lit(False))
         return F.struct(F.when(fits, joined).otherwise(F.concat(a["out"], F.array(x))).alias("out"), fits.alias("merged"))
 
     return F.when(F.size(spans) == 0, spans).otherwise(F.aggregate(spans, start, step, lambda a: a["out"]))
 
 
+def meaningless(token: Column) -> Column:
+    """Whether a single token names nothing: one mark, or dashes and strokes alone."""
+    return ((F.length(token) <= 1) & ~token.rlike(r"(?U)^[\p{L}\p{N}]$")) | token.rlike(r"^[_\-=/\\]+$")
+
+
+#: Types whose neighbours are joined, and the words that may stand between them.
+MERGED, BRIDGES = ("WORK", "CONCEPT"), ("of", "and", "in", "for")
+
+
+def decode(sequences: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Mentions of labelled sequences (sentence_id, text, tokens, token_spans, labels, confidences).
+
+    Labels are made legal and read as spans; machines grow to the longest name of the
+    dictionary (alias, n_tokens, type) that starts where they do; single tokens without meaning
+    go; two neighbouring works or concepts with one or two linking words between are joined if
+    the dictionary knows the whole; each (sentence, type, characters) counts once. The text is
+    cut by characters, the confidence is the mean of the tokens that have one.
+    """
+    spans = sequences.select("*", F.explode(label_spans(F.col("labels"))).alias("x")).select("sentence_id", "tokens", "x.*")
+    grown = extend_spans(spans, dictionary)
+    base = sequences.select("sentence_id", "text", "tokens", "token_spans", "confidences")
+    m = grown.join(base.select("sentence_id", "tokens"), "sentence_id")
+    m = m.filter(~((F.col("e") - F.col("s") == 1) & meaningless(F.get("tokens", F.col("s")))))
+    per = m.groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "type"))).alias("spans"))
+    per = per.join(base.select("sentence_id", "tokens"), "sentence_id")
+    # which neighbours the dictionary knows as one
+    low = F.transform("tokens", F.lower)
+    nexts = F.zip_with(F.slice("spans", 1, F.size("spans") - 1), F.slice("spans", 2, F.size("spans")), lambda a, b: F.struct(a["s"].alias("s"), b["e"].alias("e"), a["type"].alias("type"), (a["type"] == b["type"]).alias("same"), (b["s"] - a["e"]).alias("gap")))
+    pairs = per.filter(F.size("spans") > 1).select("sentence_id", low.alias("low"), F.explode(nexts).alias("p")).filter("p.same and p.gap between 1 and 2").filter(F.col("p.type").isin(*MERGED))
+    pairs = pairs.select("sentence_id", F.col("p.s").alias("ps"), F.col("p.type").alias("type"), F.array_join(F.slice("low", F.col("p.s") + 1, F.col("p.e") - F.col("p.s")), " ").alias("alias"))
+    known = pairs.join(dictionary.select("alias", "type"), ["alias", "type"], "left_semi").groupBy("sentence_id").agg(F.collect_set("ps").alias("known"))
+    per = per.join(known, "sentence_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<int>")))
+    joined = per.select("sentence_id", F.explode(merge_adjacent(F.col("spans"), F.col("tokens"), BRIDGES, 2, MERGED, F.col("known"))).alias("x")).select("sentence_id", "x.*").join(base, "sentence_id")
+    a, b = F.get(F.get("token_spans", F.col("s")), F.lit(0)), F.get(F.get("token_spans", F.col("e") - 1), F.lit(1))
+    sure = F.filter(F.slice(F.coalesce("confidences", F.array().cast("array<double>")), F.col("s") + 1, F.col("e") - F.col("s")), lambda c: c.isNotNull())
+    mean = F.when(F.size(sure) > 0, F.aggregate(sure, F.lit(0.0), lambda t, c: t + c) / F.size(sure))
+    out = joined.select("sentence_id", F.col("type").alias("mention_type"), "s", "e", a.alias("char_start"), b.alias("char_end"), F.expr("substring(text, 1 + token_spans[s][0], token_spans[e - 1][1] - token_spans[s][0])").alias("text"), F.round(mean, 6).alias("confidence"))
+    return first_rows(out, ["sentence_id", "mention_type", "char_start", "char_end"], ["s", "e"]).withColumn("mention_id", F.concat(F.lit("ment_"), F.substring(F.sha1(F.concat_ws("|", "sentence_id", "mention_type", F.col("char_start").cast("string"), F.col("char_end").cast("string"))), 1, 16)))
+
+
 def extend_spans(spans: DataFrame, dictionary: DataFrame, kind: str = "MACHINE", longest: int = 8) -> DataFrame:
     """Spans (sentence_id, tokens, s, e, type) of one type grow to the longest dictionary name that starts where they do."""
     low = F.transform("tokens", F.lower)

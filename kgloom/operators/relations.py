@@ -217,9 +217,37 @@ def pair_features(tokens: Column, s_start: Column, o_start: Column, clip: int =
     return F.struct(
         F.transform(at, lambda i: X.clip_position(i - s_start, clip)).alias("s_pos"),
         F.transform(at, lambda i: X.clip_position(i - o_start, clip)).alias("o_pos"),
-        F.transform(at, lambda i: F.when(i <= a, 1).when(i <= b, 2).otherwise(3)).alias("piece"),
+        F.transform(at, lambda i: F.when(i <= a, 1).when(i < b, 2).otherwise(3)).alias("piece"),
     )
 
 
+def crop_window(n: Column, s1: Column, e1: Column, s2: Column, e2: Column, most: int = 128) -> Column:
+    """struct<s, e> of the at most `most` tokens around a pair: as much before it as after it where both fit, the end of the pair where it alone is longer."""
+    left, right = F.least(s1, s2), F.greatest(e1, e2)
+    wide = right - left
+    end = F.least(n, right)
+    start = F.greatest(F.lit(0), left - F.floor((F.lit(most) - wide) / 2).cast("int"))
+    stop = F.least(n, start + most)
+    fits = F.struct(F.greatest(F.lit(0), stop - most).alias("s"), stop.alias("e"))
+    return F.when(n <= most, F.struct(F.lit(0).alias("s"), n.alias("e"))).when(wide >= most, F.struct(F.greatest(F.lit(0), end - most).alias("s"), end.alias("e"))).otherwise(fits)
+
+
+#: How much a sentence speaks for the labels of its bag, by its own weak label.
+EVIDENCE_WEIGHT = {"ds_strict": 0.9, "manual_review": 0.6, "hard_negative": 0.1}
+
+
+def bag_scores(bags_: DataFrame) -> DataFrame:
+    """(bag_id, sentence_id, relation, probability, allowed): the labels of each bag as scores of its sentences.
+
+    The stand-in for a model's scores: a sentence weighs by its weak label, .4 without one.
+    Allowed are the relations that the types of the bag admit.
+    """
+    weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in EVIDENCE_WEIGHT.items() for x in kv]), F.coalesce("x.weak_label", F.lit(""))), F.lit(0.4))
+    ev = bags_.select("bag_id", "allowed_predicates", F.array_distinct("label_names").alias("labels"), F.explode("sentence_evidences").alias("x")).filter("x.sentence_id is not null")
+    j = ev.select("bag_id", "allowed_predicates", F.col("x.sentence_id").alias("sentence_id"), weight.alias("w"), F.explode("labels").alias("relation")).filter("relation is not null and relation <> 'NA'")
+    allowed = F.coalesce(F.array_contains(F.coalesce("allowed_predicates", F.array().cast("array<string>")), F.col("relation")), F.lit(False))
+    return j.groupBy("bag_id", "sentence_id", "relation", allowed.alias("allowed")).agg(F.max("w").alias("probability"))
+
+
 def review_queue(labeled: DataFrame) -> DataFrame:
     return labeled.filter(F.size(F.coalesce("review_reasons", F.array().cast("array<string>"))) > 0)

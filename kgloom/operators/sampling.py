@@ -53,3 +53,46 @@ def train_dev(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> Da
     """Adds the split of each row by its hash; no global order is needed."""
     u = F.conv(F.substring(order_key(seed, F.col(key)), 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
     return df.withColumn("split", F.when(u < share, "dev").otherwise("train"))
+
+
+def keyword_sample(df: DataFrame, group: str, key: str, text: str, keywords: dict[str, int], n: int, seed: int = 42) -> DataFrame:
+    """n rows: for each keyword its quota of the rows that hold it, one of each group first; the rest filled in order of the hash.
+
+    keywords: a short list. A row counts once, for the first keyword it serves.
+    """
+    h = order_key(seed, F.col(key))
+    d = df.withColumn("_h", h).withColumn("_g", F.row_number().over(W.partitionBy(group).orderBy(h, F.col(key))))
+    taken = None
+    for word, quota in keywords.items():
+        hit = d.filter(F.lower(text).contains(word.lower()))
+        if taken is not None:
+            hit = hit.join(taken.select(key), key, "left_anti")
+        some = hit.orderBy("_g", "_h", key).limit(quota)
+        taken = some.select(d.columns) if taken is None else taken.unionByName(some.select(d.columns))
+    if taken is None:
+        return hash_sample(df, key, n, seed)
+    rest = d.join(taken.select(key), key, "left_anti").orderBy("_g", "_h", key).limit(max(0, n - sum(keywords.values())))
+    return taken.unionByName(rest.select(d.columns)).orderBy("_g", "_h", key).limit(n).drop("_h", "_g")
+
+
+def counted_split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Adds the split of each row: max(1, int(n * share)) of them are dev, never all, in order of the hash.
+
+    The cut is found by counting ranges of the hash; only the range that holds it is ranked.
+    """
+    d = df.withColumn("_h", order_key(seed, F.col(key)))
+    counts = sorted((r._p, r["count"]) for r in d.groupBy(F.left("_h", F.lit(4)).alias("_p")).count().collect())  # at most 65,536 ranges
+    n = sum(k for _, k in counts)
+    want = min(max(1, int(n * share)), n - 1) if n > 1 else 0
+    edge, below = None, 0
+    for part, k in counts:
+        if below + k > want:
+            edge = part
+            break
+        below += k
+    if edge is None:
+        return d.withColumn("split", F.lit("train")).drop("_h")
+    part = F.left("_h", F.lit(4))
+    within = d.filter(part == edge).orderBy("_h", key).limit(want - below).select(F.col(key).alias("_k"))
+    d = d.join(F.broadcast(within.distinct()), F.col(key) == F.col("_k"), "left")  # one range of the hash
+    return d.withColumn("split", F.when((part < edge) | F.col("_k").isNotNull(), "dev").otherwise("train")).drop("_h", "_k")

@@ -127,11 +127,91 @@ def compile_constraint(c: dict) -> Column:
         return F.coalesce(F.size(attribute), F.lit(0)) <= 0
     if kind == "value_range":
         return (attribute < c["min"]) | (attribute > c["max"])
-    if kind == "time_order":
-        return F.col(c["start"]) > F.col(c["end"])
+    if kind in ("time_order", "time_order_check"):
+        start, end = F.col(c.get("start", c.get("start_attribute", ""))), F.col(c.get("end", c.get("end_attribute", "")))
+        return (F.coalesce(start, F.lit("")) != "") & (F.coalesce(end, F.lit("")) != "") & (start > end)
+    if kind == "event_role_required":
+        held = F.transform(F.filter(F.coalesce("roles", F.array()), lambda r: r.isNotNull()), lambda r: r["role"])
+        return (F.col("event_type") == c["event_type"]) & (F.size(F.array_except(F.array(*[F.lit(r) for r in c["roles"]]), held)) > 0)
     raise ValueError(f"unknown constraint {kind}")
 
 
+def ontology_constraints() -> list[dict]:
+    """The 26 declared constraints: what every class must hold, what is unique, the ranges, and the roles of each type of event."""
+    required = [{"type": "required_attribute", "class": c, "attribute": "canonical_name"} for c in ("Person", "Organization", "Place", "Work", "Machine", "Award")]
+    required += [{"type": "required_attribute", "class": "Event", "attribute": a} for a in ("event_id", "event_type")]
+    unique = [{"type": "unique_attribute", "class": c, "attribute": a} for c, a in (("Entity", "entity_id"), ("Event", "event_id"))]
+    arrays = [{"type": "non_empty_array", "class": "Entity", "attribute": a} for a in ("aliases", "source_ids")]
+    ranges = [{"type": "value_range", "class": c, "attribute": "confidence", "min": 0.0, "max": 1.0} for c in ("Entity", "Event")]
+    roles = [{"type": "event_role_required", "event_type": v[0], "roles": [v[1], v[2]]} for v in K.EVENT_SPECS.values()]
+    return [*required, *unique, *arrays, *ranges, {"type": "relation_domain_range_check"}, *roles, {"type": "time_order_check", "class": "Event", "start_attribute": "start_time", "end_attribute": "end_time"}]
+
+
+def constraint_violations(entities: DataFrame, aliases: DataFrame, claims: DataFrame, events: DataFrame) -> DataFrame:
+    """(ordinal, type, class, subject) of every violation of the declared constraints.
+
+    Entities come with their aliases and sources as arrays of at most one element, as only
+    their presence is asked for; claims are joined to the types of both ends once.
+    """
+    named = aliases.filter("entity_id is not null and trim(alias) <> ''").groupBy("entity_id").agg(F.min("alias").alias("_a"))
+    e = entities.join(named, "entity_id", "left").select(
+        F.col("entity_id").alias("subject"), "entity_id", X.entity_type(F.col("entity_type")).alias("kind"), "canonical_name", "confidence",
+        F.array_compact(F.array("_a")).alias("aliases"), F.array_compact(F.array(F.nullif(F.trim("source_record_id"), F.lit("")))).alias("source_ids"),
+    )
+    v = events.select(F.col("event_candidate_id").alias("subject"), F.col("event_candidate_id").alias("event_id"), "event_type", "confidence", "roles", F.col("start_time_norm").alias("start_time"), F.col("end_time_norm").alias("end_time"))
+    out = []
+    for i, c in enumerate(ontology_constraints()):
+        of = v if c.get("class") == "Event" or c["type"] == "event_role_required" else e
+        if c.get("class") not in (None, "Entity", "Event"):
+            of = of.filter(F.col("kind") == c["class"].upper())
+        if c["type"] == "unique_attribute":
+            bad = of.groupBy(c["attribute"]).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(c["attribute"]).alias("subject"))
+        elif c["type"] == "relation_domain_range_check":
+            t = entities.select("entity_id", X.entity_type(F.col("entity_type")).alias("t"))
+            j = claims.select("claim_id", "subject_id", X.predicate(F.col("predicate")).alias("predicate"), "object_id").filter("object_id is not null")
+            j = j.join(t.select(F.col("entity_id").alias("subject_id"), F.col("t").alias("s")), "subject_id").join(t.select(F.col("entity_id").alias("object_id"), F.col("t").alias("o")), "object_id")
+            known = F.create_map(*[x for p, (ss, os) in K.RELATION_TYPES.items() for x in (F.lit(p), F.array(*[F.lit(f"{s}|{o}") for s in ss for o in os]))])
+            allowed = F.try_element_at(known, F.col("predicate"))
+            bad = j.filter(allowed.isNotNull() & ~F.array_contains(allowed, F.concat_ws("|", "s", "o"))).select(F.col("claim_id").alias("subject")).distinct()
+        else:
+            bad = of.filter(compile_constraint(c)).select("subject").distinct()
+        out.append(bad.select(F.lit(i).alias("ordinal"), F.lit(c["type"]).alias("type"), F.lit(c.get("class") or c.get("event_type")).alias("class"), "subject"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def entity_records(entities: DataFrame) -> DataFrame:
+    """(entity_id, canonical_name, dbpedia_uri): the first of the Chinese label, the English one, the name it is known by and the id; the address of its English article."""
+    some = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    title = some("wikipedia_title_en")
+    return entities.select("entity_id", F.coalesce(some("label_zh"), some("label_en"), some("canonical_name"), F.col("entity_id")).alias("canonical_name"), F.when(title.isNotNull(), F.concat(F.lit("http://dbpedia.org/resource/"), F.regexp_replace(title, r"\s", "_"))).alias("dbpedia_uri"))
+
+
+def claim_events(claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """Events of claims with their times and place.
+
+    The start is that of the qualifiers (start_time, publication_date, point_in_time); a
+    birth or death takes its place from the object. One row a claim and type of event.
+    """
+    from kgloom.operators.events import from_claims
+
+    q = lambda n: X.wikidata_time(F.coalesce(F.get_json_object("qualifiers_json", f"$.{n}.value"), F.get_json_object("qualifiers_json", f"$.{n}")))
+    times = claims.select("claim_id", F.coalesce(q("start_time"), q("publication_date"), q("point_in_time")).alias("start"), q("end_time").alias("end"), "retrieved_at")
+    times = latest(times, ["claim_id"], ["retrieved_at"]).drop("retrieved_at")
+    e = from_claims(claims, entities).join(times, "claim_id", "left")
+    return e.withColumn("location_id", F.when(F.col("o_role").isin("birth_place", "death_place"), F.col("object_id")))
+
+
+def update_summaries(entities: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Summaries (entity_id, wikipedia_summary_en, retrieved_at, source_name) written over those of known entities; others are left out."""
+    cols = ["wikipedia_summary_en", "retrieved_at", "source_name"]
+    s = latest(summaries.select("entity_id", *cols), ["entity_id"], ["retrieved_at"]).select("entity_id", F.struct(*cols).alias("_s"))
+    j = entities.join(s, "entity_id", "left")
+    for c in cols:
+        if c in entities.columns:
+            j = j.withColumn(c, F.when(F.col("_s").isNotNull(), F.col(f"_s.{c}")).otherwise(F.col(c)))
+    return j.select(*entities.columns)
+
+
 def target_relations(requested: list[str] | None) -> list[str]:
     """Requested relations that the ontology and the triggers both know; any other is an error."""
     known = set(K.RELATION_TYPES) & set(K.TRIGGER_LEMMAS)

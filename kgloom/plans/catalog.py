@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.plans import kg_queries, more_queries, nested_queries, page_queries, text_queries
+from kgloom.plans import kg_queries, more_queries, nested_queries, page_queries, stage_queries, text_queries
 
-MODULES = (nested_queries, text_queries, kg_queries, page_queries, more_queries)
+MODULES = (nested_queries, text_queries, kg_queries, page_queries, more_queries, stage_queries)
 FLAGSHIP = "p1_found"
 
 

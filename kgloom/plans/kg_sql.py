@@ -271,7 +271,7 @@ from {DL} d left join {_CLAIM_IDS} c on d.subject_entity_id = c.subject_id and {
     "pair_positions": f"""
 select candidate_id, cast(list_sum(list_transform(range(len(tokens)), lambda i: greatest(-40, least(40, i - subject_token_start)) + 41)) as bigint) as s_sum,
   cast(list_sum(list_transform(range(len(tokens)), lambda i: greatest(-40, least(40, i - object_token_start)) + 41)) as bigint) as o_sum,
-  cast(list_sum(list_transform(range(len(tokens)), lambda i: case when i <= least(subject_token_start, object_token_start) then 1 when i <= greatest(subject_token_start, object_token_start) then 2 else 3 end)) as bigint) as piece_sum
+  cast(list_sum(list_transform(range(len(tokens)), lambda i: case when i <= least(subject_token_start, object_token_start) then 1 when i < greatest(subject_token_start, object_token_start) then 2 else 3 end)) as bigint) as piece_sum
 from {DL} where tokens is not null and len(tokens) > 0 and subject_token_start is not null and object_token_start is not null""",
     "review_queue": f"select candidate_id, weak_label, array_to_string(review_reasons, ',') as reasons from {DL} where len(coalesce(review_reasons, [])) > 0",
     "event_arguments": f"""

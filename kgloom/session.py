@@ -39,6 +39,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("KGLOOM_DRIVER_MEMORY", "8g"))
@@ -53,6 +54,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _scans_only(df: DataFrame) -> bool:
+    """Whether the plan has no exchange, so that asking for its partitions runs nothing."""
+    stack = [df._jdf.queryExecution().optimizedPlan()]
+    while stack:
+        node = stack.pop()
+        if node.nodeName() in ("Aggregate", "Join", "Window", "Sort", "Repartition", "RepartitionByExpression", "Deduplicate", "Distinct", "GlobalLimit", "Intersect", "Except"):
+            return False
+        children = node.children()
+        stack.extend(children.apply(i) for i in range(children.size()))
+    return True
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Enough partitions for all cores before costly work on each row.
 
@@ -60,7 +73,7 @@ def spread(df: DataFrame) -> DataFrame:
     any at scale, is returned as it is, without a shuffle. A plan that shuffles already is
     left to adaptive execution: asking for its partitions would run it.
     """
-    if any(x in df._jdf.queryExecution().optimizedPlan().toString() for x in ("Aggregate", "Join", "Window", "Sort ", "Repartition")):
+    if not _scans_only(df):
         return df
     ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -70,13 +83,17 @@ def spread(df: DataFrame) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through files in the shared folder of ``spark.checkpoint.dir``.
 
-    The setting is read from the session; only where it is unset (tests, a laptop) a
-    temporary folder is used. The files outlive any executor, so a lost one costs a
-    re-read and not a recomputation.
+    The setting is read from the session. Where it is unset a temporary folder serves a local
+    master, whose executors share it; any other master is an error. The files outlive any
+    executor, so a lost one costs a re-read and not a recomputation; a local session removes
+    them with the frames they belong to (``spark.cleaner.referenceTracking.cleanCheckpoints``).
     """
     spark = df.sparkSession
     ship(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kgloom-"))
     return df.checkpoint(eager=True)

@@ -99,6 +99,30 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select("path", F.decode("content", "UTF-8").alias("content"))
 
 
+#: Ends of file names and the kind of source they tell.
+KINDS = {"html": ("html", "htm"), "text": ("txt", "md"), "pdf": ("pdf",)}
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """(path, source_type, text, error) of pages (path, content, and source_type where it is known), each by its kind.
+
+    HTML gives its main text, plain text itself with clean blanks. PDF and unknown kinds are
+    errors of their row: there is no reader of PDF here, and one bad page ends nothing.
+    """
+    from kgloom.functions.pages import main_text_udf
+    from kgloom.functions.text import page_whitespace
+
+    end = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    told = F.lit(None).cast("string")
+    for kind, names in KINDS.items():
+        told = F.when(end.isin(*names), kind).otherwise(told)
+    p = pages.withColumn("source_type", F.lower(F.col("source_type")) if "source_type" in pages.columns else told)
+    html = p.filter("source_type = 'html'").select("path", "source_type", main_text_udf("content").alias("text"), F.lit(None).cast("string").alias("error"))
+    text = p.filter("source_type = 'text'").select("path", "source_type", page_whitespace(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"))
+    rest = p.filter("source_type is null or source_type not in ('html', 'text')").select("path", "source_type", F.lit(None).cast("string").alias("text"), F.concat(F.lit("unsupported_source_type:"), F.coalesce("source_type", F.lit(""))).alias("error"))
+    return html.unionByName(text).unionByName(rest)
+
+
 # --- graph exports --------------------------------------------------------------------
 def gephi_tables(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node and edge tables; an edge shows its label with the layer it comes from."""

@@ -68,3 +68,49 @@ class PagedSource(DataSource):
 
     def reader(self, schema) -> PagedReader:
         return PagedReader(self.options)
+
+
+def summary_address(base: str, title: str) -> str:
+    """The address of the summary of an article; blanks of the title are underscores, all else is quoted."""
+    import urllib.parse
+
+    return f"{base.rstrip('/')}/{urllib.parse.quote(title.strip().replace(' ', '_'), safe='')}"
+
+
+def summaries(titles, base: str, replay: str | None = None, timeout: int = 60, retries: int = 3, backoff: float = 2.0):
+    """(entity_id, title, extract, error) of rows (entity_id, title), asked for where the rows stand; a failed one is an error of its row.
+
+    replay: a folder of saved answers (`<quoted title>.json`) that the cluster shares.
+    """
+    import urllib.error
+    import urllib.request
+
+    import pandas as pd
+
+    def ask(title: str) -> str | None:
+        address = summary_address(base, title)
+        if replay:
+            with open(os.path.join(replay, address.rpartition("/")[2] + ".json"), encoding="utf-8-sig") as f:
+                return json.load(f).get("extract")
+        with urllib.request.urlopen(address, timeout=timeout) as r:
+            return json.load(r).get("extract")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for i, t in zip(rows.entity_id, rows.title):
+                for attempt in range(retries + 1):
+                    try:
+                        out.append((i, t, ask(t) if t else None, None))
+                        break
+                    except FileNotFoundError:
+                        out.append((i, t, None, "missing"))
+                        break
+                    except (OSError, ValueError) as e:
+                        if attempt == retries:
+                            out.append((i, t, None, str(e)[:200]))
+                        else:
+                            time.sleep(backoff**attempt)
+            yield pd.DataFrame(out, columns=["entity_id", "title", "extract", "error"])
+
+    return titles.select("entity_id", "title").mapInPandas(run, "entity_id string, title string, extract string, error string")
