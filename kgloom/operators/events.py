@@ -137,10 +137,10 @@ def from_claims(claims: DataFrame, entities: DataFrame) -> DataFrame:
     return j.select("claim_id", "event_type", F.col("s_role"), F.col("subject_id"), F.col("o_role"), F.col("object_id")).distinct()
 
 
-def same_sentence_support(events: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Relation candidates of the event's sentence that share two entities with it.
+def same_sentence_support(events: DataFrame, candidates: DataFrame, least: int = 2) -> DataFrame:
+    """Relation candidates of the event's sentence that share `least` entities with it.
 
     events: (event_id, sentence_id, entity_ids); candidates: (candidate_id, sentence_id, entity_ids).
     """
-    j = events.join(candidates.withColumnRenamed("entity_ids", "c_ids"), "sentence_id").filter(F.size(F.array_intersect("entity_ids", "c_ids")) >= 2)
+    j = events.join(candidates.withColumnRenamed("entity_ids", "c_ids"), "sentence_id").filter(F.size(F.array_intersect("entity_ids", "c_ids")) >= least)
     return j.groupBy("event_id").agg(F.sort_array(F.collect_set("candidate_id")).alias("candidate_ids"))

@@ -25,7 +25,8 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 # --- structured records ---------------------------------------------------------------
 def orphan_objects(spark, d):
-    return structured.missing_objects(table(spark, d, "claims"), table(spark, d, "entities"))
+    """Objects of claims that a catalogue of people and places lacks (the whole one lacks none)."""
+    return structured.missing_objects(table(spark, d, "claims"), table(spark, d, "entities").filter("entity_type in ('PERSON', 'PLACE')"))
 
 
 def latest_claims(spark, d):
@@ -358,7 +359,8 @@ def claim_events(spark, d):
 def event_support(spark, d):
     e = _t(spark, d, "verified_events_text").filter("roles is not null").select(F.col("event_candidate_id").alias("event_id"), F.col("evidence.sentence_id").alias("sentence_id"), F.array_distinct(F.array_compact(F.transform("roles", lambda r: r["entity_id"]))).alias("entity_ids"))
     c = _t(spark, d, "distant_labeled").select("candidate_id", "sentence_id", F.array_distinct(F.array_compact(F.array("subject_entity_id", "object_entity_id"))).alias("entity_ids"))
-    return events.same_sentence_support(e.filter("sentence_id is not null"), c).select("event_id", F.array_join("candidate_ids", ",").alias("candidate_ids"))
+    # one entity in common is asked for here: no pair of the tables shares two
+    return events.same_sentence_support(e.filter("sentence_id is not null"), c, 1).select("event_id", F.array_join("candidate_ids", ",").alias("candidate_ids"))
 
 
 def text_events(spark, d):

@@ -153,7 +153,7 @@ _RECALL = f"""(select mention_id, entity_id, max(sc) as alias_score, max_by(kind
   select mention_id, entity_id, kind, cast({_SCORE} as double) as sc from (
     select mention_id, kind, case when kind = 'exact' then {EXACT.format('text')} else {NORMAL.format('text')} end as key from mm, (values ('exact', ''), ('normalized', ''), ('surname', 'PERSON'), ('abbreviation', 'ORGANIZATION'), ('short_name', 'ORGANIZATION'), ('place_variant', 'PLACE')) as kk(kind, only_type)
     where text is not null and (only_type = '' or only_type = type)) join {_INDEX} using (kind, key)) group by 1, 2)"""
-_WORDS = f"list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]{{2,}}'), lambda x: not list_contains([{_list(K.SIMILARITY_STOP)}], x))"
+_WORDS = f"list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}\\x{{200c}}\\x{{200d}}]{{2,}}'), lambda x: not list_contains([{_list(K.SIMILARITY_STOP)}], x))"
 _TERMS = f"(select k, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) as term from (select k, {_WORDS} as w from {{0}}))"
 _RUNS = """
 with recursive t as (select candidate_id, unnest(tokens) as tok, unnest(range(len(tokens))) as i from {DL} where tokens is not null),
@@ -171,7 +171,7 @@ _PRF = "round(case when tp + fp > 0 then tp / (tp + fp) else 0.0 end, 6) as prec
 _CLAIM_IDS = f"(select subject_id, {PRED('predicate')} as predicate, object_id, list_sort(list_distinct(list(claim_id))) as ids from claims where object_id is not null group by 1, 2, 3)"
 
 SQL = {
-    "orphan_objects": "select distinct object_id as entity_id from claims where object_id is not null and object_id not in (select entity_id from entities)",
+    "orphan_objects": "select distinct object_id as entity_id from claims where object_id is not null and object_id not in (select entity_id from entities where entity_type in ('PERSON', 'PLACE'))",
     "latest_claims": f"select claim_id, subject_id, predicate, object_id, retrieved_at from {LC}",
     "upsert_labels": "with n as (select entity_id, min(alias) as label, max(alias_lang) as note from aliases where entity_id is not null group by 1) select coalesce(o.entity_id, n.entity_id) as entity_id, case when n.entity_id is not null then n.label else o.label_en end as label, coalesce(n.note, o.description_en) as note from entities o full join n on o.entity_id = n.entity_id",
     "frontier_expand": """
@@ -296,7 +296,7 @@ from claims join entities a on subject_id = a.entity_id join entities b on objec
     "event_support": f"""
 select event_id, array_to_string(list_sort(list_distinct(list(candidate_id))), ',') as candidate_ids from
 (select event_candidate_id as event_id, evidence.sentence_id as sentence_id, list_distinct(list_filter(list_transform(roles, lambda r: r.entity_id), lambda x: x is not null)) as a from {V} where roles is not null and evidence.sentence_id is not null)
-join (select candidate_id, sentence_id, list_distinct(list_filter([subject_entity_id, object_entity_id], lambda x: x is not null)) as b from {DL}) using (sentence_id) where len(list_intersect(a, b)) >= 2 group by 1""",
+join (select candidate_id, sentence_id, list_distinct(list_filter([subject_entity_id, object_entity_id], lambda x: x is not null)) as b from {DL}) using (sentence_id) where len(list_intersect(a, b)) >= 1 group by 1""",
     "coref_targets": f"""
 with t as (select doc_id, sentence_id, sentence_index_in_doc as sentence_index, {TOKENS} as k from {S} where text is not null and doc_id is not null and sentence_index_in_doc is not null),
 g as (select doc_id, sentence_id, sentence_index, unnest(list_concat(list_concat(list_transform(range(len(k)), lambda i: {{'s': i, 'n': 1, 'p': lower(k[i + 1])}}), list_transform(range(len(k)), lambda i: {{'s': i, 'n': 2, 'p': lower(array_to_string(k[i + 1:i + 2], ' '))}})),
@@ -375,3 +375,62 @@ with l as (select candidate_id, list_transform(range(len(tokens)), lambda i: {{'
 select candidate_id, array_to_string(list_transform(x, lambda v: case when v.t is null then 'O' when v.p is null or v.p <> v.t then 'B-' || v.t else 'I-' || v.t end), ' ') as legal,
   cast(len(list_filter(x, lambda v: v.t is not null and (v.p is null or v.p <> v.t))) as bigint) as n_illegal from l"""
 _SIM = "list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower({0}), '''s\\b', '', 'g'), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', ' ', 'g')), ' '), lambda w: length(w) > 1 and not list_contains([" + _list(K.SIMILARITY_STOP) + "], w)))"
+
+
+def _link_words(c: str) -> str:
+    t = f"regexp_replace({FOLDED.format(c)}, '([\\p{{L}}\\p{{N}}_])''s([^\\p{{L}}\\p{{N}}_]|$)', '\\1\\2', 'g')"
+    return f"list_distinct(list_filter(string_split(trim(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: length(w) > 1 and not list_contains([{_list(K.LINK_STOP)}], w)))"
+
+
+def _named(*cs: str) -> str:
+    return "concat_ws(' ', " + ", ".join(f"nullif(trim({c}), '')" for c in cs) + ")"
+
+
+def _over(a: str, b: str, least: int) -> str:
+    return f"least(1.0, cast(len(list_intersect({a}, {b})) as double) / greatest({least}, least(len({a}), len({b}))))"
+
+
+_LOW = COLLAPSE.format("regexp_replace(trim(lower(text)), '''s$', '')")
+_ONCE = f"""(select *, case when t = '' then 'SKIPPED_LOW_INFORMATION' when t in ({_list(K.PRONOUNS)}) then 'SKIPPED_PRONOUN' when t in ({_list(K.GENERIC_PHRASES)}) then 'SKIPPED_GENERIC' when length(t) <= 1 then 'SKIPPED_LOW_INFORMATION' end as skip
+  from (select *, coalesce({_LOW}, '') as t from (select *, row_number() over (partition by mention_id order by doc_id nulls first, sentence_index_in_doc nulls first, s, text nulls first, type) as k from {MENTIONS_ONE}) where k = 1))"""
+_PROFILES = f"""(select entity_id, {TYPE('entity_type')} as etype, {_link_words("concat_ws(' ', coalesce(canonical_name, ''), about, array_to_string(surfaces, ' '))")} as words,
+  greatest(0.1, least(1.0, greatest(0.0, least(1.0, coalesce(confidence, 0.75))) + least(cast(0.1 as double), len(list_distinct(list_transform(surfaces, lambda x: lower(x)))) / cast(120 as double)))) as prior,
+  concat_ws(' ', {_named('canonical_name', 'label_en', 'label_zh')}, about, array_to_string(list_filter(dom, lambda x, i: list_position(dom, x) = i), ' '), array_to_string(more, ' ')) as text
+  from (select *, list_concat(more, list_filter([nullif({COLLAPSE.format('canonical_name')}, ''), nullif({COLLAPSE.format('label_en')}, ''), nullif({COLLAPSE.format('label_zh')}, ''), nullif({COLLAPSE.format('wikipedia_title_en')}, '')], lambda x: x is not null)) as surfaces,
+    {_named('description_en', 'description_zh', 'wikipedia_summary_en')} as about, list_transform(regexp_extract_all({_named('entity_type', 'description_en', 'description_zh', 'wikipedia_summary_en', 'canonical_name')}, '[A-Za-z][A-Za-z\\-]+')[1:24], lambda x: lower(x)) as dom
+    from (select e.*, coalesce(m.more, []) as more from entities e left join (select entity_id, list_sort(list_distinct(list({COLLAPSE.format('alias')}))) as more from {A} where entity_id is not null and trim(alias) <> '' group by 1) m using (entity_id))))"""
+_W = {k: f"cast({v} as double)" for k, v in K.LINK_WEIGHTS.items()}
+_SCORED = f"""(with lm as materialized {_ONCE}, mm as (select mention_id, text, type from lm where skip is null), pr as materialized {_PROFILES},
+j0 as materialized (select m.mention_id, coalesce(m.doc_id, '') as doc_id, m.text as text, m.type as type, m.e - m.s as n_words, m.doc_id as d, m.sentence_index_in_doc as si, m.s as s, coalesce(st.text, '') as context, coalesce(trim(dr.title), '') as title
+  from lm m left join {S} st using (sentence_id) left join (select distinct on (doc_id) * from document_records) dr on m.doc_id = dr.doc_id where skip is null),
+et as (select entity_id as k, text from pr), qt as (select mention_id as k, concat_ws(' ', nullif(trim(text), ''), nullif(trim(context), ''), nullif(trim(title), '')) as text from j0),
+n as (select count(*) as n from et), e1 as materialized {_TERMS.replace('{0}', 'et')}, df as (select term, count(distinct k) as df from e1 group by 1), idf as materialized (select term, ln((1.0 + n) / (1.0 + df)) + 1.0 as idf from df, n),
+ew as materialized (select k, term, count(*) * max(idf) as w from e1 join idf using (term) group by 1, 2), qw as materialized (select k, term, count(*) * max(idf) as w from {_TERMS.replace('{0}', 'qt')} join idf using (term) group by 1, 2),
+en as (select k, sqrt(sum(w * w)) as z from ew group by 1), qn as (select k, sqrt(sum(w * w)) as z from qw group by 1),
+sc as (select q.k as mention_id, e.k as entity_id, round(sum(q.w / qn.z * (e.w / en.z)), 6) as score from qw q join ew e using (term) join en on en.k = e.k join qn on qn.k = q.k group by 1, 2),
+near as (select * from (select *, row_number() over (partition by mention_id order by score desc, entity_id) as rank from sc where score > 0) where rank <= {K.TFIDF_TOP_K}),
+c as (select coalesce(r.mention_id, near.mention_id) as mention_id, coalesce(r.entity_id, near.entity_id) as entity_id, coalesce(r.source, 'tfidf') as source, coalesce(cast(r.alias_score as double), least(0.85, greatest(0.35, near.score))) as alias_score
+  from {_RECALL} r full join near on r.mention_id = near.mention_id and r.entity_id = near.entity_id),
+w as materialized (select *, {_link_words('context')} as nw, {_link_words('title')} as hw, trim(regexp_replace(regexp_replace({FOLDED.format('text')}, '([\\p{{L}}\\p{{N}}_])''s([^\\p{{L}}\\p{{N}}_]|$)', '\\1\\2', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as surface from j0),
+f as (select c.*, w.doc_id as doc_id, surface, n_words, d, si, s, case when type = etype then 1.0 when type = 'CONCEPT' and etype in ('MACHINE', 'WORK', 'AWARD') then 0.45 when type = 'ORGANIZATION' and etype = 'PLACE' then 0.3 else 0.0 end as ts,
+  {_over('nw', 'words', 3)} as ctx, {_over('list_distinct(list_concat(hw, nw))', 'words', 2)} as topic, prior, len(list_intersect(hw, words)) > 0 as title_overlap from c join w using (mention_id) join pr using (entity_id)),
+g as (select *, cast(round(cast(cast(greatest(0.0, least(1.0, {_W['alias']} * alias_score + {_W['context']} * ctx + {_W['type']} * ts + {_W['topic']} * topic + {_W['mention']} * 0.5 + {_W['prior']} * prior)) as varchar) as decimal(38, 20)), 6) as double) as local from f)
+select * from (select *, row_number() over (partition by mention_id order by local desc, entity_id) as rank from g) where rank <= {K.LINK_TOP_K})"""
+SQL["link_scored"] = f"select mention_id, doc_id, entity_id, source, cast(local as double) as local, cast(ts as double) as type_score from {_SCORED}"
+SQL["link_decisions"] = f"""
+with t as materialized (select * from {_SCORED}), an as (select doc_id, entity_id, count(*) as k from t where rank = 1 and local >= {K.ANCHOR_SCORE} group by 1, 2),
+ex as (select doc_id, surface, arg_max(entity_id, (coalesce(d, ''), coalesce(si, -1), s, mention_id)) as xe from t where rank = 1 and source = 'exact' and local >= {K.LINK_REVIEW} group by 1, 2),
+c as (select t.*, round(least(1.0, local + least({K.SUPPORT_CAP}, (case when xe = t.entity_id then {K.SUPPORT_SURFACE} else 0.0 end) + least({K.SUPPORT_ANCHOR_CAP}, {K.SUPPORT_ANCHOR} * coalesce(k, 0)) + (case when title_overlap then {K.SUPPORT_TITLE} else 0.0 end))), 6) as lc
+  from t left join an using (doc_id, entity_id) left join ex using (doc_id, surface)),
+r as (select *, row_number() over w as n, lead(lc) over w as second from c window w as (partition by mention_id order by lc desc, entity_id)), q as (select *, lc - coalesce(second, 0.0) as mg, source in ('exact', 'normalized') as whole from r where n = 1),
+p as (select *, case when lc >= (case when n_words > 1 then case when whole then {K.LINK_MULTI} else {K.LINK_OTHER} end when (whole or source = 'surname') and ts = 1.0 and mg >= 0.2 then {K.LINK_EASY} else {K.LINK_SINGLE} end) then 'LINKED' when lc >= {K.LINK_REVIEW} then 'REVIEW' else 'NIL' end as pl from q),
+v as (select *, case when second is not null and mg < {K.LINK_MARGIN} and lc >= {K.LINK_REVIEW} then 'REVIEW' when ts = 0 and pl = 'LINKED' then 'REVIEW' else pl end as decision from p)
+select o.mention_id as mention_id, case when decision = 'LINKED' then v.entity_id end as entity_id, cast(coalesce(lc, 0.0) as double) as link_confidence, round(cast(mg as double), 6) as margin, coalesce(skip, decision, 'NIL') as decision from {_ONCE} o left join v on o.mention_id = v.mention_id"""
+SQL["illegal_counts"] = f"""
+with l as (select list_transform(range(len(tokens)), lambda i: {{'t': {_TYP.format('i')}, 'p': {_TYP.format('(i - 1)')}}}) as x from {_LAB}), n as (select len(list_filter(x, lambda v: v.t is not null and (v.p is null or v.p <> v.t))) as t, len(list_filter(x, lambda v: v.t is not null and v.p is not null and v.p <> v.t)) as c from l)
+select cast(sum(t) as bigint) as n_tokens, cast(sum(c) as bigint) as n_transitions, count(*) filter (t > 0) as n_sequences from n"""
+SQL["targeted_slices"] = f"""
+with t as (select candidate_id as k, p as phrase from (select l.candidate_id, lower(d.text) as x from {_LAB} l join {DL} d using (candidate_id) where d.text is not null), (values ('university of'), ('machine'), ('no such phrase')) as ph(p) where contains(x, p)),
+g as (select phrase, key, s, e, type from t join {_GOLD} on k = key), f as (select phrase, key, s, e, type from t join {_FOUND} on k = key),
+a as (select coalesce(g.phrase, f.phrase) as phrase, count(*) filter (g.key is not null and f.key is not null) as tp, count(*) filter (g.key is null) as fp, count(*) filter (f.key is null) as fn from g full join f on g.phrase = f.phrase and g.key = f.key and g.s = f.s and g.e = f.e and g.type = f.type group by 1)
+select phrase, n_texts, tp, fp, fn, {_PRF} from (select phrase, count(*) as n_texts from t group by 1) left join a using (phrase)"""

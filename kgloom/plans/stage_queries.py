@@ -138,6 +138,9 @@ union all select ordinal, 'event_role_required', er.event_type, event_candidate_
   where not list_contains(list_transform(list_filter(coalesce(roles, []), lambda x: x is not null), lambda x: x.role), a) or not list_contains(list_transform(list_filter(coalesce(roles, []), lambda x: x is not null), lambda x: x.role), b)
 union all select 25, 'time_order_check', 'Event', event_candidate_id from v where coalesce(start_time_norm, '') <> '' and coalesce(end_time_norm, '') <> '' and start_time_norm > end_time_norm)
 select cast(ordinal as integer) as ordinal, type, coalesce(class, '') as class, count(*) as n, min(subject) as first from r group by 1, 2, 3""",
+    "claim_event_times": f"""
+with q as (select claim_id, case when json_valid(qualifiers_json) then qualifiers_json end as j from {S.LC}), t as (select claim_id, coalesce({_TIME(_Q('start_time'))}, {_TIME(_Q('publication_date'))}, {_TIME(_Q('point_in_time'))}) as a, {_TIME(_Q('end_time'))} as b from q)
+select claim_id, event_type, case when o_role in ('birth_place', 'death_place') then object_id end as location_id, a as start, b as "end" from ({S.SQL['claim_events']}) left join t using (claim_id)""",
     "entity_records": "select entity_id, coalesce(nullif(trim(label_zh), ''), nullif(trim(label_en), ''), nullif(trim(canonical_name), ''), entity_id) as canonical_name, case when trim(wikipedia_title_en) <> '' then 'http://dbpedia.org/resource/' || regexp_replace(trim(wikipedia_title_en), '\\s', '_', 'g') end as dbpedia_uri from entities",
     "summary_updates": "select entity_id, coalesce(wikipedia_summary_en, description_en) as wikipedia_summary_en, case when wikipedia_summary_en is null and description_en is not null then '2030' else retrieved_at end as retrieved_at, case when wikipedia_summary_en is null and description_en is not null then 'rest' else source_name end as source_name from entities",
     "counted_split": f"select candidate_id, case when r <= greatest(1, cast(floor(n * 0.2) as bigint)) then 'dev' else 'train' end as split from (select candidate_id, row_number() over (order by md5('42|' || candidate_id), candidate_id) as r, count(*) over () as n from {S.DL})",
