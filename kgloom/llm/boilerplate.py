@@ -426,11 +426,15 @@ class Model:
 def _mask(c: Column) -> Column:
     """A leaf with its case and digits masked, without blanks; a long one as it stands."""
     t = F.trim(c)
-    return F.when(F.length(t) < 3 * LONG, F.translate(F.lower(t), "123456789 \n\r\t", "000000000")).otherwise(t)
+    return F.when(F.length(t) < 2 * LONG, F.translate(F.lower(t), "123456789 \n\r\t", "000000000")).otherwise(t)
+
+
+#: What `str.strip` takes off.
+_SPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
 
 def _leaves(text: Column, wrapped: Column) -> Column:
-    return F.filter(F.when(wrapped, F.split(text, r"(?U)\n\s*\n")).otherwise(F.split(text, "\n")), lambda x: x.rlike(r"(?U)\S"))
+    return F.filter(F.when(wrapped, F.split(text, r"\n[\s\u00a0\u3000]*\n")).otherwise(F.split(text, "\n")), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
 
 
 def _long(x: Column) -> Column:
