@@ -24,10 +24,11 @@ def anaphor_types(spark) -> DataFrame:
     return spark.createDataFrame([(p, t) for p, ts in K.ANAPHOR_TYPES.items() for t in ts], "phrase string, type string")
 
 
-def scan_targets(tokens: DataFrame) -> DataFrame:
+def scan_targets(tokens: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """Pronoun tokens first, then two- and three-word generic phrases that don't overlap them.
 
-    tokens: (doc_id, sentence_id, sentence_index, tokens array). Gives one row for each target.
+    tokens: (doc_id, sentence_id, sentence_index, tokens array). Gives one row for each target;
+    spans that mentions (sentence_id, token_start, token_end) hold already are left out.
     """
     n = F.size("tokens")
     at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
@@ -40,7 +41,8 @@ def scan_targets(tokens: DataFrame) -> DataFrame:
     # most sentences hold neither a pronoun nor a phrase: they leave before the fold
     tokens = tokens.withColumn("_low", F.transform("tokens", F.lower))
     tokens = tokens.filter(F.arrays_overlap("_low", F.array(*[F.lit(x) for x in (*K.PRONOUNS, "the", "this", "that")])))
-    return tokens.filter(n > 0).select("doc_id", "sentence_id", "sentence_index", F.explode(found).alias("t")).select("doc_id", "sentence_id", "sentence_index", F.col("t.s").alias("token_start"), F.col("t.e").alias("token_end"), F.col("t.phrase").alias("phrase"))
+    out = tokens.filter(n > 0).select("doc_id", "sentence_id", "sentence_index", F.explode(found).alias("t")).select("doc_id", "sentence_id", "sentence_index", F.col("t.s").alias("token_start"), F.col("t.e").alias("token_end"), F.col("t.phrase").alias("phrase"))
+    return out if mentions is None else out.join(mentions.select("sentence_id", "token_start", "token_end").distinct(), ["sentence_id", "token_start", "token_end"], "left_anti").select(*out.columns)
 
 
 def resolve(targets: DataFrame, anchors: DataFrame, window: int = K.COREF_WINDOW) -> DataFrame:

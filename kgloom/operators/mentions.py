@@ -89,13 +89,37 @@ def title_runs(tokens: Column) -> Column:
     return F.transform(F.filter(runs, lambda r: r["n"] >= 2), lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e")))
 
 
-def context_features(tokens: Column) -> Column:
-    """For each token: itself, its two neighbours on either side, its shape and flags."""
+PREPOSITIONS = ("of", "in", "at", "on", "for", "from", "to", "by", "with")
+
+
+def context_features(tokens: Column, known: Column | None = None) -> Column:
+    """For each token: itself, its two neighbours on either side, shapes, affixes, flags, brackets, quotes and runs of titles.
+
+    known: names of a dictionary found in the tokens, array<struct<s,e,type>>; they tell for
+    each token the type, length and place of the name it lies in.
+    """
     from kgloom.functions import text as X
 
-    at = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)))
-    near = lambda i, k: F.when((i + k < 0) | (i + k >= F.size(tokens)), F.lit("<EDGE>")).otherwise(F.lower(F.get(tokens, i + k)))
-    return F.transform(at, lambda i: F.struct(near(i, 0).alias("w"), near(i, -1).alias("p1"), near(i, -2).alias("p2"), near(i, 1).alias("n1"), near(i, 2).alias("n2"), X.word_shape(F.get(tokens, i)).alias("shape"), X.is_abbreviation(F.get(tokens, i)).alias("abbr"), (i == 0).alias("first")))
+    n = F.size(tokens)
+    at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    near = lambda i, k: F.when((i + k < 0) | (i + k >= n), F.lit("<EDGE>")).otherwise(F.lower(F.get(tokens, i + k)))
+    runs = title_runs(tokens)
+    depths, quoted = paren_depths(tokens), inside_quotes(tokens)
+
+    def one(i: Column) -> Column:
+        t, low = F.get(tokens, i), near(i, 0)
+        fields = {
+            "w": low, "p1": near(i, -1), "p2": near(i, -2), "n1": near(i, 1), "n2": near(i, 2), "shape": X.word_shape(t), "p_shape": X.word_shape(F.coalesce(F.get(tokens, i - 1), F.lit(""))), "n_shape": X.word_shape(F.coalesce(F.get(tokens, i + 1), F.lit(""))),
+            "abbr": X.is_abbreviation(t), "roman": X.is_roman(t), "model": X.has_model_number(t), "title": t.rlike("^[A-Z][a-z]+$"), "upper": t.rlike("^[A-Z]+$"), "digit": t.rlike("^[0-9]+$"), "hyphen": t.contains("-"), "dot": t.contains("."),
+            "prefix": F.left(low, F.lit(3)), "suffix": F.right(low, F.lit(3)), "first": i == 0, "last": i == n - 1, "preposition": low.isin(*PREPOSITIONS), "quoted": F.get(quoted, i), "bracket": F.get(depths, i) > 0,
+            "run": F.exists(runs, lambda r: (r["s"] <= i) & (i < r["e"])),
+        }
+        if known is not None:
+            hit = F.try_element_at(F.filter(known, lambda k: (k["s"] <= i) & (i < k["e"])), F.lit(1))
+            fields |= {"name": F.coalesce(hit["type"], F.lit("O")), "name_length": F.coalesce(hit["e"] - hit["s"], F.lit(0)), "name_start": F.coalesce(hit["s"] == i, F.lit(False)), "name_end": F.coalesce(hit["e"] == i + 1, F.lit(False))}
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+    return F.transform(at, one)
 
 
 #: Words that tell the part of an organisation's name from its place.
@@ -268,6 +292,47 @@ def check_labels(tokens: Column, labels: Column) -> Column:
     return F.array_compact(F.array(F.when(F.size(tokens) != F.size(labels), F.lit("length_mismatch")), F.when(share > 0.7, F.lit("too_many_entities")), F.when(crosses, F.lit("span_crosses_punctuation"))))
 
 
+#: Names that labels must cover, and names of machines that may be concepts.
+CORE_TYPES = ("WORK", "CONCEPT", "MACHINE", "AWARD")
+CORE_NAMES = ("turing machine", "universal turing machine", "halting problem", "imitation game", "turing test", "church-turing thesis", "bombe", "ace", "pilot ace", "ferranti mark 1", "ferranti mark i", "enigma cipher machine")
+CONCEPT_NAMES = ("turing machine", "universal turing machine", "discrete-state machine", "halting problem", "imitation game")
+STAGE_CONFIDENCE = {"auto_checked": 0.92, "auto_checked_with_bio_fix": 0.81, "auto_checked_with_context_exemption": 0.76, "auto_checked_with_bio_fix_and_context_exemption": 0.64}
+
+
+def check_with_dictionary(sequences: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(sentence_id, labels, reason, stage, confidence) of proposed labels (sentence_id, tokens, labels).
+
+    The first reason against them counts: another number of labels than tokens, too many
+    entities, a mark inside a span, an uncovered core name, a type against that of the
+    dictionary. An organisation may bear the name of a place if a word for one follows within
+    six tokens, a concept that of some machines. What stands gets its stage and confidence.
+    """
+    legal = legal_bio(F.col("labels"))
+    short = F.create_map(*[F.lit(x) for kv in (("PERSON", "PER"), ("ORGANIZATION", "ORG"), ("PLACE", "LOC")) for x in kv])
+    found = longest_matches(sequences.select("sentence_id", "tokens"), dictionary).groupBy("sentence_id").agg(F.sort_array(F.collect_list(F.struct("s", "e", F.coalesce(F.try_element_at(short, F.col("type")), F.col("type")).alias("type"), "alias"))).alias("known"))
+    q = sequences.select("sentence_id", "tokens", "labels").join(found, "sentence_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<struct<s:int,e:int,type:string,alias:string>>")))
+    q = q.withColumns({"legal": legal, "fixed": legal != F.col("labels"), "spans": label_spans(F.col("labels"))})
+    over = lambda k: F.filter("spans", lambda x: (x["s"] < k["e"]) & (x["e"] > k["s"]))
+    uncovered = F.exists("known", lambda k: (k["type"].isin(*CORE_TYPES) | k["alias"].isin(*CORE_NAMES)) & (F.size(over(k)) == 0))
+    ahead = lambda k: F.arrays_overlap(F.transform(F.slice("tokens", k["s"] + 2, 6), F.lower), F.array(*[F.lit(w) for w in ORG_WORDS]))
+
+    def meets(k: Column) -> Column:
+        """The type of the span that meets a name: the one of its bounds, else the first."""
+        same = F.filter(over(k), lambda x: (x["s"] == k["s"]) & (x["e"] == k["e"]))
+        return F.coalesce(F.try_element_at(same, F.lit(1))["type"], F.try_element_at(over(k), F.lit(1))["type"], k["type"])
+
+    exempt = lambda k: (meets(k) == "ORG") & (k["type"] == "LOC") & ahead(k)
+    listed = lambda k: (meets(k) == "CONCEPT") & (k["type"] == "MACHINE") & k["alias"].isin(*CONCEPT_NAMES)
+    conflict = F.exists("known", lambda k: (meets(k) != k["type"]) & ~exempt(k) & ~listed(k))
+    plain = check_labels(F.col("tokens"), F.col("labels"))
+    reason = F.coalesce(F.try_element_at(plain, F.lit(1)), F.when(uncovered, "core_name_not_covered").when(conflict, "type_conflict"))
+    used = F.exists("known", lambda k: (meets(k) != k["type"]) & exempt(k))
+    stage = F.when(F.col("fixed") & used, "auto_checked_with_bio_fix_and_context_exemption").when(used, "auto_checked_with_context_exemption").when(F.col("fixed"), "auto_checked_with_bio_fix").otherwise("auto_checked")
+    q = q.withColumn("reason", reason).withColumn("stage", F.when(F.col("reason").isNull(), stage))
+    sure = F.create_map(*[F.lit(x) for kv in STAGE_CONFIDENCE.items() for x in kv])
+    return q.select("sentence_id", F.col("legal").alias("labels"), "reason", "stage", F.try_element_at(sure, F.col("stage")).alias("confidence"))
+
+
 def token_labels(spans: Column, n: Column) -> Column:
     """BIO labels of n tokens from spans that don't overlap."""
     at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))

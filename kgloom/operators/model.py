@@ -23,16 +23,26 @@ from pyspark.sql import functions as F
 from kgloom.operators import mentions
 from kgloom.operators.relational import top_k
 
-FEATURES = ["w", "p1", "p2", "n1", "n2", "shape", "abbr", "first"]
+FEATURES = [
+    "w", "p1", "p2", "n1", "n2", "shape", "p_shape", "n_shape", "abbr", "roman", "model", "title", "upper", "digit", "hyphen", "dot", "prefix", "suffix", "first", "last", "preposition", "quoted", "bracket", "run",
+    "name", "name_length", "name_start", "name_end",
+]
 
 
 def token_rows(sequences: DataFrame) -> DataFrame:
-    """(sentence_id, pos, label, features...) from (sentence_id, tokens, labels)."""
-    x = F.arrays_zip(mentions.context_features(F.col("tokens")).alias("f"), F.col("labels").alias("l"))
+    """(sentence_id, pos, label, features...) from (sentence_id, tokens, labels, and known names of a dictionary if there are any)."""
+    known = F.coalesce("known", F.array().cast("array<struct<s:int,e:int,type:string>>")) if "known" in sequences.columns else F.array().cast("array<struct<s:int,e:int,type:string>>")
+    x = F.arrays_zip(mentions.context_features(F.col("tokens"), known).alias("f"), F.col("labels").alias("l"))
     flat = sequences.select("sentence_id", F.posexplode(x).alias("pos", "x"))
     return flat.select("sentence_id", "pos", F.col("x.l").alias("label"), *[F.col(f"x.f.{c}").cast("string").alias(c) for c in FEATURES])
 
 
+def with_names(sequences: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Sequences with the names of a dictionary that their tokens hold, for the features."""
+    found = mentions.longest_matches(sequences.select("sentence_id", "tokens"), dictionary).groupBy("sentence_id").agg(F.sort_array(F.collect_list(F.struct("s", "e", "type"))).alias("known"))
+    return sequences.join(found, "sentence_id", "left")
+
+
 def train_labeller(sequences: DataFrame, width: int = 1 << 14, iterations: int = 30) -> PipelineModel:
     rows = token_rows(sequences)
     return Pipeline(stages=[StringIndexer(inputCol="label", outputCol="y", handleInvalid="keep"), FeatureHasher(inputCols=FEATURES, outputCol="x", numFeatures=width), LogisticRegression(featuresCol="x", labelCol="y", maxIter=iterations, regParam=0.001)]).fit(rows)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions import constants as K
 from kgloom.functions import text as X
-from kgloom.operators import mentions, model, relations, sampling, structured
+from kgloom.operators import coref, mentions, model, relations, sampling, structured
 from kgloom.plans import kg_queries as Q
 from kgloom.plans import kg_sql as S
 from kgloom.session import table
@@ -22,6 +22,19 @@ def decoded_mentions(spark: SparkSession, d: str) -> DataFrame:
     return mentions.decode(s, words).select("sentence_id", "mention_type", "s", "e", "char_start", "char_end", "text")
 
 
+def checked_labels(spark, d):
+    """Labels of all candidates against the dictionary: how many stand and why others don't."""
+    words = mentions.alias_dictionary(mentions.dictionary_names(table(spark, d, "entities"), table(spark, d, "aliases")))
+    c = mentions.check_with_dictionary(Q._labels(spark, d).select(F.col("candidate_id").alias("sentence_id"), "tokens", "labels"), words)
+    return c.select("sentence_id", "reason", "stage", "confidence")
+
+
+def open_coref_targets(spark, d):
+    """Anaphors that no labelled mention covers."""
+    m = Q._mentions(spark, d).select("sentence_id", F.col("s").alias("token_start"), F.col("e").alias("token_end"))
+    return coref.scan_targets(Q._coref_tokens(spark, d), m)
+
+
 def pair_windows(spark, d):
     t = Q._t(spark, d, "distant_labeled").filter("tokens is not null and subject_token_start is not null and subject_token_end is not null and object_token_start is not null and object_token_end is not null")
     w = relations.crop_window(F.size("tokens"), F.col("subject_token_start"), F.col("subject_token_end"), F.col("object_token_start"), F.col("object_token_end"), 12)
@@ -103,7 +116,7 @@ def merged_tokens(spark, d):
     return s.select("sentence_id", F.when(F.col("t").isNotNull(), F.size("t")).otherwise(F.size(X.tokens(F.coalesce("text", F.lit(""))))).alias("n_tokens"), F.col("t").isNotNull().alias("given"))
 
 
-QUERIES = {f.__name__: f for f in (decoded_mentions, pair_windows, masked_predictions, dataset_report, prediction_report, constraint_violations, entity_records, claim_event_times, summary_updates, keyword_sample, counted_split, name_likeness, ordered_mentions, merged_tokens)}
+QUERIES = {f.__name__: f for f in (decoded_mentions, checked_labels, open_coref_targets, pair_windows, masked_predictions, dataset_report, prediction_report, constraint_violations, entity_records, claim_event_times, summary_updates, keyword_sample, counted_split, name_likeness, ordered_mentions, merged_tokens)}
 
 _Q = lambda n: f"coalesce(json_extract_string(j, '$.{n}.value'), json_extract_string(j, '$.{n}'))"
 _TIME = lambda c: f"(case when {c} is null or trim({c}) = '' then null when not regexp_matches({c}, '^[+-]?[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then trim({c}) when substr(ltrim({c}, '+-'), 6, 2) = '00' or substr(ltrim({c}, '+-'), 9, 2) = '00' then left(ltrim({c}, '+-'), 4) else left(ltrim({c}, '+-'), 10) end)"
@@ -112,6 +125,7 @@ _SC = f"""(select bag_id, relation, sentence_id, max(w) as p from (select bag_id
   from (select bag_id, allowed_predicates, unnest(label_names) as relation, sentence_evidences from {_BAG}) b, lateral (select unnest(sentence_evidences) as x)) where sentence_id is not null and relation is not null and relation <> 'NA' and list_contains(allowed_predicates, relation) group by 1, 2, 3)"""
 _ROLE = "(values " + ", ".join(f"({i}, '{v[0]}', '{v[1]}', '{v[2]}')" for i, v in enumerate(K.EVENT_SPECS.values(), 15)) + ") as er(ordinal, event_type, a, b)"
 SQL = {
+    "open_coref_targets": f"select * from ({S.SQL['coref_targets']}) t where not exists (select 1 from {S.MENTIONS_ONE} m where m.sentence_id = t.sentence_id and m.s = t.token_start and m.e = t.token_end)",
     "pair_windows": f"""
 select candidate_id, cast(case when n <= 12 then 0 when r - l >= 12 then greatest(0, least(n, r) - 12) else greatest(0, least(n, greatest(0, l - (12 - (r - l)) // 2) + 12) - 12) end as integer) as window_start,
   cast(case when n <= 12 then n when r - l >= 12 then least(n, r) else least(n, greatest(0, l - (12 - (r - l)) // 2) + 12) end as integer) as window_end

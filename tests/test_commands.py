@@ -142,3 +142,28 @@ def test_name_likeness(spark):
     d = spark.createDataFrame([(a, b) for a, b, _ in pairs], "a string, b string")
     assert [round(r.x, 6) for r in d.select(X.name_similarity(d.a, d.b).alias("x")).collect()] == [x for *_, x in pairs]
     assert spark.createDataFrame([("-",), ("a",), ("--/",), ("é",), (".",), ("ab",)], "t string").filter(mentions.meaningless(F.col("t"))).count() == 3
+
+
+def test_labels_against_the_dictionary(spark):
+    names = spark.createDataFrame([("analytical engine", 2, "MACHINE"), ("norden", 1, "PLACE"), ("turing machine", 2, "MACHINE"), ("ada", 1, "PERSON")], "alias string, n_tokens int, type string")
+    rows_ = [
+        ("ok", ["Ada", "left", "it", "."], ["B-PER", "O", "O", "O"]), ("fix", ["Ada", "left", "it", "."], ["I-PER", "O", "O", "O"]), ("core", ["the", "Analytical", "Engine", "ran"], ["O", "O", "O", "O"]), ("type", ["Ada", "left", "it", "."], ["B-ORG", "O", "O", "O"]),
+        ("org", ["at", "Norden", "Technical", "College", "there", "."], ["O", "B-ORG", "I-ORG", "I-ORG", "O", "O"]), ("list", ["a", "Turing", "machine", "halts", "."], ["O", "B-CONCEPT", "I-CONCEPT", "O", "O"]), ("many", ["Ada", "B", "C"], ["B-PER"] * 3), ("mark", ["A", ",", "B", "c", "d", "e"], ["B-PER", "I-PER", "O", "O", "O", "O"]),
+    ]
+    s = spark.createDataFrame(rows_, "sentence_id string, tokens array<string>, labels array<string>")
+    got = {r.sentence_id: (r.reason or r.stage, r.confidence) for r in mentions.check_with_dictionary(s, names).collect()}
+    assert got == {
+        "ok": ("auto_checked", 0.92), "fix": ("auto_checked_with_bio_fix", 0.81), "core": ("core_name_not_covered", None), "type": ("type_conflict", None), "org": ("auto_checked_with_context_exemption", 0.76), "list": ("auto_checked", 0.92),
+        "many": ("too_many_entities", None), "mark": ("span_crosses_punctuation", None),
+    }
+
+
+def test_features_of_names(spark):
+    from kgloom.operators import model
+
+    s = spark.createDataFrame([("s", ["At", "(", "Pilot", "ACE", ")"])], "sentence_id string, tokens array<string>")
+    names = spark.createDataFrame([("pilot ace", 2, "MACHINE")], "alias string, n_tokens int, type string")
+    d = model.with_names(s, names)
+    f = d.select(mentions.context_features(F.col("tokens"), F.col("known")).alias("f")).first().f
+    assert [x.name for x in f] == ["O", "O", "MACHINE", "MACHINE", "O"] and f[2].name_start and f[3].name_end and f[3].name_length == 2
+    assert f[3].upper and f[2].title and f[3].bracket and f[0].first and f[0].preposition and f[1].p1 == "at"
