@@ -192,8 +192,11 @@ class Matcher:
         for x in every:
             for g in {f"^{x}$"[i : i + 3] for i in range(len(x))}:
                 self.grams[g].append(x)
-        # short words may keep no gram at all
-        self.short = [x for x in every if len(x) <= 6]
+        # words by what is left of them without one letter: words one edit apart share such a rest
+        self.rests: dict[str, list[str]] = defaultdict(list)
+        for x in every:
+            for r in {x, *(x[:i] + x[i + 1 :] for i in range(len(x)))}:
+                self.rests[r].append(x)
         self.sorted = sorted(self.by_word)  # for shortened words
         self.squeeze_grams: dict[str, list[str]] = defaultdict(list)
         for x in self.squeezed:
@@ -210,16 +213,20 @@ class Matcher:
         if got is None:
             got = {word: 0} if word in self.every else {}
             most = allowed(word)
-            if most:
+            if most == 1:
+                close = {x for r in {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} for x in self.rests.get(r, ())}
+            elif most:
                 votes: dict[str, int] = defaultdict(int)
-                for g in {f"^{word}$"[i : i + 3] for i in range(len(word))} if len(word) > 5 else ():
+                for g in {f"^{word}$"[i : i + 3] for i in range(len(word))}:
                     for x in self.grams.get(g, ()):
                         votes[x] += 1
                 # an edit spoils three grams at most, a swap four
-                need = max(0, len(word) - 4 * most)
-                for x in self.short if len(word) <= 5 else [x for x, n in votes.items() if n >= need]:
-                    if x not in got and (d := distance(word, x, most)) <= min(most, allowed(x)):
-                        got[x] = d
+                close = {x for x, n in votes.items() if n >= len(word) - 4 * most}
+            else:
+                close = set()
+            for x in close:
+                if x not in got and (d := distance(word, x, most)) <= min(most, allowed(x)):
+                    got[x] = d
             if len(self.near_memo) < MEMO:
                 self.near_memo[word] = got
         return got
