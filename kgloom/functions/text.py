@@ -234,7 +234,3 @@ def token_distance(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 
 def spans_overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return (s1 < e2) & (e1 > s2)
-
-
-def title_case_run(toks: Column) -> Column:
-    return F.filter(toks, lambda t: t.rlike(r"^[A-Z][a-z]+"))

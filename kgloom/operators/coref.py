@@ -57,7 +57,7 @@ def resolve(targets: DataFrame, anchors: DataFrame, window: int = K.COREF_WINDOW
     distance = F.col("sentence_index") - F.col("a_index")
     pairs = wanted.join(spread, ["doc_id", "sentence_index", "type"]).filter((distance > 0) | (F.col("a_start") < F.col("token_start")))
     rank = F.when(distance == 0, F.col("token_start") - F.col("a_start")).otherwise(-F.col("a_start"))
-    # the two best of each target are enough; they are kept by a bounded aggregate, not a sort
+    # the two best of each target are enough: Spark stops each group at two before the shuffle
     best = F.struct(distance.alias("distance"), rank.alias("rank"), F.col("entity_id").alias("entity_id"))
     w = W.partitionBy("target_id").orderBy("best")
     ranked = pairs.withColumn("best", best).withColumn("_n", F.row_number().over(w)).filter("_n <= 2")
@@ -69,11 +69,16 @@ def resolve(targets: DataFrame, anchors: DataFrame, window: int = K.COREF_WINDOW
     return out.select("target_id", "doc_id", "sentence_index", "token_start", "phrase", F.when(clear, F.col("one.entity_id")).alias("entity_id"), F.when(clear, F.col("one.distance")).alias("distance"), reason.alias("reason"))
 
 
-def report(resolved: DataFrame) -> DataFrame:
-    """(section, key, n): counts by reason, phrase and distance."""
+def report(resolved: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """(section, key, n): counts by decision, by what the anaphor was skipped for, by reason, phrase and distance, and of the entities by type."""
     from functools import reduce
 
-    parts = [resolved.groupBy(F.lit(s).alias("section"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("key")).agg(F.count("*").alias("n")) for s, c in (("reason", "reason"), ("phrase", "phrase"), ("distance", "distance"))]
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    keys = {"decision": F.when(F.col("entity_id").isNotNull(), "LINKED").otherwise("UNRESOLVED"), "original": text(X.low_information(F.col("phrase"))), "reason": text(F.col("reason")), "phrase": text(F.col("phrase")), "distance": text(F.col("distance"))}
+    parts = [resolved.groupBy(F.lit(s).alias("section"), k.alias("key")).agg(F.count("*").alias("n")) for s, k in keys.items()]
+    if entities is not None:
+        t = resolved.filter("entity_id is not null").join(entities.select("entity_id", F.coalesce("entity_type", F.lit("")).alias("key")), "entity_id")
+        parts.append(t.groupBy(F.lit("type").alias("section"), "key").agg(F.count("*").alias("n")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -149,8 +149,3 @@ def conflicts(facts: DataFrame, functional: tuple[str, ...] = K.FUNCTIONAL) -> D
     f = facts.filter(F.col("predicate").isin(*functional) & (F.coalesce("object_id", F.lit("")) != ""))
     g = f.groupBy("subject_id", "predicate").agg(F.countDistinct("object_id").alias("n_objects"), F.min("object_id").alias("first_object"), F.max("object_id").alias("last_object"))
     return g.filter("n_objects > 1")
-
-
-def predicate_of_extracted(claims: DataFrame) -> DataFrame:
-    """Union of candidate sources keeps all rows; ids number the input rows, so filtered ones leave gaps."""
-    return claims.withColumn("candidate_id", F.concat(F.lit("factcand_"), F.substring(F.sha1("claim_id"), 1, 12)))

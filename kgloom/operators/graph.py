@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgloom.functions import text as X
 from kgloom.operators.relational import first_rows
 
 
@@ -220,7 +219,3 @@ def adjacency(claims: DataFrame) -> DataFrame:
     c = claims.filter("subject_id is not null and object_id is not null")
     both = c.select(F.col("subject_id").alias("id"), F.col("object_id").alias("neighbour")).union(c.select(F.col("object_id").alias("id"), F.col("subject_id").alias("neighbour"))).distinct()
     return both.join(both.groupBy("id").agg(F.count("*").alias("n_neighbours")), "id")
-
-
-def surrogate(prefix: str, *parts: Column) -> Column:
-    return X.stable_id(prefix, *parts)

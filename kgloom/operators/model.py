@@ -9,8 +9,6 @@ instance of a bag deciding.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -121,15 +119,3 @@ def save(model: PipelineModel, path: str) -> None:
 
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-def batches_of(rows: Iterator, size: int) -> Iterator[list]:
-    """Chunks of a driver-side sequence, for page-wise remote calls."""
-    part: list = []
-    for r in rows:
-        part.append(r)
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part

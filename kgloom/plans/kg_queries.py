@@ -17,7 +17,7 @@ TABLES = ("entities", "aliases", "claims", "verified_events_text", "distant_labe
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table without its repeats: the last copy of each id."""
+    """A table without its repeats: one copy of each id (copies differ in the time they were taken at most)."""
     key = {"aliases": "alias_id", "claims": "claim_id", "verified_events_text": "event_candidate_id", "distant_labeled": "candidate_id", "sentences": "sentence_id", "document_records": "doc_id"}.get(name)
     df = table(spark, d, name)
     return df.dropDuplicates([key]) if key else df
@@ -386,7 +386,7 @@ def coref_resolve(spark, d):
 
 
 def coref_report(spark, d):
-    return coref.report(coref_resolve(spark, d))
+    return coref.report(durable(coref_resolve(spark, d)), table(spark, d, "entities"))
 
 
 # --- label sequences ------------------------------------------------------------------

@@ -368,7 +368,9 @@ x as (select t.*, r.d, r.entity_id as e, case when r.d is null then 'NO_COMPATIB
 select target_id, doc_id, sentence_index, token_start, phrase, case when reason like 'RULE%' then e end as entity_id, case when reason like 'RULE%' then d end as distance, reason from x"""
 SQL["coref_report"] = f"""
 with x as ({SQL['coref_resolve']}) select 'reason' as section, reason as key, count(*) as n from x group by 2 union all select 'phrase', phrase, count(*) from x group by 2
-union all select 'distance', coalesce(cast(distance as varchar), ''), count(*) from x group by 2"""
+union all select 'distance', coalesce(cast(distance as varchar), ''), count(*) from x group by 2 union all select 'decision', case when entity_id is not null then 'LINKED' else 'UNRESOLVED' end, count(*) from x group by 2
+union all select 'original', case when phrase in ({_list(K.PRONOUNS)}) then 'SKIPPED_PRONOUN' else 'SKIPPED_GENERIC' end, count(*) from x group by 2
+union all select 'type', coalesce(entity_type, ''), count(*) from x join entities e on x.entity_id = e.entity_id group by 2"""
 _TYP = "case when {0} >= s1 and {0} < e1 then t1 when {0} >= s2 and {0} < e2 then t2 end"
 SQL["bio_legalize"] = f"""
 with l as (select candidate_id, list_transform(range(len(tokens)), lambda i: {{'t': {_TYP.format('i')}, 'p': {_TYP.format('(i - 1)')}}}) as x from {_LAB})

@@ -167,3 +167,24 @@ def test_features_of_names(spark):
     f = d.select(mentions.context_features(F.col("tokens"), F.col("known")).alias("f")).first().f
     assert [x.name for x in f] == ["O", "O", "MACHINE", "MACHINE", "O"] and f[2].name_start and f[3].name_end and f[3].name_length == 2
     assert f[3].upper and f[2].title and f[3].bracket and f[0].first and f[0].preposition and f[1].p1 == "at"
+
+
+def test_small_parts(spark):
+    from kgloom.operators import coref, extract, relational
+
+    d = spark.createDataFrame([("m1", "LINKED"), ("m2", "NIL"), ("m3", "REVIEW")], "mention_id string, decision string")
+    assert {k: v.count() for k, v in extract.split_outputs(d).items()} == {"LINKED": 1, "REVIEW": 1, "NIL": 1}
+    ids = spark.createDataFrame([(f"Q{i}",) for i in range(100)], "entity_id string")
+    b = structured.batches(ids, 20)
+    assert b.select("batch").distinct().count() == 5 and b.count() == 100 and structured.batches(ids.limit(0), 20).count() == 0
+    t = spark.createDataFrame([("he",), ("The school",), ("Ada",), (None,)], "t string")
+    assert [r.x for r in t.select(coref.is_target(t.t).alias("x")).collect()] == [True, True, False, False]
+    e = spark.createDataFrame([("k", i, v) for i, v in enumerate([True, False, True, True])], "k string, i int, new boolean")
+    assert [r.island for r in relational.islands(e, ["k"], ["i"], F.col("new")).orderBy("i").collect()] == [1, 1, 2, 3]
+    assert spark.range(1).select(X.spans_overlap(F.lit(0), F.lit(2), F.lit(1), F.lit(3)).alias("a"), X.spans_overlap(F.lit(0), F.lit(2), F.lit(2), F.lit(3)).alias("b")).first() == (True, False)
+
+
+def test_keeping_old_aliases_and_summaries(spark):
+    e = spark.createDataFrame([("1", "old", "1", "a"), ("2", None, "1", "b")], "entity_id string, wikipedia_summary_en string, retrieved_at string, source_name string")
+    s = spark.createDataFrame([("2", "new", "3", "rest"), ("2", "older", "2", "rest"), ("9", "x", "3", "rest")], "entity_id string, wikipedia_summary_en string, retrieved_at string, source_name string")
+    assert rows(structured.update_summaries(e, s)) == [("1", "old", "1", "a"), ("2", "new", "3", "rest")]
