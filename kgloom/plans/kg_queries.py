@@ -460,18 +460,19 @@ def _link_mentions(spark, d):
     return m.join(s, "sentence_id", "left").join(t, "doc_id", "left").fillna("", ["context", "title"])
 
 
-def _scored(spark, d):
-    m = _link_mentions(spark, d).filter("skip is null")
+def _scored(spark, d, mentions):
+    m = mentions.filter("skip is null")
     r = linking.recall(m.select("mention_id", "text", "type"), _index(spark, d))
     return linking.score_candidates(m, r, durable(linking.entity_profiles(table(spark, d, "entities"), _t(spark, d, "aliases"))))
 
 
 def link_scored(spark, d):
-    return _scored(spark, d).select("mention_id", "doc_id", "entity_id", "source", "local", "type_score")
+    return _scored(spark, d, durable(_link_mentions(spark, d))).select("mention_id", "doc_id", "entity_id", "source", "local", "type_score")
 
 
 def link_decisions(spark, d):
-    return linking.link(_link_mentions(spark, d), _scored(spark, d))
+    m = durable(_link_mentions(spark, d))  # sentences and titles are joined once, not for recall, scores and decisions each
+    return linking.link(m, _scored(spark, d, m))
 
 
 def _gap_rows(spark, d):
