@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from kgloom.functions import constants as K
 from kgloom.functions import text as X
 from kgloom.operators.relational import first_rows, numbered
+from kgloom.session import durable
 
 
 def type_pairs(spark) -> DataFrame:
@@ -56,33 +57,97 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+#: Letters up to which texts are compared by pieces laid out for their lengths; longer ones meet all of a fitting length.
+PIECED = 64
+
+
+def unmatched(a: int, b: int, least: float) -> int:
+    """Most letters of texts of a and b letters that may stand unmatched for their ratio to reach `least`; odd where a + b is; below |a - b| if it can't."""
+    most = int((1 - least) * (a + b) + 1e-9)
+    return most - (most + a + b) % 2
+
+
+def piece_layouts(least: float, longest: int = PIECED) -> tuple[list[tuple], list[tuple]]:
+    """Pieces of surfaces (b, most, i, start, size), and where texts may hold them (a, b, most, i, start, size).
+
+    A surface is cut into one piece more than letters may be unmatched. Then for some i piece i
+    stands whole in the text, with just i letters unmatched before it, so it is moved by i, i - 2, ...
+    places, and with `most` - i at most after it.
+    """
+    cut = lambda b, most, i: (i * b // (most + 1), (i + 1) * b // (most + 1) - i * b // (most + 1))
+    of, at = set(), set()
+    for b in range(1, longest + 1):
+        for a in range(1, longest + 1):
+            most = unmatched(a, b, least)
+            if abs(a - b) > most:
+                continue
+            for i in range(most + 1):
+                start, size = cut(b, most, i)
+                of.add((b, most, i, start, size))
+                for moved in range(-i, i + 1, 2):
+                    if abs(a - b - moved) <= most - i and 0 <= start + moved <= a - size:
+                        at.add((a, b, most, i, start + moved, size))
+    return sorted(of), sorted(at)
+
+
+def near_texts(texts: DataFrame, surfaces: DataFrame, least: float, longest: int = PIECED) -> DataFrame:
+    """Pairs (type, low, s_low) that hold all of a sequence ratio of `least` or more, and few others, from distinct (type, low) and (type, s_low).
+
+    Texts meet by a piece that they must share, not all with all; what meets is left out if its
+    edit distance alone is too far.
+    """
+    spark = texts.sparkSession
+    of, at = piece_layouts(least, longest)
+    of = spark.createDataFrame(of, "b int, most int, i int, start int, size int")
+    at = spark.createDataFrame(at, "a int, b int, most int, i int, start int, size int")
+    key = lambda c: F.xxhash64("type", "b", "most", "i", F.substring(c, F.col("start") + 1, F.col("size"))).alias("key")
+    t, s = texts.withColumn("a", F.length("low")), surfaces.withColumn("b", F.length("s_low"))
+    held = s.join(F.broadcast(of), "b").select(key("s_low"), F.col("type").alias("s_type"), "s_low")
+    p = t.join(F.broadcast(at), "a").select(key("low"), "type", "low").join(held, "key").filter("type = s_type").select("type", "low", "s_low")
+    # the long ones, by their lengths
+    far = (2 - least) / least
+    lengths = F.sequence(F.ceil(F.col("b") / far - 1e-9).cast("int"), F.floor(F.col("b") * far + 1e-9).cast("int"))
+    long = s.filter(F.col("b") * far >= longest).withColumn("a", F.explode(lengths)).filter(F.greatest("a", "b") > longest)
+    p = p.unionByName(t.join(long, ["type", "a"]).select("type", "low", "s_low"))
+    most = F.floor(F.lit(1 - least) * (F.length("low") + F.length("s_low")) + 1e-9).cast("int")
+    return p.withColumn("most", most).filter("levenshtein(low, s_low, most) >= 0").select("type", "low", "s_low").distinct()
+
+
+def contained_texts(texts: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """Pairs (type, low, s_low) where the surface has all words of the text, from distinct (type, low) and (type, s_low): they meet by the word that fewest surfaces have."""
+    words = surfaces.select("type", "s_low", F.explode(F.array_distinct(F.split("s_low", " "))).alias("word"))
+    n = words.groupBy("type", "word").agg(F.count("*").alias("n"))
+    own = texts.select("type", "low", F.explode(F.array_distinct(F.split("low", " "))).alias("word")).join(n, ["type", "word"], "left")
+    rare = own.groupBy("type", "low").agg(F.min(F.struct("n", "word")).alias("w"), F.bool_and(F.col("n").isNotNull()).alias("all")).filter("all").select("type", "low", F.col("w.word").alias("word"))
+    return rare.join(words, ["type", "word"]).filter(_has_all(F.col("low"), F.col("s_low"))).select("type", "low", "s_low")
+
+
+def _has_all(low: Column, surface: Column) -> Column:
+    return F.size(F.array_except(F.split(low, " "), F.split(surface, " "))) == 0
+
+
 def bridges(unlinked: DataFrame, linked: DataFrame, claims: DataFrame, surfaces: DataFrame, least: float = K.BRIDGE_SCORE) -> DataFrame:
     """Unlinked mentions that the claims of a linked neighbour explain.
 
     unlinked: (sentence_id, mention_id, text, type); linked: (sentence_id, entity_id); claims:
-    (claim_id, subject_id, predicate, object_id); surfaces: (entity_id, surface, type). Equal
-    surfaces and contained words are scored in the JVM, only the rest goes to Python.
+    (claim_id, subject_id, predicate, object_id); surfaces: (entity_id, surface, type). Texts
+    and surfaces of a type are compared first, as few of them are alike: a hub has claims with
+    nearly all entities. Equal surfaces and contained words are scored in the JVM, only what
+    may be near else goes to Python.
     """
-    sides = claims.filter("subject_id is not null and object_id is not null")
-    sides = sides.select("claim_id", "predicate", F.col("subject_id").alias("near"), F.col("object_id").alias("entity_id")).unionByName(sides.filter("subject_id <> object_id").select("claim_id", "predicate", F.col("object_id").alias("near"), F.col("subject_id").alias("entity_id")))
-    # what is scored are the distinct (entity nearby, type, text), however many sentences repeat them
+    both = F.array(F.struct(F.col("subject_id").alias("near"), F.col("object_id").alias("entity_id")), F.struct(F.col("object_id").alias("near"), F.col("subject_id").alias("entity_id")))
+    sides = claims.filter("subject_id is not null and object_id is not null").select("claim_id", "predicate", F.explode(both).alias("x")).groupBy("x.near", "x.entity_id", "predicate").agg(F.min("claim_id").alias("claim_id"))
+    sides = durable(sides)
     near = linked.select("sentence_id", F.col("entity_id").alias("near")).distinct()
-    met = unlinked.join(near, "sentence_id").select("sentence_id", "mention_id", "near", "type", "text")
-    asked = met.select("near", "type", "text").distinct()
-    other = sides.select("near", "entity_id").distinct()
-    c = asked.join(other, "near").join(surfaces, ["entity_id", "type"])
-    low, surface = X.simple_key(F.col("text")), X.simple_key(F.col("surface"))
-    c = c.withColumn("low", low).withColumn("s_low", surface)
-    # pairs of texts once, whichever entities they belong to
-    pairs = c.select("low", "s_low").distinct()
-    ws, vs = F.split("low", " "), F.split("s_low", " ")
-    easy = F.when(F.col("low") == F.col("s_low"), F.lit(1.0)).when(F.size(F.array_except(ws, vs)) == 0, F.lit(0.9))
-    # the ratio can't reach the limit where the lengths are too far apart
-    a, b = F.length("low"), F.length("s_low")
-    pairs = pairs.withColumn("easy", easy).filter(F.col("easy").isNotNull() | (2 * F.least(a, b) >= least * (a + b)))
-    scored = pairs.filter("easy is not null").select("low", "s_low", F.col("easy").alias("score")).unionByName(pairs.filter("easy is null").select("low", "s_low", sequence_ratio("low", "s_low").alias("score")))
-    good = c.join(scored.filter(F.col("score") >= least), ["low", "s_low"]).select("near", "type", "text", "entity_id", "surface", "score")
-    best = met.join(good, ["near", "type", "text"]).join(sides, ["near", "entity_id"]).withColumn("minus", -F.col("score"))
+    met = durable(unlinked.join(near, "sentence_id").select("sentence_id", "mention_id", "near", "type", X.simple_key(F.col("text")).alias("low")))
+    named = durable(surfaces.select("entity_id", "type", "surface", X.simple_key(F.col("surface")).alias("s_low")).join(sides.select("entity_id").distinct(), "entity_id", "left_semi"))
+    texts, all_surfaces = met.select("type", "low").filter("type is not null").distinct(), named.select("type", "s_low").filter("s_low is not null").distinct()
+    held = contained_texts(texts, all_surfaces).withColumn("score", F.when(F.col("low") == F.col("s_low"), 1.0).otherwise(0.9))
+    alike = near_texts(texts, all_surfaces, least).filter(~_has_all(F.col("low"), F.col("s_low"))).withColumn("score", sequence_ratio("low", "s_low"))
+    scored = held.unionByName(alike).filter(F.col("score") >= least).withColumn("minus", -F.col("score"))
+    # of the surfaces of an entity only the best counts
+    good = first_rows(scored.join(named, ["type", "s_low"]).select("type", "low", "entity_id", "minus", "surface", "score"), ["type", "low", "entity_id"], ["minus", "surface"])
+    best = met.join(good, ["type", "low"]).join(sides, ["near", "entity_id"])
     return first_rows(best.select("sentence_id", "mention_id", "entity_id", "predicate", "claim_id", "score", "surface", "minus"), ["mention_id", "entity_id", "predicate"], ["minus", "surface", "claim_id"]).drop("minus")
 
 

@@ -316,7 +316,7 @@ def vocabulary(spark, d):
 def claim_bridges(spark, d):
     m = _mentions(spark, d)
     a = _t(spark, d, "aliases").filter("entity_id is not null and alias is not null").join(table(spark, d, "entities").select("entity_id", F.col("entity_type").alias("type")), "entity_id").select("entity_id", F.col("alias").alias("surface"), "type").distinct()
-    return relations.bridges(m.filter("entity_id is null and text is not null").select("sentence_id", "mention_id", "text", "type"), m.filter("entity_id is not null").select("sentence_id", "entity_id"), latest(table(spark, d, "claims"), ["claim_id"], ["retrieved_at"]), a)
+    return relations.bridges(m.filter("entity_id is null and text is not null").select("sentence_id", "mention_id", "text", "type"), m.filter("entity_id is not null").select("sentence_id", "entity_id"), latest(table(spark, d, "claims").select("claim_id", "subject_id", "predicate", "object_id", "retrieved_at"), ["claim_id"], ["retrieved_at"]), a)
 
 
 def exact_claim_pairs(spark, d):

@@ -117,3 +117,43 @@ def test_bridges_against_brute_force(spark):
     su = spark.createDataFrame([("E2", "Loom House", "ORGANIZATION"), ("E3", "House of Looms", "ORGANIZATION"), ("E2", "Xyz", "ORGANIZATION")], "entity_id string, surface string, type string")
     got = {(r.mention_id, r.entity_id): (r.claim_id, round(r.score, 3)) for r in relations.bridges(un, li, cl, su).collect()}
     assert got == {("m1", "E2"): ("c1", 1.0), ("m2", "E2"): ("c1", 0.9), ("m2", "E3"): ("c2", 0.9), ("m3", "E2"): ("c1", 0.947)}
+
+
+@pytest.mark.parametrize("longest", [64, 9])
+def test_near_texts_meet_by_pieces(spark, longest):
+    from difflib import SequenceMatcher
+
+    pick, letters = random.Random(5), "abcdefgh "
+    surfaces = {"".join(pick.choices(letters, k=pick.choice((1, 4, 5, 9, 14, 20, 33)))) for _ in range(120)}
+    texts = set()
+    for x in sorted(surfaces):
+        y = list(x)
+        for _ in range(pick.randint(0, 1 + len(x) // 8)):
+            y[pick.randrange(len(y)) if y else 0 : pick.randrange(len(y)) + 1 if y and pick.random() < 0.3 else 0] = pick.choice(["", "z", pick.choice(letters)])
+        at = pick.randrange(len(x))
+        texts |= {"".join(y), x[:at] + x[at + 1 :], x[:at] + "q" + x[at:], x[:at] + "q" + x[at + 1 :], x[at:] + x[:at]}
+    t = spark.createDataFrame([("WORK", x) for x in sorted(texts)], "type string, low string")
+    s = spark.createDataFrame([("WORK", x) for x in sorted(surfaces)] + [("PLACE", x) for x in sorted(texts)], "type string, s_low string")
+    got = rows(relations.near_texts(t, s, 0.88, longest))
+    near = {("WORK", a, b) for a in texts for b in surfaces if a and SequenceMatcher(None, a, b).ratio() >= 0.88}
+    assert len(near) > 150 and near <= set(got) and len(got) == len(set(got)) < 0.2 * len(texts) * len(surfaces)
+
+
+def test_bridges_of_a_hub(spark):
+    """A hub with claims to all entities: its neighbours' texts aren't paired with all surfaces, the best surface and first claim count."""
+    names = [f"{a}{b}{c} {b}{c}{a}" for a in ("Ba", "Cedo", "Difu") for b in ("ka", "lemi", "nor") for c in ("pa", "ritu", "sol")]
+    un = spark.createDataFrame([(f"s{i}", f"m{i}", n[:3] + "x" + n[3:], "PERSON") for i, n in enumerate(names)] + [("s0", "mw", names[0].split()[0], "PERSON"), ("s0", "mt", names[0], "PLACE")], "sentence_id string, mention_id string, text string, type string")
+    li = spark.createDataFrame([(f"s{i}", "H") for i in range(len(names))], "sentence_id string, entity_id string")
+    cl = spark.createDataFrame([(f"c{k}{i}", *(("H", "P", f"E{i}") if k else (f"E{i}", "P", "H"))) for i in range(len(names)) for k in (1, 0)], "claim_id string, subject_id string, predicate string, object_id string")
+    su = spark.createDataFrame([(f"E{i}", x, "PERSON") for i, n in enumerate(names) for x in (n, n.upper(), n[:3] + n[4:])], "entity_id string, surface string, type string")
+    got = {(r.mention_id, r.entity_id): (r.claim_id, r.surface) for r in relations.bridges(un, li, cl, su).collect()}
+    from difflib import SequenceMatcher
+
+    ratio = lambda a, b: SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    want = {}
+    for i, n in enumerate(names):
+        for j, m in enumerate(names):
+            best = min((-ratio(n[:3] + "x" + n[3:], x), x) for x in (m, m.upper(), m[:3] + m[4:]))
+            if -best[0] >= 0.88:
+                want[f"m{i}", f"E{j}"] = (f"c0{j}", best[1])
+    assert got == want | {("mw", "E0"): ("c00", min(x for x in (names[0], names[0].upper())))}
