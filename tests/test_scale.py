@@ -157,3 +157,16 @@ def test_bridges_of_a_hub(spark):
             if -best[0] >= 0.88:
                 want[f"m{i}", f"E{j}"] = (f"c0{j}", best[1])
     assert got == want | {("mw", "E0"): ("c00", min(x for x in (names[0], names[0].upper())))}
+
+
+def test_support_is_one_row_a_mention(spark):
+    """Candidates of a mention stay together: its support is found by keys, hot documents and surfaces included."""
+    schema = "mention_id string, doc_id string, surface string, entity_id string, local double, source string, type_score double, n_words int, title_overlap boolean, ordinal string, at int"
+    rows_ = [("m1", "d", "x", "A", 0.9, "exact", 1.0, 1, True), ("m1", "d", "x", "B", 0.8, "tfidf", 0.0, 1, False), ("m2", "d", "x", "B", 0.7, "exact", 1.0, 1, False), ("m2", "d", "x", "A", 0.69, "surname", 1.0, 1, None), ("m3", "e", "x", "A", 0.5, "exact", 1.0, 2, False)]
+    c = spark.createDataFrame([(*r, r[3], int(r[0][1])) for r in rows_], schema)
+    got = {r.mention_id: [(x.entity_id, -x.minus, x.source) for x in r.ranked] for r in linking.document_support(c).collect()}
+    # the last exact one of the surface in the document is B; A has one anchor
+    assert got == {"m1": [("A", 0.95, "exact"), ("B", 0.85, "tfidf")], "m2": [("B", 0.75, "exact"), ("A", 0.71, "surname")], "m3": [("A", 0.5, "exact")]}
+    m = spark.createDataFrame([("m1", None), ("m2", None), ("m4", None), ("m5", "PRONOUN")], "mention_id string, skip string")
+    tops = {r.mention_id: (r.decision, r.entity_id, r.top) for r in linking.link_tops(m, c).collect()}
+    assert tops == {"m1": ("LINKED", "A", ["A", "B"]), "m2": ("REVIEW", None, ["B", "A"]), "m4": ("NIL", None, None), "m5": ("PRONOUN", None, None)}
