@@ -170,3 +170,15 @@ def test_support_is_one_row_a_mention(spark):
     m = spark.createDataFrame([("m1", None), ("m2", None), ("m4", None), ("m5", "PRONOUN")], "mention_id string, skip string")
     tops = {r.mention_id: (r.decision, r.entity_id, r.top) for r in linking.link_tops(m, c).collect()}
     assert tops == {"m1": ("LINKED", "A", ["A", "B"]), "m2": ("REVIEW", None, ["B", "A"]), "m4": ("NIL", None, None), "m5": ("PRONOUN", None, None)}
+
+
+def test_linking_eval_keeps_candidates_once(spark, monkeypatch):
+    """Decisions and ranks come from one pass: candidates are kept as one row a mention, not as rows besides."""
+    from kgloom.plans import more_queries
+
+    kept = []
+    keep = linking.durable
+    for m in (linking, more_queries):
+        monkeypatch.setattr(m, "durable", lambda df: (kept.append(df.columns), keep(df))[1])
+    assert more_queries.linking_eval(spark, "/root/testdata/sf0.001").first().n > 0
+    assert not [c for c in kept if {"mention_id", "local"} <= set(c)] and len([c for c in kept if "c" in c]) == 1
