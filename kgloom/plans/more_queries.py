@@ -80,8 +80,8 @@ def linking_eval(spark, d):
 
 def linking_tops(spark, d):
     """A report: the twenty surfaces most often linked, left to review and without an entity, by decision."""
-    m = Q._link_mentions(spark, d).select("mention_id", "text", "type")
-    n = m.join(Q.link_decisions(spark, d).select("mention_id", "decision"), "mention_id").groupBy("decision", "text", "type").agg(F.count("*").alias("n"))
+    m = durable(Q._link_mentions(spark, d))  # once for the decisions and for what is counted
+    n = m.select("mention_id", "text", "type").join(linking.link(m, Q._scored(spark, d, m)).select("mention_id", "decision"), "mention_id").groupBy("decision", "text", "type").agg(F.count("*").alias("n"))
     return top_k(n, ["decision"], [F.desc("n"), F.col("text"), F.col("type")], 20).select("decision", "text", "type", "n", "rank")
 
 

@@ -182,3 +182,12 @@ def test_linking_eval_keeps_candidates_once(spark, monkeypatch):
         monkeypatch.setattr(m, "durable", lambda df: (kept.append(df.columns), keep(df))[1])
     assert more_queries.linking_eval(spark, "/root/testdata/sf0.001").first().n > 0
     assert not [c for c in kept if {"mention_id", "local"} <= set(c)] and len([c for c in kept if "c" in c]) == 1
+
+
+def test_linking_tops_joins_mentions_once(spark, monkeypatch):
+    from kgloom.plans import kg_queries, more_queries
+
+    made, make = [], kg_queries._link_mentions
+    monkeypatch.setattr(kg_queries, "_link_mentions", lambda *a: (made.append(a), make(*a))[1])
+    assert more_queries.linking_tops(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(made) == 1
