@@ -243,6 +243,8 @@ def meaningless(token: Column) -> Column:
 
 #: Types whose neighbours are joined, and the words that may stand between them.
 MERGED, BRIDGES = ("WORK", "CONCEPT"), ("of", "and", "in", "for")
+#: The type whose spans grow to names of the dictionary.
+GROWN = "MACHINE"
 
 
 def decode(sequences: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -253,22 +255,20 @@ def decode(sequences: DataFrame, dictionary: DataFrame) -> DataFrame:
     go; two neighbouring works or concepts with one or two linking words between are joined if
     the dictionary knows the whole; each (sentence, type, characters) counts once. The text is
     cut by characters, the confidence is the mean of the tokens that have one.
+
+    A sequence stays one row: only the words that the dictionary is asked for leave it, and what
+    it knows of them comes back to the row by the sentence.
     """
-    spans = sequences.select("*", F.explode(label_spans(F.col("labels"))).alias("x")).select("sentence_id", "tokens", "x.*")
-    grown = extend_spans(spans, dictionary)
-    base = sequences.select("sentence_id", "text", "tokens", "token_spans", "confidences")
-    m = grown.join(base.select("sentence_id", "tokens"), "sentence_id")
-    m = m.filter(~((F.col("e") - F.col("s") == 1) & meaningless(F.get("tokens", F.col("s")))))
-    per = m.groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "type"))).alias("spans"))
-    per = per.join(base.select("sentence_id", "tokens"), "sentence_id")
+    q = sequences.filter("sentence_id is not null").select("sentence_id", "text", "tokens", "token_spans", "confidences", label_spans(F.col("labels")).alias("spans"))
+    asked = q.select("sentence_id", F.explode(F.concat(_grown_names(F.col("tokens"), F.col("spans")), _pair_names(F.col("tokens"), F.col("spans")))).alias("x")).select("sentence_id", "x.alias", "x.type").distinct()
+    names = dictionary.filter((F.col("type") == GROWN) & (F.col("n_tokens") >= 2) | F.col("type").isin(*MERGED)).select("alias", "type")
+    hits = asked.join(names, ["alias", "type"], "left_semi").groupBy("sentence_id").agg(F.collect_set(F.struct("alias", "type")).alias("hits"))
+    per = q.join(hits, "sentence_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<alias:string,type:string>>")))
+    per = per.withColumn("spans", extend_spans(F.col("spans"), F.col("tokens"), F.col("hits")))
+    per = per.withColumn("spans", F.filter("spans", lambda x: ~((x["e"] - x["s"] == 1) & meaningless(F.get("tokens", x["s"])))))
     # which neighbours the dictionary knows as one
-    low = F.transform("tokens", F.lower)
-    nexts = F.zip_with(F.slice("spans", 1, F.size("spans") - 1), F.slice("spans", 2, F.size("spans")), lambda a, b: F.struct(a["s"].alias("s"), b["e"].alias("e"), a["type"].alias("type"), (a["type"] == b["type"]).alias("same"), (b["s"] - a["e"]).alias("gap")))
-    pairs = per.filter(F.size("spans") > 1).select("sentence_id", low.alias("low"), F.explode(nexts).alias("p")).filter("p.same and p.gap between 1 and 2").filter(F.col("p.type").isin(*MERGED))
-    pairs = pairs.select("sentence_id", F.col("p.s").alias("ps"), F.col("p.type").alias("type"), F.array_join(F.slice("low", F.col("p.s") + 1, F.col("p.e") - F.col("p.s")), " ").alias("alias"))
-    known = pairs.join(dictionary.select("alias", "type"), ["alias", "type"], "left_semi").groupBy("sentence_id").agg(F.collect_set("ps").alias("known"))
-    per = per.join(known, "sentence_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<int>")))
-    joined = per.select("sentence_id", F.explode(merge_adjacent(F.col("spans"), F.col("tokens"), BRIDGES, 2, MERGED, F.col("known"))).alias("x")).select("sentence_id", "x.*").join(base, "sentence_id")
+    known = F.transform(F.filter(_pair_names(F.col("tokens"), F.col("spans")), lambda p: F.array_contains(F.col("hits"), F.struct(p["alias"].alias("alias"), p["type"].alias("type")))), lambda p: p["s"])
+    joined = per.withColumn("known", known).withColumn("x", F.explode(merge_adjacent(F.col("spans"), F.col("tokens"), BRIDGES, 2, MERGED, F.col("known")))).select("sentence_id", "text", "tokens", "token_spans", "confidences", "x.*")
     a, b = F.get(F.get("token_spans", F.col("s")), F.lit(0)), F.get(F.get("token_spans", F.col("e") - 1), F.lit(1))
     sure = F.filter(F.slice(F.coalesce("confidences", F.array().cast("array<double>")), F.col("s") + 1, F.col("e") - F.col("s")), lambda c: c.isNotNull())
     mean = F.when(F.size(sure) > 0, F.aggregate(sure, F.lit(0.0), lambda t, c: t + c) / F.size(sure))
@@ -276,12 +276,34 @@ def decode(sequences: DataFrame, dictionary: DataFrame) -> DataFrame:
     return first_rows(out, ["sentence_id", "mention_type", "char_start", "char_end"], ["s", "e"]).withColumn("mention_id", F.concat(F.lit("ment_"), F.substring(F.sha1(F.concat_ws("|", "sentence_id", "mention_type", F.col("char_start").cast("string"), F.col("char_end").cast("string"))), 1, 16)))
 
 
-def extend_spans(spans: DataFrame, dictionary: DataFrame, kind: str = "MACHINE", longest: int = 8) -> DataFrame:
-    """Spans (sentence_id, tokens, s, e, type) of one type grow to the longest dictionary name that starts where they do."""
-    low = F.transform("tokens", F.lower)
-    grown = spans.filter(F.col("type") == kind).select("sentence_id", "s", "e", F.explode(F.transform(F.sequence(F.col("e"), F.least(F.col("s") + longest, F.size("tokens"))), lambda z: F.struct(z.alias("z"), F.array_join(F.slice(low, F.col("s") + 1, z - F.col("s")), " ").alias("alias")))).alias("g"))
-    best = grown.select("sentence_id", "s", "e", "g.z", "g.alias").join(dictionary.filter((F.col("type") == kind) & (F.col("n_tokens") >= 2)).select("alias"), "alias").groupBy("sentence_id", "s", "e").agg(F.max("z").alias("z"))
-    return spans.join(best, ["sentence_id", "s", "e"], "left").select("sentence_id", "s", F.coalesce("z", "e").alias("e"), "type")
+def _words(tokens: Column, s: Column, e: Column) -> Column:
+    """The tokens from s to e as a dictionary writes them."""
+    return F.array_join(F.transform(F.slice(tokens, s + 1, e - s), F.lower), " ")
+
+
+def _ends(tokens: Column, x: Column, longest: int) -> Column:
+    """Ends that a span may grow to."""
+    return F.sequence(x["e"], F.least(x["s"] + longest, F.size(tokens)))
+
+
+def _grown_names(tokens: Column, spans: Column, kind: str = GROWN, longest: int = 8) -> Column:
+    """array<struct<s,alias,type>>: the words that spans of one type may grow to."""
+    return F.flatten(F.transform(F.filter(spans, lambda x: x["type"] == kind), lambda x: F.transform(_ends(tokens, x, longest), lambda z: F.struct(x["s"].alias("s"), _words(tokens, x["s"], z).alias("alias"), x["type"].alias("type")))))
+
+
+def _pair_names(tokens: Column, spans: Column) -> Column:
+    """array<struct<s,alias,type>>: the words of the neighbours that may be joined, linking words included."""
+    pairs = F.zip_with(F.slice(spans, 1, F.greatest(F.size(spans) - 1, F.lit(0))), F.slice(spans, 2, F.greatest(F.size(spans), F.lit(0))), lambda a, b: F.struct(a["s"].alias("s"), a["e"].alias("m"), b["s"].alias("n"), b["e"].alias("e"), a["type"].alias("type"), b["type"].alias("other")))
+    links = lambda p: F.forall(F.slice(tokens, p["m"] + 1, F.greatest(p["n"] - p["m"], F.lit(0))), lambda w: F.lower(w).isin(*BRIDGES))
+    fit = F.filter(pairs, lambda p: (p["type"] == p["other"]) & p["type"].isin(*MERGED) & (p["n"] - p["m"]).between(1, 2) & links(p))
+    return F.transform(fit, lambda p: F.struct(p["s"].alias("s"), _words(tokens, p["s"], p["e"]).alias("alias"), p["type"].alias("type")))
+
+
+def extend_spans(spans: Column, tokens: Column, hits: Column, kind: str = GROWN, longest: int = 8) -> Column:
+    """Spans of one type grow to the longest dictionary name, array<struct<alias,type>> hits, that starts where they do."""
+    known = lambda x, z: F.array_contains(hits, F.struct(_words(tokens, x["s"], z).alias("alias"), x["type"].alias("type")))
+    best = lambda x: F.array_max(F.filter(_ends(tokens, x, longest), lambda z: known(x, z)))
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.when((x["type"] == kind) & (F.size(hits) > 0), F.coalesce(best(x), x["e"])).otherwise(x["e"]).alias("e"), x["type"].alias("type")))
 
 
 def check_labels(tokens: Column, labels: Column) -> Column:

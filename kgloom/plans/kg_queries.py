@@ -390,12 +390,12 @@ def coref_report(spark, d):
 
 
 # --- label sequences ------------------------------------------------------------------
-def _labels(spark, d):
+def _labels(spark, d, *more):
     t = _t(spark, d, "distant_labeled").filter("tokens is not null and size(tokens) > 0 and subject_token_start is not null and object_token_start is not null and subject_token_end > subject_token_start and object_token_end > object_token_start")
     kind = lambda p: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in {"PERSON": "PER", "ORGANIZATION": "ORG", "PLACE": "LOC"}.items() for x in kv]), X.entity_type(F.col(f"{p}_entity_type"))), X.entity_type(F.col(f"{p}_entity_type")))
     span = lambda p: F.struct(F.col(f"{p}_token_start").alias("s"), F.col(f"{p}_token_end").alias("e"), kind(p).alias("type"))
     t = t.filter("subject_token_end <= object_token_start or object_token_end <= subject_token_start").withColumn("spans", F.array_sort(F.array(span("subject"), span("object"))))
-    return t.filter(F.forall("spans", lambda s: s["e"] <= F.size("tokens"))).select("candidate_id", "tokens", "spans", mentions.token_labels(F.col("spans"), F.size("tokens")).alias("labels"))
+    return t.filter(F.forall("spans", lambda s: s["e"] <= F.size("tokens"))).select("candidate_id", "tokens", "spans", mentions.token_labels(F.col("spans"), F.size("tokens")).alias("labels"), *more)
 
 
 def bio_round_trip(spark, d):

@@ -16,8 +16,7 @@ from kgloom.session import table
 def decoded_mentions(spark: SparkSession, d: str) -> DataFrame:
     """The decoding chain over the labels of all candidates, read as a model's inside labels."""
     words = mentions.alias_dictionary(mentions.dictionary_names(table(spark, d, "entities"), table(spark, d, "aliases")))
-    t = Q._t(spark, d, "distant_labeled").filter("token_spans is not null and text is not null").select("candidate_id", "text", "token_spans")
-    s = Q._labels(spark, d).join(t, "candidate_id").filter(F.size("token_spans") == F.size("tokens"))
+    s = Q._labels(spark, d, "text", "token_spans").filter("token_spans is not null and text is not null").filter(F.size("token_spans") == F.size("tokens"))
     s = s.select(F.col("candidate_id").alias("sentence_id"), "text", "tokens", "token_spans", F.transform("labels", lambda x: F.regexp_replace(x, "^B-", "I-")).alias("labels"), F.transform("tokens", lambda x: F.length(x) / F.lit(16.0)).alias("confidences"))
     return mentions.decode(s, words).select("sentence_id", "mention_type", "s", "e", "char_start", "char_end", "text")
 

@@ -191,3 +191,60 @@ def test_linking_tops_joins_mentions_once(spark, monkeypatch):
     monkeypatch.setattr(kg_queries, "_link_mentions", lambda *a: (made.append(a), make(*a))[1])
     assert more_queries.linking_tops(spark, "/root/testdata/sf0.001").count() > 0
     assert len(made) == 1
+
+
+def test_decoding_keeps_sequences_whole(spark):
+    """The labels are read once for the rows and once for the words asked of the dictionary, and the plan stays small for the driver."""
+    from kgloom.plans import stage_queries
+
+    plan = stage_queries.decoded_mentions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in x and "token_spans#" in x for x in plan.splitlines()) == 2
+    assert plan.count("Join ") == 3
+
+
+def test_decoding_against_brute_force(spark):
+    rng = random.Random(9)
+    words = ["ace", "Of", "and", "-", "Pilot", "tape", "é", None]
+    kinds = ["MACHINE", "WORK", "CONCEPT"]
+    names = {f"{a} {b} {c}": rng.choice(kinds[1:]) for a in ("ace", "tape", "pilot") for b in ("of", "and", "and of") for c in ("ace", "tape", "pilot")}
+    for _ in range(150):
+        names[" ".join(w.lower() for w in rng.choices(words[:-1], k=rng.choice((1, 2, 2, 3, 3, 4))))] = rng.choice(kinds)
+    rows_, want = [], set()
+    for i in range(300):
+        n = rng.randint(0, 12)
+        tokens = rng.choices(words, [5, 4, 4, 1, 5, 5, 1, 0.2], k=n)
+        labels = [rng.choice(["O", "O", *(f"{p}-{k}" for p in "BI" for k in kinds)]) for _ in tokens]
+        if i % 2:  # half of them with linking words between neighbours of one type
+            labels = ["O" if t in ("Of", "and") else f"B-{kinds[i % 3]}" for t in tokens]
+        text, offsets, at = " ".join(t or "" for t in tokens), [], 0
+        for t in tokens:
+            offsets.append([at, at + len(t or "")])
+            at += len(t or "") + 1
+        rows_.append((None if i == 7 else f"s{i}", text, tokens, offsets, labels, None))
+        if i == 7:
+            continue
+        spans, before = [], "O"
+        for k, x in enumerate(labels):
+            if x != "O" and (x[0] == "B" or before[2:] != x[2:]):
+                spans.append([k, k + 1, x[2:]])
+            elif x != "O":
+                spans[-1][1] = k + 1
+            before = x
+        said = lambda s, e: " ".join(t.lower() for t in tokens[s:e] if t is not None)  # noqa: B023, E731
+        for x in spans:
+            grown = [z for z in range(x[1], min(x[0] + 8, n) + 1) if x[2] == "MACHINE" and names.get(said(x[0], z)) == "MACHINE" and " " in said(x[0], z)]
+            x[1] = max(grown, default=x[1])
+        spans = [x for x in spans if x[1] - x[0] > 1 or tokens[x[0]] is not None and tokens[x[0]] != "-"]
+        k = 0
+        while k < len(spans):
+            s, e, kind = spans[k]
+            if k + 1 < len(spans) and kind != "MACHINE" and spans[k + 1][2] == kind and 1 <= spans[k + 1][0] - e <= 2 and all((t or "").lower() in mentions.BRIDGES for t in tokens[e : spans[k + 1][0]]) and names.get(said(s, spans[k + 1][1])) == kind:
+                e, k = spans[k + 1][1], k + 1
+            want.add((f"s{i}", kind, s, e, offsets[s][0], offsets[e - 1][1], text[offsets[s][0] : offsets[e - 1][1]]))
+            k += 1
+    s = spark.createDataFrame(rows_, "sentence_id string, text string, tokens array<string>, token_spans array<array<int>>, labels array<string>, confidences array<double>")
+    known = spark.createDataFrame([(a, a.count(" ") + 1, k) for a, k in names.items()], "alias string, n_tokens int, type string")
+    got = [tuple(r) for r in mentions.decode(s, known).select("sentence_id", "mention_type", "s", "e", "char_start", "char_end", "text").collect()]
+    plain = {tuple(r) for r in mentions.decode(s, known.limit(0)).select("sentence_id", "mention_type", "s", "e", "char_start", "char_end", "text").collect()}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(want - plain) > 20 and {"MACHINE", "WORK", "CONCEPT"} == {x[1] for x in want - plain}
